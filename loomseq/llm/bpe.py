@@ -1,7 +1,7 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
-The words of many texts are collected once each, their symbols lie in one flat array, and each round merges
-the lowest-ranked pair of every word at once; ranks come from a binary search over sorted pair keys.
+The words of many texts are collected once each (by a 64-bit hash), their symbols lie in one flat array, and each round
+merges the lowest-ranked pair of every word at once; ranks come from a binary search over sorted pair keys.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +17,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, mix
 
 #: The pre-tokenizer pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters only have the same words under `re`, which is faster: Latin letters and usual marks.
+#: Texts of these characters only (Latin letters and usual marks), without what may be a contraction, are cut into words
+#: by arrays of character classes; all others by the pattern.
 PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ‐-‧€]*")
-_L, _N, _O = r"[^\W\d_²³¹¼½¾]", r"[\d²³¹¼½¾]", r"(?:[^\s\w]|_)"
-PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_O}+|\s+(?!\S)|\s+"
+CONTRACTED = re.compile("'(?:[stmd]|re|ve|ll)")
+SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
+_CLASS = np.full(0x251, OTHER, np.uint8)
+_CLASS[[9, 10, 13, 32]], _CLASS[0] = SPACE, BREAK
+for _a, _b in ("AZ", "az", "ªª", "µµ", "ºº", "ÀÖ", "Øö", "øɏ"):
+    _CLASS[ord(_a) : ord(_b) + 1] = LETTER
+_CLASS[[*range(48, 58), *map(ord, "²³¹¼½¾")]] = NUMBER
 #: Distinct words that a worker remembers before it starts anew.
 CACHE_WORDS = 600_000
 #: Symbols from which a word is merged with a heap: rounds over it would cost its length times its merges.
@@ -40,43 +45,132 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
-class Numbered(dict):
-    """Gives each word that it hasn't seen the next number."""
+_HASH = mix(np.arange(1, 0x2101, dtype=np.uint64))
+_BASE = np.uint64(0x8EBC6AF09C88C6E3)
+_power = [np.ones(1, np.uint64)]
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def hashes(cp: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, given by place and length in an array of code points."""
+    longest = int(lens.max())
+    if len(_power[0]) < longest:
+        table = np.full(1 << longest.bit_length(), _BASE, np.uint64)
+        table[0] = 1
+        _power[0] = np.multiply.accumulate(table)
+    first = np.cumsum(lens) - lens
+    pos = np.arange(int(lens.sum()), dtype=np.int32)
+    c = cp[pos + np.repeat((starts - first).astype(np.int32), lens)]
+    pos -= np.repeat(first.astype(np.int32), lens)
+    value = _HASH[c] if c.max() < len(_HASH) else mix(c.astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(value * _power[0][pos], first))
+
+
+def cut_plain(cp: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of plain texts, which zeros part from each other.
+
+    Spaced, a blank belongs to the word after it and other white space is words of its own; otherwise white space is
+    dropped and each number is a word.
+    """
+    kind = _CLASS[np.minimum(cp, 0x250)]
+    new = np.ones(len(cp), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    if not spaced:
+        new |= kind == NUMBER
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(cp))
+    run = kind[starts]
+    if not spaced:
+        keep = (run != SPACE) & (run != BREAK)
+        return starts[keep], ends[keep]
+    # white space before a word: its last blank joins the word, another last character stands alone
+    before = np.flatnonzero((run[:-1] == SPACE) & (run[1:] != BREAK))
+    blank = cp[ends[before] - 1] == 32
+    joined, alone = before[blank], before[~blank]
+    starts[joined + 1] -= 1
+    ends[joined] -= 1
+    alone = alone[ends[alone] - starts[alone] > 1]
+    ends[alone] -= 1
+    extra = ends[alone]
+    keep = (run != BREAK) & (ends > starts)
+    starts, ends = np.concatenate([starts[keep], extra]), np.concatenate([ends[keep], extra + 1])
+    if len(extra):
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    return starts, ends
 
 
 class WordCache:
-    """The ids of each distinct word, found once; subclasses say how words are encoded."""
+    """The ids of each distinct word, found once and kept by a 64-bit hash; subclasses say how words are encoded."""
 
     def __init__(self) -> None:
         self._forget()
 
     def _forget(self) -> None:
-        self._index = Numbered()
-        self._flat = np.zeros(0, np.int64)
-        self._at = np.zeros(1, np.int64)
+        self._keys, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._flat, self._at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def encode_pieces(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words of all lists, one after another; where each word begins; where each list begins among the words."""
-        if len(self._index) > CACHE_WORDS:
+    def _which(self, text: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word in the cache, in which words that are new get the next ones."""
+        if not len(starts):
+            return np.zeros(0, np.int32)
+        if len(self._keys) > CACHE_WORDS:
             self._forget()
-        base = len(self._index)
-        which = np.array(list(map(self._index.__getitem__, chain.from_iterable(pieces))), np.int64)
-        if len(self._index) > base:
-            ids, count = self.encode_words(list(islice(self._index, base, None)))
-            self._flat = np.concatenate([self._flat, ids])
+        each = hashes(cp, starts, ends - starts)
+        order = np.argsort(each)
+        ordered = each[order]
+        first = np.ones(len(order), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        key, at = ordered[first], order[first]
+        back = np.empty(len(order), np.int32)
+        back[order] = np.cumsum(first, dtype=np.int32) - 1
+        place = np.searchsorted(self._keys, key)
+        new = np.ones(len(key), bool)
+        if len(self._keys):
+            new = self._keys[np.minimum(place, len(self._keys) - 1)] != key
+        fresh = at[new]
+        if len(fresh):
+            ids, count = self.encode_words([text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
+            number = np.arange(len(self._at) - 1, len(self._at) - 1 + len(fresh), dtype=np.int32)
+            self._flat = np.concatenate([self._flat, ids.astype(np.int32)])
             self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(count)])
+            self._place = np.insert(self._place, place[new], number)
+            self._keys = np.insert(self._keys, place[new], key[new])
+            place = np.searchsorted(self._keys, key)
+        return self._place[place][back]
+
+    def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and where each word begins among them."""
         first = self._at[which]
         count = self._at[which + 1] - first
-        word_at = np.concatenate([[0], np.cumsum(count)])
-        ids = self._flat[np.arange(word_at[-1]) + np.repeat(first - word_at[:-1], count)]
-        return ids, word_at, np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        word_at = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(count, out=word_at[1:])
+        places = np.repeat((first - word_at[:-1]).astype(np.int32), count)
+        places += np.arange(word_at[-1], dtype=np.int32)
+        return self._flat[places], word_at
+
+    def plain_ids(self, texts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, and where each text begins among them."""
+        text = "\0".join(texts)
+        cp = points(text)
+        starts, ends = cut_plain(cp, spaced) if len(cp) else (np.zeros(0, np.int64),) * 2
+        ids, word_at = self._ids(self._which(text, cp, starts, ends))
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return ids, word_at[np.searchsorted(starts, begin)]
+
+    def piece_ids(self, words: list[str]) -> np.ndarray:
+        """Ids of a list of words."""
+        if not words:
+            return np.zeros(0, np.int32)
+        text = "".join(words)
+        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
+        return self._ids(self._which(text, points(text), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends))[0]
 
 
 class ByteBPE(WordCache):
@@ -109,7 +203,7 @@ class ByteBPE(WordCache):
         self.token_len = np.array([len(t) for t in texts], np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)])
         self.token_bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self._plain, self._any = re.compile(PLAIN_PATTERN), regex.compile(PATTERN)
+        self._any = regex.compile(PATTERN)
         super().__init__()
 
     def ranks(self, pair: np.ndarray) -> np.ndarray:
@@ -198,33 +292,21 @@ class ByteBPE(WordCache):
                 j += 1
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
-    def words(self, text: str) -> list[str]:
-        return (self._plain if PLAIN.fullmatch(text) else self._any).findall(text)
-
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one after another, and the offsets at which each begins (one more than texts)."""
-        pieces: list[list[str]] = []
-        marks: dict[int, int] = {}
-        for i, text in enumerate(texts):
-            if self._special and self._special.search(text):
-                found: list[str] = []
-                for j, part in enumerate(self._special.split(text)):
-                    if j % 2:
-                        marks[(i << 40) + len(found)] = self.special[part]
-                        found.append("")
-                    else:
-                        found += self.words(part)
-                pieces.append(found)
-            else:
-                pieces.append(self.words(text))
-        ids, word_at, at = self.encode_pieces(pieces)
-        offsets = word_at[at]
-        if marks:
-            places = np.array([word_at[at[k >> 40] + (k & ((1 << 40) - 1))] for k in marks], np.int64)
-            docs = np.array([k >> 40 for k in marks], np.int64)
-            ids = np.insert(ids, places, list(marks.values()))
-            offsets = offsets + np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=len(texts)))])
-        return ids, offsets
+        plain = [bool(PLAIN.fullmatch(t)) and not CONTRACTED.search(t) and not (self._special and self._special.search(t)) for t in texts]
+        ids, at = self.plain_ids([t for t, p in zip(texts, plain, strict=True) if p], True)
+        if all(plain):
+            return ids, at
+        out, j = [], 0
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                out.append(ids[at[j] : at[j + 1]])
+                j += 1
+                continue
+            parts = self._special.split(t) if self._special else [t]
+            out.append(np.concatenate([np.array([self.special[x]], np.int32) if i % 2 else self.piece_ids(self._any.findall(x)) for i, x in enumerate(parts)]))
+        return np.concatenate(out), np.cumsum([0, *map(len, out)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, gathered from one flat table of token bytes."""

@@ -17,18 +17,17 @@ is run again writes the same block, and nothing is counted on the driver. Layout
 from __future__ import annotations
 
 import json
-import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import _L, _N, PLAIN, WordCache
+from .bpe import CONTRACTED, PLAIN, WordCache
 from .common import chunks, partitions, range_bounds, range_bucket, written
 
 HEAD = struct.Struct("<4sIIIQQ")
@@ -36,7 +35,6 @@ HEAD = struct.Struct("<4sIIIQQ")
 BLOCK_IDS = 1 << 20
 #: The words of lower-case vocabularies with word ends.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|(?:[^\s\w]|_)+")
 
 
 class WordBPE(WordCache):
@@ -58,19 +56,20 @@ class WordBPE(WordCache):
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.single.encode_batch_fast(words, add_special_tokens=False)]
-        count = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int64, int(count.sum())), count
+        count = np.array(list(map(len, ids)), np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum())), count
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.cuts and bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        ids, word_at, at = self.encode_pieces([PLAIN_WORDS.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p])
+        low = [t.lower() if self.cuts else t for t in texts]
+        plain = [self.cuts and bool(PLAIN.fullmatch(t)) and not CONTRACTED.search(x) and not any(s in t for s in self.special) for t, x in zip(texts, low, strict=True)]
+        ids, at = self.plain_ids([x for x, p in zip(low, plain, strict=True) if p], False)
         out, j = [], 0
         for t, p in zip(texts, plain, strict=True):
             if p:
-                out.append(ids[word_at[at[j]] : word_at[at[j + 1]]])
+                out.append(ids[at[j] : at[j + 1]])
                 j += 1
             else:
-                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int64))
+                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32))
         return out
 
 
@@ -86,17 +85,33 @@ def load(path: str) -> WordBPE:
 def write_block(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     lens = np.array([len(x) for _, x in docs], "<u8")
     ids = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.int64)
-    found, back, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 22:
+        count = np.bincount(ids)
+        found = np.flatnonzero(count)
+        count, at = count[found], np.zeros(int(ids.max()) + 1, np.int32)
+        at[found] = np.arange(len(found), dtype=np.int32)
+        back = at[ids]
+    else:
+        found, back, count = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((found, -count))
-    rank_of = np.empty(len(order), np.int64)
-    rank_of[order] = np.arange(len(order))
+    rank_of = np.empty(len(order), np.int32)
+    rank_of[order] = np.arange(len(order), dtype=np.int32)
     ranks = rank_of[back]
-    size = 1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    control = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    control[: len(ranks)] = size - 1
-    control = (control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-    four = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = four[np.arange(4) < size[:, None]].tobytes()
+    code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    for bits in (8, 16, 24):
+        if len(found) > 1 << bits:
+            code[: len(ranks)] += ranks >= 1 << bits
+    four = code.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    first = np.cumsum(code[: len(ranks)], dtype=np.int64) + np.arange(len(ranks))  # the last byte of each rank
+    data = np.zeros(int(first[-1]) + 1 if len(ranks) else 0, np.uint8)
+    first -= code[: len(ranks)]
+    data[first] = ranks & 255
+    for i in (1, 2, 3):
+        if len(found) > 1 << 8 * i:
+            more = np.flatnonzero(code[: len(ranks)] >= i)
+            data[first[more] + i] = ranks[more] >> 8 * i & 255
+    data = data.tobytes()
     width = 2 if not len(found) or found[-1] < 1 << 16 else 4
     keys = np.array([0 if k is None else k for k, _ in docs], "<i8")
     null = np.array([k is None for k, _ in docs], np.uint8)
@@ -105,8 +120,7 @@ def write_block(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
 
 
 #: Of each control byte, the lengths of its four ranks.
-LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.int64)
+LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
 def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -124,10 +138,14 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
     table, lens, keys, null = take(f"<u{width}", n_found), take("<u8", n_docs), take("<i8", n_docs), take("u1", n_docs)
     size = LENGTHS[take("u1", -(-n_ids // 4))].reshape(-1)[:n_ids]
-    data = np.concatenate([take("u1", n_data), np.zeros(3, np.uint8)]).astype(np.int64)
-    first = np.cumsum(size) - size
-    ranks = (data[first] | data[first + 1] << 8 | data[first + 2] << 16 | data[np.minimum(first + 3, len(data) - 1)] << 24) & MASKS[size]
-    return [None if z else int(k) for k, z in zip(keys, null, strict=True)], lens.astype(np.int64), table.astype(np.int64)[ranks]
+    data = np.concatenate([take("u1", n_data), np.zeros(3, np.uint8)])
+    first = np.cumsum(size, dtype=np.int64) - size
+    ranks = data[first].astype(np.int32)
+    for i in (1, 2, 3):
+        if n_found > 1 << 8 * i:
+            more = np.flatnonzero(size > i)
+            ranks[more] |= data[first[more] + i].astype(np.int32) << 8 * i
+    return [None if z else int(k) for k, z in zip(keys, null, strict=True)], lens.astype(np.int64), table.astype("<u4")[ranks]
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, buckets: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +169,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, buckets: int = 0, id
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, before, held, size = None, 0, 0, [], 0
-        end = np.array([end_id], np.int64)
+        end = np.array([end_id], np.int32)
 
         def close() -> pa.RecordBatch:
             cols = [pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(held)], pa.binary())]
@@ -166,7 +184,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, buckets: int = 0, id
                     bucket, block, before = b, 0, 0
                 # an odd number of bytes: a zero and two bytes an id; else four bytes an id
                 ids = np.frombuffer(raw, "<u2", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u4")
-                held.append((key, np.concatenate([ids.astype(np.int64), end])))
+                held.append((key, np.concatenate([ids.astype(np.int32), end])))
                 size += len(ids) + 1
         if held:
             yield close()
@@ -184,7 +202,7 @@ def read(files: DataFrame) -> DataFrame:
             for bucket, before, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, lens, ids = read_block(payload)
                 ends = np.cumsum(lens)
-                raw = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lens, strict=True)]
+                raw = [ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)]
                 cols = [pa.array([bucket] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(before + ends - lens, pa.int64()), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "doc_id", "local", "ids"])
 
