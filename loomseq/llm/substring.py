@@ -124,7 +124,9 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     # exact copies: the first document of each word sequence stands for all
     first = seen.groupBy("sha").agg(F.min(F.struct("doc_id", "tag", "anchors")).alias("x")).select("sha", "x.doc_id", "x.tag", "x.anchors")
     seeds = first.select("doc_id", "tag", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # what rows are joined with is written first: Spark can split a hot key's rows between tasks only where both sides
+    # of a join are plain exchanges, not where one is summed by that key
+    shared = written(seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     seeded = seeds.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_list("anchor").alias("anchors"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 
     keyed = rows.select("doc_id", "tag", "text")
     found = written(keyed.join(seeded, ["doc_id", "tag"]).select("doc_id", "text", "tag", "anchors").mapInArrow(extend, "doc_id long, tag long, anchor long, window long, at int"), "windows")
-    named = found.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    named = written(found.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "repeats")
     repeats = found.join(named, ["anchor", "window"]).where("doc_id > lo").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
