@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its start only, which finds the same leftmost matches.
@@ -113,6 +113,7 @@ def _grow(seen: DataFrame) -> DataFrame:
     others = graph.where("kind is null").drop("kind")
     # patterns that seeds don't support enough, or that never stand beside anything else, lead nowhere
     able = graph.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.count("*").alias("edges")).where((F.col("seeds") >= MIN_SEEDS) & (F.col("edges") > F.col("seeds"))).select("pattern")
+    able = written(able, "able")
     seeds, others = seeds.join(able, "pattern"), written(others.join(able, "pattern"), "others")
     seeded = written(seeds.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).join(total, "pattern"), "seeded")
     believed = None
@@ -126,7 +127,7 @@ def _grow(seen: DataFrame) -> DataFrame:
             break
         doubt = F.sum(F.log(1.0 - F.least("trust", F.lit(0.999))))
         believed = written(others.join(good, "pattern").groupBy("instance", "kind").agg((1.0 - F.exp(doubt)).alias("belief")), "believed")
-    good = good.where(F.col("trust") >= CONFIDENT)
+    good = written(good.where(F.col("trust") >= CONFIDENT), "good")
     hit = each.where("kind is null").drop("kind").join(good, "pattern")
     return hit.groupBy("doc_id", "tag", "start", "stop").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind")).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).alias("more"))
 
@@ -152,7 +153,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(spans, span), pa.array(rows, near)], ["doc_id", "tag", "base", "contexts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
     seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,patterns:array<bigint>>>"), "contexts")
     more = _grow(seen).withColumnRenamed("doc_id", "id").withColumnRenamed("tag", "tag2")
     # base and more hold no pair with one kind and start, since strings that overlap a base span aren't looked at
