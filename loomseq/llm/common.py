@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker looks at together.
 CHUNK_BYTES = 1 << 20
+#: Rows that Spark sends to a Python worker at once.
+BATCH_ROWS = 256
 
 _roots: dict[str, str] = {}
 
@@ -41,6 +43,15 @@ def scratch(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches held to BATCH_ROWS rows: workers hold batches of whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key) or 0) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the scratch folder: lineage ends there, and any executor can read it."""
     spark = df.sparkSession

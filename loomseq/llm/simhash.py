@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 BITS, LEAST_BYTES = 3, 5
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _key(positions: tuple[int, ...], number: int) -> Column:
@@ -120,19 +120,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = _linked(group, fp.view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(fp[u], pa.int64()), pa.array(fp[v], pa.int64())], ["u", "v"])
 
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    parts: list[tuple] = []
+    size = 0
+
+    def held() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
     for batch in batches:
-        held = [np.concatenate([a, c.to_numpy()]) for a, c in zip(held, batch.columns, strict=True)]
-        key, block, _ = held
-        if not len(key):
+        if len(batch):
+            parts.append(tuple(c.to_numpy() for c in batch.columns))
+            size += len(batch)
+        if size < 1 << 16:
             continue
+        key, block, fp = held()
         last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield out(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-    if len(held[0]):
-        yield out(*held)
+            yield out(key[:cut], block[:cut], fp[:cut])
+        parts, size = [(key[cut:], block[cut:], fp[cut:])], len(key) - cut
+    if parts:
+        yield out(*held())
 
 
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
@@ -140,7 +147,8 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
     def lists(rows: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
         keyed = rows.select("fp", F.explode(F.array(*[_key(p, i) for i, p in enumerate(sets)])).alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # written, so that both sides of the join are plain exchanges and a hot key's rows can be split between tasks
+        sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         return keyed.join(sizes, "key")
 
     three = written(lists(fps, TRIPLES), "lists")
@@ -169,10 +177,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -190,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     root = components(links(least.select("fp"), hot))
     of = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = written(of, "roots")
-    first = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    first = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "first")
     of = of.join(first, "root").select("fp", "component_id")
     return fp.join(of, "fp").select("doc_id", "fp", "component_id")
 

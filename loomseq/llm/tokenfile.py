@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import CONTRACTED, PLAIN, WordCache
-from .common import chunks, partitions, range_bounds, range_bucket, written
+from .common import chunks, partitions, range_bounds, range_bucket, small_batches, written
 
 HEAD = struct.Struct("<4sIIIQQ")
 #: Ids from which a block is closed: its rank table is then a few hundredths of it.
@@ -189,7 +189,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, buckets: int = 0, id
         if held:
             yield close()
 
-    rows = docs.select(range_bucket(F.col(id_col), bounds).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(range_bucket(F.col(id_col), bounds).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.mapInArrow(tokens, "bucket int, doc_id long, ids binary").repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     return written(dealt.mapInArrow(blocks, "bucket int, block int, before long, n_ids long, payload binary"), "tokens")
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 CHUNK = 1 << 20
 #: Field names and the profile of the WARC 1.1 format.
@@ -47,9 +47,10 @@ def write(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK, date: str
     others revisit them. Null payloads are empty; null ids count as largest; a missing url is left out. Rows that repeat
     with one id are alike. An empty table makes an empty archive.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     # ids and digests are few bytes, so payloads are read twice and dealt out once
-    first = rows.select("page_id", F.sha1("payload").alias("sha1")).groupBy("sha1").agg(F.min("page_id").alias("first"))
+    # (a written table beside an exchange lets Spark split the rows of a payload that a large part of them share)
+    first = written(rows.select("page_id", F.sha1("payload").alias("sha1")).groupBy("sha1").agg(F.min("page_id").alias("first")), "payloads")
     named = rows.withColumn("sha1", F.sha1("payload")).join(first, "sha1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
