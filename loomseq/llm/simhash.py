@@ -10,7 +10,7 @@ spanning forest of the links that it found, never the pairs; components are join
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -20,13 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import mix, small_batches, written
+from .substring import gram_hashes, word_hashes
 
 BITS, LEAST_BYTES = 3, 5
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 FIVES = list(combinations(range(8), LEAST_BYTES))
 #: Fingerprints in one posting list that a task compares with each other.
 HOT = 4096
+#: Words of 64 bits of a wide fingerprint, and bits in which two that are alike by 0.8 differ at most.
+WIDTH, FAR = 8, 90
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -85,9 +88,20 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _linked(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of equal groups (rows in order of group): each with the least place of its forest."""
-    n = len(fp)
+def _close(fp: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Count filter and verification for pairs of 64-bit fingerprints."""
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x = fp[i] ^ fp[j]
+        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+        return (tally >= LEAST_BYTES) & (np.bitwise_count(x) <= BITS)
+
+    return near
+
+
+def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal groups (rows in order of group): each with the least place of its forest."""
+    n = len(group)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
     end = np.repeat(starts + sizes, sizes)
@@ -97,11 +111,8 @@ def _linked(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at[at + shift < end[at]]
         if not len(at):
             break
-        for part in np.array_split(at, -(-len(at) // (1 << 20))):
-            x = fp[part] ^ fp[part + shift]
-            tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-            part, x = part[tally >= LEAST_BYTES], x[tally >= LEAST_BYTES]
-            part = part[np.bitwise_count(x) <= BITS]
+        for part in np.array_split(at, -(-len(at) // step)):
+            part = part[near(part, part + shift)]
             found.append((part, part + shift))
             held += len(part)
         if held > 1 << 20:
@@ -112,13 +123,20 @@ def _linked(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return child, root[child]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, fp) in that order, every group within one task; a group ends where key or block changes."""
+def _links(batches: Iterator[pa.RecordBatch], far: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, node and, with `far`, a wide fingerprint) in that order, every group within one task.
 
-    def out(key: np.ndarray, block: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    A group ends where key or block changes. Without `far` the node is the fingerprint itself.
+    """
+
+    def out(key: np.ndarray, block: np.ndarray, node: np.ndarray, *vec: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        u, v = _linked(group, fp.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(fp[u], pa.int64()), pa.array(fp[v], pa.int64())], ["u", "v"])
+        if far:
+            v = vec[0]
+            u, v = _linked(group, lambda i, j: np.bitwise_count(v[i] ^ v[j]).sum(1, dtype=np.int32) <= far, 1 << 16)
+        else:
+            u, v = _linked(group, _close(node.view(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], ["u", "v"])
 
     parts: list[tuple] = []
     size = 0
@@ -128,20 +146,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if len(batch):
-            parts.append(tuple(c.to_numpy() for c in batch.columns))
+            wide = [np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(batch), -1)] if far else []
+            parts.append((*(c.to_numpy() for c in batch.columns[:3]), *wide))
             size += len(batch)
         if size < 1 << 16:
             continue
-        key, block, fp = held()
+        key, block, *rest = held()
         last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield out(key[:cut], block[:cut], fp[:cut])
-        parts, size = [(key[cut:], block[cut:], fp[cut:])], len(key) - cut
+            yield out(key[:cut], block[:cut], *(x[:cut] for x in rest))
+        parts, size = [(key[cut:], block[cut:], *(x[cut:] for x in rest))], len(key) - cut
     if parts:
         yield out(*held())
 
 
+def _blocks(node: str, hot: int) -> Column:
+    """The pairs of blocks in which a row of a list of n rows meets all others; [0] for a list of one block."""
+    blocks = F.ceil(F.col("n") / hot).cast("int")
+    own = F.pmod(F.xxhash64(node), blocks).cast("int")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o) * blocks + F.greatest(own, o)))
+    return F.when(F.col("n") <= hot, F.array(F.lit(0))).otherwise(pairs)
+
+
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp), enough to connect all that differ in at most BITS bits."""
 
@@ -155,11 +182,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     small = three.where(F.col("n") <= hot).select("key", F.lit(0).alias("block"), "fp")
     large = three.where(F.col("n") > hot).select("fp").distinct()
     five = lists(large, FIVES).withColumn("key", -1 - F.col("key"))  # negative: no key of three bytes
-    blocks = F.ceil(F.col("n") / hot).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o) * blocks + F.greatest(own, o)))
-    rest = five.select("key", F.when(F.col("n") <= hot, F.array(F.lit(0))).otherwise(pairs).alias("blocks"), "fp")
-    rest = rest.select("key", F.explode("blocks").alias("block"), "fp")
+    rest = five.select("key", F.explode(_blocks("fp", hot)).alias("block"), "fp")
     rows = small.unionByName(rest).repartition("key", "block").sortWithinPartitions("key", "block", "fp")
     return rows.mapInArrow(_links, "u long, v long")
 
@@ -203,6 +226,54 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return fp.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def wide(words: list[bytes], size: int, width: int = WIDTH) -> np.ndarray:
+    """A fingerprint of `width` 64-bit words over shingles of `size` words; fewer words: the whole sequence."""
+    if not words:
+        return np.zeros(width, np.uint64)
+    shingle = gram_hashes(word_hashes(words), min(size, len(words)), "gram")
+    out = np.zeros(width, np.uint64)
+    for j in range(width):
+        count = np.zeros(64, np.int64)
+        for a in range(0, len(shingle), 1 << 14):
+            h = mix(shingle[a : a + (1 << 14)] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1))
+            count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[j] = np.packbits(2 * count > len(shingle), bitorder="little").view("<u8")[0]
+    return out
+
+
+def similar(docs: DataFrame, words: int = 5, far: int = FAR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs` with an id: doc_id and component_id over documents alike by about 0.8 or more.
+
+    At that likeness of five-word shingles 64-bit fingerprints differ in some ten bits, so that no byte is sure to agree.
+    Candidates are found through byte triples of 512-bit fingerprints of two-word shingles, of which alike documents
+    share some; they are verified by the 512-bit fingerprints of `words`-word shingles, which differ in `far` bits at
+    most. Rows without an id are left out. Texts without words are one component. Repeated rows are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec, keys = [], []
+            for text in batch.column(1).to_pylist():
+                found = (text or "").encode().lower().split()
+                vec.append(wide(found, words).tobytes())
+                halves = wide(found, 2).view(np.uint8).reshape(-1, 4).astype(np.int64)
+                triples = np.stack([halves[:, a] | halves[:, b] << 8 | halves[:, c] << 16 for a, b, c in combinations(range(4), 3)], axis=1).ravel()
+                keys.append(triples | np.arange(len(triples)) << 24)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "vec", "keys"])
+
+    rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    seen = written(rows.mapInArrow(run, "doc_id long, vec binary, keys array<long>"), "wide")
+    nodes = written(seen.groupBy("vec").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select(F.col("x.doc_id").alias("node"), "vec", F.col("x.keys").alias("keys")), "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    lists = keyed.join(sizes, "key").select("key", F.explode(_blocks("node", hot)).alias("block"), "node")
+    near = lists.join(nodes.select("node", "vec"), "node").select("key", "block", "node", "vec")
+    near = near.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda x: _links(x, far), "u long, v long")
+    root = components(near)
+    of = written(nodes.join(root, "node", "left").select("vec", F.coalesce("root", "node").alias("component_id")), "roots")
+    return seen.select("doc_id", "vec").join(of, "vec").select("doc_id", "component_id")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
