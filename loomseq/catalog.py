@@ -1,9 +1,13 @@
 """Every query of the library by name, with its oracle."""
 
+from .plans import allele, matrix, misc, sequence
+
+_ALL = matrix.Q | allele.Q | sequence.Q | misc.Q
+
 
 def queries():
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
