@@ -27,20 +27,5 @@ def queries():
     }
 
 
-OP1_SQL = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
-), s AS (
-  SELECT doc_id, p.at AS at, array_to_string(ws[p.at : p.at + 49], ' ') AS win
-  FROM w, unnest(range(1, len(ws) - 48)) AS p(at) WHERE len(ws) >= 50
-), f AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY win) AS lo FROM s),
-g AS (SELECT DISTINCT doc_id, q.i AS i FROM f, unnest(range(at, at + 50)) AS q(i) WHERE lo < doc_id),
-c AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM g GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
-FROM w LEFT JOIN c ON w.doc_id = c.doc_id
-"""
-
-
 def oracle_sql():
     return {}
