@@ -1,0 +1,319 @@
+"""Each operator against a plain version, on the small tables and on rows with every awkward value."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from loomseq.llm import bpe, iblt, pack, pii, quality, queries, simhash, substring, tokenfile, urls, warc
+
+D = "/root/testdata/sf0.001"
+BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
+PASSAGE = " ".join(f"word{i}" for i in range(70))
+#: Nulls, empty and blank texts, repeats, equal ids, ties, one very long text, other scripts, special tokens.
+ODD = [
+    (1, "one two three"), (2, None), (3, ""), (4, " \n\t "), (5, "one two three"), (5, "one two three"), (6, PASSAGE), (7, "x " + PASSAGE + " y"),
+    (8, "A\nA\nB\n\nA"), (9, "日本語 テスト １２ ²½ é́"), (10, "<|endoftext|>it's <|endoftext|>"), (11, "aaa" * 3000), (12, "lorem ipsum " * 20000),
+    (13, "mail a.b@c.de 10.0.0.256 10.0.0.1, 4111 1111 1111 1111 +49 (30) 123456"), (None, "no id here"), (None, None), (14, PASSAGE.replace("word30", "other")),
+]
+SCHEMA = "doc_id long, text string, lang string, anchors string, tag string, fp string, bucket string, ids string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en", "x", "y", "z", "b", None) for i, t in ODD], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{D}/documents.parquet")
+
+
+def table(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def test_substring(odd, none, docs):
+    def plain(rows, n=50):
+        key = lambda i: (1 << 63) - 1 if i is None else i
+        first, out = {}, []
+        for i, t in sorted(rows, key=lambda r: key(r[0])):
+            w = (t or "").encode().split()
+            for s in range(len(w) - n + 1):
+                first.setdefault(tuple(w[s : s + n]), key(i))
+        for i, t in rows:
+            w = (t or "").encode().split()
+            gone = [False] * len(w)
+            for s in range(len(w) - n + 1):
+                if first[tuple(w[s : s + n])] < key(i):
+                    gone[s : s + n] = [True] * n
+            out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+        return sorted(out, key=str)
+
+    for df in (odd.where("doc_id is null or doc_id <> 12"), docs):
+        got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"].hex()) for r in substring.substring_dedup(df).collect()]
+        assert sorted(got, key=str) == plain(table(df))
+    kept = {r["doc_id"]: r["kept_text"] for r in substring.substring_dedup(odd, texts=True).where("n_removed > 0").collect()}
+    assert kept[7] == "x y" and 6 not in kept
+    assert substring.substring_dedup(none).count() == 0
+
+
+def test_packing(odd, none):
+    t = Tokenizer.from_file(BYTE)
+    rows = [tuple(r) for r in pack.pack(odd, BYTE, capacity=256).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").collect()]
+    want = sorted((i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in ODD if i not in (None, 5))
+    for i, ids in want:
+        own = sorted((r for r in rows if r[0] == i), key=lambda r: r[1])
+        assert np.concatenate([np.frombuffer(r[3], "<u4") for r in own]).tolist() == ids
+        assert [r[1] for r in own] == np.cumsum([0, *[r[2] for r in own]])[:-1].tolist() and {r[4] for r in own} == {len(ids)}
+    by = {}
+    for r in rows:
+        by.setdefault(r[5], []).append((r[6], r[2]))
+    pad = 0
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 256
+        pad += 0 if at & (at - 1) == 0 else 256 - at
+    assert pad < 0.02 * sum(r[2] for r in rows)
+    assert pack.pack(none, BYTE).count() == 0
+
+
+def test_bpe(odd, none, docs):
+    t = Tokenizer.from_file(BYTE)
+    for df in (odd, docs.limit(60)):
+        texts = sorted(((i, x or "") for i, x in table(df)), key=str)
+        got = sorted(((r["doc_id"], r["decoded"], np.frombuffer(r["ids"], "<u4").tolist()) for r in bpe.encode(df, BYTE).collect()), key=lambda r: str(r[:2]))
+        assert [(i, x) for i, x, _ in got] == texts
+        assert [ids for *_, ids in got] == [t.encode(x, add_special_tokens=False).ids for _, x in texts]
+    assert bpe.encode(none, BYTE).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=4))
+def test_bpe_any_text(texts):
+    t, own = Tokenizer.from_file(BYTE) if not hasattr(test_bpe_any_text, "t") else test_bpe_any_text.t, bpe.load(BYTE)
+    test_bpe_any_text.t = t
+    texts = [x for x in texts if not any(0xD800 <= ord(c) < 0xE000 for c in x)]
+    ids, at = own.encode_batch(texts) if texts else ([], [0])
+    for i, x in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+        assert own.decode(ids[at[i] : at[i + 1]]).decode() == x
+
+
+def test_simhash(odd, none, docs):
+    def plain(text):
+        w = (text or "").encode().lower().split()
+        if not w:
+            return 0
+        h = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in ([w[i : i + 3] for i in range(len(w) - 2)] or [w])]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    for df, hot in ((odd.where("doc_id is null or doc_id <> 12"), 4096), (docs, 4096), (docs, 2)):
+        rows = table(df)
+        fp = [plain(t) for _, t in rows]
+        part = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                if (fp[a] ^ fp[b]).bit_count() <= 3:
+                    old, new = part[a], part[b]
+                    part = [new if p == old else p for p in part]
+        low = {}
+        for p, (i, _) in zip(part, rows, strict=True):
+            if i is not None:
+                low[p] = min(i, low.get(p, i))
+        want = sorted(((i, f, low.get(p)) for (i, _), f, p in zip(rows, fp, part, strict=True)), key=str)
+        got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df, hot=hot).collect()), key=str)
+        assert got == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_similar(spark, none):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(words) for _ in range(400)]
+    near = [w if i % 90 else "changed" for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(rng.choice(words) for _ in range(400))), (4, ""), (5, None), (None, "x")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert simhash.similar(none).count() == 0
+
+
+def test_token_files(odd, none, docs):
+    t = Tokenizer.from_file(WORD)
+    for df in (odd, docs):
+        rows = [(i, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for i, x in table(df)]
+        got = sorted(((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfile.read(tokenfile.write(df, WORD, buckets=5)).collect()), key=lambda r: r[1])
+        assert sorted((str(i), x) for i, _, x in got) == sorted((str(i), x) for i, x in rows)
+        at = 0
+        for _, start, ids in got:
+            assert start == at
+            at += len(ids)
+        ids = [i for i, *_ in got if i is not None]
+        assert ids == sorted(ids) and all(i is None for i, *_ in got[: len(got) - len(ids)])
+    assert tokenfile.read(tokenfile.write(none, WORD)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.none() | st.integers(-(1 << 63), (1 << 63) - 1), st.lists(st.integers(0, (1 << 32) - 1), max_size=600)), min_size=1, max_size=5))
+def test_block_round_trip(docs):
+    keys, lens, ids = tokenfile.read_block(tokenfile.write_block([(k, np.array(x, np.int64)) for k, x in docs]))
+    assert keys == [k for k, _ in docs] and lens.tolist() == [len(x) for _, x in docs] and ids.tolist() == [i for _, x in docs for i in x]
+
+
+def test_fingerprints(odd, none, docs, spark):
+    for df in (odd.where("doc_id is not null and doc_id <> 5"), docs):
+        rows = sorted(((i, t or "") for i, t in table(df)), reverse=True)
+        got = {r["doc_id"]: r for r in iblt.fingerprints(df).collect()}
+        like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+        lines = lambda t: {x for x in t.split("\n") if x}
+        for k, (i, t) in enumerate(rows):
+            after, h = rows[(k + 1) % len(rows)][1], len(t) // 2
+            edited, r = t[: len(t) - h] + after[:h], got[i]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert r["near_edited"] == pytest.approx(like(lines(t), lines(edited))) and r["near_next"] == pytest.approx(like(lines(t), lines(after)))
+    assert iblt.fingerprints(odd).count() == len(ODD)
+    assert iblt.fingerprints(none).count() == 0
+    long = spark.createDataFrame([(2, "\n".join(f"line {i}" for i in range(3000))), (1, "\n".join(f"line {i}" for i in range(1500, 4000)))], "doc_id long, text string")
+    assert iblt.fingerprints(long).where("doc_id = 2").first()["near_next"] == pytest.approx(1500 / 4000)
+
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, rule in RULES.items():
+        for m in re.finditer(rule, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+            if {"email": True, "ip": max(map(int, m[0].split("."))) <= 255 if kind == "ip" else 0, "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab@.-+1 5()é49", max_size=50))
+def test_base_spans(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_pii(odd, none, spark):
+    got = {r["doc_id"]: [tuple(x) for x in r["base"]] for r in pii.find(odd).where("doc_id is not null").collect()}
+    assert all(got[i] == plain_spans(t or "") for i, t in ODD if i is not None)
+    assert {k for k, *_ in got[13]} == {"email", "ip", "card", "phone"}
+    assert pii.find(odd).count() == len(ODD) and pii.find(none).count() == 0
+    rows = [(i, f"record {i} card number: 4111 1111 1111 11{i:02d} ok" if pii.luhn(f"41111111111111{i:02d}") else f"note {i} nothing") for i in range(100)]
+    rows += [(200, "more text card number: 123-456-789 ok"), (201, "unrelated 987-654-321 text")]
+    spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[200] == [("card", 23, 34)] and spans[201] == []
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(odd).collect()}
+    assert "a.b@c.de" not in texts[13] and "<EMAIL>" in texts[13] and texts[2] is None and pii.redact(odd).columns == odd.columns
+
+
+def test_urls(spark):
+    rows = [(1, "http://M.Example.ORG/es/1?x"), (2, "https://a.example.org/en/19"), (3, "http://x.com/fr/"), (4, "http://x.com/de/#a"), (5, None), (6, "no scheme"), (7, ""), (8, "http://org"), (9, "http://org/"), (10, "http://www.free-casino.example.com/en/7"), (11, "http://museum.example.com/en/7"), (11, "http://museum.example.com/en/7"), (None, "ftp://notorg.comx/fr/\nq")]
+    got = [tuple(r)[:5] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.train(urls.labelled())).collect()]
+    by = {r[0]: r[1:] for r in got}
+    assert by[1] == ("m.example.org", "/es/1", "example.org/es/", "block") and by[2][2:] == ("example.org/en/1", "block")
+    assert by[3][2:] == ("com/fr/", "allow") and by[4][2:] == ("com/de/", "block") and by[5][:3] == ("", "", None) and by[6] == by[7] == by[5]
+    assert by[8][:3] == ("org", "", None) and by[9][2:] == ("org/", "allow") and by[10][3] == "block" and by[11][3] == "allow" and by[None][:2] == ("notorg.comx", "/fr/\nq")
+    assert len(got) == len(rows)
+
+
+def test_url_accuracy():
+    table = urls.labelled()
+    names = sorted({h.split(".")[-3] if h.count(".") > 1 else h for h, *_ in table})
+    held = [r for r in table if r[0].startswith(("www.",))]
+    w = urls.train([r for r in table if not r[0].startswith("www.")])
+    right = sum((urls.score(w, h, p) >= 0.5) == bool(y) for h, p, y in held)
+    assert names and right / len(held) >= 0.9
+
+
+def test_warc(spark):
+    long = "0123456789" * 1000
+    rows = [(1, "http://a/", "<p>x"), (2, None, None), (3, "u\r\nv", "é" * 700), (4, "b", "<p>x"), (5, "", ""), (6, "c", long), (7, "c", long), (None, "d", "<p>x"), (1, "http://a/", "<p>x")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, sha1 string")
+    archive = warc.write(df, chunk=512)
+    assert archive.where("length(data) > 1400").count() == 0 and archive.where("chunks > 10").count() == 20
+    got = sorted((tuple(r) for r in warc.read(archive).collect()), key=str)
+    first, want = {}, []
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        again = first[h or ""] != i
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None))
+    assert got == sorted(want, key=str)
+    assert warc.read(warc.write(df.limit(0))).count() == 0
+    assert warc.read(warc.write(df, least_bytes=5)).where("page_id = 4").first()["record_type"] == "response"
+
+
+def test_quality(odd, none, docs, spark):
+    def plain(text):
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        seen = {}
+        for g in grams:
+            seen[g] = seen.get(g, 0) + 1
+        twice = {j for i, g in enumerate(grams) if seen[g] > 1 for j in range(i, i + 8)}
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(twice)
+
+    for df in (odd, docs):
+        texts = {i: t for i, t in table(df) if i is not None}
+        for r in quality.judge(df).collect():
+            if r["doc_id"] is not None:
+                base = plain(texts[r["doc_id"]])
+                assert base == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+                assert r["base_failed"] == (base[0] < 20 or 100 * base[4] > 30 * base[0]) and not (r["base_failed"] and r["kept"])
+    assert quality.judge(none).count() == 0
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed").join(labels, "doc_id")
+    good = rows.where("quality = 1")
+    assert good.where("kept").count() >= 0.98 * good.count()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    extra = spark.createDataFrame([(9000, None, "en", "s", 0), (9001, "", None, None, None), (None, PASSAGE, "xx", "s", 1), (9002, PASSAGE, "en", "s", 1)], docs.schema)
+    for rows in (docs.unionByName(extra), docs.limit(0)):
+        at = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = at.count()
+            at = stage(spark, at, D)
+            assert at.columns == docs.columns and at.count() <= before
+        assert corpus_pipeline.packing(spark, at, D).agg({"length": "sum"}).first()[0] == (None if at.count() == 0 else corpus_pipeline.packing(spark, at, D).where("start = 0").agg({"doc_tokens": "sum"}).first()[0])
+    assert corpus_pipeline.run(spark, D).count() > 0 and set(queries.queries()) > {"pipeline"}
+
+
+def test_digests(spark):
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.queries()["op3_bpe"](spark, D).collect()}
+    t = Tokenizer.from_file(BYTE)
+    for i, text in table(spark.read.parquet(f"{D}/documents.parquet"))[:20]:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
+        assert got[i] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    got = {r["doc_id"]: r["ids_crc32"] for r in queries.queries()["op2_harmonic_packing"](spark, D).where("start = 0 and length = doc_tokens").collect()}
+    texts = dict(table(spark.read.parquet(f"{D}/documents.parquet")))
+    for i in list(got)[:20]:
+        assert got[i] == zlib.crc32(np.array([*t.encode(texts[i] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
