@@ -115,7 +115,7 @@ def asof_last_interval(spark, d):
 @query(f"""WITH {INTERVALS_SQL}, {POINTS_SQL}, h AS (SELECT pt.key, ok, ln, p, name, row_number() OVER (PARTITION BY pt.key, ok, ln, p ORDER BY start, stop, name) AS rn FROM pt LEFT JOIN iv ON iv.key = pt.key AND p BETWEEN start AND stop) SELECT key, ok, ln, p, name FROM h WHERE rn = 1""")
 def first_match_interval(spark, d):
     iv = intervals(spark, d).select("key", "name", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
-    return ranges.first_match(points(spark, d), iv, ["key"], "p", "name", 32)
+    return ranges.first_match(points(spark, d), iv, ["key"], "p", "name", 8)
 
 
 @query(f"""WITH {INTERVALS_SQL} SELECT a.key, a.name AS a, b.name AS b FROM iv a JOIN iv b ON a.key = b.key AND a.start < b.stop AND b.start < a.stop AND a.name < b.name""")
