@@ -10,6 +10,7 @@ spanning forest of the links that it found, never the pairs; components are join
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -28,8 +29,20 @@ TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 FIVES = list(combinations(range(8), LEAST_BYTES))
 #: Fingerprints in one posting list that a task compares with each other.
 HOT = 4096
-#: Words of 64 bits of a wide fingerprint, and bits in which two that are alike by 0.8 differ at most.
-WIDTH, FAR = 8, 90
+#: Words of 64 bits of a wide fingerprint.
+WIDTH = 8
+
+
+def far_bits(likeness: float, bits: int, spread: float = 2.5) -> int:
+    """Bits in which fingerprints of sets of this Jaccard likeness differ, with `spread` standard deviations of room.
+
+    For sets of one size the cosine is 2 j / (1 + j), and a bit differs with the probability of the angle over pi.
+    """
+    p = math.acos(2 * likeness / (1 + likeness)) / math.pi
+    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+FAR = far_bits(0.8, 64 * WIDTH)
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
