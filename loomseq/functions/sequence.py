@@ -9,14 +9,14 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = "ACGT"
 
 
-def acgt(text: Column, length: int) -> Column:
-    """A text as bases: each ASCII letter by its code modulo 4, everything else N, cut to `length`."""
-    return F.regexp_replace(F.translate(F.substring(text, 1, length), LETTERS, "".join(BASES[ord(c) % 4] for c in LETTERS)), "[^ACGT]", "N")
+def acgt(text: Column) -> Column:
+    """A text as bases: each ASCII letter by its code modulo 4, everything else N."""
+    return F.regexp_replace(F.translate(text, LETTERS, "".join(BASES[ord(c) % 4] for c in LETTERS)), "[^ACGT]", "N")
 
 
-def acgt_sql(text: str, length: int) -> str:
+def acgt_sql(text: str) -> str:
     to = "".join(BASES[ord(c) % 4] for c in LETTERS)
-    return f"regexp_replace(translate(substr({text}, 1, {length}), '{LETTERS}', '{to}'), '[^ACGT]', 'N', 'g')"
+    return f"regexp_replace(translate({text}, '{LETTERS}', '{to}'), '[^ACGT]', 'N', 'g')"
 
 
 def code(base: Column) -> Column:
@@ -27,12 +27,24 @@ def code(base: Column) -> Column:
 
 def pack2(bases: Column) -> Column:
     """Up to 31 bases as a number, two bits each, first base highest; null with any other letter."""
-    return F.aggregate(F.split(bases, ""), F.lit(0).cast("long"), lambda a, b: F.when(b == "", a).otherwise(F.shiftleft(a, 2).bitwiseOR(code(b).cast("long"))))
+    digits = F.translate(bases, "ACGTacgt", "01230123")
+    return F.when(bases == "", F.lit(0).cast("long")).when(digits.rlike("^[0-3]+$"), F.conv(digits, 4, 10).cast("long"))
 
 
 def unpack2(packed: Column, n: Column) -> Column:
     """The `n` bases of a packed number."""
-    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.lit(BASES), (F.call_function("shiftright", packed, (2 * (n - i)).cast("int")).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))), "")
+    digits = F.call_function("lpad", F.conv(packed.cast("string"), 10, 4), n.cast("int"), F.lit("0"))
+    return F.when(n > 0, F.translate(digits, "0123", BASES)).otherwise("")
+
+
+def pack_text(bases: Column) -> Column:
+    """A text of bases as an array of numbers, 31 bases each and the rest in the last."""
+    return F.transform(F.regexp_extract_all(bases, F.lit("(.{1,31})"), F.lit(1)), pack2)
+
+
+def unpack_text(packed: Column, n: Column) -> Column:
+    """The `n` bases of a packed array."""
+    return F.array_join(F.transform(packed, lambda x, i: unpack2(x, F.least(F.lit(31), n - 31 * i))), "")
 
 
 def safe_ratio(a: Column, b: Column, default: float | None = None) -> Column:

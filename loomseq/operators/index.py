@@ -1,25 +1,77 @@
-"""Suffix order, BWT, LF steps and k-mer tables of bounded sequences (windows), a sequence per key."""
+"""Suffix order, BWT, LF steps and k-mer tables of whole sequences, a sequence per key."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spool
+
+#: Rows that a task hands on together.
+ROWS = 1 << 17
+
+
+def suffix_order(letters: np.ndarray) -> np.ndarray:
+    """Places in order of their suffixes, by prefix doubling; where one suffix begins another, the shorter comes first."""
+    n = len(letters)
+    _, rank = np.unique(letters, return_inverse=True)
+    rank = rank.astype(np.int64) + 1
+    # as many letters as fit make up the first key; 0 stands past the end
+    bits = int(rank.max()).bit_length()
+    step = max(1, 62 // bits)
+    padded = np.concatenate([rank, np.zeros(step, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key = key << bits | padded[i : i + n]
+    while True:
+        order = np.argsort(key, kind="stable")
+        new = np.cumsum(np.r_[True, key[order[1:]] != key[order[:-1]]])
+        if new[-1] == n:
+            return order
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:]
+        step *= 2
+
 
 def suffixes(df: DataFrame, key: str, text: str, end: str) -> DataFrame:
-    """key, pos (0-based, the empty suffix included), row (place in order). `end` compares like the end of the text:
-    '$' sorts ends first, '~' last."""
-    full = F.concat(F.col(text), F.lit(end))
-    rows = df.select(key, full.alias("_t"), F.explode(F.sequence(F.lit(1), F.length(full))).alias("_p"))
-    rows = rows.select(key, (F.col("_p") - 1).cast("long").alias("pos"), F.substring(F.col("_t"), F.col("_p"), F.length("_t")).alias("suffix"), F.when(F.col("_p") == 1, F.lit(end)).otherwise(F.substring(F.col("_t"), F.col("_p") - 1, F.lit(1))).alias("bwt"))
-    return rows.withColumn("row", (F.row_number().over(Window.partitionBy(key).orderBy("suffix")) - 1).cast("long"))
+    """key, row (place in order), pos (0-based, the empty suffix included) and bwt, the letter before it.
+
+    `end` is put after the text and compares as a letter: '$' sorts ends first, '~' last. Null texts give no rows.
+    Whole-text suffixes as strings would take quadratic room, so each sequence is ordered by numpy in linear room.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                letters = np.frombuffer((t + end).encode("utf-32-le"), "<u4")
+                order = suffix_order(letters)
+                held.append((i, order, letters[order - 1]))
+                size += len(order)
+                if size >= ROWS or i == len(batch) - 1:
+                    of = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+                    codes, at = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+                    row = np.concatenate([np.arange(len(h[1])) for h in held])
+                    pos = np.concatenate([h[1] for h in held])
+                    cols = [batch.column(0).take(pa.array(of)), pa.array(row), pa.array(pos), pa.array([chr(c) for c in codes]).take(pa.array(at))]
+                    whole = pa.RecordBatch.from_arrays(cols, [key, "row", "pos", "bwt"])
+                    for a in range(0, len(whole), ROWS):
+                        yield whole.slice(a, ROWS)
+                    held, size = [], 0
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, row long, pos long, bwt string")
 
 
 def bwt(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, row, pos and the letter before each suffix ($ before the whole text)."""
-    return suffixes(df, key, text, "$").select(key, "row", "pos", "bwt")
+    return suffixes(df, key, text, "$")
 
 
 def occ(rows: DataFrame, key: str) -> DataFrame:
@@ -39,27 +91,47 @@ def lf(rows: DataFrame, key: str) -> DataFrame:
 
 
 def kmer_table(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, kmer, lo, hi: the rows [lo, hi) whose suffixes begin with each k-mer that occurs (suffixes of k letters and more)."""
-    rows = suffixes(df, key, text, "$").where(F.length("suffix") > k)
-    return rows.groupBy(key, F.substring("suffix", 1, k).alias("kmer")).agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi"))
-
-
-def kmer_trie(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGNT") -> DataFrame:
-    """The same table by k backward steps over all ranges at once; ranges without rows drop out at each step."""
-    rows = bwt(df, key, text)
-    # occurrences of each letter before each row, at range ends only
-    counts = rows.select(key, "row", *[F.sum((F.col("bwt") == c).cast("long")).over(Window.partitionBy(key).orderBy("row")).alias(f"_{c}") for c in letters])
-    counts = counts.select(key, (F.col("row") + 1).alias("row"), F.array(*[f"_{c}" for c in letters]).alias("occ"))
-    counts = counts.unionByName(counts.select(key).distinct().select(key, F.lit(0).cast("long").alias("row"), F.array(*[F.lit(0).cast("long") for _ in letters]).alias("occ")))
+    """key, kmer, lo, hi: the rows [lo, hi) whose suffixes begin with each k-mer that occurs (suffixes of k letters and more).
+
+    Beginnings are counted and summed in their order; no suffix is sorted.
+    """
+    begin = F.regexp_extract_all(F.concat(F.col(text), F.lit("$")), F.lit(f"(?=(.{{1,{k}}}))"), F.lit(1))
+    n = df.select(key, F.explode(begin).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    hi = F.sum("n").over(Window.partitionBy(key).orderBy("kmer").rowsBetween(Window.unboundedPreceding, 0))
+    return n.select(key, "kmer", (hi - F.col("n")).alias("lo"), hi.alias("hi")).where(~F.col("kmer").contains("$"))
+
+
+def blocks(rows: DataFrame, key: str, letters: str, size: int = 64) -> DataFrame:
+    """key, block, the letters of its `size` rows, and how often each of `letters` stands in the blocks before."""
+    each = rows.groupBy(key, F.floor(F.col("row") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("row", "bwt"))).alias("_r"))
+    each = each.select(key, "block", F.array_join("_r.bwt", "").alias("text"))
+    w = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    n = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
+    return each.select(key, "block", "text", F.array(*[F.coalesce(F.sum(n(c)).over(w), F.lit(0).cast("long")) for c in letters]).alias("before"))
+
+
+def kmer_trie(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGNT", size: int = 64) -> DataFrame:
+    """The same table by k backward steps over all ranges at once; ranges without rows drop out at each step.
+
+    Letters before a row are counted by its block's tally and the part of the block before it.
+    """
+    rows = spool(bwt(df, key, text).select(key, "row", "bwt"), "bwt")
+    tally = spool(blocks(rows, key, letters, size), "blocks")
     start = first_rows(rows, key)
     step = reduce(lambda a, b: a.unionByName(b), [start.where(F.col("bwt") == c).withColumn("at", F.lit(i)) for i, c in enumerate(letters)])
+    step = spool(step, "first")
     ranges = rows.groupBy(key).agg(F.lit("").alias("kmer"), F.lit(0).cast("long").alias("lo"), (F.max("row") + 1).alias("hi"))
     for _ in range(k):
-        low = counts.select(key, F.col("row").alias("lo"), F.col("occ").alias("_lo"))
-        high = counts.select(key, F.col("row").alias("hi"), F.col("occ").alias("_hi"))
-        ends = ranges.join(low, [key, "lo"]).join(high, [key, "hi"]).join(step, key)
-        get = lambda c: F.get(F.col(c), F.col("at"))
-        ranges = ends.select(key, F.concat("bwt", "kmer").alias("kmer"), (F.col("first") + get("_lo")).alias("lo"), (F.col("first") + get("_hi")).alias("hi")).where("lo < hi")
+        side = lambda c: tally.select(key, F.col("block").alias(f"_b{c}"), F.col("text").alias(f"_t{c}"), F.col("before").alias(f"_n{c}"))
+        # an end at the first row of a block that isn't there is counted from the last block
+        at = lambda c: F.floor(F.greatest(F.col(c) - 1, F.lit(0)) / size)
+        ends = ranges.withColumn("_blo", at("lo")).withColumn("_bhi", at("hi")).join(side("lo"), [key, "_blo"]).join(side("hi"), [key, "_bhi"]).join(step, key)
+
+        def occurrences(c: str) -> Column:
+            part = F.substring(F.col(f"_t{c}"), F.lit(1), (F.col(c) - F.col(f"_b{c}") * size).cast("int"))
+            return F.get(f"_n{c}", F.col("at")) + F.length(part) - F.length(F.replace(part, F.col("bwt"), F.lit("")))
+
+        ranges = ends.select(key, F.concat("bwt", "kmer").alias("kmer"), (F.col("first") + occurrences("lo")).alias("lo"), (F.col("first") + occurrences("hi")).alias("hi")).where("lo < hi")
     return ranges.where(~F.col("kmer").contains("$"))
 
 

@@ -14,22 +14,22 @@ def maximal_runs(df: DataFrame, key: list[str], pos: str, inside: Column) -> Dat
 
 
 def text_runs(df: DataFrame, text: str, letters: str = "ACGT") -> DataFrame:
-    """Maximal runs of `letters` in whole sequences, a row each, without a row per base: run_ix, start, stop, off.
+    """Maximal runs of `letters` in whole sequences, a row each, without a row per base and in linear time: run_ix, start, stop, off.
 
     off is the number of other letters before the run since the last one; joined is its place among run letters.
     """
     parts = F.regexp_extract_all(F.col(text), F.lit(f"([{letters}]+|[^{letters}]+)"), F.lit(1))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("joined"), F.lit(0).cast("long").alias("off"), F.array().cast("array<struct<start:bigint,stop:bigint,off:bigint,joined:bigint>>").alias("runs"))
-
-    def step(a: Column, x: Column) -> Column:
-        n = F.length(x).cast("long")
-        run = F.substring(x, 1, 1).rlike(f"[{letters}]")
-        row = F.struct(a["at"].alias("start"), (a["at"] + n).alias("stop"), a["off"].alias("off"), a["joined"].alias("joined"))
-        return F.struct((a["at"] + n).alias("at"), F.when(run, a["joined"] + n).otherwise(a["joined"]).alias("joined"), F.when(run, F.lit(0).cast("long")).otherwise(n).alias("off"), F.when(run, F.concat(a["runs"], F.array(row))).otherwise(a["runs"]).alias("runs"))
-
-    runs = F.aggregate(parts, zero, step, lambda a: a["runs"])
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(runs).alias("run_ix", "r")).select(*keep, F.col("run_ix").cast("long").alias("run_ix"), "r.start", "r.stop", "r.off", "r.joined")
+    lens = F.transform(parts, lambda x: F.struct(F.length(x).cast("long").alias("n"), x.rlike(f"^[{letters}]").alias("run")))
+    rows = df.select("*", F.monotonically_increasing_id().alias("_id")).select("_id", *keep, F.posexplode(lens).alias("_i", "_p"))
+    w = Window.partitionBy("_id").orderBy("_i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    n, run = F.col("_p.n"), F.col("_p.run")
+    inside = F.when(run, n).otherwise(F.lit(0).cast("long"))
+    stop = F.sum(n).over(upto)
+    # runs and gaps alternate, so what lies before a run is the gap
+    out = rows.select(*keep, run.alias("_run"), (F.sum(run.cast("long")).over(upto) - 1).alias("run_ix"), (stop - n).alias("start"), stop.alias("stop"), F.coalesce(F.lag(n).over(w), F.lit(0).cast("long")).alias("off"), (F.sum(inside).over(upto) - inside).alias("joined"))
+    return out.where("_run").drop("_run")
 
 
 def merge_intervals(df: DataFrame, key: list[str], start: str = "start", stop: str = "stop") -> DataFrame:

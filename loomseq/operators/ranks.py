@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,14 @@ def mcnemar(b: Column, c: Column) -> Column:
 
 
 def binomial_two_sided(k: Column, n: Column) -> Column:
-    """Exact two-sided p against one half, for n up to 1000: twice the smaller tail, 1 at most."""
+    """Exact two-sided p against one half for any n: twice the smaller tail, 1 at most; terms are summed from their logs."""
     m = F.least(k, n - k).cast("int")
-    first = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.pow(F.lit(0.5), n).alias("s"))
-    tail = F.aggregate(F.when(m < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), m)), first, lambda a, i: F.struct((a["t"] * (n - i + 1) / i).alias("t"), (a["s"] + a["t"] * (n - i + 1) / i).alias("s")), lambda a: a["s"])
-    return F.least(F.lit(1.0), 2 * tail)
+    first = n * math.log(0.5)
+    more = F.when(m < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), m))
+    zero = F.struct(first.alias("t"), F.exp(first).alias("s"))
+
+    def step(a: Column, i: Column) -> Column:
+        t = a["t"] + F.log((n - i + 1) / i)
+        return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
+
+    return F.least(F.lit(1.0), 2 * F.aggregate(more, zero, step, lambda a: a["s"]))

@@ -112,9 +112,9 @@ def bh_adjust(spark, d):
 
 
 @query(f"""WITH {DEPTH_SQL}, k AS (SELECT arm, site, n, least(x, n - x) AS m FROM depth), t AS (SELECT arm, site, n, m, unnest(range(0, m + 1)) AS i FROM k)
-  SELECT arm, site, round(least(1.0, 2 * sum((factorial(CAST(n AS INTEGER)) / factorial(CAST(i AS INTEGER)) / factorial(CAST(n - i AS INTEGER))) * power(0.5, n))), 6) AS p FROM t WHERE n <= 30 GROUP BY arm, site""")
+  SELECT arm, site, round(least(1.0, 2 * sum(exp(CASE WHEN i = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END + n * ln(0.5)))), 6) AS p FROM t GROUP BY arm, site""")
 def binom_two_sided(spark, d):
-    return depth(spark, d).where("n <= 30").select("arm", "site", F.round(ranks.binomial_two_sided(F.col("x"), F.col("n")), 6).alias("p"))
+    return depth(spark, d).select("arm", "site", F.round(ranks.binomial_two_sided(F.col("x"), F.col("n")), 6).alias("p"))
 
 
 @query(f"""WITH {BOTH_SQL} SELECT CASE WHEN EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = two_arms.site AND c.c_nationkey < 12) THEN 'in' ELSE 'out' END AS stratum,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import pack2, seconds, unpack2
-from .views import sequences, sequences_sql, table
+from ..functions.sequence import pack_text, seconds, unpack_text
+from .views import SEQUENCES_SQL, sequences, table
 
 Q = {}
 
@@ -82,10 +82,10 @@ def duplicates_check(spark, d):
     return table(spark, d, "conversations").groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(f"WITH {sequences_sql(12)} SELECT doc_id, seq AS back FROM s WHERE NOT contains(seq, 'N') AND length(seq) > 0")
+@query(f"WITH {SEQUENCES_SQL} SELECT doc_id, replace(seq, 'N', '') AS back FROM s")
 def two_bit_round_trip(spark, d):
-    s = sequences(spark, d, 12).where(~F.col("seq").contains("N") & (F.length("seq") > 0))
-    return s.select("doc_id", unpack2(pack2(F.col("seq")), F.length("seq")).alias("back"))
+    s = sequences(spark, d).select("doc_id", F.regexp_replace("seq", "N", "").alias("seq"))
+    return s.select("doc_id", unpack_text(pack_text(F.col("seq")), F.length("seq")).alias("back"))
 
 
 @query("SELECT p_brand, round(avg(p_retailprice), 4) AS mean, min(p_size) AS low, max(p_size) AS high, count(*) FILTER (regexp_matches(p_name, '^[a-z]+ [a-z]+')) AS named FROM part GROUP BY p_brand")

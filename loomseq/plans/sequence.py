@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, index, ranges
 from ..session import spool
-from .views import INTERVALS_SQL, POINTS_SQL, VARIANTS_SQL, intervals, points, sequences, sequences_sql, table, variants
+from .views import INTERVALS_SQL, POINTS_SQL, SEQUENCES_SQL, TURNS_SQL, VARIANTS_SQL, intervals, points, sequences, table, turns, variants
 
 Q = {}
 
@@ -20,11 +20,13 @@ def query(sql=None):
     return add
 
 
-CHARS_SQL = "c AS (SELECT doc_id, i - 1 AS p, substr(seq, CAST(i AS INTEGER), 1) AS b FROM s, unnest(range(1, length(seq) + 1)) AS u(i))"
-RUNS_SQL = f"""{sequences_sql()}, {CHARS_SQL}, g AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM c WHERE b <> 'N'),
+CHARS_SQL = "c AS (SELECT doc_id, unnest(range(0, length(seq))) AS p, unnest(string_split(seq, '')) AS b FROM s WHERE seq <> '')"
+RUNS_SQL = f"""{SEQUENCES_SQL}, {CHARS_SQL}, g AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM c WHERE b <> 'N'),
   r AS (SELECT doc_id, min(p) AS start, max(p) + 1 AS stop FROM g GROUP BY doc_id, g),
   runs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS run_ix, start, stop, start - coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS off,
   CAST(sum(stop - start) OVER (PARTITION BY doc_id ORDER BY start) - (stop - start) AS BIGINT) AS joined FROM r)"""
+#: Bases between the positions that coordinates are mapped for.
+STRIDE = 100
 
 
 @query(f"WITH {RUNS_SQL} SELECT * FROM runs")
@@ -32,11 +34,11 @@ def seq_runs(spark, d):
     return ranges.text_runs(sequences(spark, d), "seq")
 
 
-@query(f"WITH {RUNS_SQL}, q AS (SELECT doc_id, unnest([5, 20, 40]) AS pos FROM s) SELECT q.doc_id, CAST(q.pos AS BIGINT) AS pos, joined + q.pos - start AS joined_pos FROM q LEFT JOIN runs ON runs.doc_id = q.doc_id AND start <= q.pos AND q.pos < stop")
+@query(f"WITH {RUNS_SQL}, q AS (SELECT doc_id, unnest(range(0, length(seq), {STRIDE})) AS pos FROM s), m AS (SELECT q.doc_id, pos, joined, start, stop FROM q ASOF LEFT JOIN runs ON runs.doc_id = q.doc_id AND start <= q.pos) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN pos < stop THEN joined + pos - start END AS joined_pos FROM m")
 def seq_coord_map(spark, d):
     s = sequences(spark, d)
     runs = ranges.text_runs(s, "seq")
-    q = s.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (5, 20, 40)])).alias("pos"))
+    q = s.where("seq <> ''").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1, F.lit(STRIDE).cast("long"))).alias("pos"))
     hit = ranges.last_start(q, runs, ["doc_id"], "pos", ["start", "joined"])
     return hit.select("doc_id", "pos", (F.col("joined") + F.col("pos") - F.col("start")).alias("joined_pos"))
 
@@ -65,10 +67,17 @@ def variant_types(spark, d):
     return variants(spark, d).groupBy("typ").agg(F.count("*").alias("n"), F.sum("len").alias("bases"))
 
 
-@query(f"WITH {sequences_sql()}, f AS (SELECT doc_id, substr(seq, 1, 4) || substr(seq, 21, 4) AS k FROM s WHERE length(seq) >= 24), n AS (SELECT k, count(*) AS n FROM f GROUP BY k) SELECT doc_id, n > 1 AS excluded FROM f JOIN n ON f.k = n.k")
+FLANK = "b || lead(b) OVER w || lead(b, 2) OVER w || lead(b, 3) OVER w || lead(b, 12) OVER w || lead(b, 13) OVER w || lead(b, 14) OVER w || lead(b, 15) OVER w"
+
+
+@query(f"WITH {SEQUENCES_SQL}, {CHARS_SQL}, f AS (SELECT doc_id, p, {FLANK} AS k FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)), n AS (SELECT k, count(*) AS n FROM f WHERE k IS NOT NULL GROUP BY k) SELECT doc_id, p AS site, n > 1 AS excluded FROM f JOIN n ON f.k = n.k WHERE p % {STRIDE} = 0")
 def dup_flank_exclusion(spark, d):
-    f = sequences(spark, d).where(F.length("seq") >= 24).select("doc_id", F.concat(F.substring("seq", 1, 4), F.substring("seq", 21, 4)).alias("k"))
-    return f.join(f.groupBy("k").agg(F.count("*").alias("n")), "k").select("doc_id", (F.col("n") > 1).alias("excluded"))
+    """Sites every STRIDE bases: whether their two flanks of 4 bases, 8 apart, stand anywhere else in the whole table."""
+    pair = F.regexp_extract_all("seq", F.lit("(?=(.{16}))"), F.lit(1))
+    key = lambda x: F.concat(F.substring(x, 1, 4), F.substring(x, 13, 4))
+    f = sequences(spark, d).select("doc_id", F.posexplode(F.transform(pair, key)).alias("site", "k"))
+    n = spool(f.groupBy("k").agg(F.count("*").alias("n")), "flanks")  # 5^8 keys at most
+    return f.where(F.col("site") % STRIDE == 0).join(n, "k").select("doc_id", F.col("site").cast("long").alias("site"), (F.col("n") > 1).alias("excluded"))
 
 
 @query(f"""WITH {VARIANTS_SQL}, r AS (SELECT chrom, ix, row_number() OVER (PARTITION BY chrom ORDER BY pos, ix) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM v), k AS (SELECT DISTINCT chrom, n, unnest(range(0, 10)) AS j FROM r)
@@ -142,99 +151,119 @@ def codon_slices(spark, d):
     return e.where(a < b).select("key", "name", a.cast("long").alias("a"), b.cast("long").alias("b"))
 
 
-def _suffix_sql(end):
-    return f"WITH {sequences_sql(40)}, x AS (SELECT doc_id, i - 1 AS pos, substr(seq || '{end}', CAST(i AS INTEGER)) AS suf FROM s, unnest(range(1, length(seq) + 2)) AS u(i)) SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY suf) - 1 AS row FROM x"
+def _order_sql(end):
+    """Suffix order of whole texts by doubling, with 8 letters to begin with: ranks r of 8 * 2^14 letters."""
+    first = "||".join(["b", *[f"coalesce(lead(b, {i}) OVER w, '')" for i in range(1, 8)]])
+    parts = [SEQUENCES_SQL, f"c AS (SELECT doc_id, unnest(range(0, length(seq) + 1)) AS pos, unnest(string_split(seq || '{end}', '')) AS b FROM s)"]
+    parts += [f"k AS MATERIALIZED (SELECT doc_id, pos, lag(b, 1, '{end}') OVER w AS bwt, {first} AS k FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"]
+    parts += ["r0 AS MATERIALIZED (SELECT doc_id, pos, bwt, rank() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM k)"]
+    for i in range(14):
+        # a row whose rank nobody shares keeps it; only the rest are ranked again within their equals
+        parts += [f"a{i} AS (SELECT *, coalesce(lead(r, {8 << i}) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS n, count(*) OVER (PARTITION BY doc_id, r) AS same FROM r{i})"]
+        parts += [f"r{i + 1} AS MATERIALIZED (SELECT doc_id, pos, bwt, r + rank() OVER (PARTITION BY doc_id, r ORDER BY n) - 1 AS r FROM a{i})"]
+    return ", ".join([*parts, "rows AS (SELECT doc_id, r - 1 AS row, pos, bwt FROM r14)"])
 
 
-@query(_suffix_sql("$"))
+@query(f"WITH {_order_sql('$')} SELECT doc_id, pos, row FROM rows")
 def suffix_rank(spark, d):
-    return index.suffixes(sequences(spark, d, 40), "doc_id", "seq", "$").select("doc_id", "pos", "row")
+    return index.suffixes(sequences(spark, d), "doc_id", "seq", "$").select("doc_id", "pos", "row")
 
 
-@query(_suffix_sql("~"))
+@query(f"WITH {_order_sql('~')} SELECT doc_id, pos, row FROM rows")
 def suffix_rank_padlast(spark, d):
-    return index.suffixes(sequences(spark, d, 40), "doc_id", "seq", "~").select("doc_id", "pos", "row")
+    return index.suffixes(sequences(spark, d), "doc_id", "seq", "~").select("doc_id", "pos", "row")
 
 
-BWT_SQL = f"""{sequences_sql(40)}, x AS (SELECT doc_id, i - 1 AS pos, substr(seq || '$', CAST(i AS INTEGER)) AS suf, CASE WHEN i = 1 THEN '$' ELSE substr(seq, CAST(i - 1 AS INTEGER), 1) END AS bwt FROM s, unnest(range(1, length(seq) + 2)) AS u(i)),
-  rows AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY suf) - 1 AS row, pos, bwt, suf FROM x)"""
+BWT_SQL = _order_sql("$")
 
 
 @query(f"WITH {BWT_SQL} SELECT doc_id, row, pos, bwt FROM rows")
 def bwt_rows(spark, d):
-    return index.bwt(sequences(spark, d, 40), "doc_id", "seq")
+    return index.bwt(sequences(spark, d), "doc_id", "seq")
 
 
-@query(f"WITH {BWT_SQL} SELECT doc_id, row // 8 AS block, bwt, count(*) AS n FROM rows GROUP BY 1, 2, 3")
+@query(f"WITH {BWT_SQL} SELECT doc_id, row // 64 AS block, bwt, count(*) AS n FROM rows GROUP BY 1, 2, 3")
 def bwt_block_occ(spark, d):
-    return index.bwt(sequences(spark, d, 40), "doc_id", "seq").groupBy("doc_id", F.expr("row div 8").alias("block"), "bwt").agg(F.count("*").alias("n"))
+    return index.bwt(sequences(spark, d), "doc_id", "seq").groupBy("doc_id", F.expr("row div 64").alias("block"), "bwt").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {BWT_SQL} SELECT doc_id, row, row_number() OVER (PARTITION BY doc_id ORDER BY bwt, row) - 1 AS \"to\" FROM rows")
 def lf_map(spark, d):
-    return index.lf(index.bwt(sequences(spark, d, 40), "doc_id", "seq"), "doc_id")
+    return index.lf(index.bwt(sequences(spark, d), "doc_id", "seq"), "doc_id")
 
 
-KMER_SQL = f"WITH {BWT_SQL} SELECT doc_id, substr(suf, 1, 3) AS kmer, min(row) AS lo, max(row) + 1 AS hi FROM rows WHERE length(suf) > 3 GROUP BY 1, 2"
+KMER_SQL = f"""WITH {SEQUENCES_SQL}, c AS (SELECT doc_id, unnest(range(0, length(seq) + 1)) AS p, unnest(string_split(seq || '$', '')) AS b FROM s),
+  k AS (SELECT doc_id, b || coalesce(lead(b) OVER w, '') || coalesce(lead(b, 2) OVER w, '') AS kmer FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+  n AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY 1, 2), h AS (SELECT doc_id, kmer, n, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY kmer) AS BIGINT) AS hi FROM n) SELECT doc_id, kmer, hi - n AS lo, hi FROM h WHERE NOT contains(kmer, '$')"""
 
 
 @query(KMER_SQL)
 def kmer_table(spark, d):
-    return index.kmer_table(sequences(spark, d, 40), "doc_id", "seq", 3)
+    return index.kmer_table(sequences(spark, d), "doc_id", "seq", 3)
 
 
 @query(KMER_SQL)
 def kmer_trie(spark, d):
-    return index.kmer_trie(sequences(spark, d, 40), "doc_id", "seq", 3).select("doc_id", "kmer", "lo", "hi")
+    return index.kmer_trie(sequences(spark, d), "doc_id", "seq", 3).select("doc_id", "kmer", "lo", "hi")
 
 
 @query(f"WITH {BWT_SQL} SELECT doc_id, row, pos FROM rows WHERE row % 4 = 0")
 def sa_sample(spark, d):
-    return index.sample(index.bwt(sequences(spark, d, 40), "doc_id", "seq"), 4).select("doc_id", "row", "pos")
+    return index.sample(index.bwt(sequences(spark, d), "doc_id", "seq"), 4).select("doc_id", "row", "pos")
+
+
+#: Bases from one variant of a sequence to the next.
+APART = 50
 
 
 def _graph(spark, d):
-    s = sequences(spark, d, 24).where(F.length("seq") >= 12).withColumn("seq", F.translate("seq", "N", "A"))
-    nodes, edges = graph.backbone(s, "doc_id", "seq")
-    at = s.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("ix"), F.lit(3).cast("long").alias("pos"), F.lit("single").alias("typ"), F.lit(1).alias("len")), F.struct(F.lit(1).alias("ix"), F.lit(6).cast("long").alias("pos"), F.lit("deletion").alias("typ"), F.lit(2).alias("len")))).alias("v"), F.translate(F.substring("seq", 4, 1), "ACGT", "CGTA").alias("base")).select("doc_id", "v.*", "base")
-    return graph.with_variants(nodes, edges, at, "doc_id")
+    """Whole turns as graphs; every APART bases a substitution and, three bases on, a deletion of two."""
+    s = turns(spark, d).withColumn("seq", F.translate("seq", "N", "A")).where(F.length("seq") >= 12)
+    nodes, edges = graph.backbone(s, "key", "seq")
+    places = F.transform(F.sequence(F.lit(0), F.expr(f"(length(seq) - 12) div {APART}")), lambda i: F.struct(i.alias("i"), F.substring(F.col("seq"), APART * i + 4, F.lit(1)).alias("b")))
+    at = s.select("key", F.explode(places).alias("v")).select("key", F.col("v.i").alias("i"), F.translate("v.b", "ACGT", "CGTA").alias("base"))
+    pos = (APART * F.col("i")).cast("long")
+    one = at.select("key", F.col("i").alias("ix"), (pos + 3).alias("pos"), F.lit("single").alias("typ"), F.lit(1).alias("len"), "base")
+    two = at.select("key", F.col("i").alias("ix"), (pos + 6).alias("pos"), F.lit("deletion").alias("typ"), F.lit(2).alias("len"), F.lit(None).cast("string").alias("base"))
+    return graph.with_variants(nodes, edges, one.unionByName(two), "key")
 
 
-GRAPH_SQL = f"""{sequences_sql(24)}, t AS (SELECT doc_id, replace(seq, 'N', 'A') AS q FROM s WHERE length(seq) >= 12),
-  nodes AS (SELECT doc_id, i AS id, substr('Y' || q || 'Z', CAST(i + 1 AS INTEGER), 1) AS label FROM t, unnest(range(0, length(q) + 2)) AS u(i) UNION ALL SELECT doc_id, length(q) + 2, translate(substr(q, 4, 1), 'ACGT', 'CGTA') FROM t),
-  edges AS (SELECT doc_id, i AS src, i + 1 AS dst FROM t, unnest(range(0, length(q) + 1)) AS u(i) UNION SELECT doc_id, 3, length(q) + 2 FROM t UNION SELECT doc_id, length(q) + 2, 5 FROM t UNION SELECT doc_id, 6, 9 FROM t)"""
+GRAPH_SQL = f"""{TURNS_SQL}, t AS (SELECT key, replace(seq, 'N', 'A') AS q FROM s WHERE length(seq) >= 12),
+  spots AS (SELECT key, length(q) AS n, i, substr(q, CAST({APART} * i + 4 AS INTEGER), 1) AS b FROM t, unnest(range(0, (length(q) - 12) // {APART} + 1)) AS u(i)),
+  nodes AS (SELECT key, unnest(range(0, length(q) + 2)) AS id, unnest(string_split('Y' || q || 'Z', '')) AS label FROM t UNION ALL SELECT key, n + 2 + i, translate(b, 'ACGT', 'CGTA') FROM spots),
+  edges AS (SELECT key, i AS src, i + 1 AS dst FROM t, unnest(range(0, length(q) + 1)) AS u(i) UNION SELECT key, {APART} * i + 3, n + 2 + i FROM spots UNION SELECT key, n + 2 + i, {APART} * i + 5 FROM spots UNION SELECT key, {APART} * i + 6, {APART} * i + 9 FROM spots)"""
 
 
-@query(f"WITH {GRAPH_SQL} SELECT n.doc_id, label, count(*) AS edges FROM edges e JOIN nodes n ON n.doc_id = e.doc_id AND n.id = e.src GROUP BY 1, 2")
+@query(f"WITH {GRAPH_SQL} SELECT n.key, label, count(*) AS edges FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src GROUP BY 1, 2")
 def edge_node_join(spark, d):
     nodes, edges = _graph(spark, d)
-    return edges.join(nodes.select("doc_id", F.col("id").alias("src"), "label"), ["doc_id", "src"]).groupBy("doc_id", "label").agg(F.count("*").alias("edges"))
+    return edges.join(nodes.select("key", F.col("id").alias("src"), "label"), ["key", "src"]).groupBy("key", "label").agg(F.count("*").alias("edges"))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT n.doc_id, dst, label, count(*) AS n FROM edges e JOIN nodes n ON n.doc_id = e.doc_id AND n.id = e.src GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query(f"WITH {GRAPH_SQL} SELECT n.key, dst, label, count(*) AS n FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def rev_determinism(spark, d):
-    return graph.repeated_predecessors(*_graph(spark, d), "doc_id")
+    return graph.repeated_predecessors(*_graph(spark, d), "key")
 
 
-@query(f"WITH {GRAPH_SQL} SELECT doc_id, src, count(*) AS outdeg FROM edges GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {GRAPH_SQL} SELECT key, src, count(*) AS outdeg FROM edges GROUP BY 1, 2 HAVING count(*) > 1")
 def out_degree(spark, d):
     _, edges = _graph(spark, d)
-    return edges.groupBy("doc_id", "src").agg(F.count("*").alias("outdeg")).where("outdeg > 1")
+    return edges.groupBy("key", "src").agg(F.count("*").alias("outdeg")).where("outdeg > 1")
 
 
-@query(f"""WITH {GRAPH_SQL}, p0 AS (SELECT e.doc_id, src, dst, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.doc_id = e.doc_id AND n.id = e.src UNION ALL SELECT doc_id, id, id, 5 FROM nodes WHERE label = 'Z'),
-  p1 AS (SELECT a.doc_id, a.src, b.dst, a.k * 8 + b.k AS k FROM p0 a JOIN p0 b ON a.doc_id = b.doc_id AND a.dst = b.src), p2 AS (SELECT a.doc_id, a.src, b.dst, a.k * 64 + b.k AS k FROM p1 a JOIN p1 b ON a.doc_id = b.doc_id AND a.dst = b.src),
-  p3 AS (SELECT a.doc_id, a.src, b.dst, a.k * 4096 + b.k AS k FROM p2 a JOIN p2 b ON a.doc_id = b.doc_id AND a.dst = b.src) SELECT doc_id, src, dst, CAST(k AS BIGINT) AS k0 FROM p3""")
+@query(f"""WITH {GRAPH_SQL}, p0 AS (SELECT e.key, src, dst, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src UNION ALL SELECT key, id, id, 5 FROM nodes WHERE label = 'Z'),
+  p1 AS (SELECT a.key, a.src, b.dst, a.k * 8 + b.k AS k FROM p0 a JOIN p0 b ON a.key = b.key AND a.dst = b.src), p2 AS (SELECT a.key, a.src, b.dst, a.k * 64 + b.k AS k FROM p1 a JOIN p1 b ON a.key = b.key AND a.dst = b.src),
+  p3 AS (SELECT a.key, a.src, b.dst, a.k * 4096 + b.k AS k FROM p2 a JOIN p2 b ON a.key = b.key AND a.dst = b.src) SELECT key, src, dst, CAST(k AS BIGINT) AS k0 FROM p3""")
 def path_doubling(spark, d):
     nodes, edges = _graph(spark, d)
-    paths = graph.paths0(nodes, edges, "doc_id")
+    paths = graph.paths0(nodes, edges, "key")
     for g in (1, 2, 3):
-        paths = spool(graph.double(paths, g, "doc_id"), f"paths{g}")
-    return paths.select("doc_id", "src", "dst", "k0")
+        paths = spool(graph.double(paths, g, "key"), f"paths{g}")
+    return paths.select("key", "src", "dst", "k0")
 
 
 @query()
 def doubling_curve(spark, d):
-    nodes, edges = graph.determinize(*_graph(spark, d), "doc_id")
-    _, curve = graph.doubling(spool(nodes, "nodes"), spool(edges, "edges"), "doc_id")
+    nodes, edges = graph.determinize(*_graph(spark, d), "key")
+    _, curve = graph.doubling(spool(nodes, "nodes"), spool(edges, "edges"), "key")
     return spark.createDataFrame(curve, "gen long, temp long, nodes long, ranks long")

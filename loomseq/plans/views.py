@@ -78,13 +78,21 @@ VARIANTS_SQL = """v AS (SELECT o_orderkey AS ix, o_orderpriority AS chrom, o_ord
   substr('ACGTACGT', CAST(o_custkey % 4 + 1 AS INTEGER), 3) AS seq FROM orders)"""
 
 
-def sequences(spark, sf_dir, length=60):
-    """doc_id and its text as bases."""
-    return table(spark, sf_dir, "documents").select("doc_id", acgt(F.col("text"), length).alias("seq"))
+def sequences(spark, sf_dir):
+    """doc_id and its whole text as bases."""
+    return table(spark, sf_dir, "documents").select("doc_id", acgt(F.col("text")).alias("seq"))
 
 
-def sequences_sql(length=60):
-    return f"s AS (SELECT doc_id, {acgt_sql('text', length)} AS seq FROM documents)"
+SEQUENCES_SQL = f"s AS (SELECT doc_id, {acgt_sql('text')} AS seq FROM documents)"
+
+
+def turns(spark, sf_dir):
+    """key (conversation and turn) and the whole text of a turn as bases."""
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return table(spark, sf_dir, "conversations").select(key.alias("key"), acgt(F.col("text")).alias("seq"))
+
+
+TURNS_SQL = f"s AS (SELECT conv_id || '/' || turn AS key, {acgt_sql('text')} AS seq FROM conversations)"
 
 
 def intervals(spark, sf_dir):
