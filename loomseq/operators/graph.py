@@ -61,6 +61,15 @@ def with_haplotypes(nodes: DataFrame, edges: DataFrame, haplotypes: DataFrame, k
     return nodes.unionByName(new), edges.unionByName(into).unionByName(out).unionByName(empty).distinct()
 
 
+def with_splice_sites(edges: DataFrame, sites: DataFrame, key: str) -> DataFrame:
+    """Adds an edge past each intron [left, right] (closed) of `sites`, from the base before it to the base after it.
+
+    Sites whose `excluded` holds add nothing; no nodes are added.
+    """
+    new = sites.where(~F.col("excluded")).select(key, F.col("left").alias("src"), (F.col("right") + 2).alias("dst"))
+    return edges.unionByName(new).distinct()
+
+
 def _subsets(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
     """Backward subset construction from Z over one fragment, then numbers in topological order from Y."""
     label = dict(zip(nodes["id"], nodes["label"], strict=True))

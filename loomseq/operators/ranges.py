@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +104,43 @@ def first_match(points: DataFrame, intervals: DataFrame, key: list[str], pos: st
     hit = left.join(right, [*key, "_bin"]).where(F.col(pos).between(F.col("b_start"), F.col("b_stop")))
     hit = hit.groupBy(*points.columns).agg(F.min(F.struct("b_start", "b_stop", name)).alias("m")).select(*points.columns, F.col(f"m.{name}").alias(name))
     return points.join(hit, points.columns, "left")
+
+
+def blocked_ranges(variants: DataFrame, key: str, relax: int = 128) -> DataFrame:
+    """Merged stretches [start, stop) of each key that no cut may fall in: `relax` bases about each variant.
+
+    `variants` has typ, pos and len; a splice site's len is its right end, and exons block nothing.
+    """
+    end = F.when(F.col("typ") == "deletion", F.col("pos") + F.col("len")).when(F.col("typ") == "splice", F.col("len") + 1).otherwise(F.col("pos") + 1)
+    rows = variants.where("typ <> 'exon'").select(key, F.greatest(F.col("pos") - relax - 1, F.lit(0)).cast("long").alias("start"), (end + relax + 1).cast("long").alias("stop"))
+    return merge_intervals(rows, [key])
+
+
+def fragment_cuts(lengths: DataFrame, blocked: DataFrame, key: str, chunk: int) -> DataFrame:
+    """key, start, stop: fragments of `chunk` bases, each end pushed past the blocked stretch that it falls in.
+
+    Each end follows from the one before, so a key's merged stretches are walked in order by one task.
+    """
+    kind = lengths.schema[key].dataType.simpleString()
+
+    def run(k, lens: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
+        bad = bad.sort_values("start")
+        starts, stops = bad["start"].tolist(), bad["stop"].tolist()
+        out = []
+        for n in lens["length"].tolist():
+            a = 0
+            while a < n:
+                b = a + chunk
+                i = bisect.bisect_right(starts, b) - 1
+                b = min(n, stops[i] if i >= 0 and b < stops[i] else b)
+                out.append((k[0], a, b))
+                a = b
+        return pd.DataFrame(out, columns=[key, "start", "stop"])
+
+    return lengths.select(key, "length").groupBy(key).cogroup(blocked.select(key, "start", "stop").groupBy(key)).applyInPandas(run, f"{key} {kind}, start long, stop long")
+
+
+def bad_cuts(cuts: DataFrame, blocked: DataFrame, key: str, width: int) -> DataFrame:
+    """Cuts (starts of fragments but the first) that fall in a blocked stretch; empty if the cuts are right."""
+    points = cuts.where("start > 0").select(key, F.col("start").alias("a_start"), (F.col("start") + 1).alias("a_stop"))
+    return containment_join(points, blocked.select(key, F.col("start").alias("b_start"), F.col("stop").alias("b_stop")), [key], width).select(key, F.col("a_start").alias("cut"))

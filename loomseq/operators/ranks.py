@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..session import spool
 
@@ -85,3 +88,42 @@ def binomial_two_sided(k: Column, n: Column) -> Column:
         return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
 
     return F.least(F.lit(1.0), 2 * F.aggregate(more, zero, step, lambda a: a["s"]))
+
+
+@F.pandas_udf(DoubleType())
+def erfc(x: pd.Series) -> pd.Series:
+    """The complementary error function, which Spark lacks; null stays null."""
+    return x.map(lambda v: None if pd.isna(v) else math.erfc(v)).astype(float)
+
+
+def sign_p(up: Column, down: Column) -> Column:
+    """Two-sided p of a sign test by the normal approximation; 1 without pairs."""
+    return erfc(F.abs(sign_z(up, down)) / math.sqrt(2))
+
+
+def wilcoxon(df: DataFrame, by: list[str], diff: str, least: int = 10) -> DataFrame:
+    """Signed-rank test of each group: n (differences that aren't zero), w_plus, z with ties corrected; groups of fewer than
+    `least` are left out. Equal absolute differences are counted first, and only their distinct values are ordered."""
+    rows = df.where(F.col(diff) != 0).select(*by, F.abs(diff).alias("_a"), (F.col(diff) > 0).alias("_up"))
+    ties = rows.groupBy(*by, "_a").agg(F.count("*").alias("_t"), F.count_if("_up").alias("_u"))
+    w = Window.partitionBy(*by).orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ties.withColumn("_r", F.sum("_t").over(w) - (F.col("_t") - 1) / 2)
+    t = F.col("_t").cast("double")
+    out = ranked.groupBy(*by).agg(F.sum("_t").alias("n"), F.sum(F.col("_r") * F.col("_u")).alias("w_plus"), F.sum(t * t * t - t).alias("_c")).where(F.col("n") >= least)
+    n = F.col("n").cast("double")
+    return out.select(*by, "n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_c") / 48)).alias("z"))
+
+
+def depth_matched(df: DataFrame, key: list[str], x: str, n: str, depth: str, seeds: int = 5) -> DataFrame:
+    """`df` once for each seed with `drawn`: of `depth` of its n reads, drawn without replacement, those among the x.
+
+    The generator of a row is seeded by its key and seed, so the draws don't depend on partitions or retries.
+    """
+
+    @F.pandas_udf("long")
+    def draw(seed: pd.Series, x: pd.Series, n: pd.Series, depth: pd.Series) -> pd.Series:
+        cols = zip(seed, x, n, depth, strict=True)
+        return pd.Series([np.random.default_rng(int(s) & (1 << 63) - 1).hypergeometric(a, b - a, min(d, b)) for s, a, b, d in cols], dtype="int64")
+
+    rows = df.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    return rows.withColumn("drawn", draw(F.xxhash64(*key, "seed"), F.col(x), F.col(n), F.col(depth)))

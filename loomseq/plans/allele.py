@@ -140,3 +140,19 @@ def tag_filter_count(spark, d):
     bit = lambda n: F.col("event_id").bitwiseAND(F.lit(n).cast("long")) == 0
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.groupBy("user_id").agg(F.count_if(bit(4)).alias("mapped"), F.count_if(~bit(256)).alias("secondary"), F.count_if(bit(4) & bit(2304)).alias("primary_reads"), F.round(F.avg(F.when(F.col("value") >= 50, 1.0).otherwise(0.0)), 6).alias("high_share"))
+
+
+@query()
+def depth_matching(spark, d):
+    """Each site's deeper arm thinned to the depth of the other, for five seeds: the share of sites that change sides."""
+    rows = both(spark, d).withColumn("depth", F.least("n0", "n1"))
+    rows = ranks.depth_matched(rows, ["site"], "x0", "n0", "depth").select("site", "seed", "depth", "x1", "n1", F.col("drawn").alias("m0"))
+    return rows.groupBy("seed").agg(F.count("*").alias("sites"), F.round(F.sum("m0") / F.sum("depth"), 6).alias("matched"), F.round(F.sum("x1") / F.sum("n1"), 6).alias("other"))
+
+
+@query()
+def sign_test_p(spark, d):
+    """The sign test by site group with its p; erfc is beyond the SQL."""
+    diff = F.col("x1") / F.col("n1") - F.col("x0") / F.col("n0")
+    u = both(spark, d).groupBy((F.col("site") % 7).alias("grp")).agg(F.count_if(diff > 0).alias("up"), F.count_if(diff < 0).alias("down"))
+    return u.select("grp", "up", "down", ranks.sign_p(F.col("up"), F.col("down")).alias("p"))

@@ -133,3 +133,50 @@ def axis_sums(spark, d):
     m = matrix(spark, d)
     part = lambda c: m.groupBy("arm", F.lit(c).alias("axis"), F.col(c).alias("key")).agg(F.sum("cnt").alias("total"))
     return part("gene").unionByName(part("cell"))
+
+
+@query(f"""WITH {MATRIX_SQL}, d AS (SELECT gene, cell, sum(CASE WHEN arm = 'F' THEN cnt ELSE -cnt END) AS d FROM m GROUP BY 1, 2), a AS (SELECT gene, abs(d) AS a, d FROM d WHERE d <> 0),
+  r AS (SELECT gene, d, rank() OVER (PARTITION BY gene ORDER BY a) + (count(*) OVER (PARTITION BY gene, a) - 1) / 2 AS r, power(count(*) OVER (PARTITION BY gene, a), 2) - 1 AS c FROM a),
+  s AS (SELECT gene, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w, sum(c) AS c FROM r GROUP BY gene HAVING count(*) >= 10)
+  SELECT gene, n, round(w, 6) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - c / 48), 6) AS z FROM s""")
+def wilcoxon_signed_rank(spark, d):
+    rows = matrix(spark, d).groupBy("gene", "cell").agg(F.sum(F.when(F.col("arm") == "F", F.col("cnt")).otherwise(-F.col("cnt"))).alias("d"))
+    return ranks.wilcoxon(rows, ["gene"], "d").select("gene", "n", F.round("w_plus", 6).alias("w_plus"), F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {MATRIX_SQL}, t AS (SELECT cell, gene, sum(cnt) AS cnt FROM m GROUP BY 1, 2), c AS (SELECT cell, avg(ln(1 + cnt)) AS control FROM t GROUP BY cell),
+  s AS (SELECT t.cell, p_brand AS label, round(avg(ln(1 + cnt)) - any_value(control), 6) AS score FROM t JOIN part ON p_partkey = gene JOIN c ON c.cell = t.cell GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY score DESC, label) AS rn FROM s) SELECT cell, label, score FROM r WHERE rn = 1""")
+def marker_label(spark, d):
+    """Cells labelled by the set of markers (a brand's genes) that stands out most above the cell's mean."""
+    t = matrix(spark, d).groupBy("cell", "gene").agg(F.log1p(F.sum("cnt")).alias("v"))
+    control = t.groupBy("cell").agg(F.avg("v").alias("control"))
+    sets = table(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("label"))
+    s = t.join(sets, "gene").groupBy("cell", "label").agg(F.avg("v").alias("v")).join(control, "cell")
+    s = s.select("cell", "label", F.round(F.col("v") - F.col("control"), 6).alias("score"))
+    best = s.groupBy("cell").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("b"))
+    return best.select("cell", "b.label", (-F.col("b.s")).alias("score"))
+
+
+@query(f"""WITH {GENES_SQL}, k AS (SELECT p_partkey AS gene, unnest(['tens ' || substr(p_brand, 7, 1), 'ones ' || substr(p_brand, 8, 1)]) AS family FROM part)
+  SELECT family, count(*) AS members, CAST(sum(f) AS BIGINT) AS f, CAST(sum(o) AS BIGINT) AS o FROM genes JOIN k ON k.gene = genes.gene GROUP BY family""")
+def family_rollup(spark, d):
+    """Totals of families that share members."""
+    of = F.array(F.concat(F.lit("tens "), F.substring("p_brand", 7, 1)), F.concat(F.lit("ones "), F.substring("p_brand", 8, 1)))
+    k = table(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.explode(of).alias("family"))
+    return genes(spark, d).join(k, "gene").groupBy("family").agg(F.count("*").alias("members"), F.sum("f").alias("f"), F.sum("o").alias("o"))
+
+
+@query("""WITH c AS (SELECT label AS a, vec_id % 10 AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), r AS (SELECT a, sum(n) AS n FROM c GROUP BY a), s AS (SELECT b, sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n) AS t FROM c),
+  h AS (SELECT (SELECT sum(c.n / t * ln(c.n * t / (r.n * s.n))) FROM c JOIN r ON r.a = c.a JOIN s ON s.b = c.b, t) AS mi, (SELECT -sum(n / t * ln(n / t)) FROM r, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM s, t) AS hb)
+  SELECT round(mi / ((ha + hb) / 2), 6) AS nmi FROM h""")
+def cluster_information(spark, d):
+    c = table(spark, d, "embeddings").select(F.col("label").alias("a"), (F.col("vec_id") % 10).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # mutual information from sums of n ln n over cells, rows and columns
+    part = lambda x, name: x.agg(F.sum(F.col("n") * F.log("n")).alias(name), F.sum("n").alias("t")).withColumn("t", F.col("t").cast("double"))
+    cells = part(c, "c")
+    rows = part(c.groupBy("a").agg(F.sum("n").alias("n")), "r")
+    cols = part(c.groupBy("b").agg(F.sum("n").alias("n")), "s")
+    t, h = F.col("t"), lambda x: F.log("t") - F.col(x) / F.col("t")
+    mi = F.col("c") / t - F.col("r") / t - F.col("s") / t + F.log(t)
+    return cells.join(rows, "t").join(cols, "t").select(F.round(mi / ((h("r") + h("s")) / 2), 6).alias("nmi"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import pack_text, seconds, unpack_text
+from ..operators import ranks
 from .views import SEQUENCES_SQL, sequences, table
 
 Q = {}
@@ -103,3 +104,24 @@ def exact_quantiles(spark, d):
 def telemetry_windows(spark, d):
     e = table(spark, d, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY split_part(c_name, '#', 1), CAST(split_part(c_name, '#', 2) AS BIGINT), c_custkey) - 1 AS place FROM customer")
+def version_sort(spark, d):
+    """Names in natural order: letters as letters, the number after them as a number."""
+    c = table(spark, d, "customer").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(1)).alias("a"), F.split_part("c_name", F.lit("#"), F.lit(2)).try_cast("long").alias("b"))
+    return ranks.row_numbers(c, [F.col("a"), F.col("b"), F.col("c_custkey")], "place").select("c_custkey", "place")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey || '/17'), o_orderkey LIMIT 100")
+def seeded_sample(spark, d):
+    """A hundred orders by the digest of key and seed; the same rows however the table is partitioned."""
+    return table(spark, d, "orders").orderBy(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit("/17"))), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS BIGINT) AS want, count(l_orderkey) AS got FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(l_orderkey) <> o_orderkey % 5")
+def length_check(spark, d):
+    """Where the length that a model declares isn't the one that is found, or none is."""
+    got = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("got"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("want")).join(got, "o_orderkey", "left")
+    return o.select("o_orderkey", "want", F.coalesce("got", F.lit(0).cast("long")).alias("got")).where("got <> want")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, index, ranges
+from ..operators import graph, index, ranges, thinning
 from ..session import spool
 from .views import INTERVALS_SQL, POINTS_SQL, SEQUENCES_SQL, TURNS_SQL, VARIANTS_SQL, intervals, points, sequences, table, turns, variants
 
@@ -251,15 +251,32 @@ def out_degree(spark, d):
     return edges.groupBy("key", "src").agg(F.count("*").alias("outdeg")).where("outdeg > 1")
 
 
-@query(f"""WITH {GRAPH_SQL}, p0 AS (SELECT e.key, src, dst, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src UNION ALL SELECT key, id, id, 5 FROM nodes WHERE label = 'Z'),
+PATHS_SQL = f"""{GRAPH_SQL}, p0 AS (SELECT e.key, src, dst, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src UNION ALL SELECT key, id, id, 5 FROM nodes WHERE label = 'Z'),
   p1 AS (SELECT a.key, a.src, b.dst, a.k * 8 + b.k AS k FROM p0 a JOIN p0 b ON a.key = b.key AND a.dst = b.src), p2 AS (SELECT a.key, a.src, b.dst, a.k * 64 + b.k AS k FROM p1 a JOIN p1 b ON a.key = b.key AND a.dst = b.src),
-  p3 AS (SELECT a.key, a.src, b.dst, a.k * 4096 + b.k AS k FROM p2 a JOIN p2 b ON a.key = b.key AND a.dst = b.src) SELECT key, src, dst, CAST(k AS BIGINT) AS k0 FROM p3""")
-def path_doubling(spark, d):
+  p3 AS (SELECT a.key, a.src, b.dst, a.k * 4096 + b.k AS k FROM p2 a JOIN p2 b ON a.key = b.key AND a.dst = b.src)"""
+
+
+def _paths3(spark, d):
     nodes, edges = _graph(spark, d)
     paths = graph.paths0(nodes, edges, "key")
     for g in (1, 2, 3):
         paths = spool(graph.double(paths, g, "key"), f"paths{g}")
-    return paths.select("key", "src", "dst", "k0")
+    return paths
+
+
+@query(f"WITH {PATHS_SQL} SELECT key, src, dst, CAST(k AS BIGINT) AS k0 FROM p3")
+def path_doubling(spark, d):
+    return _paths3(spark, d).select("key", "src", "dst", "k0")
+
+
+@query(f"""WITH {PATHS_SQL}, j AS (SELECT a.key, a.src, b.dst, a.k AS k0, b.k AS k1 FROM p3 a JOIN p3 b ON a.key = b.key AND a.dst = b.src),
+  g AS (SELECT *, min(src) OVER (PARTITION BY key, k0, k1) = max(src) OVER (PARTITION BY key, k0, k1) AS hom, row_number() OVER (PARTITION BY key, k0, k1 ORDER BY src, dst) AS rn FROM j),
+  h AS (SELECT key, k0, k1, src, hom, coalesce(hom AND lag(hom) OVER w AND lag(src) OVER w = src, false) AS again FROM g WHERE rn = 1 WINDOW w AS (PARTITION BY key ORDER BY k0, k1)),
+  r AS (SELECT key, k0, k1, again, CAST(sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY k0, k1) - 1 AS BIGINT) AS place FROM h)
+  SELECT g.key, src, dst, place, count(*) OVER (PARTITION BY g.key, place) = 1 AS done FROM g JOIN r ON r.key = g.key AND r.k0 = g.k0 AND r.k1 = g.k1 WHERE NOT (hom AND (rn > 1 OR again))""")
+def run_collapse_hom(spark, d):
+    joined = spool(graph.double(_paths3(spark, d), 4, "key"), "joined4")
+    return graph.rank4(joined, "key").select("key", "src", "dst", F.col("k0").alias("place"), "done")
 
 
 @query()
@@ -267,3 +284,52 @@ def doubling_curve(spark, d):
     nodes, edges = graph.determinize(*_graph(spark, d), "key")
     _, curve = graph.doubling(spool(nodes, "nodes"), spool(edges, "edges"), "key")
     return spark.createDataFrame(curve, "gen long, temp long, nodes long, ranks long")
+
+
+RELAX, CHUNK = 20, 5000
+SPARSE_SQL = f"""{VARIANTS_SQL}, x AS (SELECT ix, chrom, pos * 100 AS pos, typ, len FROM v), lens AS (SELECT chrom, max(pos) + 500 AS length FROM x GROUP BY chrom),
+  bl AS (SELECT chrom, greatest(pos - {RELAX} - 1, 0) AS start, CASE WHEN typ = 'deletion' THEN pos + len ELSE pos + 1 END + {RELAX} + 1 AS stop FROM x),
+  bn AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM bl),
+  bg AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM bn), blocked AS MATERIALIZED (SELECT chrom, min(start) AS start, max(stop) AS stop FROM bg GROUP BY chrom, g)"""
+
+
+def _sparse(spark, d):
+    """The variants a hundred times farther apart, with the length of each chromosome."""
+    v = variants(spark, d).withColumn("pos", F.col("pos") * 100)
+    return v, v.groupBy("chrom").agg((F.max("pos") + 500).alias("length"))
+
+
+CUTS_SQL = f"""WITH RECURSIVE {SPARSE_SQL}, f AS (SELECT chrom, length, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop FROM lens UNION ALL
+  SELECT f.chrom, length, f.stop, least(length, coalesce(b.stop, f.stop + {CHUNK})) FROM f LEFT JOIN blocked b ON b.chrom = f.chrom AND b.start <= f.stop + {CHUNK} AND f.stop + {CHUNK} < b.stop WHERE f.stop < length)"""
+
+
+@query(f"{CUTS_SQL} SELECT chrom, start, stop FROM f WHERE stop > start")
+def fragment_cuts(spark, d):
+    v, lengths = _sparse(spark, d)
+    return ranges.fragment_cuts(lengths, ranges.blocked_ranges(v, "chrom", RELAX), "chrom", CHUNK)
+
+
+@query(f"{CUTS_SQL} SELECT l.chrom, count(b.start) AS bad FROM lens l JOIN f ON f.chrom = l.chrom LEFT JOIN blocked b ON b.chrom = f.chrom AND f.start > 0 AND b.start <= f.start AND f.start < b.stop GROUP BY 1")
+def fragment_audit(spark, d):
+    v, lengths = _sparse(spark, d)
+    blocked = ranges.blocked_ranges(v, "chrom", RELAX)
+    bad = ranges.bad_cuts(ranges.fragment_cuts(lengths, blocked, "chrom", CHUNK), blocked, "chrom", 256)
+    return lengths.select("chrom").join(bad, "chrom", "left").groupBy("chrom").agg(F.count("cut").alias("bad"))
+
+
+@query()
+def window_thinning(spark, d):
+    """The variants that stay where those of a window may change 30 bases at most."""
+    v = variants(spark, d).withColumn("w", F.expr("pos div 50"))
+    return thinning.thin(v.select("chrom", "w", "ix", "pos", "len"), ["chrom", "w"], ["pos", "ix"], lambda rows: rows["len"].sum(), 30).select("chrom", "w", "ix")
+
+
+@query(f"""WITH {TURNS_SQL}, t AS (SELECT key, length(seq) AS n FROM s WHERE length(seq) >= 60), e AS (SELECT key, unnest(range(0, n + 1)) AS src, n FROM t)
+  SELECT key, src, src + 1 AS dst FROM e UNION SELECT key, 10, n - 8 FROM t WHERE n % 2 = 0""")
+def splice_edges(spark, d):
+    """Whole turns as backbones with an intron from base 10 to the tenth from the end; those of odd length are excluded."""
+    s = turns(spark, d).where(F.length("seq") >= 60)
+    _, edges = graph.backbone(s, "key", "seq")
+    n = F.length("seq").cast("long")
+    sites = s.select("key", F.lit(10).cast("long").alias("left"), (n - 10).alias("right"), (n % 2 == 1).alias("excluded"))
+    return graph.with_splice_sites(edges, sites, "key")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spool(df: DataFrame, name: str = "step") -> DataFrame:
@@ -18,3 +20,25 @@ def spool(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage(spark: SparkSession, root: str, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage that is resumed: `build()` written under `root`, or what an earlier run with equal `inputs` finished.
+
+    The folder is named by the stage and a digest of its inputs. Only a job that ended commits its _SUCCESS mark, so
+    what a lost driver left half written is built again.
+    """
+    digest = hashlib.sha256("\0".join([name, *inputs]).encode()).hexdigest()[:16]
+    path = f"{root.rstrip('/')}/{name}-{digest}"
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def require(df: DataFrame, what: str) -> DataFrame:
+    """`df`, or an error that names what is missing where it has no rows: a gate between stages."""
+    if df.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return df
