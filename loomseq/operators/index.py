@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,13 +100,30 @@ def kmer_table(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return n.select(key, "kmer", (hi - F.col("n")).alias("lo"), hi.alias("hi")).where(~F.col("kmer").contains("$"))
 
 
-def blocks(rows: DataFrame, key: str, letters: str, size: int = 64) -> DataFrame:
-    """key, block, the letters of its `size` rows, and how often each of `letters` stands in the blocks before."""
-    each = rows.groupBy(key, F.floor(F.col("row") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("row", "bwt"))).alias("_r"))
-    each = each.select(key, "block", F.array_join("_r.bwt", "").alias("text"))
-    w = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    n = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
-    return each.select(key, "block", "text", F.array(*[F.coalesce(F.sum(n(c)).over(w), F.lit(0).cast("long")) for c in letters]).alias("before"))
+def blocks(df: DataFrame, key: str, text: str, letters: str, size: int = 64) -> DataFrame:
+    """The BWT in blocks of `size` rows: key, block, n (rows of the sequence), text (the block's letters), before and first.
+
+    before holds how often each of `letters` stands in the blocks before, first how many suffixes begin with a smaller
+    letter. A sequence is ordered within one task, so its tallies need no shuffle.
+    """
+    codes = [ord(c) for c in letters]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                full = np.frombuffer((t + "$").encode("utf-32-le"), "<u4")
+                last = full[suffix_order(full) - 1]
+                n, at = len(full), np.arange(0, len(full), size)
+                flat = last.tobytes().decode("utf-32-le")
+                before = np.stack([np.cumsum(np.r_[0, last == c])[at] for c in codes], axis=1)
+                first = [int((full < c).sum()) for c in codes]
+                offsets = pa.array(np.arange(0, (len(at) + 1) * len(codes), len(codes)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (before.ravel(), first * len(at))]
+                cols = [batch.column(0).take(pa.array(np.full(len(at), i))), pa.array(at // size), pa.array(np.full(len(at), n)), pa.array([flat[j : j + size] for j in at.tolist()], pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(cols, [key, "block", "n", "text", "before", "first"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, block long, n long, text string, before array<long>, first array<long>")
 
 
 def kmer_trie(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGNT", size: int = 64) -> DataFrame:
@@ -115,12 +131,10 @@ def kmer_trie(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGNT"
 
     Letters before a row are counted by its block's tally and the part of the block before it.
     """
-    rows = spool(bwt(df, key, text).select(key, "row", "bwt"), "bwt")
-    tally = spool(blocks(rows, key, letters, size), "blocks")
-    start = first_rows(rows, key)
-    step = reduce(lambda a, b: a.unionByName(b), [start.where(F.col("bwt") == c).withColumn("at", F.lit(i)) for i, c in enumerate(letters)])
-    step = spool(step, "first")
-    ranges = rows.groupBy(key).agg(F.lit("").alias("kmer"), F.lit(0).cast("long").alias("lo"), (F.max("row") + 1).alias("hi"))
+    tally = spool(blocks(df, key, text, letters, size), "blocks")
+    whole = tally.where("block = 0")
+    step = whole.select(key, F.posexplode("first").alias("at", "first")).withColumn("bwt", F.substring(F.lit(letters), F.col("at") + 1, F.lit(1)))
+    ranges = whole.select(key, F.lit("").alias("kmer"), F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
     for _ in range(k):
         side = lambda c: tally.select(key, F.col("block").alias(f"_b{c}"), F.col("text").alias(f"_t{c}"), F.col("before").alias(f"_n{c}"))
         # an end at the first row of a block that isn't there is counted from the last block
