@@ -43,6 +43,10 @@ def far_bits(likeness: float, bits: int, spread: float = 2.5) -> int:
 
 
 FAR = far_bits(0.8, 64 * WIDTH)
+#: MinHash values of a text, and how many of them a band has: texts alike by 0.8 have no band in common with a chance
+#: of (1 - 0.8 ** ROWS) ** (HASHES / ROWS) = 4e-8, wherever their shingles differ.
+HASHES, ROWS = 128, 4
+SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -254,13 +258,31 @@ def wide(words: list[bytes], size: int, width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """The hashes of the distinct shingles of `size` words, in order; fewer words: the whole sequence."""
+    return np.unique(gram_hashes(word_hashes(words), min(size, len(words)), "gram")) if words else np.zeros(0, np.uint64)
+
+
+def minhashes(found: np.ndarray) -> np.ndarray:
+    """The least of a set of shingles under each of HASHES hash functions; sets agree in one by their Jaccard likeness."""
+    out = np.full(HASHES, (1 << 64) - 1, np.uint64)
+    for a in range(0, len(found), 1 << 10):
+        out = np.minimum(out, mix(found[a : a + (1 << 10)] ^ SEEDS[:, None]).min(1))
+    return out
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash values, apart from the keys of other bands."""
+    return mix(mix(least ^ SEEDS[::-1]).reshape(-1, ROWS).sum(1, dtype=np.uint64)).view(np.int64)
+
+
 def similar(docs: DataFrame, words: int = 5, far: int = FAR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs` with an id: doc_id and component_id over documents alike by about 0.8 or more.
 
     At that likeness of five-word shingles 64-bit fingerprints differ in some ten bits, so that no byte is sure to agree.
-    Candidates are found through byte triples of 512-bit fingerprints of two-word shingles, of which alike documents
-    share some; they are verified by the 512-bit fingerprints of `words`-word shingles, which differ in `far` bits at
-    most. Rows without an id are left out. Texts without words are one component. Repeated rows are kept.
+    Candidates share a band of MinHash values of `words`-word shingles, which documents that alike are near sure to do
+    whatever the kind of edit; they are verified by the 512-bit fingerprints of those shingles, which differ in `far`
+    bits at most. Rows without an id are left out. Texts without words are one component. Repeated rows are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +291,7 @@ def similar(docs: DataFrame, words: int = 5, far: int = FAR, hot: int = HOT, id_
             for text in batch.column(1).to_pylist():
                 found = (text or "").encode().lower().split()
                 vec.append(wide(found, words).tobytes())
-                halves = wide(found, 2).view(np.uint8).reshape(-1, 4).astype(np.int64)
-                triples = np.stack([halves[:, a] | halves[:, b] << 8 | halves[:, c] << 16 for a, b, c in combinations(range(4), 3)], axis=1).ravel()
-                keys.append(triples | np.arange(len(triples)) << 24)
+                keys.append(bands(minhashes(shingles(found, words))) if found else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "vec", "keys"])
 
     rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

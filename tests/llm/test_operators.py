@@ -155,6 +155,34 @@ def test_similar(spark, none):
     assert simhash.similar(none).count() == 0
 
 
+def edits(rng, n, kinds=("insert", "replace", "append", "cut", "scatter")):
+    """Pairs of texts and their Jaccard likeness in five-word shingles, by each kind of edit."""
+    word = lambda: f"w{rng.randrange(5000)}"
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(n):
+        a = [word() for _ in range(rng.randrange(60, 400))]
+        size, kind = int(len(a) * rng.uniform(0.02, 0.3)), kinds[k % len(kinds)]
+        at = rng.randrange(len(a) - size)
+        new = [word() for _ in range(size)]
+        b = {"insert": a[:at] + new + a[at:], "replace": a[:at] + new + a[at + size :], "append": a + new, "cut": a[:-size]}.get(kind) or [word() if rng.random() < size / len(a) / 4 else w for w in a]
+        x, y = grams(a), grams(b)
+        yield " ".join(a), " ".join(b), len(x & y) / len(x | y)
+
+
+def test_bands():
+    keys = lambda t: set(simhash.bands(simhash.minhashes(simhash.shingles(t.encode().split(), 5))).tolist())
+    alike = [keys(a) & keys(b) for a, b, j in edits(random.Random(5), 1500) if j >= 0.8]
+    assert len(alike) > 500 and all(alike)
+
+
+def test_similar_block_edits(spark):
+    """Blocks inserted, replaced, appended or cut off: likeness in two-word shingles is no higher than in five-word ones."""
+    pairs = [(a, b) for a, b, j in edits(random.Random(7), 2500, ("insert", "replace", "append", "cut")) if 0.82 <= j < 0.85]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 100 and all(got[2 * i + 1] == 2 * i for i in range(len(pairs)))
+
+
 def test_token_files(odd, none, docs):
     t = Tokenizer.from_file(WORD)
     for df in (odd, docs):
