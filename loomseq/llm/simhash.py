@@ -29,24 +29,16 @@ TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 FIVES = list(combinations(range(8), LEAST_BYTES))
 #: Fingerprints in one posting list that a task compares with each other.
 HOT = 4096
-#: Words of 64 bits of a wide fingerprint.
-WIDTH = 8
-
-
-def far_bits(likeness: float, bits: int, spread: float = 2.5) -> int:
-    """Bits in which fingerprints of sets of this Jaccard likeness differ, with `spread` standard deviations of room.
-
-    For sets of one size the cosine is 2 j / (1 + j), and a bit differs with the probability of the angle over pi.
-    """
-    p = math.acos(2 * likeness / (1 + likeness)) / math.pi
-    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
-
-
-FAR = far_bits(0.8, 64 * WIDTH)
+#: Documents of a group of candidates whose shingles a task compares with each other.
+SETS = 1024
+#: Jaccard likeness of near-duplicates.
+ALIKE = 0.8
 #: MinHash values of a text, and how many of them a band has: texts alike by 0.8 have no band in common with a chance
 #: of (1 - 0.8 ** ROWS) ** (HASHES / ROWS) = 4e-8, wherever their shingles differ.
 HASHES, ROWS = 128, 4
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: MinHash values that candidates have in common: six standard deviations below those expected at ALIKE, 75 of 128.
+COMMON = int(HASHES * ALIKE - 6 * math.sqrt(HASHES * ALIKE * (1 - ALIKE)))
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -116,8 +108,11 @@ def _close(fp: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return near
 
 
-def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal groups (rows in order of group): each with the least place of its forest."""
+def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 20, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal groups (rows in order of group): each with the least place of its forest.
+
+    Pairs that are connected already aren't tested; links are looked through for that when there are more than `hold`.
+    """
     n = len(group)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
@@ -129,10 +124,11 @@ def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarr
         if not len(at):
             break
         for part in np.array_split(at, -(-len(at) // step)):
+            part = part[root[part] != root[part + shift]]
             part = part[near(part, part + shift)]
             found.append((part, part + shift))
             held += len(part)
-        if held > 1 << 20:
+        if held > hold:
             root = forest(n, np.concatenate([np.arange(n), *(a for a, _ in found)]), np.concatenate([root, *(b for _, b in found)]))
             found, held = [], 0
     root = forest(n, np.concatenate([np.arange(n), *(a for a, _ in found)]), np.concatenate([root, *(b for _, b in found)]))
@@ -140,40 +136,65 @@ def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarr
     return child, root[child]
 
 
-def _links(batches: Iterator[pa.RecordBatch], far: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, node and, with `far`, a wide fingerprint) in that order, every group within one task.
+def _agree(sketches: list[bytes]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of sketches have COMMON of their bytes in common."""
+    v = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, HASHES)
+    return lambda i, j: (v[i] == v[j]).sum(1, dtype=np.int32) >= COMMON
+
 
-    A group ends where key or block changes. Without `far` the node is the fingerprint itself.
+def _alike(sketches: list[bytes], sets: list[bytes], likeness: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs have COMMON bytes of their sketches in common and sets of this Jaccard likeness at least."""
+    agree, found = _agree(sketches), [np.frombuffer(x, "<u8") for x in sets]
+
+    def alike(i: int, j: int) -> bool:
+        x, y = found[i], found[j]
+        if min(len(x), len(y)) < likeness * max(len(x), len(y)) - 1e-9:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= likeness * (len(x) + len(y) - both) - 1e-9
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = agree(i, j)
+        at = np.flatnonzero(out)
+        out[at] = [alike(a, b) for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True)]
+        return out
+
+    return near
+
+
+def _links(batches: Iterator[pa.RecordBatch], near: Callable | None = None, hold: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, node and, with `near`, columns of bytes that it tests) in that order, a group within one task.
+
+    A group ends where key or block changes. Without `near` the node is the fingerprint itself.
     """
 
-    def out(key: np.ndarray, block: np.ndarray, node: np.ndarray, *vec: np.ndarray) -> pa.RecordBatch:
+    def out(key: np.ndarray, block: np.ndarray, node: np.ndarray, *data: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        if far:
-            v = vec[0]
-            u, v = _linked(group, lambda i, j: np.bitwise_count(v[i] ^ v[j]).sum(1, dtype=np.int32) <= far, 1 << 16)
+        if near:
+            u, v = _linked(group, near(*(x.tolist() for x in data)), 1 << 16, hold)
         else:
             u, v = _linked(group, _close(node.view(np.uint64)))
         return pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], ["u", "v"])
 
     parts: list[tuple] = []
-    size = 0
+    size = room = 0
 
     def held() -> list[np.ndarray]:
         return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
     for batch in batches:
         if len(batch):
-            wide = [np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(batch), -1)] if far else []
-            parts.append((*(c.to_numpy() for c in batch.columns[:3]), *wide))
+            parts.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             size += len(batch)
-        if size < 1 << 16:
+            room += batch.nbytes
+        if size < 1 << 16 and room < 1 << 25:
             continue
         key, block, *rest = held()
         last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
             yield out(key[:cut], block[:cut], *(x[:cut] for x in rest))
-        parts, size = [(key[cut:], block[cut:], *(x[cut:] for x in rest))], len(key) - cut
+        parts, size, room = [(key[cut:], block[cut:], *(x[cut:] for x in rest))], len(key) - cut, 0
     if parts:
         yield out(*held())
 
@@ -243,21 +264,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return fp.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide(words: list[bytes], size: int, width: int = WIDTH) -> np.ndarray:
-    """A fingerprint of `width` 64-bit words over shingles of `size` words; fewer words: the whole sequence."""
-    if not words:
-        return np.zeros(width, np.uint64)
-    shingle = gram_hashes(word_hashes(words), min(size, len(words)), "gram")
-    out = np.zeros(width, np.uint64)
-    for j in range(width):
-        count = np.zeros(64, np.int64)
-        for a in range(0, len(shingle), 1 << 14):
-            h = mix(shingle[a : a + (1 << 14)] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1))
-            count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[j] = np.packbits(2 * count > len(shingle), bitorder="little").view("<u8")[0]
-    return out
-
-
 def shingles(words: list[bytes], size: int) -> np.ndarray:
     """The hashes of the distinct shingles of `size` words, in order; fewer words: the whole sequence."""
     return np.unique(gram_hashes(word_hashes(words), min(size, len(words)), "gram")) if words else np.zeros(0, np.uint64)
@@ -276,35 +282,53 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mix(mix(least ^ SEEDS[::-1]).reshape(-1, ROWS).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def similar(docs: DataFrame, words: int = 5, far: int = FAR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs` with an id: doc_id and component_id over documents alike by about 0.8 or more.
+def similar(docs: DataFrame, words: int = 5, likeness: float = ALIKE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", most: int = SETS) -> DataFrame:
+    """One row per row of `docs` with an id: doc_id, tag (a hash of the text) and component_id.
 
-    At that likeness of five-word shingles 64-bit fingerprints differ in some ten bits, so that no byte is sure to agree.
-    Candidates share a band of MinHash values of `words`-word shingles, which documents that alike are near sure to do
-    whatever the kind of edit; they are verified by the 512-bit fingerprints of those shingles, which differ in `far`
-    bits at most. Rows without an id are left out. Texts without words are one component. Repeated rows are kept.
+    Documents whose sets of `words`-word shingles have this Jaccard likeness or more are linked; component_id is the
+    smallest doc_id that links reach. Candidates share a band of MinHash values, which documents alike by ALIKE are near
+    sure to do whatever the kind of edit, and COMMON values in all. The pairs of a group of candidates are verified by
+    the sets of shingles themselves, whose hashes of 64 bits stand for them. Rows without an id are left out. Texts
+    without words are one component. Repeated rows are kept.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec, keys = [], []
-            for text in batch.column(1).to_pylist():
-                found = (text or "").encode().lower().split()
-                vec.append(wide(found, words).tobytes())
-                keys.append(bands(minhashes(shingles(found, words))) if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "vec", "keys"])
-
-    rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = written(rows.mapInArrow(run, "doc_id long, vec binary, keys array<long>"), "wide")
-    nodes = written(seen.groupBy("vec").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select(F.col("x.doc_id").alias("node"), "vec", F.col("x.keys").alias("keys")), "nodes")
+            node, sketches, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = shingles((text or "").encode().lower().split(), words)
+                least = minhashes(found)
+                node.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
+                sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+                keys.append(bands(least) if len(found) else [])
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "node", "sketch", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles((t or "").encode().lower().split(), words).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["node", "root", "sketch", "found"])
+
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text_col).alias("text"))
+    seen = written(rows.mapInArrow(sketch, "doc_id long, tag long, node long, sketch binary, keys array<long>"), "sketches")
+    nodes = written(seen.groupBy("node").agg(F.min(F.struct("doc_id", "tag", "sketch", "keys")).alias("x")).select("node", "x.*"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     lists = keyed.join(sizes, "key").select("key", F.explode(_blocks("node", hot)).alias("block"), "node")
-    near = lists.join(nodes.select("node", "vec"), "node").select("key", "block", "node", "vec")
-    near = near.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda x: _links(x, far), "u long, v long")
-    root = components(near)
-    of = written(nodes.join(root, "node", "left").select("vec", F.coalesce("root", "node").alias("component_id")), "roots")
-    return seen.select("doc_id", "vec").join(of, "vec").select("doc_id", "component_id")
+    near = lists.join(nodes.select("node", "sketch"), "node").select("key", "block", "node", "sketch")
+    near = near.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda x: _links(x, _agree), "u long, v long")
+    group = written(components(near).join(nodes.drop("keys"), "node"), "candidates")
+    texts = rows.join(group, ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "root", "sketch", "text")
+    found = written(texts.mapInArrow(sets, "node long, root long, sketch binary, found binary"), "sets")
+    sizes = written(found.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    pairs = found.join(sizes, "root").select(F.col("root").alias("key"), F.explode(_blocks("node", most)).alias("block"), "node", "sketch", "found")
+    pairs = pairs.repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    root = components(pairs.mapInArrow(lambda x: _links(x, lambda s, f: _alike(s, f, likeness), 0), "u long, v long"))
+    of = written(nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
+    first = written(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
+    of = of.join(first, "root").select("node", "component_id")
+    return seen.select("doc_id", "tag", "node").join(of, "node").select("doc_id", "tag", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

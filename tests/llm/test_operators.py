@@ -183,6 +183,26 @@ def test_similar_block_edits(spark):
     assert len(pairs) > 100 and all(got[2 * i + 1] == 2 * i for i in range(len(pairs)))
 
 
+def test_similar_exact(spark):
+    """Links are the pairs alike by 0.8 or more, by brute force, chained; blocks of few documents change nothing."""
+    rng = random.Random(9)
+    texts = [t for a, b, _ in edits(rng, 300) for t in (a, b)]
+    for a in texts[:40:2]:  # templates: documents alike by 0.5 to 0.9 to many others
+        w = a.split()
+        texts += [" ".join(w[: len(w) - k] + [f"t{rng.randrange(5000)}" for _ in range(k)]) for k in range(4, len(w) // 3, 9)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if part[a] != part[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(part[a], part[b]), min(part[a], part[b])
+                part = [new if p == old else p for p in part]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for more in ({}, {"hot": 3, "most": 3}):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df, **more).collect()}
+        assert [got[i] for i in range(len(texts))] == part
+
+
 def test_token_files(odd, none, docs):
     t = Tokenizer.from_file(WORD)
     for df in (odd, docs):
