@@ -3,12 +3,15 @@
 What the fixed patterns find are seed entities. The words around a seed induce lexical patterns (two words before; the
 word before and the word after). Spark scores the graph of patterns and instances in turns: a pattern is as good as the
 share of its occurrences that are seeds of one kind or instances believed to be, and an instance is believed through the
-patterns around it. Confident patterns turn identifier-like strings that the fixed patterns missed into further spans.
+patterns around it; believed instances support further patterns, until none is new. Confident patterns turn strings that
+the fixed patterns missed into further spans: runs of digits and identifiers with letters of any kind, emails with other
+letters than ASCII's or with at and dot in words, IPv6 addresses.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +29,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE = re.compile(r"[0-9](?:[ ().+-]{0,2}[0-9]){5,}")
+#: Loose shapes beside digits: the at and dot of an email, what its parts may be, IPv6, identifiers with letters.
+_AT = re.compile(r"@|\b[aA][tT]\b")
+_AT_LEFT, _AT_RIGHT = re.compile(r"(?:\s?[(\[{<]\s?|\s+)$"), re.compile(r"\s?[)\]}>]\s?|\s+")
+_NAME = re.compile(r"[^\s@<>()\[\]{},;:\"]+$")
+_HOST = re.compile(r"[^\W_][\w-]*(?:(?:\.|\s?[(\[{<]\s?(?:[dD][oO][tT]|\.)\s?[)\]}>]\s?|\s+[dD][oO][tT]\s+)[^\W_][\w-]*)+")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?:[0-9]*(?:\.[0-9]+){3})?(?![\w:])")
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
+_GROUPS = re.compile(r"(?<![^\W_])[0-9A-Z]{2,8}(?:[ -][0-9A-Z]{1,8}){1,8}(?![^\W_])")
+_EDGE = ".,;:!?\"'`()[]{}<>*|=«»“”„‘’…。，、"
 _DIGITS = re.compile(r"[^0-9]")
 _BEFORE, _AFTER = re.compile(r"(?:(\S+)\s+)?(\S+)\s*$"), re.compile(r"\s*(\S+)")
 CONTEXT = 80
 
-#: Distinct seeds that a pattern needs, the confidence from which it finds instances, and the turns of scoring.
+#: Distinct seeds or believed instances that a pattern needs, the confidence from which it finds instances, and the turns
+#: of scoring of each pattern from the first that supports it.
 MIN_SEEDS, CONFIDENT, TURNS = 5, 0.9, 3
 
 
@@ -76,19 +89,64 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts).encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str | None, list[int]]]:
-    """(start, end, instance, kind or None, patterns) of base spans and of identifier-like strings apart from them."""
-    rows: list[tuple[int, int, str | None]] = [(s, e, k) for k, s, e in spans]
-    taken = sorted((s, e) for _, s, e in spans)
-    i = 0
-    for m in _LOOSE.finditer(text):
+def loose_spans(text: str) -> list[tuple[str | None, int, int]]:
+    """(kind that its shape allows or None for any, start, end) of strings that may be personal data."""
+    out: list[tuple[str | None, int, int]] = []
+    for m in _AT.finditer(text):
         s, e = m.span()
-        while i < len(taken) and taken[i][1] <= s:
+        left, right = _AT_LEFT.search(text[max(0, s - 4) : s]), _AT_RIGHT.match(text[e : e + 4])
+        if m[0] != "@" and not (left and right):
+            continue
+        e += right.end() if right else 0
+        s -= len(left[0]) if left else 0
+        host = _HOST.match(text[e : e + 256])
+        name = _NAME.search(text[max(0, s - CONTEXT) : s]) if host else None
+        if name and (word := name[0].lstrip(_EDGE)):
+            out.append(("email", s - len(word), e + host.end()))
+    if ":" in text:
+        for m in _IPV6.finditer(text):
+            if "::" in m[0] and len(m[0]) > 2 or m[0].count(":") == (6 if "." in m[0] else 7):
+                out.append(("ip", *m.span()))
+    shaped = sorted((s, e) for _, s, e in out)
+    named: set[tuple[int, int]] = set()
+    for m in _TOKEN.finditer(text):
+        word = m[0].lstrip(_EDGE)
+        s = m.end() - len(word)
+        named.add((s, s + len(word.rstrip(_EDGE))))
+    if named:
+        named.update(m.span() for m in _GROUPS.finditer(text))
+    i = 0
+    for s, e in sorted(named):
+        while i < len(shaped) and shaped[i][1] <= s:
             i += 1
-        if not any(a < e and s < b for a, b in taken[i : i + 4]):
-            rows.append((s, e, None))
+        word = text[s:e]
+        if sum(map(str.isalnum, word)) >= 4 and any(map(str.isalpha, word)) and any("0" <= c <= "9" for c in word) and not any(a < e and s < b for a, b in shaped[i : i + 4]):
+            out.append((None, s, e))
+    return out + [(None, *m.span()) for m in _LOOSE.finditer(text)]
+
+
+def _instance(kind: str | None, found: str) -> int:
+    """Emails and strings with letters are known by their whole text, others by their digits."""
+    if kind == "email" or any(map(str.isalpha, found)):
+        return _hash(found.lower())
+    return _hash(_DIGITS.sub("", found) or found)
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str | None, str | None, list[int]]]:
+    """(start, end, instance, kind or None, kind of the shape or None, patterns) of base spans and of loose ones.
+
+    Loose spans lie apart from base spans, or hold more than base spans of their own kind.
+    """
+    rows: list[tuple[int, int, str | None, str | None]] = [(s, e, k, k) for k, s, e in spans]
+    taken = sorted((s, e, k) for k, s, e in spans)
+    reach = max((e - s for s, e, _ in taken), default=0)
+    starts = [s for s, _, _ in taken]
+    for kind, s, e in sorted(loose_spans(text), key=lambda x: x[1:]):
+        over = [x for x in taken[bisect_left(starts, s - reach) : bisect_left(starts, e)] if s < x[1]]
+        if all(k == kind and s <= a and b <= e and (a, b) != (s, e) for a, b, k in over):
+            rows.append((s, e, None, kind))
     out = []
-    for s, e, kind in rows:
+    for s, e, kind, shape in rows:
         left = _BEFORE.search(text[max(0, s - CONTEXT) : s])
         right = _AFTER.match(text[e : e + CONTEXT])
         a, b = ((left[1] or "").lower(), left[2].lower()) if left else ("", "")
@@ -97,7 +155,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
         if b and c:
             patterns.append(_hash("L1R1", b, c))
         if patterns or kind:
-            out.append((s, e, _hash(_DIGITS.sub("", text[s:e]) or text[s:e]), kind, patterns))
+            out.append((s, e, _instance(shape, text[s:e]), kind, shape, patterns))
     return out
 
 
@@ -106,29 +164,35 @@ _SPAN = "array<struct<kind:string,start:int,stop:int>>"
 
 def _grow(seen: DataFrame) -> DataFrame:
     """doc_id, tag and the spans found through confident patterns."""
-    each = seen.select("doc_id", "tag", F.explode("contexts").alias("c")).select("doc_id", "tag", "c.start", "c.stop", "c.instance", "c.kind", F.explode("c.patterns").alias("pattern"))
-    graph = written(each.groupBy("pattern", "instance", "kind").agg(F.count("*").cast("double").alias("n")), "graph")
-    total = graph.groupBy("pattern").agg(F.sum("n").alias("all"))
-    seeds = graph.where("kind is not null").withColumn("score", F.lit(1.0))
-    others = graph.where("kind is null").drop("kind")
-    # patterns that seeds don't support enough, or that never stand beside anything else, lead nowhere
-    able = graph.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.count("*").alias("edges")).where((F.col("seeds") >= MIN_SEEDS) & (F.col("edges") > F.col("seeds"))).select("pattern")
-    able = written(able, "able")
-    seeds, others = seeds.join(able, "pattern"), written(others.join(able, "pattern"), "others")
-    seeded = written(seeds.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).join(total, "pattern"), "seeded")
-    believed = None
-    for turn in range(TURNS):
-        scored = seeded
+    each = seen.select("doc_id", "tag", F.explode("contexts").alias("c")).select("doc_id", "tag", "c.start", "c.stop", "c.instance", "c.kind", "c.shape", F.explode("c.patterns").alias("pattern"))
+    graph = written(each.groupBy("pattern", "instance", "kind", "shape").agg(F.count("*").cast("double").alias("n")), "graph")
+    # patterns of too few instances, or that never stand beside anything but seeds, lead nowhere
+    able = graph.groupBy("pattern").agg(F.sum("n").alias("all"), F.count("kind").alias("seeds"), F.count("*").alias("edges")).where((F.col("edges") >= MIN_SEEDS) & (F.col("edges") > F.col("seeds")))
+    able = written(able.select("pattern", "all"), "able")
+    seeds = written(graph.where("kind is not null").join(able, "pattern").select("pattern", "kind", "instance", F.col("n").alias("hits")), "seeds")
+    others = written(graph.where("kind is null").join(able, "pattern").select("pattern", "instance", "shape", "n"), "others")
+    good, believed = None, None
+    while True:
+        support = seeds
         if believed is not None:
-            more = others.join(believed, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("more"))
-            scored = seeded.join(more, ["pattern", "kind"], "left").withColumn("hits", F.col("hits") + F.coalesce("more", F.lit(0.0)))
-        good = scored.select("pattern", "kind", (F.col("hits") / F.col("all")).alias("trust")).where("trust >= 0.5")
-        if turn == TURNS - 1:
+            support = support.unionByName(others.join(believed, "instance").select("pattern", "kind", "instance", (F.col("n") * F.col("belief")).alias("hits")))
+        support = support.groupBy("pattern", "kind", "instance").agg(F.sum("hits").alias("hits"))
+        scored = support.groupBy("pattern", "kind").agg(F.sum("hits").alias("hits"), F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).join(able, "pattern")
+        scored = scored.select("pattern", "kind", (F.col("hits") / F.col("all")).alias("trust")).where("trust >= 0.5")
+        if good is None:
+            good = scored.withColumn("turn", F.lit(1))
+        else:
+            # a pattern is scored in TURNS turns and then keeps its trust, so that believed instances don't raise it without end
+            old = good.withColumnRenamed("trust", "before")
+            good = scored.join(old, ["pattern", "kind"], "full").select("pattern", "kind", F.when(F.col("turn") >= TURNS, F.col("before")).otherwise(F.greatest("trust", "before")).alias("trust"), F.least(F.coalesce("turn", F.lit(0)) + 1, F.lit(TURNS)).alias("turn"))
+        good = written(good, "good")
+        open_ = good.agg(F.count("*").alias("n"), F.count(F.when(F.col("turn") < TURNS, 1)).alias("new")).first()
+        if not open_["new"]:
             break
         doubt = F.sum(F.log(1.0 - F.least("trust", F.lit(0.999))))
-        believed = written(others.join(good, "pattern").groupBy("instance", "kind").agg((1.0 - F.exp(doubt)).alias("belief")), "believed")
-    good = written(good.where(F.col("trust") >= CONFIDENT), "good")
-    hit = each.where("kind is null").drop("kind").join(good, "pattern")
+        believed = written(others.join(good, "pattern").where("shape is null or shape = kind").groupBy("instance", "kind").agg((1.0 - F.exp(doubt)).alias("belief")), "believed")
+    good = written(good.where(F.col("trust") >= CONFIDENT).select("pattern", "kind", "trust"), "confident")
+    hit = each.where("kind is null").drop("kind").join(good, "pattern").where("shape is null or shape = kind")
     return hit.groupBy("doc_id", "tag", "start", "stop").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind")).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).alias("more"))
 
 
@@ -142,21 +206,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-        near = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("kind", pa.string()), ("patterns", pa.list_(pa.int64()))]))
+        near = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("kind", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.int64()))]))
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in chunks([len(t or "") for t in texts]):
                 base = [base_spans(t) if t else [] for t in texts[a:b]]
                 around = [contexts(t, s) if t else [] for t, s in zip(texts[a:b], base, strict=True)]
                 spans = [[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in base]
-                rows = [[{"start": s, "stop": e, "instance": i, "kind": k, "patterns": p} for s, e, i, k, p in x] for x in around]
+                rows = [[{"start": s, "stop": e, "instance": i, "kind": k, "shape": f, "patterns": p} for s, e, i, k, f, p in x] for x in around]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(spans, span), pa.array(rows, near)], ["doc_id", "tag", "base", "contexts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
-    seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,patterns:array<bigint>>>"), "contexts")
+    seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,shape:string,patterns:array<bigint>>>"), "contexts")
     more = _grow(seen).withColumnRenamed("doc_id", "id").withColumnRenamed("tag", "tag2")
-    # base and more hold no pair with one kind and start, since strings that overlap a base span aren't looked at
+    # more holds no span of base, since strings that overlap a base span are looked at only if they hold more than it
     order = F.array(*[F.lit(k) for k in KINDS])
     joined = seen.drop("contexts").join(more, seen["doc_id"].eqNullSafe(more["id"]) & (seen["tag"] == more["tag2"]), "left")
     whole = F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))), lambda x: F.struct(F.array_position(order, x["kind"]).alias("o"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))

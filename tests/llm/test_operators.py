@@ -275,6 +275,32 @@ def test_pii(odd, none, spark):
     assert "a.b@c.de" not in texts[13] and "<EMAIL>" in texts[13] and texts[2] is None and pii.redact(odd).columns == odd.columns
 
 
+def test_pii_beyond_digits(spark):
+    """Learnt patterns find emails and addresses of other shapes, and what can be reached through found instances only."""
+    rows = [(i, f"please write to mailbox user{i}@site{i}.org for details") for i in range(40)]
+    rows += [(100 + i, f"traffic from remote host 10.1.2.{i} was dropped") for i in range(40)]
+    more = {50: "jane (at) example dot org", 51: "jörg@müller.de", 52: "élise@example.fr", 53: "Bob at corp dot net"}
+    rows += [(i, f"please write to mailbox {x} for details") for i, x in more.items()]
+    rows += [(54, "please write to mailbox tomorrow for details"), (150, "traffic from remote host 2001:db8::ff00:42 was dropped")]
+    ids = [f"ZX-{i}7{i}Q" for i in range(8)]  # seen beside seeds of cards, then beside words that no seed stands beside
+    rows += [(300 + i, f"client card number: 4111 1111 1111 {c} ok") for i, c in enumerate(c for c in map("{:04d}".format, range(2000)) if pii.luhn(f"411111111111{c}"))]
+    rows += [(600 + i, f"client card number: {x} ok") for i, x in enumerate(ids)] + [(700 + i, f"our badge holder {x} entered") for i, x in enumerate(ids)]
+    rows += [(720, "our badge holder QQ-919R entered"), (721, "some other thing QQ-919K happened")]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    shown = lambda i: [(k, text[i][s:e]) for k, s, e in got[i]]
+    assert all(("email", x) in shown(i) for i, x in more.items()) and shown(54) == []
+    assert shown(150) == [("ip", "2001:db8::ff00:42")]
+    assert all(("card", x) in shown(a + i) for a in (600, 700) for i, x in enumerate(ids))
+    assert shown(720) == [("card", "QQ-919R")] and shown(721) == []
+
+
+def test_pii_instances():
+    """Emails are known by their whole lower-cased text, not by the digits in it."""
+    a, b, c = (pii.contexts(t, pii.base_spans(t))[0][2] for t in ("mail to Ann7@x.org now", "mail to bob7@y.org now", "write to ann7@x.org now"))
+    assert a == c != b
+
+
 def test_urls(spark):
     rows = [(1, "http://M.Example.ORG/es/1?x"), (2, "https://a.example.org/en/19"), (3, "http://x.com/fr/"), (4, "http://x.com/de/#a"), (5, None), (6, "no scheme"), (7, ""), (8, "http://org"), (9, "http://org/"), (10, "http://www.free-casino.example.com/en/7"), (11, "http://museum.example.com/en/7"), (11, "http://museum.example.com/en/7"), (None, "ftp://notorg.comx/fr/\nq")]
     got = [tuple(r)[:5] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.train(urls.labelled())).collect()]
