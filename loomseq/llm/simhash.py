@@ -283,7 +283,8 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def similar(docs: DataFrame, words: int = 5, likeness: float = ALIKE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", most: int = SETS) -> DataFrame:
-    """One row per row of `docs` with an id: doc_id, tag (a hash of the text) and component_id.
+    """One row per row of `docs` with an id: doc_id, tag (a hash of the text), component_id and first, the tag of the
+    component's first row by id and tag.
 
     Documents whose sets of `words`-word shingles have this Jaccard likeness or more are linked; component_id is the
     smallest doc_id that links reach. Candidates share a band of MinHash values, which documents alike by ALIKE are near
@@ -325,10 +326,11 @@ def similar(docs: DataFrame, words: int = 5, likeness: float = ALIKE, hot: int =
     pairs = found.join(sizes, "root").select(F.col("root").alias("key"), F.explode(_blocks("node", most)).alias("block"), "node", "sketch", "found")
     pairs = pairs.repartition("key", "block").sortWithinPartitions("key", "block", "node")
     root = components(pairs.mapInArrow(lambda x: _links(x, lambda s, f: _alike(s, f, likeness), 0), "u long, v long"))
-    of = written(nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
-    first = written(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
-    of = of.join(first, "root").select("node", "component_id")
-    return seen.select("doc_id", "tag", "node").join(of, "node").select("doc_id", "tag", "component_id")
+    of = written(nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), "tag"), "roots")
+    first = of.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("x"))
+    first = written(first.select("root", F.col("x.doc_id").alias("component_id"), F.col("x.tag").alias("first")), "first")
+    of = of.join(first, "root").select("node", "component_id", "first")
+    return seen.select("doc_id", "tag", "node").join(of, "node").select("doc_id", "tag", "component_id", "first")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -203,6 +203,19 @@ def test_similar_exact(spark):
         assert [got[i] for i in range(len(texts))] == part
 
 
+def test_clashing_ids(spark):
+    """Rows with one id but other texts are documents of their own; only copies and near copies go."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c = ([f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(3))
+    near = " ".join([*a[:190], "new"])
+    a, b, c = map(" ".join, (a, b, c))
+    rows = [(1, a), (2, b), (2, near), (2, b), (3, c), (3, "all other words here"), (4, c), (None, a)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), D)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (3, "all other words here"), (None, a)], key=str)
+
+
 def test_token_files(odd, none, docs):
     t = Tokenizer.from_file(WORD)
     for df in (odd, docs):
