@@ -228,14 +228,17 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node and root (the smallest node of its component) for every node of an edge, by large-star/small-star rounds.
 
-    Each round is a written table; the driver sees a count and a checksum only.
+    Each round is a written table; the driver sees a count and a checksum only. An error if the last round still
+    changed the edges.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         state = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == seen or state[0] == 0:
             break
+        if turn == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")

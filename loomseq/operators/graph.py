@@ -196,7 +196,8 @@ def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64) -> tu
     """The paths at the fixpoint, and for each generation (generation, joined, kept, ranks).
 
     Every generation is a written table, so lineage stays short and a lost executor costs one generation; the driver
-    sees three counts. Graphs of several keys are doubled together and end when all are done.
+    sees three counts. Graphs of several keys are doubled together and end when all are done; an error if they aren't
+    after `most` generations.
     """
     paths = spool(paths0(nodes, edges, key), "paths0")
     n = paths.count()
@@ -210,4 +211,7 @@ def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64) -> tu
         curve.append((g, temp, n, ranks))
         if n == 0 or g > 3 and ranks == n:
             break
+    else:
+        if n:
+            raise RuntimeError(f"paths still double after {most} generations")
     return paths, curve

@@ -144,6 +144,13 @@ def test_simhash(odd, none, docs):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_components_rounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
+    assert {r["root"] for r in simhash.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, 1)
+
+
 def test_similar(spark, none):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]

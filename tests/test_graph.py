@@ -1,5 +1,6 @@
 """Golden numbers of a 200-base sequence with three substitutions in two haplotypes, and of single variants."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomseq.operators import graph, index, ranges, ranks
@@ -30,6 +31,12 @@ def test_tiny(spark, tmp_path):
     assert paths.count() == 241
 
 
+def test_doubling_too_short(spark, tmp_path):
+    nodes, edges = build(spark, tmp_path, [("v", "single", "chrT", "50", "A")], [("h", "chrT", "50", "50", "v")])
+    with pytest.raises(RuntimeError):
+        graph.doubling(nodes, edges, "chrom", most=1)
+
+
 def test_single_variants(spark, tmp_path):
     for row, hap, want in ((("v", "deletion", "chrT", "50", "3"), ("h", "chrT", "50", "52", "v"), 203), (("v", "single", "chrT", "50", "A"), ("h", "chrT", "50", "50", "v"), 204)):
         nodes, edges = build(spark, tmp_path, [row], [hap])
