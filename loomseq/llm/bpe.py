@@ -1,7 +1,7 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
-The words of many texts are collected once each (by a 64-bit hash), their symbols lie in one flat array, and each round
-merges the lowest-ranked pair of every word at once; ranks come from a binary search over sorted pair keys.
+The words of many texts are collected once each, their symbols lie in one flat array, and each round merges the
+lowest-ranked pair of every word at once; ranks come from a binary search over sorted pair keys.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, small_batches
+from .common import text_chunks
 
 #: The pre-tokenizer pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,7 +32,7 @@ for _a, _b in ("AZ", "az", "ªª", "µµ", "ºº", "ÀÖ", "Øö", "øɏ"):
     _CLASS[ord(_a) : ord(_b) + 1] = LETTER
 _CLASS[[*range(48, 58), *map(ord, "²³¹¼½¾")]] = NUMBER
 #: Distinct words that a worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Symbols from which a word is merged with a heap: rounds over it would cost its length times its merges.
 LONG_WORD = 256
 
@@ -45,30 +45,10 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
-_HASH = mix(np.arange(1, 0x2101, dtype=np.uint64))
-_BASE = np.uint64(0x8EBC6AF09C88C6E3)
-_power = [np.ones(1, np.uint64)]
-
-
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
-def hashes(cp: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, given by place and length in an array of code points."""
-    longest = int(lens.max())
-    if len(_power[0]) < longest:
-        table = np.full(1 << longest.bit_length(), _BASE, np.uint64)
-        table[0] = 1
-        _power[0] = np.multiply.accumulate(table)
-    first = np.cumsum(lens) - lens
-    pos = np.arange(int(lens.sum()), dtype=np.int32)
-    c = cp[pos + np.repeat((starts - first).astype(np.int32), lens)]
-    pos -= np.repeat(first.astype(np.int32), lens)
-    value = _HASH[c] if c.max() < len(_HASH) else mix(c.astype(np.uint64) + np.uint64(1))
-    return mix(np.add.reduceat(value * _power[0][pos], first))
-
-
 def cut_plain(cp: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of plain texts, which zeros part from each other.
 
@@ -104,13 +84,13 @@ def cut_plain(cp: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCache:
-    """The ids of each distinct word, found once and kept by a 64-bit hash; subclasses say how words are encoded."""
+    """The ids of each distinct word, found once and kept by the word itself; subclasses say how words are encoded."""
 
     def __init__(self) -> None:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._known: dict[str, int] = {}
         self._flat, self._at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,30 +100,31 @@ class WordCache:
         """The number of each word in the cache, in which words that are new get the next ones."""
         if not len(starts):
             return np.zeros(0, np.int32)
-        if len(self._keys) > CACHE_WORDS:
+        if len(self._known) > CACHE_WORDS:
             self._forget()
-        each = hashes(cp, starts, ends - starts)
-        order = np.argsort(each)
-        ordered = each[order]
-        first = np.ones(len(order), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        key, at = ordered[first], order[first]
-        back = np.empty(len(order), np.int32)
-        back[order] = np.cumsum(first, dtype=np.int32) - 1
-        place = np.searchsorted(self._keys, key)
-        new = np.ones(len(key), bool)
-        if len(self._keys):
-            new = self._keys[np.minimum(place, len(self._keys) - 1)] != key
-        fresh = at[new]
-        if len(fresh):
-            ids, count = self.encode_words([text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-            number = np.arange(len(self._at) - 1, len(self._at) - 1 + len(fresh), dtype=np.int32)
+        raw = text.encode()
+        edges = np.stack([starts, ends], axis=1).ravel()
+        if len(raw) != len(cp):
+            edges = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))])[edges]
+        # words and what lies between them, end to end, make up one Arrow array, which knows its distinct values
+        new = np.ones(len(edges), bool)
+        new[1:] = edges[1:] != edges[:-1]
+        offsets = edges[new].astype(np.int32)
+        runs = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        each = runs.indices.to_numpy()[np.cumsum(new)[::2] - 1]
+        used = np.zeros(len(runs.dictionary), bool)
+        used[each] = True
+        at = np.flatnonzero(used)
+        words = runs.dictionary.take(pa.array(at)).to_pylist()
+        fresh = [w for w in words if w not in self._known]
+        if fresh:
+            ids, count = self.encode_words(fresh)
+            self._known.update(zip(fresh, range(len(self._known), len(self._known) + len(fresh)), strict=True))
             self._flat = np.concatenate([self._flat, ids.astype(np.int32)])
             self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(count)])
-            self._place = np.insert(self._place, place[new], number)
-            self._keys = np.insert(self._keys, place[new], key[new])
-            place = np.searchsorted(self._keys, key)
-        return self._place[place][back]
+        number = np.zeros(len(used), np.int32)
+        number[at] = [self._known[w] for w in words]
+        return number[each]
 
     def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and where each word begins among them."""
@@ -334,15 +315,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks([len(t) for t in texts]):
-                ids, at = bpe.encode_batch(texts[a:b])
-                out = [ids[at[i] : at[i + 1]] for i in range(b - a)]
+            for part, texts in text_chunks(batch, 1):
+                ids, at = bpe.encode_batch([t or "" for t in texts])
+                out = [ids[at[i] : at[i + 1]] for i in range(len(texts))]
                 back = [bpe.decode(x).decode("utf-8", "replace") for x in out]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

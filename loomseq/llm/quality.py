@@ -1,22 +1,23 @@
 """Quality rules: counts with fixed limits, and divergence from the language.
 
 Each text is described by its characters in classes and by how often common words occur. The references are the mean
-histograms of each language over all documents that pass the counts, taken again over those near the first mean. A
-text farther from its language than a limit in Jensen-Shannon distance is rejected, unless it is too short to tell.
+histograms of each language over all documents that pass the counts, taken again over those near the first mean; so a
+verdict depends on the table judged, unless references are given (`references` of another table, to be kept). A text
+farther from its language than a limit in Jensen-Shannon distance is rejected, unless it is too short to tell.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, written
+from .common import text_chunks, written
 from .substring import gram_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -44,6 +45,23 @@ GUARD, FAR_CHARS, FAR_WORDS, SCATTER = 60, 0.13, 0.40, 0.8
 LANGS = [*sorted(COMMON), ""]
 
 
+def _repeated(words: list[bytes], hashes: Callable[[list[bytes]], np.ndarray] = word_hashes) -> np.ndarray:
+    """Where windows of REPEAT_WINDOW words begin that are found twice or more: hashes propose, the words decide."""
+    grams = gram_hashes(hashes(words), REPEAT_WINDOW)
+    order = np.argsort(grams, kind="stable")
+    equal = grams[order][1:] == grams[order][:-1]
+    if not equal.any():
+        return np.zeros(0, np.int64)
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    a, b = order[:-1][equal], order[1:][equal]
+    if all((ids[a + i] == ids[b + i]).all() for i in range(REPEAT_WINDOW)):
+        return np.union1d(a, b)
+    # windows of one hash that differ: compare them all as they are
+    _, which, n = np.unique(np.lib.stride_tricks.sliding_window_view(ids, REPEAT_WINDOW), axis=0, return_inverse=True, return_counts=True)
+    return np.flatnonzero(n[which.ravel()] > 1)
+
+
 def counts(text: str | None, symbols: str = SYMBOLS) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""
@@ -51,18 +69,11 @@ def counts(text: str | None, symbols: str = SYMBOLS) -> tuple[int, int, int, int
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     repeats = 0
-    if len(words) > REPEAT_WINDOW:
-        grams = gram_hashes(word_hashes(words), REPEAT_WINDOW, "gram")
-        order = np.argsort(grams)
-        equal = grams[order][1:] == grams[order][:-1]
-        if equal.any():
-            twice = np.zeros(len(grams), bool)
-            twice[order[1:][equal]] = twice[order[:-1][equal]] = True
-            edge = np.zeros(len(words) + 1, np.int64)
-            at = np.flatnonzero(twice)
-            edge[at] += 1
-            edge[at + REPEAT_WINDOW] -= 1
-            repeats = int((np.cumsum(edge) > 0).sum())
+    if len(words) > REPEAT_WINDOW and len(at := _repeated(words)):
+        edge = np.zeros(len(words) + 1, np.int64)
+        edge[at] += 1
+        edge[at + REPEAT_WINDOW] -= 1
+        repeats = int((np.cumsum(edge) > 0).sum())
     return len(words), len(text) - sum(text.count(c) for c in " \t\n\v\f\r"), sum(text.count(c) for c in symbols), len(lines) - len(set(lines)), repeats
 
 
@@ -96,16 +107,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
-                base = [counts(t) for t in texts[a:b]]
-                hist = [histograms(t) for t in texts[a:b]]
+            for part, texts in text_chunks(batch, 3):
+                base = [counts(t) for t in texts]
+                hist = [histograms(t) for t in texts]
                 cols = [pa.array(c, pa.int64()) for c in zip(*base, strict=True)]
                 lists = [pa.array([h[i] for h in hist], pa.list_(pa.int32())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), *cols, *lists], ["doc_id", "tag", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols, *lists], ["doc_id", "tag", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), lang).alias("tag"), lang.alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), lang).alias("tag"), lang.alias("lang"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, tag long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     return written(rows.mapInArrow(run, schema).withColumn("base_failed", failed), "features")
@@ -165,15 +175,15 @@ def references(table: DataFrame, rounds: int = 2) -> dict[str, tuple[np.ndarray,
     return refs
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, tag, the five counts, base_failed, js_chars, js_words, kept.
 
     Null and empty texts have no words and fail. Unknown and null languages are held against the nearest reference.
-    Without a document that passes the counts there are no references, and distances are 0. Repeated rows are judged
-    alike. An empty table gives no rows; other columns are ignored.
+    Without a document that passes the counts there are no references, and distances are 0. `refs` takes the references
+    from elsewhere instead. Repeated rows are judged alike. An empty table gives no rows; other columns are ignored.
     """
     table = features(docs, id_col, text_col, lang_col)
-    refs = references(table)
+    refs = references(table) if refs is None else refs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

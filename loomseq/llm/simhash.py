@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, written
+from .common import forget, mix, text_chunks, written
 from .substring import gram_hashes, word_hashes
 
 BITS, LEAST_BYTES = 3, 5
@@ -66,12 +66,12 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """doc_id and fp, the fingerprint as a signed long; a row for each row of `docs`, null texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        for part, texts in (x for batch in batches for x in text_chunks(batch, 1)):
+            fp = np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _key(positions: tuple[int, ...], number: int) -> Column:
@@ -244,9 +244,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, e = e, written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(old, least, large, lower)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
     """The hashes of the distinct shingles of `size` words, in order; fewer words: the whole sequence."""
-    return np.unique(gram_hashes(word_hashes(words), min(size, len(words)), "gram")) if words else np.zeros(0, np.uint64)
+    return np.unique(gram_hashes(word_hashes(words), min(size, len(words)))) if words else np.zeros(0, np.uint64)
 
 
 def minhashes(found: np.ndarray) -> np.ndarray:
@@ -297,24 +298,24 @@ def similar(docs: DataFrame, words: int = 5, likeness: float = ALIKE, hot: int =
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in (x for batch in batches for x in text_chunks(batch, 2)):
             node, sketches, keys = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in texts:
                 found = shingles((text or "").encode().lower().split(), words)
                 least = minhashes(found)
                 node.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
                 sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
                 keys.append(bands(least) if len(found) else [])
-            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "node", "sketch", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles((t or "").encode().lower().split(), words).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["node", "root", "sketch", "found"])
+        for part, texts in (x for batch in batches for x in text_chunks(batch, 3)):
+            found = [shingles((t or "").encode().lower().split(), words).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["node", "root", "sketch", "found"])
 
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text_col).alias("text"))
     seen = written(rows.mapInArrow(sketch, "doc_id long, tag long, node long, sketch binary, keys array<long>"), "sketches")
     nodes = written(seen.groupBy("node").agg(F.min(F.struct("doc_id", "tag", "sketch", "keys")).alias("x")).select("node", "x.*"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))

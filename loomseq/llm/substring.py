@@ -2,9 +2,10 @@
 
 Seeds: every window of 50 words has an anchor, the least hash of the SEED-word grams in it, so equal windows have equal
 anchors and a document has about one anchor per 21 words. Documents are joined on anchors. Around anchors that two
-documents share, matches are extended both ways: each window that holds the anchor is named by (anchor, hash of its 50
-words), and windows of that name are grouped to find the first document with it. Neighbouring matched windows
-make up the maximal repeats, whose words go. Exact copies are settled by their digest before.
+documents share, matches are extended both ways: each window that holds the anchor is named by a cryptographic digest of its
+words themselves, and windows of that name are grouped to find the first document with it. Neighbouring matched windows
+make up the maximal repeats, whose words go. Exact copies are settled by their digest before. Hashes only propose; what
+goes is decided by digests for which no two different inputs are known.
 """
 
 from __future__ import annotations
@@ -14,67 +15,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, small_batches, written
+from .common import mix, text_chunks, written
 
 SEED = 10
 EMPTY = hashlib.sha256(b"").digest()
-_random = np.random.default_rng(50)
-#: A random value for each byte, and an odd base for each kind of hash.
-BYTE = _random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASES = {"word": np.uint64(0x9E6C63D0876A9A47), "gram": np.uint64(0xC2B2AE3D27D4EB4F), "window": np.uint64(0xA0761D6478BD642F)}
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n, modulo 2**64."""
-    if kind not in _powers or _powers[kind].shape[1] < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        base = BASES[kind]
-        both = np.array([base, pow(int(base), -1, 1 << 64)], np.uint64)
-        table = np.ones((2, size), np.uint64)
-        table[:, 1:] = both[:, None]
-        np.multiply.accumulate(table, axis=1, out=table)
-        _powers[kind] = table
-    return _powers[kind][0, :n], _powers[kind][1, :n]
+FOLD = np.uint64(0x9E6C63D0876A9A47)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, in pieces of bounded bytes."""
-    out = []
-    for a, b in chunks([len(w) for w in words]):
-        lens = np.array([len(w) for w in words[a:b]], np.int64)
-        data = np.frombuffer(b"".join(words[a:b]), np.uint8)
-        starts = np.cumsum(lens) - lens
-        power, _ = _power("word", int(lens.max()))
-        out.append(mix(np.add.reduceat(BYTE[data] * power[np.arange(len(data)) - np.repeat(starts, lens)], starts)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def gram_hashes(w: np.ndarray, k: int, kind: str) -> np.ndarray:
-    """Hashes of k consecutive words, by place of the first."""
+    """The XXH3 hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def gram_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k consecutive words, by place of the first: halves are joined and mixed, so nothing cancels out."""
     if len(w) < k:
         return np.zeros(0, np.uint64)
-    power, inverse = _power(kind, len(w))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * power, dtype=np.uint64)])
-    return mix((total[k:] - total[:-k]) * inverse[: len(w) - k + 1])
+    h, have = w, 1
+    while have < k:
+        step = min(have, k - have)
+        h = mix(h[:-step] * FOLD + h[step:])
+        have += step
+    return h
 
 
-def windows(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `length` words: its anchor, and the hash of the window."""
-    w = word_hashes(words)
-    low = gram_hashes(w, SEED, "gram")
+def anchors_of(words: list[bytes], length: int) -> np.ndarray:
+    """The anchor of each window of `length` words."""
+    low = gram_hashes(word_hashes(words), SEED)
     span = length - SEED + 1
     if len(low) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     have = 1
     while have < span:
         step = min(have, span - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    return low.view(np.int64), gram_hashes(w, length, "window").view(np.int64)
+    return low.view(np.int64)
+
+
+def names_of(flat: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of 128 bits, as two numbers, of the stretches of words between two byte places."""
+    name = hashlib.blake2b
+    digests = b"".join([name(flat[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -106,19 +93,18 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     to the next word; where nothing goes it is the input (null stays null). Empty tables give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(id_col).alias("given"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(id_col).alias("given"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_ = batch.column(3).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts_]):
+            for part, texts_ in text_chunks(batch, 3):
                 n, sha, anchors = [], [], []
-                for t in texts_[a:b]:
+                for t in texts_:
                     words = (t or "").encode().split()
                     n.append(len(words))
                     sha.append(_digest(words))
-                    anchors.append(np.unique(windows(words, length)[0]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "given", "tag", "n_words", "sha", "anchors"])
+                    anchors.append(np.unique(anchors_of(words, length)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "given", "tag", "n_words", "sha", "anchors"])
 
     seen = written(rows.mapInArrow(read, f"doc_id long, given {kind}, tag long, n_words long, sha binary, anchors array<long>"), "anchors")
     # exact copies: the first document of each word sequence stands for all
@@ -130,25 +116,27 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     seeded = seeds.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_list("anchor").alias("anchors"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, tag, anchors in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+        for part, texts in (x for batch in batches for x in text_chunks(batch, 1)):
+            for doc, text, tag, anchors in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), part.column(3), strict=True):
                 words = (text or "").encode().split()
-                anchor, window = windows(words, length)
-                at = np.flatnonzero(np.isin(anchor, anchors.values.to_numpy()))
-                for i in range(0, len(at), 1 << 18):
-                    j = at[i : i + (1 << 18)]
-                    cols = [np.full(len(j), doc), np.full(len(j), tag), anchor[j], window[j]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(j, pa.int32())], ["doc_id", "tag", "anchor", "window", "at"])
+                at = np.flatnonzero(np.isin(anchors_of(words, length), anchors.values.to_numpy()))
+                flat, stops = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+                starts = np.concatenate([[0], stops[:-1] + 1])
+                for i in range(0, len(at), 1 << 16):
+                    j = at[i : i + (1 << 16)]
+                    name = names_of(flat, starts[j], stops[j + length - 1])
+                    cols = [np.full(len(j), doc), np.full(len(j), tag), name[:, 0], name[:, 1]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(j, pa.int32())], ["doc_id", "tag", "a", "b", "at"])
 
     keyed = rows.select("doc_id", "tag", "text")
-    found = written(keyed.join(seeded, ["doc_id", "tag"]).select("doc_id", "text", "tag", "anchors").mapInArrow(extend, "doc_id long, tag long, anchor long, window long, at int"), "windows")
-    named = written(found.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "repeats")
-    repeats = found.join(named, ["anchor", "window"]).where("doc_id > lo").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
+    found = written(keyed.join(seeded, ["doc_id", "tag"]).select("doc_id", "text", "tag", "anchors").mapInArrow(extend, "doc_id long, tag long, a long, b long, at int"), "windows")
+    named = written(found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "repeats")
+    repeats = found.join(named, ["a", "b"]).where("doc_id > lo").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts_ in (x for batch in batches for x in text_chunks(batch, 1)):
             out: list[tuple] = []
-            for doc, text, tag, at in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            for doc, text, tag, at in zip(part.column(0).to_pylist(), texts_, part.column(2).to_pylist(), part.column(3), strict=True):
                 raw = (text or "").encode()
                 words = raw.split()
                 edge = np.zeros(len(words) + 1, np.int64)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import CONTRACTED, PLAIN, WordCache
-from .common import chunks, partitions, range_bounds, range_bucket, small_batches, written
+from .common import Ranges, partitions, text_chunks, written
 
 HEAD = struct.Struct("<4sIIIQQ")
 #: Ids from which a block is closed: its rank table is then a few hundredths of it.
@@ -153,19 +153,16 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, buckets: int = 0, id
 
     Columns: bucket, block, before (ids of the bucket ahead of the block), n_ids, payload. Buckets are ranges of the
     integer document id in ascending order (null ids first); within one, blocks are in order. Rows with one id follow
-    each other in the order of their ids' bytes.
+    each other in any order; where they, or rows without an id, fill several buckets, they get several.
     """
-    spark = docs.sparkSession
-    n = buckets or 4 * partitions(spark)
-    bounds = range_bounds(docs, id_col, n)
+    ranges = Ranges(docs, id_col, buckets or 4 * partitions(docs.sparkSession))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for a, b in chunks([len(t) for t in texts]):
-                ids = [x.astype("<u4").tobytes() if len(x) and x.max() > 0xFFFF else b"\0" + x.astype("<u2").tobytes() for x in bpe.encode_batch(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+            for part, texts in text_chunks(batch, 2):
+                ids = [x.astype("<u4").tobytes() if len(x) and x.max() > 0xFFFF else b"\0" + x.astype("<u2").tobytes() for x in bpe.encode_batch([t or "" for t in texts])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, before, held, size = None, 0, 0, [], 0
@@ -189,8 +186,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, buckets: int = 0, id
         if held:
             yield close()
 
-    rows = small_batches(docs).select(range_bucket(F.col(id_col), bounds).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.mapInArrow(tokens, "bucket int, doc_id long, ids binary").repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(997)) / F.lit(997.0)
+    rows = docs.select(ranges.number(F.col(id_col).cast("long"), spread).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    dealt = rows.mapInArrow(tokens, "bucket int, doc_id long, ids binary").repartitionById(ranges.count, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     return written(dealt.mapInArrow(blocks, "bucket int, block int, before long, n_ids long, payload binary"), "tokens")
 
 
