@@ -1,10 +1,12 @@
-"""Document fingerprints: invertible Bloom lookup tables over paragraph digests, in DataFrame functions only.
+"""Document fingerprints: invertible Bloom lookup sketches over paragraph digests, in DataFrame functions only.
 
-A table has CELLS cells in three parts, and a digest is added to one cell of each part: the cell counts it and holds the
-exclusive or of its digests and of their check values. Tables of two versions are subtracted cell by cell, so common
+A paragraph is a line, or a stretch of at most PIECE characters of a longer one. A table has CELLS cells in three parts,
+and a digest is added to one cell of each part: the cell counts it and holds the exclusive or of its digests and of their
+check values. A sketch of level n has 2**n tables, chosen by the leading bits of the digest, so that each takes few
+digests; sketches of other levels are folded to the lower one. Two sketches are subtracted cell by cell, so common
 paragraphs vanish; peeling then takes cells with a single digest, removes it from its other cells, and goes on until
-nothing is left. Long texts get 2**level tables, chosen by the leading bits of the digest, so that each takes few
-digests; where peeling gets stuck, the pair is tried again with four times as many tables and other cells.
+nothing is left but the digests that only one of them has. A sketch is made larger until it can itself be peeled; so where
+a difference is too large to peel, both sketches are peeled and what they hold is compared.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, range_bucket
+from .common import Ranges, partitions
 
-CELLS, PART, LOAD, ROUNDS, TRIES = 48, 16, 16, 10, 4
+PIECE = 192
+CELLS, PART, LOAD, ROUNDS, TRIES = 48, 16, 12, 10, 4
+SALT, CHECK = 11, 77
 LEAST = -(1 << 63)
 
 
@@ -26,124 +30,182 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of the paragraphs (lines that aren't empty)."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    """The distinct 64-bit digests of the paragraphs (pieces of lines that aren't empty, cut at white space if there is any)."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}(?!\S)|[^\n]{{1,{PIECE}}}"), F.lit(0))
+    return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
 
 
-def _entry(key: Column, sign: Column, salt: int) -> Column:
+def _cell(c: Column, k: Column, h: Column) -> Column:
+    return F.struct(c.cast("int").alias("c"), k.cast("long").alias("k"), h.cast("int").alias("h"))
+
+
+def _check(key: Column) -> Column:
+    return F.shiftright(F.xxhash64(key, F.lit(CHECK)), 32).cast("int")
+
+
+def _entry(key: Column, sign: Column) -> Column:
+    """A digest with its check value and its place in each part."""
+
     def of(g: Column) -> Column:
         place = lambda i: (F.pmod(F.shiftright(g, 8 * i), F.lit(PART)) + PART * i).cast("int")
-        return F.struct(sign.cast("int").alias("c"), key.alias("k"), F.xxhash64(key, F.lit(77)).alias("h"), place(0).alias("p"), place(1).alias("q"), place(2).alias("r"))
+        return F.struct(sign.cast("int").alias("c"), key.alias("k"), _check(key).alias("h"), place(0).alias("p"), place(1).alias("q"), place(2).alias("r"))
 
-    return let(F.xxhash64(key, F.lit(salt)), of)
+    return let(F.xxhash64(key, F.lit(SALT)), of)
 
 
-def _cell(c: Column, k: Column, h: Column) -> Column:
-    return F.struct(c.cast("int").alias("c"), k.cast("long").alias("k"), h.cast("long").alias("h"))
+def _add(x: Column, y: Column, sign: int) -> Column:
+    return _cell(x["c"] + sign * y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))
 
 
-def _take(cell: Column, e: Column, i: Column, sign: int) -> Column:
-    """A cell with an entry added (1) or removed (-1), if the entry belongs to cell i."""
-    return F.when((e["p"] == i) | (e["q"] == i) | (e["r"] == i), _cell(cell["c"] + sign * e["c"], cell["k"].bitwiseXOR(e["k"]), cell["h"].bitwiseXOR(e["h"]))).otherwise(cell)
+def _put(cell: Column, entries: Column, i: Column, sign: int) -> Column:
+    """Cell i with those entries added (1) or removed (-1) that belong to it."""
+    mine = F.filter(entries, lambda e: (e["p"] == i) | (e["q"] == i) | (e["r"] == i))
+    return F.aggregate(mine, cell, lambda x, e: _add(x, e, sign))
 
 
-def table(keys: Column, salt: int) -> Column:
+def table(keys: Column) -> Column:
     """The cells of a set of digests."""
     zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-    build = lambda es: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(es, zero, lambda cell, e: _take(cell, e, i, 1)))
-    return let(F.transform(keys, lambda d: _entry(d, F.lit(1), salt)), build)
+    build = lambda es: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _put(zero, es, i, 1))
+    return let(F.transform(keys, lambda d: _entry(d, F.lit(1))), build)
 
 
-def peel(a: Column, b: Column, salt: int) -> Column:
-    """Of two tables: struct(a, b) of how many digests only one of them has, null if peeling gets stuck."""
-    cells = F.zip_with(a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
-    state = lambda cells, a, b: F.struct(cells.alias("cells"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+def peel(cells: Column) -> Column:
+    """The digests of a table or of a difference as an array of struct(c, k), c -1 for the second's; null if it gets stuck."""
+    state = lambda cells, found: F.struct(cells.alias("cells"), found.alias("found"))
+    none = F.array().cast("array<struct<c:int,k:bigint>>")
 
     def step(s: Column, _: Column) -> Column:
-        pure = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == F.xxhash64(x["k"], F.lit(77))))
-        found = F.array_distinct(F.transform(pure, lambda x: _entry(x["k"], x["c"], salt)))
+        pure = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])))
 
         def remove(es: Column) -> Column:
-            rest = F.transform(s["cells"], lambda cell, i: F.aggregate(es, cell, lambda x, e: _take(x, e, i, -1)))
-            plus = F.size(F.filter(es, lambda e: e["c"] == 1))
-            return F.when(F.size(es) == 0, s).otherwise(state(rest, s["a"] + plus, s["b"] + F.size(es) - plus))
+            rest = F.transform(s["cells"], lambda cell, i: _put(cell, es, i, -1))
+            more = F.transform(es, lambda e: F.struct(e["c"].alias("c"), e["k"].alias("k")))
+            return F.when(F.size(es) == 0, s).otherwise(state(rest, F.concat(s["found"], more)))
 
-        return let(found, remove)
+        return let(F.array_distinct(F.transform(pure, lambda x: _entry(x["k"], x["c"]))), remove)
 
-    done = lambda s: F.when(F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)), F.struct(s["a"].alias("a"), s["b"].alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.lit(0), F.lit(0)), step, done)
+    empty = lambda s: F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, none), step, lambda s: F.when(empty(s), s["found"]))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """struct(a, b): how many digests of two sets are only in the first, only in the second.
+def _power(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+
+
+def _numbers(bits: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), _power(bits) - 1)
+
+
+def _tables(keys: Column, level: Column) -> Column:
+    """The cells of 2**level tables, one after another; keys are dealt out in two steps, by half of the bits each."""
+
+    def part(keys: Column, bits: Column, skip: Column, p: Column) -> Column:
+        """Digests whose bits after the first `skip` are p."""
+        mine = lambda d: F.pmod(F.call_function("shiftrightunsigned", d, F.lit(64) - bits - skip), _power(bits)) == p
+        return F.when(bits == 0, keys).otherwise(F.filter(keys, mine))
+
+    def split(level: Column) -> Column:
+        high = F.ceil(level / 2).cast("int")
+        low = (level - high).cast("int")
+        inner = lambda some: F.flatten(F.transform(_numbers(low), lambda q: table(part(some, low, high, q))))
+        return F.flatten(F.transform(_numbers(high), lambda p: let(part(keys, high, F.lit(0), p), inner)))
 
-    The tables grow until they can be peeled. Should the last try fail as well (sets that differ in colliding digests
-    only), the sets are compared themselves.
+    return let(level, split)
+
+
+def _at(cells: Column, p: Column) -> Column:
+    return F.slice(cells, (p * CELLS + 1).cast("int"), F.lit(CELLS))
+
+
+def _decoded(cells: Column, level: Column) -> Column:
+    """The digests that a sketch's cells hold, null if some table gets stuck."""
+    each = F.transform(_numbers(level), lambda p: peel(_at(cells, p)))
+    return let(each, lambda x: F.when(F.forall(x, lambda t: t.isNotNull()), F.transform(F.flatten(x), lambda e: e["k"])))
+
+
+def sketch(keys: Column) -> Column:
+    """struct(level, n, cells): the smallest sketch of a set of n digests from about LOAD digests a table that can be peeled.
+
+    Should TRIES levels fail (digests that share all their cells), level is -1 and the cells are the digests themselves.
     """
+    size = F.size(keys)
+    least = F.when(size <= LOAD, F.lit(0)).otherwise(F.least(F.ceil(F.log2(size / F.lit(LOAD))).cast("int"), F.lit(40)))
 
     def attempt(n: int) -> Column:
-        size = F.size(a) + F.size(b)
-        level = F.greatest(F.lit(0), F.ceil(F.log2(size / F.lit(LOAD))).cast("int") + F.lit(2 * n))
-        level = F.when(size == 0, F.lit(0)).otherwise(F.least(level, F.lit(40)))
-        add = lambda x, y: F.struct((x["a"] + y["a"]).cast("int").alias("a"), (x["b"] + y["b"]).cast("int").alias("b"))
-        zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+        level = (least + F.lit(n)).cast("int")
+        made = lambda cells: F.when(_decoded(cells, level).isNotNull(), F.struct(level.alias("level"), size.alias("n"), cells.alias("cells")))
+        return let(_tables(keys, level), made)
+
+    listed = F.transform(F.array_sort(keys), lambda d: _cell(F.lit(1), d, F.lit(0)))
+    return F.coalesce(*[attempt(n) for n in range(TRIES)], F.struct(F.lit(-1).alias("level"), size.alias("n"), listed.alias("cells")))
+
 
-        def part(keys: Column, bits: Column, skip: Column, p: Column) -> Column:
-            """Digests whose bits after the first `skip` are p."""
-            return F.when(bits == 0, keys).otherwise(F.filter(keys, lambda d: F.pmod(F.call_function("shiftrightunsigned", d, F.lit(64) - bits - skip), F.call_function("shiftleft", F.lit(1).cast("long"), bits)) == p))
+def _held(s: Column) -> Column:
+    """The digests of a sketch."""
+    return F.when(s["level"] < 0, F.transform(s["cells"], lambda x: x["k"])).otherwise(_decoded(s["cells"], s["level"]))
 
-        def numbers(bits: Column) -> Column:
-            return F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
 
-        def split(level: Column) -> Column:
-            high = F.ceil(level / 2).cast("int")
-            low = (level - high).cast("int")
+def _folded(s: Column, level: Column, p: Column) -> Column:
+    """Table p of a sketch folded to a level: the tables that it is split into are added up cell by cell."""
+    many = _power(s["level"] - level)
+    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
+    of = lambda i: F.aggregate(F.sequence(F.lit(0).cast("long"), many - 1), zero, lambda x, j: _add(x, F.get(s["cells"], ((p * many + j) * CELLS + i).cast("int")), 1))
+    return F.when(s["level"] == level, _at(s["cells"], p)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), of))
 
-            def outer(acc: Column, p: Column) -> Column:
-                inner = lambda ab: F.aggregate(numbers(low), acc, lambda acc2, q: add(acc2, peel(table(part(ab["a"], low, high, q), 11 + n), table(part(ab["b"], low, high, q), 11 + n), 11 + n)))
-                return let(F.struct(part(a, high, F.lit(0), p).alias("a"), part(b, high, F.lit(0), p).alias("b")), inner)
 
-            # a table that is stuck makes the sum's members null
-            return F.aggregate(numbers(high), zero, outer, lambda s: F.when(s["a"].isNotNull(), s))
+def difference(a: Column, b: Column) -> Column:
+    """struct(a, b): how many digests only the first sketch has, only the second; from the sketches alone."""
+    count = lambda es, sign: F.size(F.filter(es, lambda e: e["c"] == sign))
+    pair = lambda x, y: F.struct(x.cast("int").alias("a"), y.cast("int").alias("b"))
 
-        return let(level, split)
+    def subtracted(level: Column) -> Column:
+        one = lambda p: peel(F.zip_with(_folded(a, level, p), _folded(b, level, p), lambda x, y: _add(x, y, -1)))
+        each = F.transform(_numbers(level), one)
+        # a difference has as many digests as the sketches differ in size, at least; tables that can't hold them aren't tried
+        fits = (level >= 0) & (F.abs(a["n"] - b["n"]) <= F.lit(2 * LOAD) * _power(level))
+        return F.when(fits, let(each, lambda x: F.when(F.forall(x, lambda t: t.isNotNull()), let(F.flatten(x), lambda es: pair(count(es, 1), count(es, -1))))))
 
-    exact = F.struct(F.size(F.array_except(a, b)).alias("a"), F.size(F.array_except(b, a)).alias("b"))
-    return F.coalesce(*[attempt(n) for n in range(TRIES)], exact)
+    compared = lambda x: pair(F.size(F.array_except(x["a"], x["b"])), F.size(F.array_except(x["b"], x["a"])))
+    return F.coalesce(let(F.least(a["level"], b["level"]), subtracted), let(F.struct(_held(a).alias("a"), _held(b).alias("b")), compared))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two digest sets through their tables; 1 for two empty sets."""
-    return let(difference(a, b), lambda d: F.when(F.size(a) + d["b"] == 0, F.lit(1.0)).otherwise((F.size(a) - d["a"]) / (F.size(a) + d["b"])))
+    """Jaccard likeness of what two sketches hold; 1 for two empty ones."""
+    return let(difference(a, b), lambda d: F.when(a["n"] + d["b"] == 0, F.lit(1.0)).otherwise((a["n"] - d["a"]) / (a["n"] + d["b"])))
 
 
-def sketch(keys: Column) -> Column:
-    """The cells of the smallest table as text."""
-    return F.array_join(F.transform(table(keys, 11), lambda x: F.concat_ws(":", x["c"].cast("string"), F.hex(x["k"]), F.hex(x["h"]))), " ")
+def text_of(s: Column) -> Column:
+    """A sketch as text: level and number of digests, then place, count, digests and check values of cells in use."""
+    cells = F.transform(s["cells"], lambda x, i: F.when((x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0), F.concat_ws(":", i.cast("string"), x["c"].cast("string"), F.hex(x["k"]), F.hex(F.pmod(x["h"].cast("long"), F.lit(1 << 32))))))
+    return F.concat_ws(" ", s["level"].cast("string"), s["n"].cast("string"), F.array_compact(cells))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the text of the next document in descending order of the id; after the last comes the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Callable[[str], Column]]:
+    """Rows (doc_id, text, guest) and `after`, which gives a column's value in the next document.
 
-    The ids are dealt into ranges of about equal size. The first document of each range is also sent to the range
-    before it, so the only exchange of texts is the one by range, and no range is a fixed share of the table.
+    Documents follow each other in descending order of id, hash of the text and text; after the last comes the first. They
+    are dealt into ranges of about equal size, several for an id that many rows share. The first document of each range is
+    also sent to the range before it, as a guest, so the only exchange of texts is the one by range.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = range_bounds(docs.select(key.alias("key")), "key", 4 * partitions(docs.sparkSession))
-    bucket = range_bucket(F.col("key"), bounds)
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    ranges = Ranges(docs.select(key.alias("key")), "key", 4 * partitions(docs.sparkSession))
+    bucket = ranges.number(F.col("key"), F.col("tag") / F.lit(2.0**64) + 0.5)
+    order = F.struct(F.coalesce("key", F.lit(LEAST)).alias("key"), F.col("key").isNotNull().alias("given"), "tag")
     # one row a range, and the number of ranges is set above
-    firsts = rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).orderBy(F.desc("bucket")).collect()
+    firsts = rows.select(order.alias("x"), bucket.alias("bucket")).groupBy("bucket").agg(F.max("x").alias("x"), F.count("*").alias("n")).orderBy(F.desc("bucket")).collect()
+    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
+    sent = F.array(own)
     if firsts:
-        before = {r["key"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
-        target = F.create_map(*[x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))])
-        own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
-        sent = F.when(F.col("key").isin(list(before)), F.array(own, F.struct(target[F.col("key")].alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    else:
-        sent = F.array(F.struct(F.lit(0).alias("bucket"), F.lit(False).alias("guest")))
-    rows = rows.select("doc_id", "key", "text", F.explode(sent).alias("to")).select("doc_id", "key", "text", "to.bucket", "to.guest")
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.xxhash64("text"), "text")
-    return rows.select("doc_id", "text", "guest", F.lead("text").over(order).alias("next")).where("not guest").drop("guest")
+        # by the number of a range: the key and the hash of its first document, and the range before it
+        by = {r["bucket"]: (r["x"]["key"] if r["x"]["given"] else None, r["x"]["tag"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)}
+        table_of = lambda j: F.get(F.array(*[F.lit(by[k][j] if k in by else None).cast("long") for k in range(max(by) + 1)]), bucket)
+        guest = F.struct(table_of(2).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+        sent = F.when(F.col("key").eqNullSafe(table_of(0)) & (F.col("tag") == table_of(1)), F.array(own, guest)).otherwise(sent)
+    rows = rows.select("doc_id", "key", "tag", "text", F.explode(sent).alias("to")).select("doc_id", "key", "tag", "text", "to.bucket", "to.guest")
+    window = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("key"), F.desc("tag"), F.desc("text"))
+    return rows, lambda c: F.lead(c).over(window)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,13 +215,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as empty, and empty texts have an empty sketch that is like (1.0) any other empty one. Null ids come last in the
     order; rows with one id follow each other by a hash of their text. A single row is its own next.
     """
+    rows, after = with_next(docs, id_col, text_col)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(docs, id_col, text_col).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next")).alias("n"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", sketch(F.col("a")).alias("sketch"), sketch(F.col("e")).alias("edited_sketch"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("n")).alias("near_next"))
+    rows = rows.withColumn("next", after("text"))
+    rows = rows.select("*", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)).alias("edited"))
+    rows = rows.select("*", sketch(digests(F.col("text"))).alias("a"), F.when(~F.col("guest"), sketch(digests(F.col("edited")))).alias("e"))
+    rows = rows.select("*", after("a").alias("n")).where("not guest")
+    a, e = F.col("a"), F.col("e")
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_of(a).alias("sketch"), text_of(e).alias("edited_sketch"), likeness(a, e).alias("near_edited"), likeness(a, F.col("n")).alias("near_next"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_chars", "edited_sha256", F.sha2("sketch", 256).alias("fingerprint"), F.sha2("edited_sketch", 256).alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("sketch").alias("fingerprint"), F.col("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
