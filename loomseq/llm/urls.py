@@ -9,53 +9,113 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .substring import BYTE, gram_hashes
+from .common import mix
 
 #: (verdict, host, path): the rule fits the host and its subdomains if the path starts as given.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-BUCKETS, GRAMS = 1 << 14, (3, 4, 5)
-#: Hosts and paths from which the small labelled table is made, block first.
-BLOCKED = "casino-win free-bets cheap-pills online-casino poker-bonus slots-jackpot bet-now adult-cams xxx-videos viagra-store pills-online win-prize crypto-double free-spins payday-loans replica-watches".split()
-ALLOWED = "library university-press news weather cooking travel-guide history museum science-blog gardening music-school city-council sports-club open-data maps books thenor tionble ingstan heratan onterer alineth therest brensha ththere tionti erinst whanre ouhaed stlyon ndereth".split()
-PATHS = ["/en/123", "/fr/45.html", "/de/678/", "/es/9", "/en/4021/", "/about", "/"]
-
-
-def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, 1 for block): every listed name under the usual prefixes, endings and paths."""
-    names = [(n, 1) for n in BLOCKED] + [(n, 0) for n in ALLOWED]
-    hosts = [(f"{pre}{n}.{end}", y) for n, y in names for pre, end in (("", "example.com"), ("www.", "example.net"), ("m.", "test.org"))]
-    return [(h, PATHS[(i + j) % len(PATHS)], y) for i, (h, y) in enumerate(hosts) for j in range(2)]
-
-
-def grams(host: str, path: str) -> np.ndarray:
-    """The distinct buckets of the n-grams of ^host$ and of path, bytewise."""
+BUCKETS, GRAMS = 1 << 16, (3, 4, 5)
+
+#: The words of which the labelled table's names are made. What belongs to gambling, pornography, unprescribed drugs, quick
+#: credit, fakes, piracy, tracking and fraud is blocked.
+BLOCKED = """
+    casino poker slots slot bet bets betting roulette jackpot blackjack lotto lottery baccarat wager gamble spins bingo sportsbook odds
+    porn porno xxx sex sexy adult nude nudes cams webcam escort escorts milf hentai hookup singles hot dating erotic fetish naked
+    viagra cialis levitra pills pill pharmacy meds xanax tramadol steroids slimming weightloss keto detox enlargement cannabis vape
+    loan loans payday credit cash debt forex crypto bitcoin profit invest doubler earn income rich money payout refinance
+    replica fake rolex handbags knockoff outlet cheap discount bargain deals free win winner prize prizes bonus gift giveaway reward
+    torrent warez crack cracked keygen serial nulled pirate streamz unlocker hack cheats generator
+    ads adserver track tracker click clicks popup banner affiliate promo traffic spam spammer phish verify-account login-update unlock
+""".split()
+ALLOWED = """
+    library university college school academy faculty museum gallery archive theatre orchestra choir festival
+    news daily times herald gazette journal review magazine press bulletin weekly radio
+    weather climate ocean river mountain forest garden flower bird fish farm harvest nature planet geology
+    cooking kitchen recipe bakery bread cheese coffee tea wine soup restaurant
+    travel guide map atlas railway airport harbor hotel hostel camping hiking cycling
+    history science physics chemistry biology mathematics astronomy medicine nursing clinic hospital dental
+    council city town village county parliament ministry court police fire embassy
+    football tennis rowing chess swimming athletics club team league stadium
+    software compiler database network kernel python docs wiki forum blog editor browser cloud
+    books novel poetry writer reading language grammar dictionary translation
+    music guitar piano violin jazz opera studio film cinema photo camera painting pottery
+    family children parents teacher student pension insurance bank tax law notary energy water
+""".split()
+#: Beginnings, middles and ends of the syllables of made-up names, which say nothing and are allowed.
+ONSETS, VOWELS, CODAS = "b c d f g h j k l m n p r s t v w th st sh tr gr wh".split(), "a e i o u ea ou io".split(), ["", "", "", "n", "r", "l", "s", "st", "nd", "ng", "ble"]
+#: What URLs of either kind end in, and what only blocked ones may.
+PATHS, SPAM_PATHS = ["/", "", "/about", "/archive/2019/04", "/en/771", "/fr/82.html", "/de/5/", "/es/4033", "/en/12/", "/article/economy"], ["/play", "/signup/now", "/bonus", "/go/buy"]
+ENDINGS, SPAM_ENDINGS = ["com", "net", "org", "example.com", "example.net", "example.org", "co.uk", "de"], ["xyz", "top", "win", "club"]
+PREFIXES = ["", "www.", "m.", "blog.", "shop."]
+
+
+def names(seed: int = 8, each: int = 3) -> list[tuple[str, int]]:
+    """(name, 1 for block): each word alone and beside `each` others of its kind, joined by a hyphen, a number or not at all."""
+    rng = np.random.default_rng(seed)
     out = []
-    for i, part in enumerate((f"^{host}$".encode(), path.encode())):
-        w = BYTE[np.frombuffer(part, np.uint8)]
-        for n in GRAMS:
-            out.append((gram_hashes(w, n, "gram") + np.uint64(7919 * i)) % np.uint64(BUCKETS))
-    return np.unique(np.concatenate(out)).astype(np.int64)
-
-
-def train(table: list[tuple[str, str, int]], rounds: int = 300, rate: float = 2.0, l2: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the bias) by gradient descent over the whole labelled table; the same on every run."""
-    rows = [grams(h, p) for h, p, _ in table]
+    for words, y in ((BLOCKED, 1), (ALLOWED, 0)):
+        for w in words:
+            out.append((w, y))
+            for k, i in enumerate(rng.integers(0, len(words), each).tolist()):
+                out.append((w + ["-", "", str(rng.integers(1, 999))][k % 3] + (words[i] if k % 3 < 2 else ""), y))
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    for _ in range(20 * len(ALLOWED)):
+        out.append(("".join(pick(ONSETS) + pick(VOWELS) + pick(CODAS) for _ in range(rng.integers(1, 4))), 0))
+    return out
+
+
+def labelled(seed: int = 8) -> list[tuple[str, str, int]]:
+    """(host, path, 1 for block): every name under a prefix, an ending and a path, which mostly say nothing."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    some = lambda y, xs, spam: pick(spam if y and rng.random() < 0.2 else xs)
+    return [(f"{pick(PREFIXES)}{n}.{some(y, ENDINGS, SPAM_ENDINGS)}", some(y, PATHS, SPAM_PATHS), y) for n, y in names(seed) for _ in range(2)]
+
+
+def grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct n-grams of ^host$ and of path, bytewise, all rows at once."""
+    found = [np.zeros(0, np.int64)]
+    for part, texts in enumerate(([f"^{h}$" for h in hosts], paths)):
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        row = np.repeat(np.arange(len(raw)), [len(t) for t in raw])
+        code = np.zeros(len(data), np.uint64)
+        for n in range(1, max(GRAMS) + 1):
+            size = len(data) - n + 1
+            if size < 1:
+                break
+            code = code[:size] << np.uint64(8) | data[n - 1 :]
+            if n in GRAMS:
+                inside = row[:size] == row[n - 1 :]
+                bucket = mix(code[inside] + np.uint64((8 * part + n) << 48)) % np.uint64(BUCKETS)
+                found.append(row[:size][inside] * BUCKETS + bucket.astype(np.int64))
+    both = np.unique(np.concatenate(found))
+    return both // BUCKETS, both % BUCKETS
+
+
+def train(table: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.3, l2: float = 1e-6) -> np.ndarray:
+    """Weights (the last is the bias) by gradient descent over the whole labelled table, each kind counting half of it.
+
+    Steps of a weight shrink with the squares of its gradients so far; the result is the same on every run.
+    """
     y = np.array([t for _, _, t in table], float)
-    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    x = 1 / np.sqrt([max(1, len(r)) for r in rows])
-    w = np.zeros(BUCKETS + 1)
+    at, col = grams([h for h, _, _ in table], [p for _, p, _ in table])
+    x = 1 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(y))))
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-12)
     for _ in range(rounds):
-        z = np.bincount(at, w[col], len(rows)) * x + w[-1]
-        g = (1 / (1 + np.exp(-z)) - y) / len(rows)
-        step = np.append(np.bincount(col, (g * x)[at], BUCKETS), g.sum())
-        w -= rate * (step + l2 * np.append(w[:-1], 0))
+        z = np.bincount(at, w[col], len(y)) * x + w[-1]
+        g = (1 / (1 + np.exp(-z)) - y) * share
+        step = np.append(np.bincount(col, (g * x)[at], BUCKETS) + l2 * w[:-1], g.sum())
+        seen += step * step
+        w -= rate * step / np.sqrt(seen)
     return w
 
 
-def score(w: np.ndarray, host: str, path: str) -> float:
-    """The probability that a URL should be blocked."""
-    g = grams(host, path)
-    return float(1 / (1 + np.exp(-(w[g].sum() / np.sqrt(max(1, len(g))) + w[-1]))))
+def scores(w: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """The probability that each URL should be blocked."""
+    at, col = grams(hosts, paths)
+    x = np.sqrt(np.maximum(1, np.bincount(at, minlength=len(hosts))))
+    return 1 / (1 + np.exp(-(np.bincount(at, w[col], len(hosts)) / x + w[-1])))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -85,17 +145,12 @@ def filter_urls(pages: DataFrame, weights: np.ndarray, rules: list[tuple[str, st
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[tuple[str, str], float] = {}
-            scores, verdicts = [], []
-            for h, p, v in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
-                s = None
-                if v is None:
-                    s = known.get((h, p))
-                    if s is None:
-                        s = known[h, p] = score(weights, h, p)
-                scores.append(s)
-                verdicts.append(v or ("block" if s >= threshold else "allow"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
+            hosts, paths, verdicts = (batch.column(i).to_pylist() for i in (1, 2, 4))
+            open_ = [i for i, v in enumerate(verdicts) if v is None]
+            found: list[float | None] = [None] * len(batch)
+            for i, s in zip(open_, scores(weights, [hosts[i] for i in open_], [paths[i] for i in open_]).tolist(), strict=True):
+                found[i], verdicts[i] = s, "block" if s >= threshold else "allow"
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(found, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
