@@ -5,7 +5,8 @@ word before and the word after). Spark scores the graph of patterns and instance
 share of its occurrences that are seeds of one kind or instances believed to be, and an instance is believed through the
 patterns around it; believed instances support further patterns, until none is new. Confident patterns turn strings that
 the fixed patterns missed into further spans: runs of digits and identifiers with letters of any kind, emails with other
-letters than ASCII's or with at and dot in words, IPv6 addresses.
+letters than ASCII's or with at and dot in words, IPv6 addresses. Secrets have no fixed pattern; their seeds are what is
+assigned to a name declared in DECLARED (token = "..."), and patterns find them under other names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, written
+from .common import rows_with, text_chunks, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Names whose values are seeds of the kind "secret": 16 characters or more, with a letter and a digit among them.
+DECLARED = "token|secret|passwo?r?d|passphrase|api[_ -]?key|access[_ -]?key|auth[_ -]?key|private[_ -]?key|credentials?"
+_SECRET = re.compile(rf"(?<![^\W_])(?:{DECLARED})[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"']?(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])([A-Za-z0-9+/_.=-]{{16,}})", re.IGNORECASE)
 #: The base patterns. A run of digits is entered at its start only, which finds the same leftmost matches.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,8 +42,10 @@ _IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?:[0-
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
 _GROUPS = re.compile(r"(?<![^\W_])[0-9A-Z]{2,8}(?:[ -][0-9A-Z]{1,8}){1,8}(?![^\W_])")
 _EDGE = ".,;:!?\"'`()[]{}<>*|=«»“”„‘’…。，、"
+_QUOTES = "\"'`“”„«»"
 _DIGITS = re.compile(r"[^0-9]")
 _BEFORE, _AFTER = re.compile(r"(?:(\S+)\s+)?(\S+)\s*$"), re.compile(r"\s*(\S+)")
+#: Characters before and after a string in which the words of its patterns are looked for; longer words give no pattern.
 CONTEXT = 80
 
 #: Distinct seeds or believed instances that a pattern needs, the confidence from which it finds instances, and the turns
@@ -85,6 +91,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """Values of declared names, without sentence marks at their end; none that is an email."""
+    return [("secret", m.start(1), m.start(1) + len(m[1].rstrip(".-="))) for m in _SECRET.finditer(text) if len(m[1].rstrip(".-=")) >= 16]
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts).encode()) - (1 << 63)
 
@@ -119,10 +130,13 @@ def loose_spans(text: str) -> list[tuple[str | None, int, int]]:
     for s, e in sorted(named):
         while i < len(shaped) and shaped[i][1] <= s:
             i += 1
-        word = text[s:e]
-        if sum(map(str.isalnum, word)) >= 4 and any(map(str.isalpha, word)) and any("0" <= c <= "9" for c in word) and not any(a < e and s < b for a, b in shaped[i : i + 4]):
+        word, j, free = text[s:e], i, True
+        while free and j < len(shaped) and shaped[j][0] < e:
+            free, j = shaped[j][1] <= s, j + 1
+        if free and sum(map(str.isalnum, word)) >= 4 and any(map(str.isalpha, word)) and any("0" <= c <= "9" for c in word):
             out.append((None, s, e))
-    return out + [(None, *m.span()) for m in _LOOSE.finditer(text)]
+    # digits that are part of a word are no string of their own
+    return out + [(None, *m.span()) for m in _LOOSE.finditer(text) if not text[max(0, m.start() - 1) : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum()]
 
 
 def _instance(kind: str | None, found: str) -> int:
@@ -133,7 +147,7 @@ def _instance(kind: str | None, found: str) -> int:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str | None, str | None, list[int]]]:
-    """(start, end, instance, kind or None, kind of the shape or None, patterns) of base spans and of loose ones.
+    """(start, end, instance, kind or None, kind of the shape or None, patterns) of base spans, secrets and loose ones.
 
     Loose spans lie apart from base spans, or hold more than base spans of their own kind.
     """
@@ -147,8 +161,9 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
             rows.append((s, e, None, kind))
     out = []
     for s, e, kind, shape in rows:
-        left = _BEFORE.search(text[max(0, s - CONTEXT) : s])
-        right = _AFTER.match(text[e : e + CONTEXT])
+        # quotes about a string belong to neither side's words
+        left = _BEFORE.search(text[max(0, s - CONTEXT) : s].rstrip(_QUOTES))
+        right = _AFTER.match(text[e : e + CONTEXT].lstrip(_QUOTES))
         a, b = ((left[1] or "").lower(), left[2].lower()) if left else ("", "")
         c = right[1].lower() if right else ""
         patterns = [_hash("L2", a, b)] if a else []
@@ -171,11 +186,11 @@ def _grow(seen: DataFrame) -> DataFrame:
     able = written(able.select("pattern", "all"), "able")
     seeds = written(graph.where("kind is not null").join(able, "pattern").select("pattern", "kind", "instance", F.col("n").alias("hits")), "seeds")
     others = written(graph.where("kind is null").join(able, "pattern").select("pattern", "instance", "shape", "n"), "others")
-    good, believed = None, None
+    # a declared secret is one wherever it stands; what fixed patterns find, they find everywhere
+    known = written(graph.where("kind = 'secret'").select("instance", "kind", F.lit(1.0).alias("belief")).distinct(), "known")
+    good, believed = None, known
     while True:
-        support = seeds
-        if believed is not None:
-            support = support.unionByName(others.join(believed, "instance").select("pattern", "kind", "instance", (F.col("n") * F.col("belief")).alias("hits")))
+        support = seeds.unionByName(others.join(believed, "instance").select("pattern", "kind", "instance", (F.col("n") * F.col("belief")).alias("hits")))
         support = support.groupBy("pattern", "kind", "instance").agg(F.sum("hits").alias("hits"))
         scored = support.groupBy("pattern", "kind").agg(F.sum("hits").alias("hits"), F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).join(able, "pattern")
         scored = scored.select("pattern", "kind", (F.col("hits") / F.col("all")).alias("trust")).where("trust >= 0.5")
@@ -190,7 +205,8 @@ def _grow(seen: DataFrame) -> DataFrame:
         if not open_["new"]:
             break
         doubt = F.sum(F.log(1.0 - F.least("trust", F.lit(0.999))))
-        believed = written(others.join(good, "pattern").where("shape is null or shape = kind").groupBy("instance", "kind").agg((1.0 - F.exp(doubt)).alias("belief")), "believed")
+        believed = others.join(good, "pattern").where("shape is null or shape = kind").groupBy("instance", "kind").agg((1.0 - F.exp(doubt)).alias("belief"))
+        believed = written(believed.unionByName(known).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "believed")
     good = written(good.where(F.col("trust") >= CONFIDENT).select("pattern", "kind", "trust"), "confident")
     hit = each.where("kind is null").drop("kind").join(good, "pattern").where("shape is null or shape = kind")
     return hit.groupBy("doc_id", "tag", "start", "stop").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind")).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).alias("more"))
@@ -199,8 +215,8 @@ def _grow(seen: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, tag (a hash of the text), base and spans (arrays of kind, start, stop).
 
-    Starts and stops count code points, stops are exclusive; spans are base and what patterns add, in order of kind and
-    start. Null and empty texts have none. Rows with equal id and text have equal spans. An empty table gives no rows;
+    Starts and stops count code points, stops are exclusive; spans are base, declared secrets that lie apart from base, and
+    what patterns add, in order of kind (as in KINDS, then secret) and start. Null and empty texts have none. Rows with equal id and text have equal spans. An empty table gives no rows;
     other columns are ignored.
     """
 
@@ -208,30 +224,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
         near = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("kind", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.int64()))]))
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
-                base = [base_spans(t) if t else [] for t in texts[a:b]]
-                around = [contexts(t, s) if t else [] for t, s in zip(texts[a:b], base, strict=True)]
-                spans = [[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in base]
+            for part, texts in text_chunks(batch, 2):
+                base = [base_spans(t) if t else [] for t in texts]
+                hidden = [[x for x in secret_spans(t) if not any(x[1] < e and s < x[2] for _, s, e in b)] if t else [] for t, b in zip(texts, base, strict=True)]
+                around = [contexts(t, b + h) if t else [] for t, b, h in zip(texts, base, hidden, strict=True)]
+                spans, secrets = ([[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in y] for y in (base, hidden))
                 rows = [[{"start": s, "stop": e, "instance": i, "kind": k, "shape": f, "patterns": p} for s, e, i, k, f, p in x] for x in around]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(spans, span), pa.array(rows, near)], ["doc_id", "tag", "base", "contexts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, span), pa.array(secrets, span), pa.array(rows, near)], ["doc_id", "tag", "base", "secrets", "contexts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
-    seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,shape:string,patterns:array<bigint>>>"), "contexts")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
+    seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, secrets {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,shape:string,patterns:array<bigint>>>"), "contexts")
     more = _grow(seen).withColumnRenamed("doc_id", "id").withColumnRenamed("tag", "tag2")
     # more holds no span of base, since strings that overlap a base span are looked at only if they hold more than it
-    order = F.array(*[F.lit(k) for k in KINDS])
+    order = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
     joined = seen.drop("contexts").join(more, seen["doc_id"].eqNullSafe(more["id"]) & (seen["tag"] == more["tag2"]), "left")
-    whole = F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))), lambda x: F.struct(F.array_position(order, x["kind"]).alias("o"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
+    whole = F.transform(F.concat("base", "secrets", F.coalesce("more", F.array().cast(_SPAN))), lambda x: F.struct(F.array_position(order, x["kind"]).alias("o"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     return joined.select("doc_id", "tag", "base", F.transform(F.array_sort(whole), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span of personal data replaced by its kind, as in <EMAIL>; where spans overlap, by the first's."""
-    spans = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_tag"])
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = rows.join(spans, rows[id_col].eqNullSafe(spans["_id"]) & (rows["_key"] == spans["_tag"]), "left")
+    spans = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("id2"), F.col("tag").alias("tag2"), "spans").dropDuplicates(["id2", "tag2"])
+    rows = rows_with(docs, id=F.col(id_col), tag=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text=F.col(text_col))
+    joined = rows.join(spans, rows["id"].eqNullSafe(spans["id2"]) & (rows["tag"] == spans["tag2"]), "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -247,8 +263,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             out.append(text)
         return texts.__class__(out, dtype=object)
 
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans")))
+    return joined.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
 
 
 def _is(kind: str):
