@@ -1,12 +1,15 @@
 """Harmonic packing of token ids into sequences of a fixed capacity.
 
-A piece of n ids belongs to class k = capacity // n, and a bin of class k takes exactly k pieces. Documents are
-cut so that every piece fills its class to FILL at least; a worker packs what it tokenizes, without a shuffle.
+A piece of n ids belongs to class k = capacity // n, and a bin of class k takes exactly k pieces. A document is cut
+where that costs least: each piece that doesn't fill its class pads the bin, and each further piece counts as PIECE ids.
+Pieces under LEAST ids aren't made but for tails, which are packed end to end with what open bins hold when a worker
+ends; a worker packs what it tokenizes, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import chunks, small_batches
+from .common import text_chunks
 
-#: A piece is left whole if k such pieces fill this share of the capacity; otherwise it is cut to capacity // k.
-FILL = 0.99
+#: What a further piece of a document may save in padding, and the ids that a piece of a bin has at least.
+PIECE, LEAST = 10, 32
+#: Ids of tails that a worker holds before it packs them.
+TAILS = 1 << 16
+
+
+@cache
+def cuts(capacity: int) -> list[int]:
+    """For n ids up to the capacity, the length of the first piece by which cutting them costs least."""
+    cost, first = [0.0], [0]
+    for n in range(1, capacity + 1):
+        k = capacity // n
+        # whole: its share of what the bin's padding comes to; a tail costs no padding
+        best, size = (PIECE + capacity / k - n, n) if n >= LEAST else (PIECE, n)
+        for k in range(capacity // n + 1, capacity // LEAST + 1):
+            a = capacity // k
+            if (c := PIECE + capacity / k - a + cost[n - a]) < best:
+                best, size = c, a
+        cost.append(best)
+        first.append(size)
+    return first
 
 
 def cut(n: int, capacity: int) -> list[int]:
-    """The lengths of the pieces of a document of n ids, each close to a reciprocal share of the capacity from below."""
-    out = [capacity] * (n // capacity)
+    """The lengths of the pieces of a document of n ids."""
+    out, first = [capacity] * (n // capacity), cuts(capacity)
     n %= capacity
     while n:
-        k = capacity // n
-        if k * n < FILL * capacity:
-            k += 1
-        size = min(n, capacity // k)
-        out.append(size)
-        n -= size
+        out.append(first[n])
+        n -= first[n]
     return out
 
 
@@ -41,6 +59,8 @@ class Packer:
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.sequence = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
+        self.tails: list[tuple] = []
+        self.held = 0
 
     def emit(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -53,19 +73,32 @@ class Packer:
         start = 0
         for n in cut(len(ids), self.capacity):
             k = self.capacity // n
-            bin_ = self.open.setdefault(k, [])
-            bin_.append((doc, start, ids[start : start + n].copy(), len(ids)))
+            piece = (doc, start, ids[start : start + n].copy(), len(ids))
             start += n
+            if n < LEAST:
+                self.tails.append(piece)
+                self.held += n
+                continue
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(piece)
             if len(bin_) == k:
                 yield from self.emit(self.open.pop(k))
+        if self.held >= max(TAILS, self.capacity):
+            yield from self.end_to_end(False)
 
     def close(self) -> Iterator[tuple]:
-        """What is left in open bins, end to end: full sequences, then the rest at powers of two, unpadded."""
-        rest = [p for k in sorted(self.open) for p in self.open[k]]
+        """What is left in open bins and tails, end to end."""
+        self.tails += [p for k in sorted(self.open) for p in self.open[k]]
         self.open = {}
+        yield from self.end_to_end(True)
+
+    def end_to_end(self, last: bool) -> Iterator[tuple]:
+        """Full sequences of tails, cut freely; at last the rest too, at powers of two, unpadded."""
+        rest = self.tails
         left = sum(len(p[2]) for p in rest)
         sizes = [self.capacity] * (left // self.capacity)
-        sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if (left % self.capacity) >> b & 1]
+        if last:
+            sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if (left % self.capacity) >> b & 1]
         at = 0
         for size in sizes:
             taken: list[tuple] = []
@@ -79,6 +112,8 @@ class Packer:
                     size -= len(ids)
                     at += 1
             yield from self.emit(taken)
+        self.tails = rest[at:]
+        self.held = sum(len(p[2]) for p in self.tails)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,11 +137,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         kind, rows = pa.int64(), []
         for batch in batches:
             kind = batch.schema.field(0).type
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks([len(t) for t in texts]):
-                ids, at = bpe.encode_batch(texts[a:b])
-                for i in range(b - a):
-                    rows.extend(packer.add(keys[a + i], np.concatenate([ids[at[i] : at[i + 1]], end])))
+            for part, texts in text_chunks(batch, 1):
+                ids, at = bpe.encode_batch([t or "" for t in texts])
+                for i, key in enumerate(part.column(0).to_pylist()):
+                    rows.extend(packer.add(key, np.concatenate([ids[at[i] : at[i + 1]], end])))
                 if len(rows) >= 2000:
                     yield batch_of(rows)
                     rows = []
@@ -116,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
