@@ -16,9 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import written
 
 CHUNK = 1 << 20
+#: Digests (some 100 bytes each) that are broadcast at most; more are joined by an exchange of the payloads.
+MOST_BROADCAST = 200_000
 #: Field names and the profile of the WARC 1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "<urn:loomseq:page:{}>"
@@ -47,11 +49,14 @@ def write(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK, date: str
     others revisit them. Null payloads are empty; null ids count as largest; a missing url is left out. Rows that repeat
     with one id are alike. An empty table makes an empty archive.
     """
-    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    # ids and digests are few bytes, so payloads are read twice and dealt out once
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    # only payloads that occur twice have another record to refer to; digests and ids are few bytes, so payloads are read
+    # twice and, if those digests are few enough to be broadcast, dealt out never
     # (a written table beside an exchange lets Spark split the rows of a payload that a large part of them share)
-    first = written(rows.select("page_id", F.sha1("payload").alias("sha1")).groupBy("sha1").agg(F.min("page_id").alias("first")), "payloads")
-    named = rows.withColumn("sha1", F.sha1("payload")).join(first, "sha1")
+    again = rows.select("page_id", F.sha1("payload").alias("sha1")).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = written(again, "payloads")
+    again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again.hint("merge")
+    named = rows.withColumn("sha1", F.sha1("payload")).join(again, "sha1", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record = TaskContext.get().partitionId() << 40
