@@ -101,7 +101,7 @@ class Ranges:
         longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
         row = F.size(F.filter(longs(r[-1] for r in rows), lambda b: b < key))
         inner = F.coalesce(F.size(F.filter(F.get(F.array(*[longs(r) for r in rows]), row), lambda b: b < key)), F.lit(0))
-        place = row * step + F.greatest(inner, F.lit(0))  # bounds below the key
+        place = F.least(row * step + F.greatest(inner, F.lit(0)), F.lit(len(self.bounds)))  # bounds below the key
         before = [sum(self.shares[:i]) for i in range(len(self.bounds) + 1)]
         own = F.coalesce(F.get(F.array(*map(F.lit, self.shares)), place), F.lit(1))
         hot = F.get(longs(self.bounds), place) == key

@@ -126,6 +126,9 @@ def test_ranges(spark):
     seen = [(r["r"], r["k"]) for r in got if r["k"] is not None]
     assert all(x <= y for (r, x), (q, y) in zip(sorted(seen), sorted(seen)[1:], strict=False) if r < q)
     assert max(sum(1 for r in got if r["r"] == i) for i in range(ranges.count)) < 260
+    for n in (1, 2, 7, 23, 40):
+        ranges = common.Ranges(df.where("k <> 7"), "k", n)
+        assert 0 <= ranges.nulls and df.select(ranges.number(F.col("k"), F.lit(0.5)).alias("r")).where(f"r is null or r < 0 or r >= {ranges.count}").count() == 0
 
 
 def test_packing(odd, none):
