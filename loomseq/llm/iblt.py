@@ -44,49 +44,51 @@ def _check(key: Column) -> Column:
 
 
 def _entry(key: Column, sign: Column) -> Column:
-    """A digest with its check value and its place in each part."""
+    """A digest with its check value and its cells, one of each part, as the bits of a number."""
 
     def of(g: Column) -> Column:
-        place = lambda i: (F.pmod(F.shiftright(g, 8 * i), F.lit(PART)) + PART * i).cast("int")
-        return F.struct(sign.cast("int").alias("c"), key.alias("k"), _check(key).alias("h"), place(0).alias("p"), place(1).alias("q"), place(2).alias("r"))
+        bit = lambda i: F.call_function("shiftleft", F.lit(1 << PART * i).cast("long"), F.pmod(F.shiftright(g, 8 * i), F.lit(PART)).cast("int"))
+        return F.struct(sign.cast("int").alias("c"), key.alias("k"), _check(key).alias("h"), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).alias("m"))
 
     return let(F.xxhash64(key, F.lit(SALT)), of)
 
 
+def _bits() -> Column:
+    return F.array(*[F.lit(1 << i).cast("long") for i in range(CELLS)])
+
+
 def _add(x: Column, y: Column, sign: int) -> Column:
     return _cell(x["c"] + sign * y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))
 
 
-def _put(cell: Column, entries: Column, i: Column, sign: int) -> Column:
-    """Cell i with those entries added (1) or removed (-1) that belong to it."""
-    mine = F.filter(entries, lambda e: (e["p"] == i) | (e["q"] == i) | (e["r"] == i))
-    return F.aggregate(mine, cell, lambda x, e: _add(x, e, sign))
+def _put(cell: Column, entries: Column, bit: Column, sign: int) -> Column:
+    """A cell with those entries added (1) or removed (-1) that belong to it."""
+    return F.aggregate(F.filter(entries, lambda e: e["m"].bitwiseAND(bit) != 0), cell, lambda x, e: _add(x, e, sign))
 
 
 def table(keys: Column) -> Column:
     """The cells of a set of digests."""
     zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-    build = lambda es: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _put(zero, es, i, 1))
-    return let(F.transform(keys, lambda d: _entry(d, F.lit(1))), build)
+    return let(F.transform(keys, lambda d: _entry(d, F.lit(1))), lambda es: F.transform(_bits(), lambda bit: _put(zero, es, bit, 1)))
 
 
 def peel(cells: Column) -> Column:
     """The digests of a table or of a difference as an array of struct(c, k), c -1 for the second's; null if it gets stuck."""
-    state = lambda cells, found: F.struct(cells.alias("cells"), found.alias("found"))
+    state = lambda cells, found, more: F.struct(cells.alias("cells"), found.alias("found"), F.lit(more).alias("more"))
     none = F.array().cast("array<struct<c:int,k:bigint>>")
 
     def step(s: Column, _: Column) -> Column:
         pure = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])))
 
         def remove(es: Column) -> Column:
-            rest = F.transform(s["cells"], lambda cell, i: _put(cell, es, i, -1))
+            rest = F.zip_with(s["cells"], _bits(), lambda cell, bit: _put(cell, es, bit, -1))
             more = F.transform(es, lambda e: F.struct(e["c"].alias("c"), e["k"].alias("k")))
-            return F.when(F.size(es) == 0, s).otherwise(state(rest, F.concat(s["found"], more)))
+            return F.when(F.size(es) == 0, s.withField("more", F.lit(False))).otherwise(state(rest, F.concat(s["found"], more), True))
 
-        return let(F.array_distinct(F.transform(pure, lambda x: _entry(x["k"], x["c"]))), remove)
+        return F.when(s["more"], let(F.array_distinct(F.transform(pure, lambda x: _entry(x["k"], x["c"]))), remove)).otherwise(s)
 
     empty = lambda s: F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, none), step, lambda s: F.when(empty(s), s["found"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, none, True), step, lambda s: F.when(empty(s), s["found"]))
 
 
 def _power(bits: Column) -> Column:
