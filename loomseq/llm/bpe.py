@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import mix, text_chunks
 
 #: The pre-tokenizer pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,7 +32,7 @@ for _a, _b in ("AZ", "az", "ªª", "µµ", "ºº", "ÀÖ", "Øö", "øɏ"):
     _CLASS[ord(_a) : ord(_b) + 1] = LETTER
 _CLASS[[*range(48, 58), *map(ord, "²³¹¼½¾")]] = NUMBER
 #: Distinct words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Symbols from which a word is merged with a heap: rounds over it would cost its length times its merges.
 LONG_WORD = 256
 
@@ -45,10 +45,31 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
+_HASH = mix(np.arange(1, 0x2101, dtype=np.uint64))
+_BASE = np.uint64(0x8EBC6AF09C88C6E3)
+_power = [np.ones(1, np.uint64)]
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
+def flat(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places from each start on, so many as its length, one after another."""
+    return np.repeat((starts - (np.cumsum(lens) - lens)).astype(np.int32), lens) + np.arange(int(lens.sum()), dtype=np.int32)
+
+
+def hashes(letters: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, given end to end with their lengths: a guess at which words are equal, no more."""
+    longest = int(lens.max())
+    if len(_power[0]) < longest:
+        table = np.full(1 << longest.bit_length(), _BASE, np.uint64)
+        table[0] = 1
+        _power[0] = np.multiply.accumulate(table)
+    value = _HASH[letters] if letters.max() < len(_HASH) else mix(letters.astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(value * _power[0][flat(np.zeros(len(lens), np.int64), lens)], np.cumsum(lens) - lens))
+
+
 def cut_plain(cp: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of plain texts, which zeros part from each other.
 
@@ -84,47 +105,71 @@ def cut_plain(cp: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCache:
-    """The ids of each distinct word, found once and kept by the word itself; subclasses say how words are encoded."""
+    """The ids of each distinct word, found once; subclasses say how words are encoded.
+
+    Words are looked up by a hash and then compared letter by letter; where two that differ share a hash, the words of that
+    call are found one by one.
+    """
 
     def __init__(self) -> None:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
+        self._keys, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self._flat, self._at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self._letters, self._begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
+    def _add(self, words: list[str]) -> np.ndarray:
+        """The numbers of new words."""
+        ids, count = self.encode_words(words)
+        number = np.arange(len(self._at) - 1, len(self._at) - 1 + len(words), dtype=np.int32)
+        self._flat = np.concatenate([self._flat, ids.astype(np.int32)])
+        self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(count)])
+        self._letters = np.concatenate([self._letters, points("".join(words))])
+        self._begin = np.concatenate([self._begin, self._begin[-1] + np.cumsum([len(w) for w in words])])
+        return number
+
     def _which(self, text: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each word in the cache, in which words that are new get the next ones."""
         if not len(starts):
             return np.zeros(0, np.int32)
-        if len(self._known) > CACHE_WORDS:
+        if len(self._at) > CACHE_WORDS:
             self._forget()
-        raw = text.encode()
-        edges = np.stack([starts, ends], axis=1).ravel()
-        if len(raw) != len(cp):
-            edges = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))])[edges]
-        # words and what lies between them, end to end, make up one Arrow array, which knows its distinct values
-        new = np.ones(len(edges), bool)
-        new[1:] = edges[1:] != edges[:-1]
-        offsets = edges[new].astype(np.int32)
-        runs = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        each = runs.indices.to_numpy()[np.cumsum(new)[::2] - 1]
-        used = np.zeros(len(runs.dictionary), bool)
-        used[each] = True
-        at = np.flatnonzero(used)
-        words = runs.dictionary.take(pa.array(at)).to_pylist()
-        fresh = [w for w in words if w not in self._known]
-        if fresh:
-            ids, count = self.encode_words(fresh)
-            self._known.update(zip(fresh, range(len(self._known), len(self._known) + len(fresh)), strict=True))
-            self._flat = np.concatenate([self._flat, ids.astype(np.int32)])
-            self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(count)])
-        number = np.zeros(len(used), np.int32)
-        number[at] = [self._known[w] for w in words]
-        return number[each]
+        lens = ends - starts
+        letters = cp[flat(starts, lens)]
+        each = hashes(letters, lens)
+        order = np.argsort(each)
+        ordered = each[order]
+        first = np.ones(len(order), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        key, at = ordered[first], order[first]
+        back = np.empty(len(order), np.int32)
+        back[order] = np.cumsum(first, dtype=np.int32) - 1
+        place = np.searchsorted(self._keys, key)
+        new = np.ones(len(key), bool)
+        if len(self._keys):
+            new = self._keys[np.minimum(place, len(self._keys) - 1)] != key
+        old = self._place[place[~new]]
+        alike = self._equal(cp, starts[at[~new]], lens[at[~new]], self._letters, self._begin[old], self._begin[old + 1] - self._begin[old])
+        some = at[back]
+        if not alike or (lens[some] != lens).any() or (cp[flat(starts[some], lens)] != letters).any():
+            words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            number = dict(zip(dict.fromkeys(words), self._add(list(dict.fromkeys(words))).tolist(), strict=True))
+            return np.array([number[w] for w in words], np.int32)
+        fresh = at[new]
+        if len(fresh):
+            number = self._add([text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
+            self._place = np.insert(self._place, place[new], number)
+            self._keys = np.insert(self._keys, place[new], key[new])
+            place = np.searchsorted(self._keys, key)
+        return self._place[place][back]
+
+    @staticmethod
+    def _equal(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray) -> bool:
+        return bool((a_len == b_len).all() and (a[flat(a_at, a_len)] == b[flat(b_at, b_len)]).all())
 
     def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and where each word begins among them."""
