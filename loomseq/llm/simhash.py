@@ -318,23 +318,29 @@ def similar(docs: DataFrame, words: int = 5, likeness: float = ALIKE, hot: int =
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text_col).alias("text"))
     seen = written(rows.mapInArrow(sketch, "doc_id long, tag long, node long, sketch binary, keys array<long>"), "sketches")
     nodes = written(seen.groupBy("node").agg(F.min(F.struct("doc_id", "tag", "sketch", "keys")).alias("x")).select("node", "x.*"), "nodes")
+    # sketches and keys are the bulk of these tables: each is deleted as soon as the next one is written
+    ids = written(seen.select("doc_id", "tag", "node"), "ids")
+    forget(seen)
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     lists = keyed.join(sizes, "key").select("key", F.explode(_blocks("node", hot)).alias("block"), "node")
     near = lists.join(nodes.select("node", "sketch"), "node").select("key", "block", "node", "sketch")
     near = near.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda x: _links(x, _agree), "u long, v long")
     group = written(components(near).join(nodes.drop("keys"), "node"), "candidates")
+    bare = written(nodes.select("node", "doc_id", "tag"), "bare")
+    forget(sizes, nodes)
     texts = rows.join(group, ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "root", "sketch", "text")
     found = written(texts.mapInArrow(sets, "node long, root long, sketch binary, found binary"), "sets")
     sizes = written(found.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     pairs = found.join(sizes, "root").select(F.col("root").alias("key"), F.explode(_blocks("node", most)).alias("block"), "node", "sketch", "found")
     pairs = pairs.repartition("key", "block").sortWithinPartitions("key", "block", "node")
     root = components(pairs.mapInArrow(lambda x: _links(x, lambda s, f: _alike(s, f, likeness), 0), "u long, v long"))
-    of = written(nodes.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), "tag"), "roots")
+    forget(group, found, sizes)
+    of = written(bare.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), "tag"), "roots")
     first = of.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("x"))
     first = written(first.select("root", F.col("x.doc_id").alias("component_id"), F.col("x.tag").alias("first")), "first")
     of = of.join(first, "root").select("node", "component_id", "first")
-    return seen.select("doc_id", "tag", "node").join(of, "node").select("doc_id", "tag", "component_id", "first")
+    return ids.join(of, "node").select("doc_id", "tag", "component_id", "first")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
