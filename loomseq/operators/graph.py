@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spool
+from ..session import spool, stage
+from . import ranks
+from .ranges import last_start
 
 LABELS = "ACGTYZ"
 
@@ -36,26 +39,42 @@ def with_variants(nodes: DataFrame, edges: DataFrame, variants: DataFrame, key:
     return nodes.unionByName(more), edges.unionByName(into).unionByName(out).unionByName(gone).distinct()
 
 
+def fits(x: Column, y: Column) -> Column:
+    """Whether the variant y (typ, pos, len) may follow x in one haplotype."""
+    after = F.when(x["typ"] == "insertion", y["pos"] >= x["pos"]).when(x["typ"] != "deletion", y["pos"] > x["pos"])
+    return after.otherwise(y["pos"] > x["pos"] + x["len"] - F.when(y["typ"] == "deletion", 0).otherwise(1))
+
+
+def in_order(variants: Column) -> Column:
+    """Whether each variant of an array may follow the one before it."""
+    pairs = F.arrays_zip(F.slice(variants, F.lit(1), F.greatest(F.size(variants) - 1, F.lit(0))).alias("x"), F.slice(variants, F.lit(2), F.size(variants)).alias("y"))
+    return F.forall(pairs, lambda p: fits(p["x"], p["y"]))
+
+
 def with_haplotypes(nodes: DataFrame, edges: DataFrame, haplotypes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Adds for each haplotype (key, hap, left, right, variants) a path over its whole closed span, so phase is kept.
 
     `variants` is an array of structs (typ, pos, len, seq): a substitution changes the base at pos, a deletion leaves out
-    `len` bases from pos, an insertion puts `seq` before pos.
+    `len` bases from pos, an insertion puts `seq` before pos. An insertion at the span's last position ends the walk: its
+    base, and other variants there, are not taken. Haplotypes whose variants aren't in order are left out.
     """
+    haplotypes = haplotypes.where(in_order(F.col("variants")))
     spine = nodes.where("value is not null").groupBy(key, F.col("value").alias("pos")).agg(F.min_by("label", "id").alias("base"))
     at = haplotypes.select(key, "hap", "left", "right", "variants", F.explode(F.sequence("left", "right")).alias("pos")).join(spine, [key, "pos"])
     here = lambda typ: F.filter("variants", lambda v: (v["typ"] == typ) & (v["pos"] == F.col("pos")))
     gone = F.exists("variants", lambda v: (v["typ"] == "deletion") & (v["pos"] <= F.col("pos")) & (F.col("pos") < v["pos"] + v["len"]))
-    put = F.array_join(F.transform(here("insertion"), lambda v: v["seq"]), "")
-    base = F.when(gone, F.lit("")).when(F.size(here("single")) > 0, F.element_at(here("single"), -1)["seq"]).otherwise(F.col("base"))
+    ends = (F.col("pos") == F.col("right")) & (F.size(here("insertion")) > 0)
+    puts = F.transform(here("insertion"), lambda v: v["seq"])
+    put = F.when(ends, F.get(puts, F.lit(0))).otherwise(F.array_join(puts, ""))
+    base = F.when(gone | ends, F.lit("")).when(F.size(here("single")) > 0, F.element_at(here("single"), -1)["seq"]).otherwise(F.col("base"))
     piece = F.concat(F.transform(F.filter(F.split(put, ""), lambda c: c != ""), lambda c: F.struct(c.alias("label"), F.lit(None).cast("long").alias("value"))), F.transform(F.filter(F.array(base), lambda c: c != ""), lambda c: F.struct(c.alias("label"), F.col("pos").alias("value"))))
-    path = at.select(key, "hap", "left", "right", "pos", F.posexplode(piece).alias("i", "n"))
+    path = at.select(key, "hap", "left", "right", "pos", ends.alias("ends"), F.posexplode(piece).alias("i", "n"))
     last = nodes.groupBy(key).agg(F.max("id").alias("last"))
     one = Window.partitionBy(key, "hap").orderBy("pos", "i")
     path = path.join(last, key).withColumn("id", F.col("last") + F.row_number().over(Window.partitionBy(key).orderBy("hap", "pos", "i")))
-    links = path.select(key, "hap", "left", "right", "id", F.lag("id").over(one).alias("before"), F.lead("id").over(one).alias("after"))
+    links = path.select(key, "hap", "left", "right", "ends", "id", F.lag("id").over(one).alias("before"), F.lead("id").over(one).alias("after"))
     into = links.select(key, F.coalesce("before", "left").alias("src"), F.col("id").alias("dst"))
-    out = links.where("after is null").select(key, F.col("id").alias("src"), (F.col("right") + 2).alias("dst"))
+    out = links.where("after is null").select(key, F.col("id").alias("src"), (F.col("right") + F.when(F.col("ends"), 1).otherwise(2)).alias("dst"))
     empty = haplotypes.join(path.select(key, "hap").distinct(), [key, "hap"], "left_anti").select(key, F.col("left").alias("src"), (F.col("right") + 2).alias("dst"))
     new = path.select(key, "id", "n.label", "n.value")
     return nodes.unionByName(new), edges.unionByName(into).unionByName(out).unionByName(empty).distinct()
@@ -146,10 +165,11 @@ def paths0(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def double(paths: DataFrame, generation: int, key: str) -> DataFrame:
-    """Paths joined end to start; done ones pass, and what they could be joined with is reduced to what is looked up."""
+    """Paths joined end to start; done ones pass. Once rows are done, the other side is reduced to what is looked up."""
     open_ = paths.where("not done")
-    ends = open_.select(key, F.col("dst").alias("src")).distinct()
-    right = paths.join(ends, [key, "src"], "left_semi").select(key, F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("k0").alias("next"))
+    right = paths.select(key, F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("k0").alias("next"))
+    if generation > 3:
+        right = right.join(open_.select(key, F.col("dst").alias("mid")).distinct(), [key, "mid"], "left_semi")
     both = open_.withColumnRenamed("dst", "mid").join(right, [key, "mid"])
     if generation <= 3:
         shift = 3 * (1 << (generation - 1))
@@ -161,57 +181,166 @@ def double(paths: DataFrame, generation: int, key: str) -> DataFrame:
 
 
 def rank4(paths: DataFrame, key: str) -> DataFrame:
-    """Ranks of generation 4: groups of equal keys under one source keep their first row, or none after such a group."""
-    group = Window.partitionBy(key, "k0", "k1")
-    rows = paths.withColumn("_hom", F.min("src").over(group) == F.max("src").over(group)).withColumn("_rn", F.row_number().over(group.orderBy("src", "dst")))
-    heads = rows.groupBy(key, "k0", "k1").agg(F.first("_hom").alias("_hom"), F.min("src").alias("_src"))
-    order = Window.partitionBy(key).orderBy("k0", "k1")
-    heads = heads.withColumn("_again", F.coalesce(F.col("_hom") & F.lag("_hom").over(order) & (F.lag("_src").over(order) == F.col("_src")), F.lit(False)))
-    heads = heads.withColumn("_rank", F.sum(F.when(F.col("_again"), 0).otherwise(1)).over(order) - 1).select(key, "k0", "k1", "_again", "_rank")
-    rows = rows.join(heads, [key, "k0", "k1"]).where(~(F.col("_hom") & ((F.col("_rn") > 1) | F.col("_again"))))
-    n = F.count("*").over(Window.partitionBy(key, "_rank"))
-    return rows.select(key, "src", "dst", (F.col("done") | (n == 1)).alias("done"), F.col("_rank").cast("long").alias("k0"), F.lit(0).cast("long").alias("k1"))
+    """Ranks of generation 4: groups of equal keys under one source keep their first row, or none after such a group.
+
+    Groups are ordered in ranges over all keys at once, so that a large key is no task of its own; ranks rise through
+    all keys.
+    """
+    first = F.min(F.struct("src", "dst", "done"))
+    heads = paths.groupBy(key, "k0", "k1").agg(first.alias("_first"), F.max("src").alias("_to"))
+    heads = heads.withColumn("_hom", F.col("_first.src") == F.col("_to"))
+    rows, w = ranks.after_others(heads, [F.col(c) for c in (key, "k0", "k1")], 1)
+    before = F.lag(F.struct(key, "_hom", "_to")).over(w)
+    again = F.col("_hom") & before["_hom"] & (before[key] == F.col(key)) & (before["_to"] == F.col("_to"))
+    rows = rows.withColumn("_again", F.coalesce(again, F.lit(False)))
+    heads = ranks.numbered(rows, w, ~F.col("_again"), "_rank")
+    folded = heads.where("_hom and not _again").select(key, "_first.src", "_first.dst", F.lit(True).alias("done"), F.col("_rank").alias("k0"))
+    several = paths.join(heads.where("not _hom").select(key, "k0", "k1", "_rank"), [key, "k0", "k1"]).select(key, "src", "dst", "done", F.col("_rank").alias("k0"))
+    return folded.unionByName(several).withColumn("k1", F.lit(0).cast("long"))
 
 
 def rank5(paths: DataFrame, key: str) -> DataFrame:
-    """Ranks of later generations: runs of equal keys within blocks of equal first keys are folded in key order."""
-    run = Window.partitionBy(key, "k0", "k1")
-    rows = paths.withColumn("_rn", F.row_number().over(run.orderBy("src", "dst"))).withColumn("_bl", F.count("*").over(Window.partitionBy(key, "k0")))
-    heads = rows.groupBy(key, "k0", "k1").agg(F.min("src").alias("_lo"), F.max("src").alias("_src"), F.first("_bl").alias("_bl"), F.max_by("done", F.struct("src", "dst")).alias("_own"))
-    heads = heads.withColumn("_hom", F.col("_lo") == F.col("_src"))
-    order = Window.partitionBy(key).orderBy("k0", "k1")
-    lag = lambda c: F.lag(c).over(order)
-    heads = heads.withColumn("_eff0", ((F.col("_bl") > 1) & F.col("_hom")) | F.col("_own"))
-    heads = heads.withColumn("_solo", F.coalesce((F.col("_bl") == 1) & (lag("_bl") > 1) & lag("_eff0") & (lag("_src") == F.col("_src")), F.lit(False)))
-    heads = heads.withColumn("_eff", F.col("_eff0") | F.col("_solo"))
-    heads = heads.withColumn("_drop", F.col("_solo") | F.coalesce((F.col("_bl") > 1) & F.col("_hom") & lag("_eff") & (lag("_src") == F.col("_src")), F.lit(False)))
-    heads = heads.withColumn("_rank", F.sum(F.when(F.col("_drop"), 0).otherwise(1)).over(order) - 1)
-    rows = rows.join(heads.select(key, "k0", "k1", "_hom", "_drop", "_rank"), [key, "k0", "k1"]).where(~F.col("_drop"))
+    """Ranks of later generations: runs of equal keys within blocks of equal first keys are folded in key order.
+
+    A run is looked at with the two runs before it: whether the one before counts as folded depends on its own
+    predecessor. Runs are ordered in ranges over all keys, as in rank4.
+    """
+    row = F.struct("src", "dst")
+    heads = paths.groupBy(key, "k0", "k1").agg(F.min(F.struct("src", "dst", "done", "k1")).alias("_first"), F.max("src").alias("_src"), F.max_by("done", row).alias("_own"), F.count("*").alias("_n"))
+    heads = heads.withColumn("_bl", F.sum("_n").over(Window.partitionBy(key, "k0"))).withColumn("_hom", F.col("_first.src") == F.col("_src"))
+    heads = heads.withColumn("_eff", ((F.col("_bl") > 1) & F.col("_hom")) | F.col("_own"))
+    rows, w = ranks.after_others(heads, [F.col(c) for c in (key, "k0", "k1")], 2)
+    what = F.struct(key, "_bl", "_eff", "_src")
+    rows = rows.withColumn("_x", what).withColumn("_y", F.lag(what).over(w)).withColumn("_z", F.lag(what, 2).over(w))
+
+    def solo(x: str, y: str) -> Column:
+        near = (F.col(f"{y}.{key}") == F.col(f"{x}.{key}")) & (F.col(f"{y}._src") == F.col(f"{x}._src"))
+        return F.coalesce((F.col(f"{x}._bl") == 1) & (F.col(f"{y}._bl") > 1) & F.col(f"{y}._eff") & near, F.lit(False))
+
+    folded = (F.col("_y._eff") | solo("_y", "_z")) & (F.col(f"_y.{key}") == F.col(key)) & (F.col("_y._src") == F.col("_src"))
+    rows = rows.withColumn("_drop", solo("_x", "_y") | F.coalesce((F.col("_bl") > 1) & F.col("_hom") & folded, F.lit(False)))
+    heads = ranks.numbered(rows.drop("_x", "_y", "_z"), w, ~F.col("_drop"), "_rank").where("not _drop")
     fold = F.col("_hom") & (F.col("_bl") > 1)
-    rows = rows.where(~fold | (F.col("_rn") == 1))
-    return rows.select(key, "src", "dst", (F.col("done") | fold).alias("done"), F.col("_rank").cast("long").alias("k0"), "k1")
+    one = heads.where(fold).select(key, "_first.src", "_first.dst", F.lit(True).alias("done"), F.col("_rank").alias("k0"), "_first.k1")
+    rest = paths.join(heads.where(~fold).select(key, "k0", "k1", "_rank"), [key, "k0", "k1"]).select(key, "src", "dst", "done", F.col("_rank").alias("k0"), "k1")
+    return one.unionByName(rest)
 
 
-def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root: str | None = None, inputs: tuple[str, ...] = (), publish: str | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """The paths at the fixpoint, and for each generation (generation, joined, kept, ranks).
 
     Every generation is a written table, so lineage stays short and a lost executor costs one generation; the driver
-    sees three counts. Graphs of several keys are doubled together and end when all are done; an error if they aren't
-    after `most` generations.
+    sees three counts. With `root` a run resumes after the last generation that an earlier one with equal `inputs`
+    finished there; with `publish` the curve is appended to that table while it grows. Graphs of several keys are
+    doubled together and end when all are done; an error if they aren't after `most` generations.
     """
-    paths = spool(paths0(nodes, edges, key), "paths0")
+    spark = nodes.sparkSession
+
+    def step(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return spool(build(), name) if root is None else stage(spark, root, name, list(inputs), build)
+
+    def say(*row: int) -> None:
+        curve.append(row)
+        if publish:
+            spark.createDataFrame([row], "gen long, temp long, nodes long, ranks long").coalesce(1).write.mode("append").parquet(publish)
+
+    curve: list[tuple[int, int, int, int]] = []
+    paths = step("paths0", lambda: paths0(nodes, edges, key))
     n = paths.count()
-    curve = [(0, n, n, 0)]
+    say(0, n, n, 0)
     for g in range(1, most + 1):
-        joined = spool(double(paths, g, key), f"joined{g}")
+        joined = step(f"joined{g}", lambda p=paths, g=g: double(p, g, key))
         temp = joined.count()
-        paths = joined if g < 4 else spool(rank4(joined, key) if g == 4 else rank5(joined, key), f"paths{g}")
+        paths = joined if g < 4 else step(f"paths{g}", lambda j=joined, g=g: (rank4 if g == 4 else rank5)(j, key))
         n = paths.count()
-        ranks = paths.select(key, "k0").distinct().count() if g > 3 else 0
-        curve.append((g, temp, n, ranks))
-        if n == 0 or g > 3 and ranks == n:
+        places = paths.select(key, "k0").distinct().count() if g > 3 else 0
+        say(g, temp, n, places)
+        if n == 0 or g > 3 and places == n:
             break
     else:
         if n:
             raise RuntimeError(f"paths still double after {most} generations")
     return paths, curve
+
+
+def positional_out_degree(nodes: DataFrame, edges: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`nodes` with outdeg: both tables are read in `order`; each run of equal `src` among the edges belongs to the next
+    run of that src among the nodes, all of it to that run's first row. The run's other rows, and nodes without edges,
+    have 0. The runs of one src pair off by their place.
+    """
+
+    def runs(df: DataFrame) -> DataFrame:
+        rows, w = ranks.after_others(df, [F.col(c) for c in (key, *order)], 1)
+        old = (F.lag(key).over(w) == F.col(key)) & (F.lag("src").over(w) == F.col("src"))
+        rows = rows.withColumn("_new", ~F.coalesce(old, F.lit(False)))
+        return ranks.numbered(rows, w, F.col("_new"), "_run")
+
+    place = F.dense_rank().over(Window.partitionBy(key, "src").orderBy("_run"))
+    n = runs(edges).withColumn("_place", place).groupBy(key, "src", "_place").agg(F.count("*").alias("_n"))
+    out = runs(nodes).withColumn("_place", place).join(n, [key, "src", "_place"], "left")
+    return out.withColumn("outdeg", F.coalesce(F.when(F.col("_new"), F.col("_n")), F.lit(0)).cast("long")).drop("_new", "_run", "_place", "_n")
+
+
+def edge_rows(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """The rows of a graph index in order of the node that edges lead to: key, row, label (of the source), f, m.
+
+    f marks the first row of each target. m marks the first of the rows that each node spans in order of nodes: as many
+    as it has outgoing edges, one at least.
+    """
+    labels = nodes.select(key, F.col("id").alias("src"), "label")
+    first = Window.partitionBy(key, "dst").orderBy("label", "src")
+    rows = edges.join(labels, [key, "src"]).withColumn("f", F.row_number().over(first) == 1)
+    rows = from_first(ranks.row_numbers(rows, [F.col(c) for c in (key, "dst", "label", "src")], "row"), key, "row").select(key, "row", "label", "f")
+    outdeg = edges.groupBy(key, F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    spans = nodes.join(outdeg, [key, "id"], "left").select(key, "id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("n"))
+    starts = ranks.running_sum(spans, [F.col(key), F.col("id")], "n", "_upto").withColumn("row", F.col("_upto") - F.col("n"))
+    starts = from_first(starts, key, "row").select(key, "row", F.lit(True).alias("m"))
+    return rows.join(starts, [key, "row"], "left").select(key, "row", "label", "f", F.coalesce("m", F.lit(False)).alias("m"))
+
+
+def from_first(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """`rows` with a number that rises through all keys counted from 0 in each key."""
+    low = rows.groupBy(key).agg(F.min(number).alias("_low"))
+    return rows.join(low, key).withColumn(number, F.col(number) - F.col("_low")).drop("_low")
+
+
+def rank_flags(rows: DataFrame, key: str, flag: str, name: str) -> DataFrame:
+    """`rows` with how many rows of its key before each have the flag."""
+    rows = ranks.running_sum(rows.withColumn("_one", F.col(flag).cast("long")), [F.col(key), F.col("row")], "_one", name)
+    return from_first(rows.withColumn(name, F.col(name) - F.col("_one")).drop("_one"), key, name)
+
+
+def selected(rows: DataFrame, key: str, flag: str) -> DataFrame:
+    """key, k, row: the row of the k-th flag, counted from 1."""
+    return rank_flags(rows, key, flag, "k").where(flag).select(key, (F.col("k") + 1).alias("k"), "row")
+
+
+def graph_step(ranges: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Ranges (key, label, top, bot) of rows a backward step later, by the label; those that become empty drop out.
+
+    Rows of the label before either end, after all rows of smaller labels, give a range of nodes by the m flags before
+    it; the f flags give the rows of those nodes. Tallies are looked up by one sorted pass for each end, the rest by
+    equi-joins.
+    """
+    size = rows.groupBy(key).agg(F.count("*").alias("_size"))
+    small = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
+    small = small.select(key, "label", (F.sum("n").over(Window.partitionBy(key).orderBy("label")) - F.col("n")).alias("_first"))
+    w = Window.partitionBy(key, "label").orderBy("row")
+    places = rows.select(key, "label", "row", F.row_number().over(w).alias("_upto"))
+    m = rank_flags(rows, key, "m", "_m").select(key, F.col("row").alias("_at"), (F.col("_m") + F.col("m").cast("long")).alias("_m"))
+    f = selected(rows, key, "f")
+    names = [c for c in ranges.columns if c not in ("top", "bot")]
+    at = ranges.join(small, [key, "label"]).join(size, key)
+    # how many rows of the label lie before top and bot
+    tallies = places.select(key, "label", (F.col("row") + 1).alias("_s"), F.lit(1 << 62).alias("_e"), "_upto")
+    for end, name in (("top", "_a"), ("bot", "_b")):
+        at = last_start(at, tallies, [key, "label"], end, ["_upto"], "_s", "_e").withColumn(name, F.coalesce("_upto", F.lit(0))).drop("_upto")
+    at = at.where("_a < _b")
+    at = at.withColumn("_lo", F.col("_first") + F.col("_a")).withColumn("_hi", F.col("_first") + F.col("_b") - 1)
+    for end, k in (("_lo", "_p"), ("_hi", "_q")):
+        at = at.join(m.select(key, F.col("_at").alias(end), F.col("_m").alias(k)), [key, end])
+    # the flags up to a row number its node from 1
+    at = at.join(f.select(key, F.col("k").alias("_p"), F.col("row").alias("_top")), [key, "_p"], "left")
+    at = at.withColumn("_q", F.col("_q") + 1).join(f.select(key, F.col("k").alias("_q"), F.col("row").alias("_bot")), [key, "_q"], "left")
+    out = at.select(*names, F.coalesce("_top", "_size").alias("top"), F.coalesce("_bot", "_size").alias("bot"))
+    return out.where("top < bot")

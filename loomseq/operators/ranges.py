@@ -74,6 +74,19 @@ def last_start(points: DataFrame, intervals: DataFrame, key: list[str], pos: str
     return rows.select(*key, *names, *[F.when(inside, F.col(f"_iv.{c}")).alias(c) for c in carry])
 
 
+def placed(rows: DataFrame, runs: DataFrame, key: list[str], ends: dict[str, str]) -> DataFrame:
+    """`rows` with, for each position of `ends`, its place among run letters under the given name and that name's _run.
+
+    `runs` has the key, start, stop, joined and run_ix; both are null for a position outside a run.
+    """
+    for pos, name in ends.items():
+        carry = ["start", "joined", "run_ix"]
+        of = runs.select(*key, F.col("start").alias("_0"), F.col("stop").alias("_1"), *[F.col(c).alias(f"_{c}") for c in carry])
+        got = last_start(rows, of, key, pos, [f"_{c}" for c in carry], "_0", "_1")
+        rows = got.select(*rows.columns, (F.col("_joined") + F.col(pos) - F.col("_start")).alias(name), F.col("_run_ix").alias(f"{name}_run"))
+    return rows
+
+
 def bins(start: Column, stop: Column, width: int) -> Column:
     """The bins that [start, stop) touches."""
     return F.sequence(F.floor(start / width), F.floor((stop - 1) / width))
@@ -97,13 +110,21 @@ def containment_join(a: DataFrame, b: DataFrame, key: list[str], width: int) ->
     return left.join(right, [*key, "_bin"]).where("b_start <= a_start and a_stop <= b_stop").drop("_bin")
 
 
-def first_match(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, name: str, width: int) -> DataFrame:
-    """For each point the first interval [b_start, b_stop] (closed) in order of start, stop and name that holds it, else null."""
-    right = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("b_start") / width), F.floor(F.col("b_stop") / width))))
-    left = points.withColumn("_bin", F.floor(F.col(pos) / width))
-    hit = left.join(right, [*key, "_bin"]).where(F.col(pos).between(F.col("b_start"), F.col("b_stop")))
-    hit = hit.groupBy(*points.columns).agg(F.min(F.struct("b_start", "b_stop", name)).alias("m")).select(*points.columns, F.col(f"m.{name}").alias(name))
-    return points.join(hit, points.columns, "left")
+def first_match(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, name: str) -> DataFrame:
+    """For each point the first interval [b_start, b_stop] (closed) in order of start, stop and name that holds it, else null.
+
+    The first interval that ends at or after a point is the one, if it starts by then: whatever holds the point starts
+    no earlier. So only intervals that end after all those before them count, and points look up the next of their ends
+    in one sorted pass, without a row for each pair.
+    """
+    order = Window.partitionBy(*key).orderBy("b_start", "b_stop", name)
+    top = F.max("b_stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    firsts = intervals.dropna(subset=key).withColumn("_top", top).where("_top is null or b_stop > _top")
+    a = firsts.select(*key, F.col("b_stop").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("b_start").alias("s"), F.col(name).alias("name")).alias("_iv"), F.lit(None).cast(points.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_row"))
+    b = points.select(*key, F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(a.schema["_iv"].dataType).alias("_iv"), F.struct(*points.columns).alias("_row"))
+    w = Window.partitionBy(*key).orderBy(F.desc("_at"), "_kind")
+    rows = a.unionByName(b).withColumn("_iv", F.last("_iv", ignorenulls=True).over(w)).where("_kind = 1")
+    return rows.select("_row.*", F.when(F.col("_iv.s") <= F.col("_at"), F.col("_iv.name")).alias(name))
 
 
 def blocked_ranges(variants: DataFrame, key: str, relax: int = 128) -> DataFrame:

@@ -6,48 +6,104 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import spool
 
 
+def _offsets(rows: DataFrame, add: Column) -> dict[int, float]:
+    """The sum of `add` in all partitions before each, of rows with _id: the driver sees one number a partition."""
+    got = sorted((r[0], r[1] or 0) for r in rows.groupBy(F.shiftright("_id", 33).alias("p")).agg(add).collect())
+    before, total = {}, 0
+    for p, c in got:
+        before[p], total = total, total + c
+    return before
+
+
+def _look_up(of: dict[int, float], kind: str) -> Column:
+    """A value for the partition of a row with _id, from one literal that is read by position."""
+    text = ",".join(repr(of.get(p, 0)) for p in range(max(of, default=0) + 1))
+    return F.get(F.split(F.lit(text), ",").cast(f"array<{kind}>"), F.shiftright("_id", 33).cast("int"))
+
+
+def _in_order(df: DataFrame, order: list[Column], partitions: int = 0) -> DataFrame:
+    """`df` sorted into ranges, with _id: its partition and the place in it."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spool(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+
+
 def row_numbers(df: DataFrame, order: list[Column], name: str, partitions: int = 0) -> DataFrame:
     """A global 0-based row number in a total order, without a window over the whole table.
 
     Rows are dealt into ranges and sorted; each gets its place in its range plus the rows of the ranges before, of
     which the driver sees one count a range.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = spool(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftright("_id", 33)
-    counts = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect())
-    before, total = {}, 0
-    for p, c in counts:
-        before[p], total = total, total + c
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("long")).drop("_id")
-    base = F.create_map(*[x for p, b in before.items() for x in (F.lit(p).cast("long"), F.lit(b).cast("long"))])
-    return rows.withColumn(name, base[part.cast("long")] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    rows = _in_order(df, order, partitions)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(name, _look_up(_offsets(rows, F.count("*")), "long") + place).drop("_id")
+
+
+def after_others(df: DataFrame, order: list[Column], depth: int) -> tuple[DataFrame, WindowSpec]:
+    """`df` in ranges of a total order, and a window in which each row sees at least `depth` rows before it.
+
+    Each range begins with copies of the rows that end the ranges before (`depth` of each pass through the driver);
+    they have _copy and are to be dropped once the window was used. Rows have _part and _id.
+    """
+    rows = _in_order(df, order).withColumn("_part", F.shiftright("_id", 33).cast("int"))
+    last = sorted(tuple(r) for r in rows.groupBy("_part").agg(F.max("_id")).collect())
+    ends = rows.where(F.col("_id").isin([m - i for _, m in last for i in range(depth) if (m - i) >> 33 == m >> 33])).collect()
+    ends = sorted((r.asDict() for r in ends), key=lambda r: r["_id"])
+    copies = []
+    for part, _ in last:
+        before = [r for r in ends if r["_part"] < part][-depth:]
+        copies += [{**r, "_part": part, "_id": (part << 33) - len(before) + i} for i, r in enumerate(before)]
+    more = df.sparkSession.createDataFrame([tuple(c[n] for n in rows.columns) for c in copies], rows.schema)
+    both = rows.withColumn("_copy", F.lit(False)).unionByName(more.withColumn("_copy", F.lit(True)))
+    return both, Window.partitionBy("_part").orderBy("_id")
+
+
+def numbered(rows: DataFrame, w: WindowSpec, keep: Column, name: str) -> DataFrame:
+    """Rows of `after_others` without its copies, and how many rows up to each `keep` holds for, in all ranges, less one."""
+    rows = rows.withColumn("_keep", (keep & ~F.col("_copy")).cast("long"))
+    rows = spool(rows.withColumn("_sum", F.sum("_keep").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not _copy"), "numbered")
+    return rows.withColumn(name, F.col("_sum") + _look_up(_offsets(rows, F.sum("_keep")), "long") - 1).drop("_keep", "_sum", "_copy", "_part", "_id")
+
+
+def running_sum(df: DataFrame, order: list[Column], add: str, name: str) -> DataFrame:
+    """The sum of `add` over this and all earlier rows in a total order: a window within each range, plus the ranges before."""
+    rows = _in_order(df, order)
+    w = Window.partitionBy(F.shiftright("_id", 33)).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(add).over(w) + _look_up(_offsets(rows, F.sum(add)), "long")).drop("_id")
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """1-based ranks in which ties share their mean: counts of equal values are summed, and only they are ordered."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    ranked = counts.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
+    if by:
+        ranked = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(value)))
+    else:
+        ranked = running_sum(counts, [F.col(value)], "_n", "_upto")
+    ranked = ranked.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranked, [*by, value])
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: list[Column], name: str) -> DataFrame:
-    """Adjusted p-values: the least p * m / rank over this and all larger p, 1 at most. Null p stay null and don't count."""
-    w = Window.orderBy(F.col(p).desc())
+def benjamini_hochberg(df: DataFrame, p: str, name: str) -> DataFrame:
+    """Adjusted p-values: the least p * m / rank over this and all larger p, 1 at most. Null p stay null and don't count.
+
+    Distinct values are dealt into ranges: ranks get the counts of the ranges before, and the running least gets the
+    least of the ranges after, of which the driver sees one number each.
+    """
     counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    rank = F.sum("_n").over(Window.orderBy(p))
-    steps = counts.select(p, (F.col(p) * total / rank).alias("_q"))
-    steps = steps.select(p, F.least(F.lit(1.0), F.min("_q").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias(name))
+    steps = _in_order(running_sum(counts, [F.col(p)], "_n", "_upto"), [F.col(p)])
+    total = steps.agg(F.sum("_n").cast("double")).first()[0] or 0.0
+    steps = steps.select(p, "_id", (F.col(p) * total / F.col("_upto")).alias("_q"))
+    least, after = 1.0, {}
+    for r in sorted(steps.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.min("_q").alias("q")).collect(), reverse=True):
+        after[r["p"]], least = least, min(least, r["q"])
+    w = Window.partitionBy(F.shiftright("_id", 33)).orderBy(F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select(p, F.least(F.min("_q").over(w), _look_up(after, "double")).alias(name))
     return df.join(steps, p, "left")
 
 

@@ -108,7 +108,7 @@ def wald_ci(spark, d):
   SELECT arm, site, round(least(1.0, min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS q FROM r""")
 def bh_adjust(spark, d):
     rows = depth(spark, d).select("arm", "site", (1 / (1 + F.col("x"))).alias("p"))
-    return ranks.benjamini_hochberg(rows, "p", [F.col("arm"), F.col("site")], "q").select("arm", "site", F.round("q", 6).alias("q"))
+    return ranks.benjamini_hochberg(rows, "p", "q").select("arm", "site", F.round("q", 6).alias("q"))
 
 
 @query(f"""WITH {DEPTH_SQL}, k AS (SELECT arm, site, n, least(x, n - x) AS m FROM depth), t AS (SELECT arm, site, n, m, unnest(range(0, m + 1)) AS i FROM k)

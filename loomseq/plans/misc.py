@@ -38,7 +38,7 @@ def freq_predicate(spark, d):
     li = table(spark, d, "lineitem")
     freq = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("a:0.9,"), F.col("l_discount").cast("string"), F.lit("|b:1,."))).otherwise(F.concat(F.lit("a:1,.|b:0.5,"), F.col("l_tax").cast("string")))
     common = lambda x: x.try_cast("double").between(0.01, 0.05)
-    alt = lambda s: F.exists(F.slice(F.split(F.split_part(s, F.lit(":"), F.lit(2)), ","), 2, 100), lambda x: F.coalesce(common(x), F.lit(False)))
+    alt = lambda s: F.exists(F.slice(F.split(F.split_part(s, F.lit(":"), F.lit(2)), ","), F.lit(2), F.length(s)), lambda x: F.coalesce(common(x), F.lit(False)))
     return li.where(F.exists(F.split(freq, "\\|"), alt)).select("l_orderkey", "l_linenumber")
 
 

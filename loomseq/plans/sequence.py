@@ -124,7 +124,7 @@ def asof_last_interval(spark, d):
 @query(f"""WITH {INTERVALS_SQL}, {POINTS_SQL}, h AS (SELECT pt.key, ok, ln, p, name, row_number() OVER (PARTITION BY pt.key, ok, ln, p ORDER BY start, stop, name) AS rn FROM pt LEFT JOIN iv ON iv.key = pt.key AND p BETWEEN start AND stop) SELECT key, ok, ln, p, name FROM h WHERE rn = 1""")
 def first_match_interval(spark, d):
     iv = intervals(spark, d).select("key", "name", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
-    return ranges.first_match(points(spark, d), iv, ["key"], "p", "name", 8)
+    return ranges.first_match(points(spark, d), iv, ["key"], "p", "name")
 
 
 @query(f"""WITH {INTERVALS_SQL} SELECT a.key, a.name AS a, b.name AS b FROM iv a JOIN iv b ON a.key = b.key AND a.start < b.stop AND b.start < a.stop AND a.name < b.name""")
@@ -230,8 +230,8 @@ def _graph(spark, d):
 
 GRAPH_SQL = f"""{TURNS_SQL}, t AS (SELECT key, replace(seq, 'N', 'A') AS q FROM s WHERE length(seq) >= 12),
   spots AS (SELECT key, length(q) AS n, i, substr(q, CAST({APART} * i + 4 AS INTEGER), 1) AS b FROM t, unnest(range(0, (length(q) - 12) // {APART} + 1)) AS u(i)),
-  nodes AS (SELECT key, unnest(range(0, length(q) + 2)) AS id, unnest(string_split('Y' || q || 'Z', '')) AS label FROM t UNION ALL SELECT key, n + 2 + i, translate(b, 'ACGT', 'CGTA') FROM spots),
-  edges AS (SELECT key, i AS src, i + 1 AS dst FROM t, unnest(range(0, length(q) + 1)) AS u(i) UNION SELECT key, {APART} * i + 3, n + 2 + i FROM spots UNION SELECT key, n + 2 + i, {APART} * i + 5 FROM spots UNION SELECT key, {APART} * i + 6, {APART} * i + 9 FROM spots)"""
+  nodes AS MATERIALIZED (SELECT key, unnest(range(0, length(q) + 2)) AS id, unnest(string_split('Y' || q || 'Z', '')) AS label FROM t UNION ALL SELECT key, n + 2 + i, translate(b, 'ACGT', 'CGTA') FROM spots),
+  edges AS MATERIALIZED (SELECT key, i AS src, i + 1 AS dst FROM t, unnest(range(0, length(q) + 1)) AS u(i) UNION SELECT key, {APART} * i + 3, n + 2 + i FROM spots UNION SELECT key, n + 2 + i, {APART} * i + 5 FROM spots UNION SELECT key, {APART} * i + 6, {APART} * i + 9 FROM spots)"""
 
 
 @query(f"WITH {GRAPH_SQL} SELECT n.key, label, count(*) AS edges FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src GROUP BY 1, 2")
@@ -251,9 +251,9 @@ def out_degree(spark, d):
     return edges.groupBy("key", "src").agg(F.count("*").alias("outdeg")).where("outdeg > 1")
 
 
-PATHS_SQL = f"""{GRAPH_SQL}, p0 AS (SELECT e.key, src, dst, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src UNION ALL SELECT key, id, id, 5 FROM nodes WHERE label = 'Z'),
-  p1 AS (SELECT a.key, a.src, b.dst, a.k * 8 + b.k AS k FROM p0 a JOIN p0 b ON a.key = b.key AND a.dst = b.src), p2 AS (SELECT a.key, a.src, b.dst, a.k * 64 + b.k AS k FROM p1 a JOIN p1 b ON a.key = b.key AND a.dst = b.src),
-  p3 AS (SELECT a.key, a.src, b.dst, a.k * 4096 + b.k AS k FROM p2 a JOIN p2 b ON a.key = b.key AND a.dst = b.src)"""
+PATHS_SQL = f"""{GRAPH_SQL}, p0 AS MATERIALIZED (SELECT e.key, src, dst, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src UNION ALL SELECT key, id, id, 5 FROM nodes WHERE label = 'Z'),
+  p1 AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.k * 8 + b.k AS k FROM p0 a JOIN p0 b ON a.key = b.key AND a.dst = b.src), p2 AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.k * 64 + b.k AS k FROM p1 a JOIN p1 b ON a.key = b.key AND a.dst = b.src),
+  p3 AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.k * 4096 + b.k AS k FROM p2 a JOIN p2 b ON a.key = b.key AND a.dst = b.src)"""
 
 
 def _paths3(spark, d):
@@ -269,14 +269,73 @@ def path_doubling(spark, d):
     return _paths3(spark, d).select("key", "src", "dst", "k0")
 
 
-@query(f"""WITH {PATHS_SQL}, j AS (SELECT a.key, a.src, b.dst, a.k AS k0, b.k AS k1 FROM p3 a JOIN p3 b ON a.key = b.key AND a.dst = b.src),
-  g AS (SELECT *, min(src) OVER (PARTITION BY key, k0, k1) = max(src) OVER (PARTITION BY key, k0, k1) AS hom, row_number() OVER (PARTITION BY key, k0, k1 ORDER BY src, dst) AS rn FROM j),
+RANK4_SQL = f"""{PATHS_SQL}, j AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.k AS k0, b.k AS k1 FROM p3 a JOIN p3 b ON a.key = b.key AND a.dst = b.src),
+  g AS MATERIALIZED (SELECT *, min(src) OVER (PARTITION BY key, k0, k1) = max(src) OVER (PARTITION BY key, k0, k1) AS hom, row_number() OVER (PARTITION BY key, k0, k1 ORDER BY src, dst) AS rn FROM j),
   h AS (SELECT key, k0, k1, src, hom, coalesce(hom AND lag(hom) OVER w AND lag(src) OVER w = src, false) AS again FROM g WHERE rn = 1 WINDOW w AS (PARTITION BY key ORDER BY k0, k1)),
-  r AS (SELECT key, k0, k1, again, CAST(sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY k0, k1) - 1 AS BIGINT) AS place FROM h)
-  SELECT g.key, src, dst, place, count(*) OVER (PARTITION BY g.key, place) = 1 AS done FROM g JOIN r ON r.key = g.key AND r.k0 = g.k0 AND r.k1 = g.k1 WHERE NOT (hom AND (rn > 1 OR again))""")
+  r AS (SELECT key, k0, k1, again, CAST(sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY k0, k1) - 1 AS BIGINT) AS place FROM h),
+  p4 AS MATERIALIZED (SELECT g.key, src, dst, place, count(*) OVER (PARTITION BY g.key, place) = 1 AS done FROM g JOIN r ON r.key = g.key AND r.k0 = g.k0 AND r.k1 = g.k1 WHERE NOT (hom AND (rn > 1 OR again)))"""
+
+
+def _paths4(spark, d):
+    return spool(graph.rank4(spool(graph.double(_paths3(spark, d), 4, "key"), "joined4"), "key"), "paths4")
+
+
+@query(f"WITH {RANK4_SQL} SELECT key, src, dst, place, done FROM p4")
 def run_collapse_hom(spark, d):
-    joined = spool(graph.double(_paths3(spark, d), 4, "key"), "joined4")
-    return graph.rank4(joined, "key").select("key", "src", "dst", F.col("k0").alias("place"), "done")
+    return graph.from_first(_paths4(spark, d), "key", "k0").select("key", "src", "dst", F.col("k0").alias("place"), "done")
+
+
+@query(f"""WITH {RANK4_SQL}, j5 AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.done, a.place AS k0, b.place AS k1 FROM p4 a JOIN p4 b ON a.key = b.key AND a.dst = b.src WHERE NOT a.done UNION ALL SELECT key, src, dst, done, place, 0 FROM p4 WHERE done),
+  g5 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key, k0, k1 ORDER BY src, dst) AS rn, count(*) OVER (PARTITION BY key, k0) AS bl FROM j5),
+  h5 AS (SELECT key, k0, k1, min(src) = max(src) AS hom, max(src) AS src, any_value(bl) AS bl, arg_max(done, (src, dst)) AS own FROM g5 GROUP BY key, k0, k1),
+  e0 AS (SELECT *, (bl > 1 AND hom) OR own AS eff0 FROM h5),
+  s5 AS (SELECT *, coalesce(bl = 1 AND lag(bl) OVER w > 1 AND lag(eff0) OVER w AND lag(src) OVER w = src, false) AS solo FROM e0 WINDOW w AS (PARTITION BY key ORDER BY k0, k1)),
+  d5 AS (SELECT *, solo OR coalesce(bl > 1 AND hom AND lag(eff0 OR solo) OVER w AND lag(src) OVER w = src, false) AS gone FROM s5 WINDOW w AS (PARTITION BY key ORDER BY k0, k1)),
+  r5 AS (SELECT *, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY k0, k1) - 1 AS BIGINT) AS place FROM d5)
+  SELECT g5.key, g5.src, dst, place, done OR (hom AND r5.bl > 1) AS done FROM g5 JOIN r5 ON r5.key = g5.key AND r5.k0 = g5.k0 AND r5.k1 = g5.k1 WHERE NOT gone AND (NOT (hom AND r5.bl > 1) OR rn = 1)""")
+def rank_fold(spark, d):
+    joined = spool(graph.double(_paths4(spark, d), 5, "key"), "joined5")
+    return graph.from_first(spool(graph.rank5(joined, "key"), "paths5"), "key", "k0").select("key", "src", "dst", F.col("k0").alias("place"), "done")
+
+
+@query(f"""WITH {GRAPH_SQL}, e AS (SELECT key, src, count(*) AS n FROM edges GROUP BY 1, 2) SELECT n.key, id, CAST(coalesce(e.n, 0) AS BIGINT) AS outdeg FROM nodes n LEFT JOIN e ON e.key = n.key AND e.src = n.id""")
+def positional_outdeg(spark, d):
+    nodes, edges = _graph(spark, d)
+    n = nodes.withColumn("src", F.col("id"))
+    return graph.positional_out_degree(n, edges.withColumn("id", F.col("src")), "key", ["id"]).select("key", "id", "outdeg")
+
+
+ROWS_SQL = f"""{GRAPH_SQL}, x AS (SELECT e.key, dst, n.label, src FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src),
+  er AS MATERIALIZED (SELECT key, label, row_number() OVER (PARTITION BY key ORDER BY dst, label, src) - 1 AS row, row_number() OVER (PARTITION BY key, dst ORDER BY label, src) = 1 AS f FROM x),
+  od AS (SELECT key, src, count(*) AS n FROM edges GROUP BY 1, 2), sp AS (SELECT n.key, id, greatest(coalesce(od.n, 0), 1) AS n FROM nodes n LEFT JOIN od ON od.key = n.key AND od.src = n.id),
+  st AS (SELECT key, sum(n) OVER (PARTITION BY key ORDER BY id) - n AS row FROM sp),
+  rows AS MATERIALIZED (SELECT er.key, er.row, label, f, st.row IS NOT NULL AS m FROM er LEFT JOIN st ON st.key = er.key AND st.row = er.row)"""
+
+
+@query(f"WITH {ROWS_SQL} SELECT key, row, label, f, m FROM rows")
+def edge_flags(spark, d):
+    return graph.edge_rows(*_graph(spark, d), "key")
+
+
+@query(f"WITH {ROWS_SQL}, c AS (SELECT *, sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY row) - CASE WHEN m THEN 1 ELSE 0 END AS rank_m, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY row) AS k FROM rows) SELECT key, row, CAST(rank_m AS BIGINT) AS rank_m, CAST(CASE WHEN f THEN k END AS BIGINT) AS select_k FROM c")
+def flag_ranks(spark, d):
+    rows = spool(graph.edge_rows(*_graph(spark, d), "key"), "rows")
+    picked = graph.selected(rows, "key", "f").withColumnRenamed("k", "select_k")
+    return graph.rank_flags(rows, "key", "m", "rank_m").join(picked, ["key", "row"], "left").select("key", "row", "rank_m", "select_k")
+
+
+@query(f"""WITH {ROWS_SQL}, sz AS (SELECT key, count(*) AS size FROM rows GROUP BY key), q AS (SELECT key, label, size // 4 AS top, size - size // 4 AS bot, size FROM sz, (SELECT unnest(['A', 'C', 'G', 'T']) AS label)),
+  l AS (SELECT key, label, count(*) AS n FROM rows GROUP BY 1, 2), fc AS (SELECT key, label, sum(n) OVER (PARTITION BY key ORDER BY label) - n AS first FROM l),
+  oc AS (SELECT q.key, q.label, q.top, q.bot, q.size, any_value(first) AS first, count(*) FILTER (row < top) AS a, count(*) FILTER (row < bot) AS b FROM q JOIN fc ON fc.key = q.key AND fc.label = q.label JOIN rows r ON r.key = q.key AND r.label = q.label GROUP BY 1, 2, 3, 4, 5),
+  mm AS (SELECT key, row, sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY row) AS m FROM rows), ff AS (SELECT key, row, row_number() OVER (PARTITION BY key ORDER BY row) AS k FROM rows WHERE f),
+  o AS (SELECT oc.key, oc.label, coalesce(f1.row, size) AS top, coalesce(f2.row, size) AS bot FROM oc JOIN mm m1 ON m1.key = oc.key AND m1.row = first + a JOIN mm m2 ON m2.key = oc.key AND m2.row = first + b - 1
+    LEFT JOIN ff f1 ON f1.key = oc.key AND f1.k = m1.m LEFT JOIN ff f2 ON f2.key = oc.key AND f2.k = m2.m + 1 WHERE a < b)
+  SELECT key, label, CAST(top AS BIGINT) AS top, CAST(bot AS BIGINT) AS bot FROM o WHERE top < bot""")
+def graph_lf(spark, d):
+    """A backward step by each base from the middle half of each graph's rows."""
+    rows = spool(graph.edge_rows(*_graph(spark, d), "key"), "rows")
+    q = rows.groupBy("key").agg(F.count("*").alias("size")).select("key", F.explode(F.array(*map(F.lit, "ACGT"))).alias("label"), F.expr("size div 4").alias("top"), F.expr("size - size div 4").alias("bot"))
+    return graph.graph_step(q, rows, "key").select("key", "label", "top", "bot")
 
 
 @query()

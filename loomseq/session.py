@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spool(df: DataFrame, name: str = "step") -> DataFrame:
-    """`df` written under spark.checkpoint.dir and read back; a temporary folder stands in where that is unset."""
+    """`df` written under spark.checkpoint.dir and read back.
+
+    A temporary folder stands in where that is unset, on a local master only: elsewhere executors would write to disks
+    that others can't read, so it is an error.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loomseq-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

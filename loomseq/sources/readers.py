@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import placed
+from ..session import spool
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines without a trailing carriage return."""
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
 
 
-def _fields(rows: DataFrame, sep: str, names: list[tuple[str, str]]) -> DataFrame:
-    parts = rows.select(F.split("line", sep).alias("f")).where(F.size("f") >= len(names))
-    return parts.select(*[F.get("f", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (0-based place in its file) and line, for any number of files and of splits of a file.
+
+    Lines are numbered within their split; what lies before it is the sum over the splits of its file, a row each.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = spool(rows, "lines")
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("file").orderBy("start")) - F.col("k")
+    splits = splits.select("file", "start", (before - F.col("first")).alias("shift"))
+    return rows.join(splits, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).alias("n"), "line")
+
+
+def _fields(rows: DataFrame, sep: str, names: list[tuple[str, str]], *keep: str) -> DataFrame:
+    parts = rows.select(*keep, F.split("line", sep).alias("f")).where(F.size("f") >= len(names))
+    return parts.select(*[F.get("f", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)], *keep)
 
 
 def dropped(rows: DataFrame, sep: str, least: int) -> int:
@@ -21,36 +38,86 @@ def dropped(rows: DataFrame, sep: str, least: int) -> int:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """header (whole line), name (its first word), seq: a record a row, read by the '>' that begins it."""
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    """header (whole line), name (its first word), seq: a record a row, read by the line that begins with '>'."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     header = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")
     body = F.expr("substring(value, instr(value, '\n') + 1)")
     return rows.select(header.alias("header"), F.regexp_extract(header, r"^(\S*)", 1).alias("name"), F.when(F.contains("value", F.lit("\n")), F.upper(F.regexp_replace(body, r"\s", ""))).otherwise("").alias("seq"))
 
 
-def snp(spark: SparkSession, path: str) -> DataFrame:
-    """id, typ, chrom, pos (0-based), allele; a deletion's allele is its length."""
-    return _fields(lines(spark, path), "\t", [("id", "string"), ("typ", "string"), ("chrom", "string"), ("pos", "long"), ("allele", "string")])
+def snp(spark: SparkSession, path: str, runs: DataFrame | None = None) -> DataFrame:
+    """id, typ, chrom, pos (0-based), allele, file, n (place in the file); a deletion's allele is its length.
+
+    With `runs` (chrom, start, stop, joined, run_ix) variants outside a run are dropped, and joined_pos is added.
+    """
+    rows = _fields(numbered_lines(spark, path), "\t", [("id", "string"), ("typ", "string"), ("chrom", "string"), ("pos", "long"), ("allele", "string")], "file", "n")
+    return rows if runs is None else placed(rows, runs, ["chrom"], {"pos": "joined_pos"}).where("joined_pos is not null").drop("joined_pos_run")
+
+
+def index_variants(spark: SparkSession, path: str) -> DataFrame:
+    """chrom (up to its first space), pos (1-based), alt of the substitutions of an index's variant table."""
+    rows = _fields(lines(spark, path), "\t", [("id", "string"), ("typ", "string"), ("chrom", "string"), ("pos", "long"), ("allele", "string")])
+    return rows.where("typ = 'single'").select(F.substring_index("chrom", " ", 1).alias("chrom"), (F.col("pos") + 1).alias("pos"), F.col("allele").alias("alt"))
+
+
+def snp_positions(spark: SparkSession, path: str) -> DataFrame:
+    """chrom without chr, pos (1-based), alt of a table chrom, pos (0-based), alt; other alleles than a base are dropped."""
+    rows = _fields(lines(spark, path), "\t", [("chrom", "string"), ("pos", "long"), ("alt", "string")]).where(F.col("alt").isin(*"ACGT"))
+    return rows.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), (F.col("pos") + 1).alias("pos"), "alt")
+
 
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """gene, count of lines with two columns; lines of another width are ignored."""
+    return _fields(lines(spark, path).where(F.size(F.split("line", "\t")) == 2), "\t", [("gene", "string"), ("count", "long")])
 
-def haplotypes(spark: SparkSession, path: str, variants: DataFrame) -> DataFrame:
-    """hap, chrom, left, right (closed) and the array of variants; those that name an unknown id are dropped.
 
-    Of variants with one id the last (by position) counts.
+def resources(spark: SparkSession, path: str) -> DataFrame:
+    """file, elapsed (h:mm:ss or m:ss), rss_kb, status of logs of a timing command, a row a file; null where a line is missing."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    of = lambda pattern: F.max(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")))
+    out = rows.groupBy("file").agg(of(r"Elapsed \(wall clock\) time .*: ([0-9:.]+)$").alias("elapsed"), of(r"Maximum resident set size \(kbytes\): (\d+)").alias("rss"), of(r"Exit status: (\d+)").alias("exit"))
+    return out.select("file", "elapsed", F.col("rss").cast("long").alias("rss_kb"), F.col("exit").cast("int").alias("status"))
+
+
+def haplotypes(spark: SparkSession, path: str, variants: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """hap, chrom, left, right (closed) and the array of variants; those that name an unknown id or none are dropped.
+
+    Of variants with one id the last in the file counts. With `runs` so are those of which an end lies outside a run or
+    that span two.
     """
     rows = _fields(lines(spark, path), "\t", [("hap", "string"), ("chrom", "string"), ("left", "long"), ("right", "long"), ("ids", "string")])
     rows = rows.where("ids <> ''").withColumn("ids", F.split("ids", ","))
     size = F.when(F.col("typ") == "deletion", F.col("allele").try_cast("long")).otherwise(F.length("allele"))
-    byid = variants.groupBy("id").agg(F.max_by(F.struct("typ", "pos", size.cast("long").alias("len"), F.col("allele").alias("seq")), "pos").alias("v"))
+    byid = variants.groupBy("id").agg(F.max_by(F.struct("typ", "pos", size.cast("long").alias("len"), F.col("allele").alias("seq")), F.struct("file", "n")).alias("v"))
+    if runs is not None:
+        rows = _within(rows, runs, ["left", "right"])
     each = rows.select("*", F.posexplode("ids").alias("i", "id")).join(byid, "id")
     out = each.groupBy("hap", "chrom", "left", "right", "ids").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("vs"))
     return out.where(F.size("vs") == F.size("ids")).select("hap", "chrom", "left", "right", F.col("vs.v").alias("variants"))
 
 
-def splice_sites(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, left, right, strand, with flanking bases turned into the first and last intron base; '#' lines are skipped."""
+def _within(rows: DataFrame, runs: DataFrame, ends: list[str]) -> DataFrame:
+    """Rows whose `ends` all lie in one run of their chromosome."""
+    out = placed(rows, runs, ["chrom"], {c: f"_{c}_at" for c in ends})
+    same = [F.col(f"_{c}_at_run") == F.col(f"_{ends[0]}_at_run") for c in ends]
+    for test in same:
+        out = out.where(test)
+    return out.select(rows.columns)
+
+
+def splice_sites(spark: SparkSession, path: str, runs: DataFrame | None = None, exons: bool = False) -> DataFrame:
+    """chrom, left, right, strand, with flanking bases turned into the first and last intron base; '#' lines are skipped.
+
+    With `runs` a row stays if its own ends and the converted ones lie in one run; of `exons`, tables of the same form,
+    only the converted ends count, and those without a base between are dropped.
+    """
     rows = _fields(lines(spark, path).where("line not like '#%'"), r"\s+", [("chrom", "string"), ("left", "long"), ("right", "long"), ("strand", "string")])
-    return rows.withColumn("left", F.col("left") + 1).withColumn("right", F.col("right") - 1)
+    if runs is not None and not exons:
+        rows = _within(rows, runs, ["left", "right"])
+    rows = rows.withColumn("left", F.col("left") + 1).withColumn("right", F.col("right") - 1)
+    if exons:
+        rows = rows.where("left > 1 and right >= 0 and left < right")
+    return rows if runs is None else _within(rows, runs, ["left", "right"])
 
 
 def gtf(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +168,7 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     """name, flag, chrom, pos, mapq, cigar and a map of tags from the twelfth field on."""
     f = F.split("line", "\t")
     rows = lines(spark, path).where("line not like '@%'").where(F.size(f) >= 11)
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(f, 12, 1000), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
+    tags = F.map_from_entries(F.transform(F.filter(F.slice(f, F.lit(12), F.size(f)), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
     return rows.select(f[0].alias("name"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), f[3].cast("long").alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), tags.alias("tags"))
 
 
@@ -115,16 +182,27 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def common(rows: DataFrame, low: float = 0.01, high: float = 0.99, longest: int = 50) -> DataFrame:
     """Variants that some source gives an alternative frequency between the limits; no symbolic or long alleles."""
-    seen = F.exists("freqs", lambda s: F.exists(F.slice(s["f"], 2, 1000), lambda x: F.coalesce(x.between(low, high), F.lit(False))))
+    seen = F.exists("freqs", lambda s: F.exists(F.slice(s["f"], F.lit(2), F.size(s["f"])), lambda x: F.coalesce(x.between(low, high), F.lit(False))))
     return rows.where(seen & (F.length("ref") <= longest) & ~F.col("alt").contains("<") & (F.array_max(F.transform(F.split("alt", ","), F.length)) <= longest))
 
 
+def fastq_records(spark: SparkSession, path: str) -> DataFrame:
+    """name, seq, qual of four-line records, with the file and the record's place in it: file, record."""
+    at = numbered_lines(spark, path).select("file", F.expr("n div 4").alias("record"), (F.col("n") % 4).alias("k"), "line")
+    part = [F.max(F.when(F.col("k") == k, F.col("line"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))]
+    out = at.groupBy("file", "record").agg(*part).where("seq is not null and head like '@%'")
+    return out.select(F.regexp_extract("head", r"^@(\S+)", 1).alias("name"), "seq", F.coalesce("qual", F.lit("")).alias("qual"), "file", "record")
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of four-line records, split at '\\n@' only where a record begins."""
-    rows = spark.read.text(path, wholetext=True)
-    each = rows.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).select(F.expr("i div 4").alias("r"), (F.col("i") % 4).alias("k"), "line")
-    out = each.groupBy("r").pivot("k", [0, 1, 3]).agg(F.first("line")).where("`1` is not null and `0` like '@%'")
-    return out.select(F.regexp_extract("0", r"^@(\S+)", 1).alias("name"), F.col("1").alias("seq"), F.col("3").alias("qual"))
+    """name, seq, qual of four-line records of any number of files."""
+    return fastq_records(spark, path).select("name", "seq", "qual")
+
+
+def fastq_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """Mates by the place of their records in two files: record, name, seq1, qual1, seq2, qual2; records without a mate are dropped."""
+    a = fastq_records(spark, first).select("record", "name", F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
+    return a.join(fastq_records(spark, second).select("record", F.col("seq").alias("seq2"), F.col("qual").alias("qual2")), "record")
 
 
 def build_log(spark: SparkSession, path: str) -> DataFrame:

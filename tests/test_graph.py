@@ -66,3 +66,66 @@ def test_runs_and_empty(spark):
     assert got == [(1, 0, 2, 6, 2, 0), (1, 1, 8, 9, 2, 4)]
     none = spark.createDataFrame([], "key long, start long, stop long")
     assert ranges.merge_intervals(none, ["key"]).count() == 0
+
+
+def test_insertions(spark, tmp_path):
+    # 201 edges of the backbone; two inserted bases and the base after them take four more
+    def count(snps, haps):
+        nodes, edges = graph.backbone(spark.createDataFrame([("c", "ACGTACGT")], "chrom string, seq string"), "chrom", "seq")
+        h = spark.createDataFrame(haps, "chrom string, hap string, left long, right long, variants array<struct<typ:string,pos:long,len:long,seq:string>>")
+        n, e = graph.with_haplotypes(nodes, edges, h, "chrom")
+        return n.count() - nodes.count(), {(r["src"], r["dst"]) for r in e.collect()} - {(r["src"], r["dst"]) for r in edges.collect()}
+
+    ins = ("insertion", 3, 2, "GG")
+    # in the middle the walk goes on over the base at its position
+    assert count([], [("c", "h", 3, 4, [ins])]) == (4, {(3, 10), (10, 11), (11, 12), (12, 13), (13, 6)})
+    # at the end it stops there, and a substitution at the same place isn't taken
+    assert count([], [("c", "h", 3, 3, [ins, ("single", 3, 1, "A")])]) == (2, {(3, 10), (10, 11), (11, 4)})
+    # out of order: no haplotype
+    assert count([], [("c", "h", 3, 5, [("single", 4, 1, "A"), ("single", 4, 1, "C")])]) == (0, set())
+
+
+def test_ranks_of_generations_in_many_ranges(spark, tmp_path):
+    """The same curve with one range and with many, so that rows at the ends of ranges see those before them."""
+    nodes, edges = build(spark, tmp_path, [(f"rs{i}", "single", "chrT", p, "A") for i, p in enumerate(("50", "80", "120"))], [("ht0", "chrT", "50", "80", "rs0,rs1"), ("ht1", "chrT", "120", "120", "rs2")])
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = []
+        for n in ("1", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(graph.doubling(nodes, edges, "chrom", root=str(tmp_path / f"r{n}"), publish=str(tmp_path / f"c{n}"))[1])
+            assert [tuple(r) for r in spark.read.parquet(str(tmp_path / f"c{n}")).orderBy("gen").collect()] == got[-1]
+            # a second run finds every generation
+            assert graph.doubling(nodes, edges, "chrom", root=str(tmp_path / f"r{n}"))[1] == got[-1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1] and got[0][-1][2] == 241
+
+
+def test_first_match_keeps_points_with_nulls(spark):
+    points = spark.createDataFrame([(1, 5, None), (1, 5, "x"), (1, 5, "x"), (2, 5, "y"), (None, 5, "z"), (1, None, "n")], "key long, p long, note string")
+    iv = spark.createDataFrame([(1, 0, 3, "a"), (1, 2, 9, "b"), (1, 3, 5, "c"), (None, 0, 9, "d")], "key long, b_start long, b_stop long, name string")
+    got = sorted(((r["key"], r["note"], r["name"]) for r in ranges.first_match(points, iv, ["key"], "p", "name").collect()), key=str)
+    assert got == sorted([(1, None, "b"), (1, "x", "b"), (1, "x", "b"), (2, "y", None), (None, "z", None), (1, "n", None)], key=str)
+
+
+def test_adjusted_p_in_many_ranges(spark):
+    import random
+
+    r = random.Random(5)
+    p = [round(r.random() ** 3, 3) for _ in range(400)]
+    order = sorted(p)
+    want = {}
+    least = 1.0
+    for i in range(len(order) - 1, -1, -1):
+        least = min(least, order[i] * len(p) / (i + 1))
+        want.setdefault(order[i], least)
+        want[order[i]] = min(want[order[i]], least)
+    df = spark.createDataFrame([(x,) for x in p] + [(None,)], "p double").repartition(5)
+    got = ranks.benjamini_hochberg(df, "p", "q").collect()
+    assert len(got) == 401
+    for row in got:
+        assert row["q"] is None if row["p"] is None else abs(row["q"] - want[row["p"]]) < 1e-9
+    assert ranks.benjamini_hochberg(df.where("p > 2"), "p", "q").count() == 0

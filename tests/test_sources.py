@@ -55,3 +55,82 @@ def test_stream_equals_table(spark, tmp_path):
     q.stop()
     of = lambda df: rows(df.select(F.col("start").cast("string"), "event_type", "n", F.round("total", 6)))
     assert of(spark.table("w")) == of(telemetry.windows(table))
+
+
+def test_fasta_header_with_mark(spark, tmp_path):
+    p = put(tmp_path, "h.fa", ">c1 a>b desc\r\nAC\r\nGT\r\n>c2\nnn\n>c3")
+    assert rows(readers.fasta(spark, p).select("header", "name", "seq")) == [("c1 a>b desc", "c1", "ACGT"), ("c2", "c2", "NN"), ("c3", "c3", "")]
+
+
+def test_fastq_folder_and_pairs(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    a = put(tmp_path / "q", "a.fq", "@r1/1\nAC\n+\nII\n@r2/1\nGT\n+\nII\n")
+    b = put(tmp_path / "q", "b.fq", "@r1/2\nTT\n+\nJJ\n@r2/2\nGG\n+\nJJ\n")
+    assert [r["name"] for r in readers.fastq(spark, str(tmp_path / "q")).orderBy("name").collect()] == ["r1/1", "r1/2", "r2/1", "r2/2"]
+    got = rows(readers.fastq_pairs(spark, a, b))
+    assert got == [(0, "r1/1", "AC", "II", "TT", "JJ"), (1, "r2/1", "GT", "II", "GG", "JJ")]
+
+
+def test_lines_keep_their_place(spark, tmp_path):
+    p = put(tmp_path, "n.txt", "".join(f"{i}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = readers.numbered_lines(spark, p).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 5000 and all(str(r["n"]) == r["line"] for r in got)
+
+
+def test_rows_outside_runs_are_dropped(spark, tmp_path):
+    runs = spark.createDataFrame([("c", 10, 20, 0, 0), ("c", 30, 40, 10, 1)], "chrom string, start long, stop long, joined long, run_ix long")
+    p = put(tmp_path, "v.snp", "v1\tsingle\tc\t12\tA\nv2\tsingle\tc\t25\tA\nv3\tsingle\tc\t31\tA\nv1\tsingle\tc\t11\tG\n")
+    v = readers.snp(spark, p, runs)
+    assert rows(v.select("id", "pos", "joined_pos")) == [("v1", 11, 1), ("v1", 12, 2), ("v3", 31, 11)]
+    p = put(tmp_path, "h.ht", "h1\tc\t11\t15\tv1\nh2\tc\t12\t31\tv1,v3\nh3\tc\t9\t12\tv1\nh4\tc\t11\t12\tv2\nh5\tc\t11\t12\t\n")
+    got = readers.haplotypes(spark, p, v, runs).collect()
+    # the last v1 of the file counts, though its position is the smaller one
+    assert [(r["hap"], [(x["pos"], x["seq"]) for x in r["variants"]]) for r in got] == [("h1", [(11, "G")])]
+    # both ends of the row and the converted ones; exons only the converted
+    p = put(tmp_path, "s.ss", "#x\nc\t10\t19\t+\nc\t9\t19\t+\nc\t15\t35\t-\n")
+    assert rows(readers.splice_sites(spark, p, runs)) == [("c", 11, 18, "+")]
+    assert rows(readers.splice_sites(spark, p, runs, exons=True)) == [("c", 10, 18, "+"), ("c", 11, 18, "+")]
+
+
+def test_small_tables(spark, tmp_path):
+    p = put(tmp_path, "i.tsv", "r1\tsingle\tchr1 x\t4\tA\nr2\tdeletion\tchr1\t9\t3\n")
+    assert rows(readers.index_variants(spark, p)) == [("chr1", 5, "A")]
+    p = put(tmp_path, "p.tsv", "chr1\t4\tA\nchr2\t4\tAC\n")
+    assert rows(readers.snp_positions(spark, p)) == [("1", 5, "A")]
+    p = put(tmp_path, "c.tsv", "g1\t5\ng2\t6\tx\n")
+    assert rows(readers.counts(spark, p)) == [("g1", 5)]
+    p = put(tmp_path, "time.log", "\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02.50\n\tMaximum resident set size (kbytes): 2048\n\tExit status: 0\n")
+    r = readers.resources(spark, p).first()
+    assert (r["elapsed"], r["rss_kb"], r["status"]) == ("1:02.50", 2048, 0)
+    p = put(tmp_path, "many.sam", "r1\t0\tchr1\t7\t60\t5M\t*\t0\t0\tACGTA\tIIIII\t" + "\t".join(f"{a}{b}:i:1" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijk") + "\n")
+    assert len(readers.sam(spark, p).first()["tags"]) == 26 * 47
+
+
+def test_no_local_folder_on_a_cluster():
+    from loomseq import session
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        conf = {}
+
+    class Table:
+        sparkSession = Session
+
+    Session.conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+    try:
+        session.spool(Table)
+    except RuntimeError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError
