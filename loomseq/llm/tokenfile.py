@@ -17,6 +17,7 @@ is run again writes the same block, and nothing is counted on the driver. Layout
 from __future__ import annotations
 
 import json
+import os
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -77,6 +78,8 @@ _loaded: dict[str, WordBPE] = {}
 
 
 def load(path: str) -> WordBPE:
+    # a task has a core to itself: the library's threads would compete with other tasks for theirs
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _loaded:
         _loaded[path] = WordBPE(path)
     return _loaded[path]
