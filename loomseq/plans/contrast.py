@@ -346,14 +346,14 @@ def window_haplotypes(spark, d):
     return out.where(F.size("m") == F.col("n")).select("hap", "w", "left", "right", F.array_join(F.transform("m", lambda x: x["local"].cast("string")), ",").alias("members"))
 
 
-@query(f"""WITH {RUNS_SQL}, q AS (SELECT doc_id, p AS "left", p + 25 AS "right" FROM s, unnest(range(0, greatest(length(seq) - 25, 0), 40)) AS u(p)), a AS (SELECT q.*, run_ix, joined, start, stop FROM q ASOF JOIN runs ON runs.doc_id = q.doc_id AND start <= q."left")
+@query(f"""WITH {RUNS_SQL}, q AS (SELECT doc_id, p AS "left", p + 4 AS "right" FROM s, unnest(range(0, greatest(length(seq) - 4, 0), 40)) AS u(p)), a AS (SELECT q.*, run_ix, joined, start, stop FROM q ASOF JOIN runs ON runs.doc_id = q.doc_id AND start <= q."left")
   SELECT doc_id, "left", "right", joined + "left" - start AS joined_left FROM a WHERE "right" < stop""")
 def span_in_one_run(spark, d):
     """Spans of which both ends lie in one run."""
     s = sequences(spark, d)
     runs = spool(ranges.text_runs(s, "seq").select("doc_id", "start", "stop", "joined", "run_ix"), "runs")
     n = F.length("seq").cast("long")
-    q = s.where(n > 25).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 26, F.lit(40).cast("long"))).alias("left")).withColumn("right", F.col("left") + 25)
+    q = s.where(n > 4).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 5, F.lit(40).cast("long"))).alias("left")).withColumn("right", F.col("left") + 4)
     out = ranges.placed(q, runs, ["doc_id"], {"left": "joined_left", "right": "joined_right"})
     return out.where("joined_left_run = joined_right_run and joined_right - joined_left = right - left").select("doc_id", "left", "right", "joined_left")
 
