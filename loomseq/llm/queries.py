@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, iblt, pack, pii, quality, simhash, substring, tokenfile, urls, warc
+from . import align, bpe, iblt, pack, pii, quality, simhash, substring, tokenfile, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries():
         "op8_url_filter": urls.query,
         "op9_warc": warc.query,
         "op10_quality_rules": quality.query,
+        "op11_token_alignment": align.query,
         "pipeline": pipeline,
     }
 
