@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, iblt, pack, pii, quality, simhash, substring, tokenfile, urls, warc
+from . import align, bpe, divergence, iblt, pack, pii, quality, simhash, substring, tokenfile, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -24,9 +24,10 @@ def queries():
         "op9_warc": warc.query,
         "op10_quality_rules": quality.query,
         "op11_token_alignment": align.query,
+        "op12_source_divergence": divergence.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op12_source_divergence": divergence.SQL}
