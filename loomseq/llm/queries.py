@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, divergence, iblt, pack, pii, quality, simhash, substring, tokenfile, urls, warc
+from . import align, bpe, divergence, iblt, pack, pii, pulearn, quality, simhash, substring, tokenfile, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -25,6 +25,7 @@ def queries():
         "op10_quality_rules": quality.query,
         "op11_token_alignment": align.query,
         "op12_source_divergence": divergence.query,
+        "op13_quality_classifier": pulearn.query,
         "pipeline": pipeline,
     }
 
