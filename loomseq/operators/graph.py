@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spool, stage
+from ..session import forget, spool, stage
 from . import ranks
 from .ranges import last_start
 
@@ -165,74 +168,143 @@ def paths0(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def double(paths: DataFrame, generation: int, key: str) -> DataFrame:
-    """Paths joined end to start; done ones pass. Once rows are done, the other side is reduced to what is looked up."""
-    open_ = paths.where("not done")
+    """Paths joined end to start; done ones pass. Columns beside the path's own stay those of its first half."""
+    more = [c for c in paths.columns if c not in (key, "src", "dst", "done", "k0", "k1")]
     right = paths.select(key, F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("k0").alias("next"))
-    if generation > 3:
-        right = right.join(open_.select(key, F.col("dst").alias("mid")).distinct(), [key, "mid"], "left_semi")
-    both = open_.withColumnRenamed("dst", "mid").join(right, [key, "mid"])
+    both = paths.where("not done").withColumnRenamed("dst", "mid").join(right, [key, "mid"])
     if generation <= 3:
         shift = 3 * (1 << (generation - 1))
         k0, k1 = F.shiftleft("k0", shift) + F.col("next"), F.lit(0).cast("long")
     else:
         k0, k1 = F.col("k0"), F.col("next")
-    joined = both.select(key, "src", F.col("to").alias("dst"), "done", k0.alias("a"), k1.alias("b")).select(key, "src", "dst", "done", F.col("a").alias("k0"), F.col("b").alias("k1"))
-    return joined.unionByName(paths.where("done"))
+    joined = both.select(key, "src", F.col("to").alias("dst"), "done", k0.alias("a"), k1.alias("b"), *more).select(key, "src", "dst", "done", F.col("a").alias("k0"), F.col("b").alias("k1"), *more)
+    return joined.unionByName(paths.where("done").select(joined.columns))
 
 
-def rank4(paths: DataFrame, key: str) -> DataFrame:
-    """Ranks of generation 4: groups of equal keys under one source keep their first row, or none after such a group.
+#: Rows of paths that a part should hold, and the bits of a rank below its part's number.
+PART_ROWS, PART_BITS = 1 << 20, 33
 
-    Groups are ordered in ranges over all keys at once, so that a large key is no task of its own; ranks rise through
-    all keys.
+
+def parted(paths: DataFrame, key: str, parts: int = 0) -> DataFrame:
+    """`paths` with the number of their part: ranges of (key, k0) in order, so that no k0 of a key is in two parts.
+
+    Later generations only refine this order, so a path stays in its part for good and nothing is sampled again.
+    """
+    n = parts or max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), paths.count() // PART_ROWS)
+    return paths.repartitionByRange(n, key, "k0").withColumn("part", F.spark_partition_id())
+
+
+def _ends(paths: DataFrame, key: str, generation: int) -> DataFrame | None:
+    """key, k0, extra: the rows that other parts must see, and the parts that must.
+
+    What is folded depends on the two groups of keys before. The last two k0 of all parts before a part hold those, and
+    matter only if they are of the key that the part begins with. The driver sees four values a part.
     """
-    first = F.min(F.struct("src", "dst", "done"))
-    heads = paths.groupBy(key, "k0", "k1").agg(first.alias("_first"), F.max("src").alias("_to"))
-    heads = heads.withColumn("_hom", F.col("_first.src") == F.col("_to"))
-    rows, w = ranks.after_others(heads, [F.col(c) for c in (key, "k0", "k1")], 1)
-    before = F.lag(F.struct(key, "_hom", "_to")).over(w)
-    again = F.col("_hom") & before["_hom"] & (before[key] == F.col(key)) & (before["_to"] == F.col("_to"))
-    rows = rows.withColumn("_again", F.coalesce(again, F.lit(False)))
-    heads = ranks.numbered(rows, w, ~F.col("_again"), "_rank")
-    folded = heads.where("_hom and not _again").select(key, "_first.src", "_first.dst", F.lit(True).alias("done"), F.col("_rank").alias("k0"))
-    several = paths.join(heads.where("not _hom").select(key, "k0", "k1", "_rank"), [key, "k0", "k1"]).select(key, "src", "dst", "done", F.col("_rank").alias("k0"))
-    return folded.unionByName(several).withColumn("k1", F.lit(0).cast("long"))
-
-
-def rank5(paths: DataFrame, key: str) -> DataFrame:
-    """Ranks of later generations: runs of equal keys within blocks of equal first keys are folded in key order.
-
-    A run is looked at with the two runs before it: whether the one before counts as folded depends on its own
-    predecessor. Runs are ordered in ranges over all keys, as in rank4.
+    got = paths.groupBy("part").agg(F.min(key).alias("low"), F.max(F.struct(key, "k0")).alias("last")).orderBy("part").collect()
+    out, before = {}, []
+    for r in got:
+        for k, k0 in before[-2:]:
+            if k == r["low"]:
+                out.setdefault((k, k0), []).append(r["part"])
+        last = (r["last"][key], r["last"]["k0"])
+        # ranks of a part have no gaps
+        before += [(last[0], last[1] - 1), last] if generation > 4 and last[1] & ((1 << PART_BITS) - 1) else [last]
+    if not out:
+        return None
+    kind = paths.schema[key].dataType.simpleString()
+    return paths.sparkSession.createDataFrame([(k, k0, parts) for (k, k0), parts in out.items()], f"`_key` {kind}, `_k0` long, extra array<int>")
+
+
+def _fold4(key: np.ndarray, k0: np.ndarray, k1: np.ndarray, src: np.ndarray, done: np.ndarray, head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each group of equal keys keeps one row, and whether it goes: after a group of one source, that source's next."""
+    hom = src[head] == src[last]
+    again = np.zeros(len(head), bool)
+    again[1:] = hom[1:] & hom[:-1] & (key[head][1:] == key[head][:-1]) & (src[last][1:] == src[last][:-1])
+    return hom, again
+
+
+def _fold5(key: np.ndarray, k0: np.ndarray, k1: np.ndarray, src: np.ndarray, done: np.ndarray, head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for later generations: within blocks of equal first keys, and once after such a block.
+
+    A group is looked at with the two before it: whether the one before counts as folded depends on its own predecessor.
     """
-    row = F.struct("src", "dst")
-    heads = paths.groupBy(key, "k0", "k1").agg(F.min(F.struct("src", "dst", "done", "k1")).alias("_first"), F.max("src").alias("_src"), F.max_by("done", row).alias("_own"), F.count("*").alias("_n"))
-    heads = heads.withColumn("_bl", F.sum("_n").over(Window.partitionBy(key, "k0"))).withColumn("_hom", F.col("_first.src") == F.col("_src"))
-    heads = heads.withColumn("_eff", ((F.col("_bl") > 1) & F.col("_hom")) | F.col("_own"))
-    rows, w = ranks.after_others(heads, [F.col(c) for c in (key, "k0", "k1")], 2)
-    what = F.struct(key, "_bl", "_eff", "_src")
-    rows = rows.withColumn("_x", what).withColumn("_y", F.lag(what).over(w)).withColumn("_z", F.lag(what, 2).over(w))
-
-    def solo(x: str, y: str) -> Column:
-        near = (F.col(f"{y}.{key}") == F.col(f"{x}.{key}")) & (F.col(f"{y}._src") == F.col(f"{x}._src"))
-        return F.coalesce((F.col(f"{x}._bl") == 1) & (F.col(f"{y}._bl") > 1) & F.col(f"{y}._eff") & near, F.lit(False))
-
-    folded = (F.col("_y._eff") | solo("_y", "_z")) & (F.col(f"_y.{key}") == F.col(key)) & (F.col("_y._src") == F.col("_src"))
-    rows = rows.withColumn("_drop", solo("_x", "_y") | F.coalesce((F.col("_bl") > 1) & F.col("_hom") & folded, F.lit(False)))
-    heads = ranks.numbered(rows.drop("_x", "_y", "_z"), w, ~F.col("_drop"), "_rank").where("not _drop")
-    fold = F.col("_hom") & (F.col("_bl") > 1)
-    one = heads.where(fold).select(key, "_first.src", "_first.dst", F.lit(True).alias("done"), F.col("_rank").alias("k0"), "_first.k1")
-    rest = paths.join(heads.where(~fold).select(key, "k0", "k1", "_rank"), [key, "k0", "k1"]).select(key, "src", "dst", "done", F.col("_rank").alias("k0"), "k1")
-    return one.unionByName(rest)
-
-
-def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root: str | None = None, inputs: tuple[str, ...] = (), publish: str | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """The paths at the fixpoint, and for each generation (generation, joined, kept, ranks).
-
-    Every generation is a written table, so lineage stays short and a lost executor costs one generation; the driver
-    sees three counts. With `root` a run resumes after the last generation that an earlier one with equal `inputs`
-    finished there; with `publish` the curve is appended to that table while it grows. Graphs of several keys are
-    doubled together and end when all are done; an error if they aren't after `most` generations.
+    k, first, to = key[head], k0[head], src[last]
+    block = np.cumsum(np.r_[True, (first[1:] != first[:-1]) | (k[1:] != k[:-1])]) - 1
+    many = np.bincount(block, last - head + 1)[block] > 1
+    hom = src[head] == to
+    folded = many & hom | done[last]
+    near = np.r_[False, (k[1:] == k[:-1]) & (to[1:] == to[:-1])]
+    prev = lambda x: np.r_[False, x[:-1]]
+    solo = ~many & prev(many) & prev(folded) & near
+    return hom & many, solo | many & hom & near & (prev(folded) | prev(solo))
+
+
+def ranked(joined: DataFrame, key: str, generation: int, ends: DataFrame | None) -> DataFrame:
+    """Paths of a generation: `joined` with new ranks (part, then place in it) and without what is folded.
+
+    Every part also has a row without src, whose dst is how many rows it had before. Parts are folded on their own, with
+    the last groups of earlier parts beside them (`ends`), and ranks need nothing from other parts.
+    """
+    kind = joined.schema[key].dataType.simpleString()
+    fold = _fold4 if generation == 4 else _fold5
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("to")[0].as_py()
+        if not pa.types.is_integer(table.column(key).type):
+            names = table.column(key).combine_chunks().dictionary_encode()
+            order = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), object), kind="stable"), kind="stable")
+            code = order[names.indices.to_numpy()]
+        else:
+            code = table.column(key).to_numpy()
+        src, dst, done, k0, k1 = (table.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "done", "k0", "k1"))
+        own = table.column("part").to_numpy() == part
+        order = np.lexsort((done.astype(bool), dst, src, k1, k0, code))
+        code, src, dst, done, k0, k1, own = (x[order] for x in (code, src, dst, done, k0, k1, own))
+        head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])])
+        last = np.r_[head[1:], len(src)] - 1
+        one, gone = fold(code, k0, k1, src, done.astype(bool), head, last)
+        count = last - head + 1
+        mine = own[head]
+        rank = np.cumsum(~gone & mine) - 1 + (part << PART_BITS)
+        keep = np.repeat(mine & ~gone & ~one, count)
+        keep[head[mine & ~gone & one]] = True
+        group = np.repeat(np.arange(len(head)), count)[keep]
+        at = order[keep]  # rows of the table as it came
+        new_k1 = np.zeros(len(at), np.int64) if generation == 4 else k1[keep]
+        cols = [pa.concat_arrays([table.column(key).combine_chunks().take(pa.array(at)), pa.nulls(1, table.column(key).type)])]
+        values = [src[keep], dst[keep], done[keep].astype(bool) | one[group], rank[group], new_k1]
+        for x, t, mark in zip(values, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), (None, int(own.sum()), None, None, None), strict=True):
+            cols.append(pa.concat_arrays([pa.array(x, t), pa.array([mark], t)]))
+        cols.append(pa.array(np.full(len(at) + 1, part), pa.int32()))
+        return pa.table(cols, [key, "src", "dst", "done", "k0", "k1", "part"])
+
+    rows = joined.withColumn("to", F.col("part"))
+    if ends is not None:
+        seen = joined.join(F.broadcast(ends), (F.col(key) == F.col("_key")) & (F.col("k0") == F.col("_k0")), "left")
+        rows = seen.withColumn("to", F.explode(F.concat(F.array("part"), F.coalesce("extra", F.array().cast("array<int>"))))).drop("_key", "_k0", "extra")
+    return rows.groupBy("to").applyInArrow(run, f"{key} {kind}, src long, dst long, done boolean, k0 long, k1 long, part int")
+
+
+def dense(paths: DataFrame) -> DataFrame:
+    """`paths` of a generation from 4 on, with ranks that rise through all parts without gaps."""
+    total, offsets = 0, {}
+    for r in paths.groupBy("part").agg(F.max("k0").alias("top")).orderBy("part").collect():
+        offsets[r["part"]] = total
+        if r["top"] is not None:
+            total += (r["top"] & ((1 << PART_BITS) - 1)) + 1
+    text = ",".join(str(offsets.get(p, 0)) for p in range(max(offsets, default=0) + 1))
+    before = F.get(F.split(F.lit(text), ",").cast("array<long>"), F.col("part"))
+    return paths.withColumn("k0", F.col("k0").bitwiseAND(F.lit((1 << PART_BITS) - 1)) + before)
+
+
+def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root: str | None = None, inputs: tuple[str, ...] = (), publish: str | None = None, parts: int = 0, until: int = 0) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """The paths at the fixpoint (or of generation `until`), and for each generation (generation, joined, kept, ranks).
+
+    A generation is one written table: a join of paths, one shuffle into parts, which are folded and ranked on their own.
+    So lineage stays short and a lost executor costs one generation; the driver sees a few numbers a part. With `root` a
+    run resumes after the last generation that an earlier one with equal `inputs` finished there; with `publish` the
+    curve is appended to that table while it grows. Graphs of several keys are doubled together and end when all are
+    done; an error if they aren't after `most` generations.
     """
     spark = nodes.sparkSession
 
@@ -245,64 +317,195 @@ def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root:
             spark.createDataFrame([row], "gen long, temp long, nodes long, ranks long").coalesce(1).write.mode("append").parquet(publish)
 
     curve: list[tuple[int, int, int, int]] = []
-    paths = step("paths0", lambda: paths0(nodes, edges, key))
+    paths = old = step("paths0", lambda: paths0(nodes, edges, key))
     n = paths.count()
     say(0, n, n, 0)
     for g in range(1, most + 1):
-        joined = step(f"joined{g}", lambda p=paths, g=g: double(p, g, key))
-        temp = joined.count()
-        paths = joined if g < 4 else step(f"paths{g}", lambda j=joined, g=g: (rank4 if g == 4 else rank5)(j, key))
-        n = paths.count()
-        # ranks have no gaps and rise through all keys
-        places = paths.agg(F.coalesce(F.max("k0") + 1, F.lit(0))).first()[0] if g > 3 else 0
+        if g < 4:
+            new = table = step(f"paths{g}", lambda p=paths, g=g: double(p, g, key))
+            temp = n = new.count()
+            places = 0
+        else:
+            if g == 4:
+                paths = step("parts", lambda p=paths: parted(p, key, parts))
+                if root is None:
+                    forget(old)
+                old = paths
+            ends = _ends(paths, key, g)
+            table = step(f"paths{g}", lambda p=paths, g=g, e=ends: ranked(double(p, g, key), key, g, e))
+            low = F.col("k0").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+            temp, n, places = table.groupBy("part").agg(F.sum(F.when(F.col("src").isNull(), F.col("dst"))).alias("t"), F.count("src").alias("n"), F.coalesce(F.max(low) + 1, F.lit(0)).alias("r")).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in "tnr"]).first()
+            new = table.where("src is not null")
+        if root is None:
+            forget(old)
+        old, paths = table, new
         say(g, temp, n, places)
-        if n == 0 or g > 3 and places == n:
+        if n == 0 or g > 3 and places == n or g == until:
             break
     else:
         if n:
             raise RuntimeError(f"paths still double after {most} generations")
-    return paths, curve
+    return (dense(paths) if len(curve) > 4 else paths).drop("part"), curve
+
 
+def _runs(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, src, run (rising through the order), first (the number of its first row) and n: runs of rows of equal src."""
+    rows, w = ranks.after_others(df.select(key, "src", *[c for c in order if c != "src"]), [F.col(c) for c in (key, *order)], 1)
+    old = (F.lag(key).over(w) == F.col(key)) & (F.lag("src").over(w) == F.col("src"))
+    rows = ranks.numbered(rows.withColumn("_new", ~F.coalesce(old, F.lit(False))), w, F.col("_new"), "run")
+    return rows.groupBy(key, "src", "run").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in order[:1]])
 
-def positional_out_degree(nodes: DataFrame, edges: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """`nodes` with outdeg: both tables are read in `order`; each run of equal `src` among the edges belongs to the next
-    run of that src among the nodes, all of it to that run's first row. The run's other rows, and nodes without edges,
-    have 0. The runs of one src pair off by their place.
+
+#: Places that a task of a merge should hold.
+PLACES = 1 << 20
+
+
+def merged_runs(nodes: DataFrame, edges: DataFrame, key: str, places: int = 0) -> DataFrame:
+    """Which run of nodes each run of edges meets, where a pointer into the nodes moves on only where sources differ.
+
+    Both tables have key, src and run. A run of edges meets the first run of its source after the one that the run before
+    it met; where there is none, it and all later runs of its key meet none. Columns: key, run, met.
+
+    Runs are walked in ranges of about `places` places where they may land. What a range of a long key makes of the
+    pointer that it is handed is found first, for all ranges at once: a rising step function with as many steps as the
+    range's rarest source has places at most. The driver strings these together; keys of one range never reach it.
+    """
+    most = places or PLACES
+    kind = edges.schema[key].dataType.simpleString()
+    known = spool(nodes.groupBy(key, "src").agg(F.count("*").alias("_b")), "known")
+    sized = edges.select(key, "src", "run").join(known, [key, "src"], "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
+    sized = spool(ranks.running_sum(sized, [F.col(key), F.col("run")], "_b", "_upto").withColumn("_range", F.floor((F.col("_upto") - 1) / most)), "sized")
+    # a run whose source no node has still has a row: it ends its key's walk
+    landing = spool(sized.join(nodes.select(key, "src", F.col("run").alias("met")), [key, "src"], "left").select(key, "run", "met", "_range", F.lit(-1).cast("long").alias("_start")), "landing")
+    long = sized.groupBy(key).agg(F.min("_range").alias("a"), F.max("_range").alias("b")).where("a < b")
+    first = (1 << 62) - 1
+
+    def walks(rows: pd.DataFrame):
+        """The runs of each key in order with their places in order: key, pointer, runs, bounds of places, places."""
+        rows = rows.sort_values([key, "run", "met"])
+        run, met, name, start = rows["run"].to_numpy(), rows["met"].fillna(-1).to_numpy(np.int64), rows[key].to_numpy(), rows["_start"].to_numpy()
+        heads = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (run[1:] != run[:-1])])
+        tails = np.r_[heads[1:], len(run)]
+        keys = np.flatnonzero(np.r_[True, name[heads][1:] != name[heads][:-1]])
+        for a, b in zip(keys.tolist(), [*keys[1:].tolist(), len(heads)], strict=True):
+            yield name[heads[a]], int(start[heads[a]]), run[heads[a:b]], heads[a:b], tails[a:b], met
+
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, _, _, heads, tails, met in walks(rows):
+            after = nxt = None
+            for h, t in zip(heads[::-1].tolist(), tails[::-1].tolist(), strict=True):
+                at = met[h:t]
+                if at[0] < 0:
+                    at, after = at[:0], at[:0]
+                elif after is None:
+                    after = at
+                else:
+                    # where each place leads, by the places of the next run that lie beyond it
+                    i = np.searchsorted(nxt, at, side="right")
+                    ok = i < len(nxt)
+                    at, after = at[ok], after[i[ok]]
+                    if len(at):
+                        last = np.r_[after[1:] != after[:-1], True]
+                        at, after = at[last], after[last]
+                nxt = at
+            out += [(name, int(rows["_range"].iloc[0]), int(x), int(y)) for x, y in zip(nxt.tolist(), after.tolist(), strict=True)] or [(name, int(rows["_range"].iloc[0]), first, first)]
+        return pd.DataFrame(out, columns=[key, "range", "at", "after"])
+
+    table: dict = {}
+    got = landing.join(long.select(key), key, "left_semi").groupBy("_range").applyInPandas(steps, f"{key} {kind}, range long, at long, after long")
+    for r in got.collect():
+        table.setdefault(r[key], {}).setdefault(r["range"], []).append((r["at"], r["after"]))
+    starts = []
+    for name, parts in table.items():
+        pointer = -1
+        for part in sorted(parts):
+            starts.append((name, part, pointer))
+            if pointer < first:
+                pointer = min((p for p in parts[part] if p[0] > pointer), default=(first, first))[1]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, pointer, runs, heads, tails, met in walks(rows):
+            where = met.tolist()
+            for r, h, t in zip(runs.tolist(), heads.tolist(), tails.tolist(), strict=True):
+                i = bisect.bisect_right(where, pointer, h, t)
+                if i == t or where[i] < 0:
+                    break
+                pointer = where[i]
+                out.append((name, r, pointer))
+        return pd.DataFrame(out, columns=[key, "run", "met"])
+
+    handed = edges.sparkSession.createDataFrame(starts, f"`_key` {kind}, _part long, _handed long")
+    landing = landing.join(F.broadcast(handed), (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_part")), "left")
+    return landing.select(key, "run", "met", "_range", F.coalesce("_handed", "_start").alias("_start")).groupBy("_range").applyInPandas(walk, f"{key} {kind}, run long, met long")
+
+
+def positional_out_degree(nodes: DataFrame, edges: DataFrame, key: str, order: list[str], edge_order: list[str] | None = None, places: int = 0) -> DataFrame:
+    """`nodes` with outdeg: nodes are read in `order` and edges in `edge_order` (total orders within each key), both have src.
+
+    The edges of a run of equal src belong to the first node of the run that it meets (`merged_runs`); other nodes have 0.
     """
+    n = spool(_runs(nodes, key, order), "node_runs")
+    e = spool(_runs(edges, key, edge_order or order), "edge_runs")
+    met = merged_runs(n, e, key, places).join(e.select(key, "run", F.col("n").alias("outdeg")), [key, "run"]).select(key, F.col("met").alias("run"), "outdeg")
+    firsts = n.join(met, [key, "run"]).select(key, "src", order[0], "outdeg")
+    return nodes.join(firsts, [key, "src", order[0]], "left").withColumn("outdeg", F.coalesce("outdeg", F.lit(0)).cast("long"))
 
-    def runs(df: DataFrame) -> DataFrame:
-        rows, w = ranks.after_others(df, [F.col(c) for c in (key, *order)], 1)
-        old = (F.lag(key).over(w) == F.col(key)) & (F.lag("src").over(w) == F.col("src"))
-        rows = rows.withColumn("_new", ~F.coalesce(old, F.lit(False)))
-        return ranks.numbered(rows, w, F.col("_new"), "_run")
 
-    place = F.dense_rank().over(Window.partitionBy(key, "src").orderBy("_run"))
-    n = runs(edges).withColumn("_place", place).groupBy(key, "src", "_place").agg(F.count("*").alias("_n"))
-    out = runs(nodes).withColumn("_place", place).join(n, [key, "src", "_place"], "left")
-    return out.withColumn("outdeg", F.coalesce(F.when(F.col("_new"), F.col("_n")), F.lit(0)).cast("long")).drop("_new", "_run", "_place", "_n")
+def path_edges(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Path nodes (key, rank, src, value) and path edges (key, rank, src, dst, k) of paths at their fixpoint.
 
+    A base edge has a path edge for every path node that hangs off its target: the rank is that node's, the label's code
+    k is that of the edge's source. Ranks count from 0 in each key.
+    """
+    at = spool(from_first(paths.select(key, F.col("src").alias("id"), F.col("k0").alias("rank")), key, "rank"), "ranks")
+    path_nodes = at.join(nodes.select(key, "id", "value"), [key, "id"]).select(key, "rank", F.col("id").alias("src"), "value")
+    labelled = edges.join(nodes.select(key, F.col("id").alias("src"), code(F.col("label")).alias("k")), [key, "src"])
+    return path_nodes, labelled.join(at.withColumnRenamed("id", "dst"), [key, "dst"]).select(key, "rank", "src", "dst", "k")
 
-def edge_rows(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """The rows of a graph index in order of the node that edges lead to: key, row, label (of the source), f, m.
 
-    f marks the first row of each target. m marks the first of the rows that each node spans in order of nodes: as many
-    as it has outgoing edges, one at least.
+def edge_rows(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a graph index (key, row, label, f, m), and its nodes (key, rank, outdeg, src, value), from doubled paths.
+
+    Path edges in order of label and rank meet path nodes in order of rank, which gives out-degrees. The node before the
+    last one (the head, whose rows nobody reads) goes: its out-degree stays with the last node, whose rank falls by one.
+    Rows are path edges by rank, ties as they stood before; f marks the first of each node, m the first of as many rows
+    as each node has outgoing edges, one at least. The head's label is written as the tail's.
     """
-    labels = nodes.select(key, F.col("id").alias("src"), "label")
-    first = Window.partitionBy(key, "dst").orderBy("label", "src")
-    rows = edges.join(labels, [key, "src"]).withColumn("f", F.row_number().over(first) == 1)
-    rows = from_first(ranks.row_numbers(rows, [F.col(c) for c in (key, "dst", "label", "src")], "row"), key, "row").select(key, "row", "label", "f")
-    outdeg = edges.groupBy(key, F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    spans = nodes.join(outdeg, [key, "id"], "left").select(key, "id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("n"))
-    starts = ranks.running_sum(spans, [F.col(key), F.col("id")], "n", "_upto").withColumn("row", F.col("_upto") - F.col("n"))
+    at, rows = (spool(x, name) for x, name in zip(path_edges(nodes, edges, paths, key), ("path_nodes", "path_edges"), strict=True))
+    size = spool(at.groupBy(key).agg(F.count("*").alias("_n")), "sizes")
+    deg = positional_out_degree(at, rows, key, ["rank"], ["k", "rank", "src", "dst"])
+    deg = beside(deg, size, key)
+    # of the last two nodes one is left: the out-degree of the first, the value of the second
+    two = F.col("rank") >= F.col("_n") - 2
+    last = F.max(F.struct("rank", "src", "value"))
+    tail = deg.where(two).groupBy(key).agg(F.min("rank").alias("rank"), F.min_by("outdeg", "rank").alias("outdeg"), last["src"].alias("src"), last["value"].alias("value"))
+    left = spool(deg.where(~two).select(key, "rank", "outdeg", "src", "value").unionByName(tail), "index_nodes")
+    moved = (F.col("k") != 4) & (F.col("rank") >= F.col("_n") - 1)
+    rows = beside(rows, size, key).select(key, (F.col("rank") - moved.cast("long")).alias("rank"), F.when(F.col("k") == 4, 5).otherwise(F.col("k")).alias("k"), moved.alias("moved"), "src", "dst")
+    first = Window.partitionBy(key, "rank").orderBy("k", "moved", "src", "dst")
+    rows = rows.withColumn("f", F.row_number().over(first) == 1).withColumn("label", F.substring(F.lit(LABELS), (F.col("k") + 1).cast("int"), F.lit(1)))
+    rows = from_first(ranks.row_numbers(rows, [F.col(c) for c in (key, "rank", "k", "moved", "src", "dst")], "row"), key, "row").select(key, "row", "label", "f")
+    spans = left.select(key, "rank", F.greatest("outdeg", F.lit(1)).alias("n"))
+    starts = ranks.running_sum(spans, [F.col(key), F.col("rank")], "n", "_upto").withColumn("row", F.col("_upto") - F.col("n"))
     starts = from_first(starts, key, "row").select(key, "row", F.lit(True).alias("m"))
-    return rows.join(starts, [key, "row"], "left").select(key, "row", "label", "f", F.coalesce("m", F.lit(False)).alias("m"))
+    return rows.join(starts, [key, "row"], "left").select(key, "row", "label", "f", F.coalesce("m", F.lit(False)).alias("m")), left
+
+
+#: Keys up to which a table of one row a key is broadcast.
+MOST_KEYS = 1 << 18
+
+
+def beside(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with a table of one row a key, which is broadcast if it is counted to be small: no key is a task then."""
+    return rows.join(F.broadcast(small) if small.limit(MOST_KEYS + 1).count() <= MOST_KEYS else small, key)
 
 
 def from_first(rows: DataFrame, key: str, number: str) -> DataFrame:
     """`rows` with a number that rises through all keys counted from 0 in each key."""
-    low = rows.groupBy(key).agg(F.min(number).alias("_low"))
-    return rows.join(low, key).withColumn(number, F.col(number) - F.col("_low")).drop("_low")
+    low = spool(rows.groupBy(key).agg(F.min(number).alias("_low")), "low")
+    return beside(rows, low, key).withColumn(number, F.col(number) - F.col("_low")).drop("_low")
 
 
 def rank_flags(rows: DataFrame, key: str, flag: str, name: str) -> DataFrame:
@@ -316,32 +519,95 @@ def selected(rows: DataFrame, key: str, flag: str) -> DataFrame:
     return rank_flags(rows, key, flag, "k").where(flag).select(key, (F.col("k") + 1).alias("k"), "row")
 
 
-def graph_step(ranges: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+#: Rows of a block of tallies, and the letters that are tallied.
+BLOCK, LETTERS = 64, "ACGT"
+
+
+def tallied(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """What backward steps look up, written once: blocks of rows, and the row of each node's first edge.
+
+    Blocks: key, block, labels and marks (a letter a row), before (how often each letter stands in earlier blocks), marked
+    (marks in earlier blocks), first (rows with a smaller letter) and size (rows of the key). Nodes: key, k (from 1), row.
+    """
+    mark = F.when(F.col("m"), "1").otherwise("0")
+    text = lambda c: F.array_join(F.transform("_rows", lambda x: x[c]), "").alias(c)
+    blocks = rows.groupBy(key, F.floor(F.col("row") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("row", "label", mark.alias("mark")))).alias("_rows")).select(key, "block", text("label"), text("mark"))
+    of = lambda c, x: (F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))).cast("long")
+    counts = {f"_{x}": of("label", x) for x in LETTERS} | {"_m": of("mark", "1")}
+    blocks = ranks.running_sums(blocks.select("*", *[v.alias(k) for k, v in counts.items()]), [F.col(key), F.col("block")], list(counts))
+    letters = rows.where(F.col("label").isin(list(LETTERS)))
+    sums = rows.select(key).groupBy(key).agg(F.count("*").alias("size"))
+    sums = sums.join(letters.groupBy(key).agg(*[F.count_if(F.col("label") < x).alias(f"_below{x}") for x in LETTERS]), key, "left")
+    sums = spool(sums.select(key, "size", F.array(*[F.coalesce(f"_below{x}", F.lit(0)) for x in LETTERS]).alias("first")), "sums")
+    # running sums rise through all keys and hold the block itself
+    low = blocks.groupBy(key).agg(*[F.min(F.col(f"{c}_upto") - F.col(c)).alias(f"{c}_low") for c in counts])
+    blocks = beside(beside(blocks, spool(low, "low"), key), sums, key)
+    upto = {c: F.col(f"{c}_upto") - F.col(c) - F.col(f"{c}_low") for c in counts}
+    blocks = blocks.select(key, "block", "label", "mark", F.array(*[upto[f"_{x}"] for x in LETTERS]).alias("before"), upto["_m"].alias("marked"), "first", "size")
+    return spool(blocks, "blocks"), spool(selected(rows, key, "f"), "nodes")
+
+
+def graph_step(ranges: DataFrame, index: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
     """Ranges (key, label, top, bot) of rows a backward step later, by the label; those that become empty drop out.
 
     Rows of the label before either end, after all rows of smaller labels, give a range of nodes by the m flags before
-    it; the f flags give the rows of those nodes. Tallies are looked up by one sorted pass for each end, the rest by
-    equi-joins.
+    it; the f flags give the rows of those nodes. Everything is looked up by equal blocks and equal node numbers.
     """
-    size = rows.groupBy(key).agg(F.count("*").alias("_size"))
-    small = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
-    small = small.select(key, "label", (F.sum("n").over(Window.partitionBy(key).orderBy("label")) - F.col("n")).alias("_first"))
-    w = Window.partitionBy(key, "label").orderBy("row")
-    places = rows.select(key, "label", "row", F.row_number().over(w).alias("_upto"))
-    m = rank_flags(rows, key, "m", "_m").select(key, F.col("row").alias("_at"), (F.col("_m") + F.col("m").cast("long")).alias("_m"))
-    f = selected(rows, key, "f")
+    blocks, nodes = index
     names = [c for c in ranges.columns if c not in ("top", "bot")]
-    at = ranges.join(small, [key, "label"]).join(size, key)
-    # how many rows of the label lie before top and bot
-    tallies = places.select(key, "label", (F.col("row") + 1).alias("_s"), F.lit(1 << 62).alias("_e"), "_upto")
-    for end, name in (("top", "_a"), ("bot", "_b")):
-        at = last_start(at, tallies, [key, "label"], end, ["_upto"], "_s", "_e").withColumn(name, F.coalesce("_upto", F.lit(0))).drop("_upto")
-    at = at.where("_a < _b")
-    at = at.withColumn("_lo", F.col("_first") + F.col("_a")).withColumn("_hi", F.col("_first") + F.col("_b") - 1)
-    for end, k in (("_lo", "_p"), ("_hi", "_q")):
-        at = at.join(m.select(key, F.col("_at").alias(end), F.col("_m").alias(k)), [key, end])
+    letter = F.instr(F.lit(LETTERS), F.col("label"))
+
+    def looked(rows: DataFrame, at: Column, side: str) -> DataFrame:
+        """`rows` with the block of row `at`, its columns ending in `side`."""
+        right = blocks.select(key, *[F.col(c).alias(f"_{c}{side}") for c in blocks.columns if c != key])
+        return rows.withColumn(f"_block{side}", F.floor(at / BLOCK)).join(right, [key, f"_block{side}"])
+
+    def upto(c: str, x: Column, end: Column, side: str) -> Column:
+        """How often x stands in the block before row `end`."""
+        part = F.substring(F.col(f"_{c}{side}"), F.lit(1), (end - F.col(f"_block{side}") * BLOCK).cast("int"))
+        return F.length(part) - F.length(F.replace(part, x, F.lit("")))
+
+    # an end at the first row of a block that isn't there is counted from the last block
+    at = ranges.where((letter > 0) & (F.col("top") < F.col("bot")))
+    at = looked(looked(at, F.greatest(F.col("top") - 1, F.lit(0)), "a"), F.col("bot") - 1, "b")
+    ends = {s: F.get(f"_before{s}", letter - 1) + upto("label", F.col("label"), F.col(e), s) for s, e in (("a", "top"), ("b", "bot"))}
+    at = at.withColumn("_lo", F.get("_firsta", letter - 1) + ends["a"]).withColumn("_hi", F.get("_firsta", letter - 1) + ends["b"] - 1).where("_lo <= _hi")
+    at = at.select(*names, "_lo", "_hi", F.col("_sizea").alias("_size"))
+    at = looked(looked(at, F.col("_lo"), "a"), F.col("_hi"), "b")
     # the flags up to a row number its node from 1
-    at = at.join(f.select(key, F.col("k").alias("_p"), F.col("row").alias("_top")), [key, "_p"], "left")
-    at = at.withColumn("_q", F.col("_q") + 1).join(f.select(key, F.col("k").alias("_q"), F.col("row").alias("_bot")), [key, "_q"], "left")
+    node = {s: F.col(f"_marked{s}") + upto("mark", F.lit("1"), F.col(e) + 1, s) for s, e in (("a", "_lo"), ("b", "_hi"))}
+    at = at.select(*names, "_size", node["a"].alias("_p"), (node["b"] + 1).alias("_q"))
+    for k, end in (("_p", "_top"), ("_q", "_bot")):
+        at = at.join(nodes.select(key, F.col("k").alias(k), F.col("row").alias(end)), [key, k], "left")
     out = at.select(*names, F.coalesce("_top", "_size").alias("top"), F.coalesce("_bot", "_size").alias("bot"))
     return out.where("top < bot")
+
+
+def spelled(words: DataFrame, index: tuple[DataFrame, DataFrame], key: str, word: str = "word") -> DataFrame:
+    """`words` with the rows [top, bot) of the nodes from which the graph of their key spells them.
+
+    All words take a backward step a round, from their last letter on; those whose range is empty drop out, those that
+    are through are put aside. Empty and null words, and words with other letters, have no rows.
+    """
+    size = index[0].select(key, "size").distinct()
+    names = words.columns
+    open_ = beside(words.where(F.length(word) > 0), spool(size, "sizes"), key).select(*names, F.lit(0).cast("long").alias("top"), F.col("size").alias("bot"))
+    most = words.agg(F.coalesce(F.max(F.length(word)), F.lit(0))).first()[0]
+    done = None
+    for i in range(most):
+        here = open_.where(F.length(word) > i).withColumn("label", F.substring(F.col(word), F.length(word) - i, F.lit(1)))
+        open_ = spool(graph_step(here, index, key).drop("label"), "spelled")
+        through = open_.where(F.length(word) == i + 1)
+        done = through if done is None else done.unionByName(through)
+    return open_ if done is None else done
+
+
+def nodes_of(found: DataFrame, index: tuple[DataFrame, DataFrame], nodes: DataFrame, key: str) -> DataFrame:
+    """`found` with a row for each node of its rows [top, bot): the columns of `nodes` beside it."""
+    names = [c for c in found.columns if c not in ("top", "bot")]
+    k = index[1].select(key, F.col("row").alias("top"), F.col("k").alias("_k"))
+    end = index[1].select(key, F.col("row").alias("bot"), F.col("k").alias("_end"))
+    last = spool(index[1].groupBy(key).agg((F.max("k") + 1).alias("_all")), "last")
+    of = beside(found.join(k, [key, "top"]).join(end, [key, "bot"], "left"), last, key)
+    ranked = of.select(*names, F.explode(F.sequence(F.col("_k") - 1, F.coalesce("_end", "_all") - 2)).alias("rank"))
+    return ranked.join(nodes, [key, "rank"])

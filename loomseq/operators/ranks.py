@@ -78,6 +78,13 @@ def running_sum(df: DataFrame, order: list[Column], add: str, name: str) -> Data
     return rows.withColumn(name, F.sum(add).over(w) + _look_up(_offsets(rows, F.sum(add)), "long")).drop("_id")
 
 
+def running_sums(df: DataFrame, order: list[Column], add: list[str]) -> DataFrame:
+    """`df` with the running sums of several columns, each named after its column and ending in _upto."""
+    rows = _in_order(df, order)
+    w = Window.partitionBy(F.shiftright("_id", 33)).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *[(F.sum(c).over(w) + _look_up(_offsets(rows, F.sum(c)), "long")).alias(f"{c}_upto") for c in add]).drop("_id")
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """1-based ranks in which ties share their mean: counts of equal values are summed, and only they are ordered."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))

@@ -276,13 +276,13 @@ RANK4_SQL = f"""{PATHS_SQL}, j AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.k
   p4 AS MATERIALIZED (SELECT g.key, src, dst, place, count(*) OVER (PARTITION BY g.key, place) = 1 AS done FROM g JOIN r ON r.key = g.key AND r.k0 = g.k0 AND r.k1 = g.k1 WHERE NOT (hom AND (rn > 1 OR again)))"""
 
 
-def _paths4(spark, d):
-    return spool(graph.rank4(spool(graph.double(_paths3(spark, d), 4, "key"), "joined4"), "key"), "paths4")
+def _paths(spark, d, generation):
+    return graph.doubling(*_graph(spark, d), "key", until=generation)[0]
 
 
 @query(f"WITH {RANK4_SQL} SELECT key, src, dst, place, done FROM p4")
 def run_collapse_hom(spark, d):
-    return graph.from_first(_paths4(spark, d), "key", "k0").select("key", "src", "dst", F.col("k0").alias("place"), "done")
+    return graph.from_first(_paths(spark, d, 4), "key", "k0").select("key", "src", "dst", F.col("k0").alias("place"), "done")
 
 
 @query(f"""WITH {RANK4_SQL}, j5 AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.done, a.place AS k0, b.place AS k1 FROM p4 a JOIN p4 b ON a.key = b.key AND a.dst = b.src WHERE NOT a.done UNION ALL SELECT key, src, dst, done, place, 0 FROM p4 WHERE done),
@@ -294,48 +294,109 @@ def run_collapse_hom(spark, d):
   r5 AS (SELECT *, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY k0, k1) - 1 AS BIGINT) AS place FROM d5)
   SELECT g5.key, g5.src, dst, place, done OR (hom AND r5.bl > 1) AS done FROM g5 JOIN r5 ON r5.key = g5.key AND r5.k0 = g5.k0 AND r5.k1 = g5.k1 WHERE NOT gone AND (NOT (hom AND r5.bl > 1) OR rn = 1)""")
 def rank_fold(spark, d):
-    joined = spool(graph.double(_paths4(spark, d), 5, "key"), "joined5")
-    return graph.from_first(spool(graph.rank5(joined, "key"), "paths5"), "key", "k0").select("key", "src", "dst", F.col("k0").alias("place"), "done")
+    return graph.from_first(_paths(spark, d, 5), "key", "k0").select("key", "src", "dst", F.col("k0").alias("place"), "done")
 
 
-@query(f"""WITH {GRAPH_SQL}, e AS (SELECT key, src, count(*) AS n FROM edges GROUP BY 1, 2) SELECT n.key, id, CAST(coalesce(e.n, 0) AS BIGINT) AS outdeg FROM nodes n LEFT JOIN e ON e.key = n.key AND e.src = n.id""")
-def positional_outdeg(spark, d):
+#: Generations of the SQL below; all paths are done after fewer, and further ones change nothing.
+GENERATIONS = 12
+
+
+def _generation_sql(g):
+    """Generation g from p{g-1}: paths joined end to start, then folded and ranked."""
+    return f"""j{g} AS MATERIALIZED (SELECT a.key, a.src, b.dst, a.done, a.place AS k0, b.place AS k1 FROM p{g - 1} a JOIN p{g - 1} b ON a.key = b.key AND a.dst = b.src WHERE NOT a.done UNION ALL SELECT key, src, dst, done, place, 0 FROM p{g - 1} WHERE done),
+  g{g} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key, k0, k1 ORDER BY src, dst) AS rn, count(*) OVER (PARTITION BY key, k0) AS bl FROM j{g}),
+  h{g} AS (SELECT key, k0, k1, min(src) = max(src) AS hom, max(src) AS src, any_value(bl) AS bl, arg_max(done, (src, dst)) AS own FROM g{g} GROUP BY key, k0, k1),
+  e{g} AS (SELECT *, (bl > 1 AND hom) OR own AS eff0 FROM h{g}),
+  s{g} AS (SELECT *, coalesce(bl = 1 AND lag(bl) OVER w > 1 AND lag(eff0) OVER w AND lag(src) OVER w = src, false) AS solo FROM e{g} WINDOW w AS (PARTITION BY key ORDER BY k0, k1)),
+  d{g} AS (SELECT *, solo OR coalesce(bl > 1 AND hom AND lag(eff0 OR solo) OVER w AND lag(src) OVER w = src, false) AS gone FROM s{g} WINDOW w AS (PARTITION BY key ORDER BY k0, k1)),
+  r{g} AS (SELECT *, CAST(sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY k0, k1) - 1 AS BIGINT) AS place FROM d{g}),
+  p{g} AS MATERIALIZED (SELECT g{g}.key, g{g}.src, dst, place, done OR (hom AND r{g}.bl > 1) AS done FROM g{g} JOIN r{g} ON r{g}.key = g{g}.key AND r{g}.k0 = g{g}.k0 AND r{g}.k1 = g{g}.k1 WHERE NOT gone AND (NOT (hom AND r{g}.bl > 1) OR rn = 1))"""
+
+
+def _sure(spark, d):
+    """The same graphs without the deletions whose ends have predecessors of one label: reverse-deterministic as they are."""
     nodes, edges = _graph(spark, d)
-    n = nodes.withColumn("src", F.col("id"))
-    return graph.positional_out_degree(n, edges.withColumn("id", F.col("src")), "key", ["id"]).select("key", "id", "outdeg")
+    twice = spool(graph.repeated_predecessors(nodes, edges, "key").select("key", "dst").distinct(), "twice")
+    return nodes, edges.join(twice, ["key", "dst"], "left_anti").unionByName(edges.join(twice, ["key", "dst"], "left_semi").where("dst = src + 1"))
+
+
+#: Everything up to the fixpoint p{GENERATIONS} on those graphs.
+FIXPOINT_SQL = f"""{RANK4_SQL.replace("edges AS MATERIALIZED", "edges0 AS").replace("p0 AS MATERIALIZED", f"edges AS MATERIALIZED (SELECT e.* FROM edges0 e LEFT JOIN (SELECT DISTINCT e.key, dst FROM edges0 e JOIN nodes n ON n.key = e.key AND n.id = e.src GROUP BY e.key, dst, label HAVING count(*) > 1) x ON x.key = e.key AND x.dst = e.dst WHERE x.dst IS NULL OR e.dst = e.src + 1), p0 AS MATERIALIZED")},
+  {", ".join(_generation_sql(g) for g in range(5, GENERATIONS + 1))}"""
+
+#: Path nodes n0 and path edges t in row order. Here sources meet in order without gaps, so the k-th run of a source among
+#: edges belongs to its k-th run among nodes.
+ROWS_SQL = f"""{FIXPOINT_SQL}, n0 AS MATERIALIZED (SELECT key, place AS rank, src FROM p{GENERATIONS}), sz AS (SELECT key, count(*) AS n FROM n0 GROUP BY 1),
+  pe AS MATERIALIZED (SELECT e.key, e.src, e.dst, n0.rank, instr('ACGTYZ', label) - 1 AS k FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src JOIN n0 ON n0.key = e.key AND n0.src = e.dst),
+  nr AS (SELECT *, CASE WHEN lag(src) OVER w = src THEN 0 ELSE 1 END AS new FROM n0 WINDOW w AS (PARTITION BY key ORDER BY rank)), nn AS (SELECT key, src, rank, row_number() OVER (PARTITION BY key, src ORDER BY rank) AS nth FROM nr WHERE new = 1),
+  tr AS (SELECT *, CASE WHEN lag(src) OVER w = src THEN 0 ELSE 1 END AS new FROM pe WINDOW w AS (PARTITION BY key ORDER BY k, rank, src, dst)), tn AS (SELECT key, src, sum(new) OVER (PARTITION BY key, src ORDER BY k, rank, src, dst) AS nth FROM tr),
+  dg AS (SELECT key, src, nth, count(*) AS n FROM tn GROUP BY 1, 2, 3), deg AS MATERIALIZED (SELECT n0.key, n0.rank, n0.src, coalesce(dg.n, 0) AS outdeg, sz.n FROM n0 JOIN sz ON sz.key = n0.key LEFT JOIN nn ON nn.key = n0.key AND nn.rank = n0.rank LEFT JOIN dg ON dg.key = n0.key AND dg.src = nn.src AND dg.nth = nn.nth),
+  sp AS (SELECT key, rank, greatest(outdeg, 1) AS n FROM deg WHERE rank < n - 1), st AS (SELECT key, sum(n) OVER (PARTITION BY key ORDER BY rank) - n AS row FROM sp),
+  er AS (SELECT pe.key, pe.src, dst, CASE WHEN k <> 4 AND rank >= n - 1 THEN rank - 1 ELSE rank END AS rank, CASE WHEN k = 4 THEN 5 ELSE k END AS k, k <> 4 AND rank >= n - 1 AS moved FROM pe JOIN sz ON sz.key = pe.key),
+  ro AS (SELECT key, substr('ACGTYZ', CAST(k + 1 AS INTEGER), 1) AS label, row_number() OVER (PARTITION BY key ORDER BY rank, k, moved, src, dst) - 1 AS row, row_number() OVER (PARTITION BY key, rank ORDER BY k, moved, src, dst) = 1 AS f FROM er),
+  rows AS MATERIALIZED (SELECT ro.key, ro.row, label, f, st.row IS NOT NULL AS m FROM ro LEFT JOIN st ON st.key = ro.key AND st.row = ro.row)"""
+
+
+_written: dict[tuple[str, str, str], tuple] = {}
+
 
+def _once(spark, d, name, build):
+    """Tables that several queries of one session share: written once for each folder."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _written:
+        _written[at] = build()
+    return _written[at]
 
-ROWS_SQL = f"""{GRAPH_SQL}, x AS (SELECT e.key, dst, n.label, src FROM edges e JOIN nodes n ON n.key = e.key AND n.id = e.src),
-  er AS MATERIALIZED (SELECT key, label, row_number() OVER (PARTITION BY key ORDER BY dst, label, src) - 1 AS row, row_number() OVER (PARTITION BY key, dst ORDER BY label, src) = 1 AS f FROM x),
-  od AS (SELECT key, src, count(*) AS n FROM edges GROUP BY 1, 2), sp AS (SELECT n.key, id, greatest(coalesce(od.n, 0), 1) AS n FROM nodes n LEFT JOIN od ON od.key = n.key AND od.src = n.id),
-  st AS (SELECT key, sum(n) OVER (PARTITION BY key ORDER BY id) - n AS row FROM sp),
-  rows AS MATERIALIZED (SELECT er.key, er.row, label, f, st.row IS NOT NULL AS m FROM er LEFT JOIN st ON st.key = er.key AND st.row = er.row)"""
+
+def _fixpoint(spark, d):
+    """Nodes, edges and the paths at their fixpoint."""
+
+    def build():
+        nodes, edges = (spool(x, "graph") for x in _sure(spark, d))
+        return nodes, edges, spool(graph.doubling(nodes, edges, "key")[0], "fixpoint")
+
+    return _once(spark, d, "fixpoint", build)
+
+
+def _rows(spark, d):
+    """The rows and nodes of the graphs' index."""
+    return _once(spark, d, "rows", lambda: tuple(spool(x, "rows") for x in graph.edge_rows(*_fixpoint(spark, d), "key")))
+
+
+@query(f"WITH {ROWS_SQL} SELECT key, rank, src, CAST(outdeg AS BIGINT) AS outdeg FROM deg")
+def positional_outdeg(spark, d):
+    """Out-degrees of path nodes: path edges by label and rank meet them in order."""
+    at, rows = (spool(x, "path") for x in graph.path_edges(*_fixpoint(spark, d), "key"))
+    return graph.positional_out_degree(at, rows, "key", ["rank"], ["k", "rank", "src", "dst"]).select("key", "rank", "src", "outdeg")
 
 
 @query(f"WITH {ROWS_SQL} SELECT key, row, label, f, m FROM rows")
 def edge_flags(spark, d):
-    return graph.edge_rows(*_graph(spark, d), "key")
+    return _rows(spark, d)[0]
 
 
 @query(f"WITH {ROWS_SQL}, c AS (SELECT *, sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY row) - CASE WHEN m THEN 1 ELSE 0 END AS rank_m, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY row) AS k FROM rows) SELECT key, row, CAST(rank_m AS BIGINT) AS rank_m, CAST(CASE WHEN f THEN k END AS BIGINT) AS select_k FROM c")
 def flag_ranks(spark, d):
-    rows = spool(graph.edge_rows(*_graph(spark, d), "key"), "rows")
+    rows, _ = _rows(spark, d)
     picked = graph.selected(rows, "key", "f").withColumnRenamed("k", "select_k")
     return graph.rank_flags(rows, "key", "m", "rank_m").join(picked, ["key", "row"], "left").select("key", "row", "rank_m", "select_k")
 
 
-@query(f"""WITH {ROWS_SQL}, sz AS (SELECT key, count(*) AS size FROM rows GROUP BY key), q AS (SELECT key, label, size // 4 AS top, size - size // 4 AS bot, size FROM sz, (SELECT unnest(['A', 'C', 'G', 'T']) AS label)),
-  l AS (SELECT key, label, count(*) AS n FROM rows GROUP BY 1, 2), fc AS (SELECT key, label, sum(n) OVER (PARTITION BY key ORDER BY label) - n AS first FROM l),
-  oc AS (SELECT q.key, q.label, q.top, q.bot, q.size, any_value(first) AS first, count(*) FILTER (row < top) AS a, count(*) FILTER (row < bot) AS b FROM q JOIN fc ON fc.key = q.key AND fc.label = q.label JOIN rows r ON r.key = q.key AND r.label = q.label GROUP BY 1, 2, 3, 4, 5),
-  mm AS (SELECT key, row, sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY row) AS m FROM rows), ff AS (SELECT key, row, row_number() OVER (PARTITION BY key ORDER BY row) AS k FROM rows WHERE f),
-  o AS (SELECT oc.key, oc.label, coalesce(f1.row, size) AS top, coalesce(f2.row, size) AS bot FROM oc JOIN mm m1 ON m1.key = oc.key AND m1.row = first + a JOIN mm m2 ON m2.key = oc.key AND m2.row = first + b - 1
-    LEFT JOIN ff f1 ON f1.key = oc.key AND f1.k = m1.m LEFT JOIN ff f2 ON f2.key = oc.key AND f2.k = m2.m + 1 WHERE a < b)
-  SELECT key, label, CAST(top AS BIGINT) AS top, CAST(bot AS BIGINT) AS bot FROM o WHERE top < bot""")
+#: Letters that each graph is searched for: the first ones of its own text.
+SPELLED = 6
+
+
+@query(f"""WITH {ROWS_SQL}, q AS (SELECT key, substr(q, 1, {SPELLED}) AS word FROM t),
+  w1 AS (SELECT n.key, n.id AS start, n.id AS at, label AS word FROM nodes n WHERE label IN ('A', 'C', 'G', 'T')), {", ".join(f"w{i + 1} AS (SELECT w.key, w.start, e.dst AS at, w.word || n.label AS word FROM w{i} w JOIN q ON q.key = w.key AND q.word[:{i}] = w.word JOIN edges e ON e.key = w.key AND e.src = w.at JOIN nodes n ON n.key = e.key AND n.id = e.dst)" for i in range(1, SPELLED))},
+  found AS (SELECT DISTINCT w.key, start FROM w{SPELLED} w JOIN q ON q.key = w.key AND q.word = w.word)
+  SELECT f.key, f.start AS src FROM found f""")
 def graph_lf(spark, d):
-    """A backward step by each base from the middle half of each graph's rows."""
-    rows = spool(graph.edge_rows(*_graph(spark, d), "key"), "rows")
-    q = rows.groupBy("key").agg(F.count("*").alias("size")).select("key", F.explode(F.array(*map(F.lit, "ACGT"))).alias("label"), F.expr("size div 4").alias("top"), F.expr("size - size div 4").alias("bot"))
-    return graph.graph_step(q, rows, "key").select("key", "label", "top", "bot")
+    """The nodes from which each graph spells the first letters of its own text, by backward steps over its rows."""
+    nodes, _, _ = _fixpoint(spark, d)
+    rows, at = _rows(spark, d)
+    index = graph.tallied(rows, "key")
+    words = nodes.where(f"id between 1 and {SPELLED}").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "label"))), lambda x: x["label"]), "").alias("word"))
+    return graph.nodes_of(graph.spelled(words, index, "key"), index, at, "key").select("key", "src").distinct()
 
 
 @query()

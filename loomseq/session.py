@@ -26,7 +26,16 @@ def spool(df: DataFrame, name: str = "step") -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes spooled tables that nothing will read again."""
+    for t in tables:
+        folder = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.spooled)
+        folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(spark: SparkSession, root: str, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomseq.operators import graph, index, ranges, ranks
+from loomseq.session import spool
 from loomseq.sources import readers
 
 #: Fixed value: the published fixture sequence.
@@ -129,3 +130,80 @@ def test_adjusted_p_in_many_ranges(spark):
     for row in got:
         assert row["q"] is None if row["p"] is None else abs(row["q"] - want[row["p"]]) < 1e-9
     assert ranks.benjamini_hochberg(df.where("p > 2"), "p", "q").count() == 0
+
+
+TINY_SNPS = [(f"rs{i}", "single", "chrT", p, "A") for i, p in enumerate(("50", "80", "120"))]
+TINY_HAPS = [("ht0", "chrT", "50", "80", "rs0,rs1"), ("ht1", "chrT", "120", "120", "rs2")]
+
+
+@pytest.fixture(scope="module")
+def tiny_index(spark, tmp_path_factory):
+    nodes, edges = (spool(x, "tiny") for x in build(spark, tmp_path_factory.mktemp("tiny"), TINY_SNPS, TINY_HAPS))
+    rows, at = graph.edge_rows(nodes, edges, graph.doubling(nodes, edges, "chrom")[0], "chrom")
+    return nodes, edges, spool(rows, "rows"), spool(at, "at")
+
+
+def test_rows_of_tiny(tiny_index):
+    """The published numbers of this fixture: 240 nodes, 242 rows, 81 A, 58 C, 42 G and 60 T."""
+    _, edges, rows, at = tiny_index
+    assert at.count() == 240 and rows.count() == 242
+    labels = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    assert labels == {"A": 81, "C": 58, "G": 42, "T": 60, "Z": 1}
+    assert rows.where("f").count() == rows.where("m").count() == 240
+    assert [r["row"] for r in rows.orderBy("row").collect()] == list(range(242))
+    assert at.agg(F.sum(F.greatest("outdeg", F.lit(1)))).first()[0] == 242
+
+
+def test_steps_spell_the_graph(spark, tiny_index):
+    """Backward steps over a word find just the nodes from which the graph spells it."""
+    nodes, edges, rows, at = tiny_index
+    label = {r["id"]: r["label"] for r in nodes.collect()}
+    after = {}
+    for r in edges.collect():
+        after.setdefault(r["src"], []).append(r["dst"])
+
+    def starts(word):
+        return {i for i in label if any(True for _ in walks(i, word))}
+
+    def walks(i, word):
+        if label[i] == word[0]:
+            if len(word) == 1:
+                yield i
+            for j in after.get(i, ()):
+                if len(word) > 1:
+                    yield from walks(j, word[1:])
+
+    words = {TINY[i : i + n] for i in range(0, 190, 7) for n in (1, 2, 3, 5, 9, 14)} | {TINY[45:50] + "A" + TINY[51:56], TINY[75:80] + "A" + TINY[81:90], "GGGGG", "ACGTN", "A" * 12, TINY[44:50] + "A" + TINY[51:80] + "A" + TINY[81:85], TINY[44:50] + "A" + TINY[51:90]}
+    df = spark.createDataFrame([("chrT", w) for w in sorted(words)] + [("chrT", ""), ("chrT", None), ("chrU", "ACG")], "chrom string, word string")
+    index = graph.tallied(rows, "chrom")
+    got = {}
+    for r in graph.nodes_of(graph.spelled(df, index, "chrom"), index, at, "chrom").collect():
+        got.setdefault(r["word"], set()).add(r["src"])
+    assert got == {w: s for w in words if (s := starts(w))}
+
+
+def test_pointer_moves_on_mismatch_only(spark):
+    """Streams in which sources recur in several runs on both sides, against one pointer over whole lists, in small ranges."""
+    import random
+
+    r = random.Random(7)
+    for places in (3, 40, 1 << 20):
+        nodes, edges, want = [], [], []
+        for key in ("a", "b", "c", "d"):
+            n = [r.choice("pqrs") for _ in range(r.randrange(1, 60))]
+            kept = [x for x in n if r.random() < 0.6]
+            e = [x for x in kept for _ in range(r.randrange(1, 3))]
+            if key == "d":
+                e.insert(len(e) // 2, "none")
+            i, deg = 0, [0] * len(n)
+            for x in e:
+                while i < len(n) and n[i] != x:
+                    i += 1
+                if i == len(n):
+                    break
+                deg[i] += 1
+            nodes += [(key, i, x) for i, x in enumerate(n)]
+            edges += [(key, i, x) for i, x in enumerate(e)]
+            want += [(key, i, x, d) for i, (x, d) in enumerate(zip(n, deg, strict=True))]
+        got = graph.positional_out_degree(spark.createDataFrame(nodes, "key string, at long, src string").repartition(3), spark.createDataFrame(edges, "key string, no long, src string").repartition(3), "key", ["at"], ["no"], places)
+        assert sorted((x["key"], x["at"], x["src"], x["outdeg"]) for x in got.collect()) == sorted(want)
