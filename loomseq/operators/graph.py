@@ -59,9 +59,11 @@ def with_haplotypes(nodes: DataFrame, edges: DataFrame, haplotypes: DataFrame, k
 
     `variants` is an array of structs (typ, pos, len, seq): a substitution changes the base at pos, a deletion leaves out
     `len` bases from pos, an insertion puts `seq` before pos. An insertion at the span's last position ends the walk: its
-    base, and other variants there, are not taken. Haplotypes whose variants aren't in order are left out.
+    base, and other variants there, are not taken. Haplotypes whose variants aren't in order are left out; of equal rows one
+    counts, and rows of one name that differ are haplotypes of their own.
     """
-    haplotypes = haplotypes.where(in_order(F.col("variants")))
+    own = F.concat_ws("/", "hap", F.sha2(F.to_json(F.struct("left", "right", "variants")), 256))
+    haplotypes = haplotypes.where(in_order(F.col("variants"))).withColumn("hap", own).dropDuplicates([key, "hap"])
     spine = nodes.where("value is not null").groupBy(key, F.col("value").alias("pos")).agg(F.min_by("label", "id").alias("base"))
     at = haplotypes.select(key, "hap", "left", "right", "variants", F.explode(F.sequence("left", "right")).alias("pos")).join(spine, [key, "pos"])
     here = lambda typ: F.filter("variants", lambda v: (v["typ"] == typ) & (v["pos"] == F.col("pos")))

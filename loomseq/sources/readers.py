@@ -76,23 +76,23 @@ def resources(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
     of = lambda pattern: F.max(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")))
     out = rows.groupBy("file").agg(of(r"Elapsed \(wall clock\) time .*: ([0-9:.]+)$").alias("elapsed"), of(r"Maximum resident set size \(kbytes\): (\d+)").alias("rss"), of(r"Exit status: (\d+)").alias("exit"))
-    return out.select("file", "elapsed", F.col("rss").cast("long").alias("rss_kb"), F.col("exit").cast("int").alias("status"))
+    return out.select("file", "elapsed", F.col("rss").try_cast("long").alias("rss_kb"), F.col("exit").try_cast("int").alias("status"))
 
 
 def haplotypes(spark: SparkSession, path: str, variants: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """hap, chrom, left, right (closed) and the array of variants; those that name an unknown id or none are dropped.
 
     Of variants with one id the last in the file counts. With `runs` so are those of which an end lies outside a run or
-    that span two.
+    that span two. Each line is a row, lines that repeat too.
     """
-    rows = _fields(lines(spark, path), "\t", [("hap", "string"), ("chrom", "string"), ("left", "long"), ("right", "long"), ("ids", "string")])
+    rows = _fields(numbered_lines(spark, path), "\t", [("hap", "string"), ("chrom", "string"), ("left", "long"), ("right", "long"), ("ids", "string")], "file", "n")
     rows = rows.where("ids <> ''").withColumn("ids", F.split("ids", ","))
     size = F.when(F.col("typ") == "deletion", F.col("allele").try_cast("long")).otherwise(F.length("allele"))
     byid = variants.groupBy("id").agg(F.max_by(F.struct("typ", "pos", size.cast("long").alias("len"), F.col("allele").alias("seq")), F.struct("file", "n")).alias("v"))
     if runs is not None:
         rows = _within(rows, runs, ["left", "right"])
     each = rows.select("*", F.posexplode("ids").alias("i", "id")).join(byid, "id")
-    out = each.groupBy("hap", "chrom", "left", "right", "ids").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("vs"))
+    out = each.groupBy("file", "n", "hap", "chrom", "left", "right", "ids").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("vs"))
     return out.where(F.size("vs") == F.size("ids")).select("hap", "chrom", "left", "right", F.col("vs.v").alias("variants"))
 
 
@@ -165,11 +165,17 @@ def sites(spark: SparkSession, path: str, phased: bool = False) -> DataFrame:
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """name, flag, chrom, pos, mapq, cigar and a map of tags from the twelfth field on."""
+    """name, flag, chrom, pos, mapq, cigar and a map of tags from the twelfth field on; of equal tags the first counts.
+
+    What is no number where one belongs is null; lines of fewer than eleven fields are dropped.
+    """
     f = F.split("line", "\t")
     rows = lines(spark, path).where("line not like '@%'").where(F.size(f) >= 11)
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(f, F.lit(12), F.size(f)), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
-    return rows.select(f[0].alias("name"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), f[3].cast("long").alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), tags.alias("tags"))
+    found = F.filter(F.slice(f, F.lit(12), F.size(f)), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:.:"))
+    names = F.transform(found, lambda t: F.substring(t, 1, 2))
+    first = F.filter(found, lambda t, i: F.array_position(names, F.substring(t, 1, 2)) == i + 1)
+    tags = F.map_from_entries(F.transform(first, lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
+    return rows.select(f[0].alias("name"), f[1].try_cast("int").alias("flag"), f[2].alias("chrom"), f[3].try_cast("long").alias("pos"), f[4].try_cast("int").alias("mapq"), f[5].alias("cigar"), tags.alias("tags"))
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -209,12 +215,12 @@ def build_log(spark: SparkSession, path: str) -> DataFrame:
     """gen, temp, nodes, ranks of lines such as 'Generation 4 (10 -> 8 nodes, 7 ranks)'."""
     pattern = r"Generation (\d+) \((\d+) -> (\d+) nodes, (\d+) ranks\)"
     rows = lines(spark, path).where(F.col("line").rlike(pattern))
-    return rows.select(*[F.regexp_extract("line", pattern, i + 1).cast("long").alias(c) for i, c in enumerate(("gen", "temp", "nodes", "ranks"))])
+    return rows.select(*[F.regexp_extract("line", pattern, i + 1).try_cast("long").alias(c) for i, c in enumerate(("gen", "temp", "nodes", "ranks"))])
 
 
 def alignment_rate(spark: SparkSession, path: str) -> DataFrame:
     rate = F.regexp_extract("line", r"([0-9.]+)% overall alignment rate", 1)
-    return lines(spark, path).where(rate != "").select(rate.cast("double").alias("percent"))
+    return lines(spark, path).where(rate != "").select(rate.try_cast("double").alias("percent"))
 
 
 def mpileup(spark: SparkSession, path: str) -> DataFrame:

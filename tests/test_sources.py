@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loomseq.operators import graph
 from loomseq.sources import readers, writers
 from loomseq.streaming import telemetry
 
@@ -10,7 +11,7 @@ def put(tmp_path, name, text):
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(x is not None, x) for x in r])
 
 
 def test_text_formats(spark, tmp_path):
@@ -134,3 +135,51 @@ def test_no_local_folder_on_a_cluster():
         assert "spark.checkpoint.dir" in str(e)
     else:
         raise AssertionError
+
+
+def test_lines_that_repeat_or_are_wrong(spark, tmp_path):
+    """Each reader on repeated lines, short lines, words for numbers, numbers too long, repeated tags, blanks and a carriage return."""
+    p = put(tmp_path, "v.snp", "a\tsingle\tc\t5\tA\na\tsingle\tc\t6\tC\nb\tdeletion\tc\tx\t2\nshort\tsingle\nc\tdeletion\tc\t9\tlong\r\n")
+    variants = readers.snp(spark, p)
+    assert [tuple(r) for r in variants.orderBy("n").select("id", "pos", "allele").collect()] == [("a", 5, "A"), ("a", 6, "C"), ("b", None, "2"), ("c", 9, "long")]
+    p = put(tmp_path, "h.txt", "h0\tc\t5\t6\ta\nh0\tc\t5\t6\ta\nh0\tc\t5\t7\ta\nh1\tc\t5\t6\ta,none\nh2\tc\tx\t6\ta\nh3\tc\t5\t6\t\nh4\tc\n")
+    got = readers.haplotypes(spark, p, variants)
+    assert rows(got.select("hap", "left", "right"))[:2] == [("h0", 5, 6), ("h0", 5, 6)] and got.count() == 4
+    p = put(tmp_path, "b.sam", "r\tx\tc\t99999999999999999999\t?\t5M\t*\t0\t0\tA\tI\tNH:i:1\tNH:i:2\tbad\tGN:Z:\n" + "r\t0\tc\t1\t60\t5M\t*\t0\t0\tA\tI\n" * 2)
+    got = [tuple(r) for r in readers.sam(spark, p).select("flag", "pos", "mapq", "tags").collect()]
+    assert got == [(None, None, None, {"NH": "1", "GN": ""}), (0, 1, 60, {}), (0, 1, 60, {})]
+    p = put(tmp_path, "c.txt", "g\t1\ng\t1\nh\tx\ni\t99999999999999999999\nj\n")
+    assert rows(readers.counts(spark, p)) == [("g", 1), ("g", 1), ("h", None), ("i", None)]
+    p = put(tmp_path, "t.log", "\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02.5\n\tMaximum resident set size (kbytes): 99999999999999999999\n\tExit status: 0\nGeneration 4 (1 -> 99999999999999999999 nodes, 7 ranks)\n1.2.3% overall alignment rate\n")
+    assert [tuple(r)[1:] for r in readers.resources(spark, p).collect()] == [("1:02.5", None, 0)]
+    assert rows(readers.build_log(spark, p)) == [(4, 1, None, 7)] and rows(readers.alignment_rate(spark, p)) == [(None,)]
+    p = put(tmp_path, "s.txt", "# x\nc 5 9 +\nc 5 9 +\nc five 9 +\nc 5\n")
+    assert rows(readers.splice_sites(spark, p)) == [("c", None, 8, "+"), ("c", 6, 8, "+"), ("c", 6, 8, "+")]
+    p = put(tmp_path, "b.bed", "chr1\t1\t2\nchr1\t1\t2\nchr1\tx\t2\n\n")
+    assert rows(readers.bed(spark, p)) == [("1", None, 2), ("1", 1, 2), ("1", 1, 2)]
+    p = put(tmp_path, "x.fai", "a\t5\t0\na\tfive\t0\n")
+    assert [tuple(r) for r in readers.fai(spark, p).collect()] == [("a", 5), ("a", None)]
+    p = put(tmp_path, "g.gtf", 'c\ts\texon\tx\t20\t.\t-\t.\tgene_id "g"; gene_id "h";\n' * 2)
+    assert rows(readers.gtf(spark, p)) == [("c", "exon", None, 20, "-", "g")] * 2
+    p = put(tmp_path, "p.txt", "c\t1\t2\t3\t4\tx\nc\t1\t2\n")
+    assert [tuple(r) for r in readers.pileups(spark, p).collect()] == [("c", 1, 2, 3, 4, None)]
+    p = put(tmp_path, "m.txt", "c\t5\tA\t4\tA+999999999999C\nc\tx\tA\t1\tA\nc\t7\n")
+    assert [r["pos"] for r in readers.mpileup(spark, p).collect()] == [5, None]
+    p = put(tmp_path, "q.fq", "@r\nAC\n+\nII\n@r\nAC\n+\nII\n@cut\n")
+    assert rows(readers.fastq(spark, p)) == [("r", "AC", "II")] * 2
+    p = put(tmp_path, "v.vcf", "1\tx\tr\tA\tC\t.\t.\tFREQ=s:x,0.5\n" * 2 + "1\t2\n")
+    got = readers.vcf(spark, p)
+    assert got.count() == 2 and readers.common(got).count() == 2
+    p = put(tmp_path, "i.snp", "r\tsingle\tchr1 x\tfive\tA\nr\tsingle\tchr1 x\t5\tA\n")
+    assert rows(readers.index_variants(spark, p)) == [("chr1", None, "A"), ("chr1", 6, "A")]
+    p = put(tmp_path, "f.fa", ">a x\nAC\n>a x\nAC\n>e\n")
+    assert rows(readers.fasta(spark, p).select("name", "seq")) == [("a", "AC"), ("a", "AC"), ("e", "")]
+
+
+def test_haplotypes_that_repeat_make_one_path(spark):
+    nodes, edges = graph.backbone(spark.createDataFrame([("c", "ACGTACGT")], "chrom string, seq string"), "chrom", "seq")
+    kind = "chrom string, hap string, left long, right long, variants array<struct<typ:string,pos:long,len:long,seq:string>>"
+    one = ("c", "h", 2, 4, [("single", 3, 1, "A")])
+    other = ("c", "h", 2, 4, [("single", 3, 1, "C")])
+    size = lambda haps: tuple(x.count() for x in graph.with_haplotypes(nodes, edges, spark.createDataFrame(haps, kind), "chrom"))
+    assert size([one, one]) == size([one]) and size([one, other])[0] == size([one])[0] + 3
