@@ -5,15 +5,18 @@ word before and the word after). Spark scores the graph of patterns and instance
 share of its occurrences that are seeds of one kind or instances believed to be, and an instance is believed through the
 patterns around it; believed instances support further patterns, until none is new. Confident patterns turn strings that
 the fixed patterns missed into further spans: runs of digits and identifiers with letters of any kind, emails with other
-letters than ASCII's or with at and dot in words, IPv6 addresses. Secrets have no fixed pattern; their seeds are what is
-assigned to a name declared in DECLARED (token = "..."), and patterns find them under other names.
+letters than ASCII's or with at and dot in words, IPv6 addresses. Secrets have no fixed pattern and no names: long strings
+of letters and digits that look drawn at random support the patterns around them, but are spans only where a confident
+pattern says so, as is whatever else stands in its slot.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 import xxhash
@@ -23,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import rows_with, text_chunks, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Names whose values are seeds of the kind "secret": 16 characters or more, with a letter and a digit among them.
-DECLARED = "token|secret|passwo?r?d|passphrase|api[_ -]?key|access[_ -]?key|auth[_ -]?key|private[_ -]?key|credentials?"
-_SECRET = re.compile(rf"(?<![^\W_])(?:{DECLARED})[\"']?\s{{0,4}}(?:=>|:=|=|:)\s{{0,4}}[\"']?(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])([A-Za-z0-9+/_.=-]{{16,}})", re.IGNORECASE)
+#: What supports a pattern of secrets: strings of this many characters, with letters and digits, and bits of entropy a character.
+RANDOM_CHARS, RANDOM_BITS = 20, 3.0
 #: The base patterns. A run of digits is entered at its start only, which finds the same leftmost matches.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +43,7 @@ _HOST = re.compile(r"[^\W_][\w-]*(?:(?:\.|\s?[(\[{<]\s?(?:[dD][oO][tT]|\.)\s?[)\
 _IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?:[0-9]*(?:\.[0-9]+){3})?(?![\w:])")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
 _GROUPS = re.compile(r"(?<![^\W_])[0-9A-Z]{2,8}(?:[ -][0-9A-Z]{1,8}){1,8}(?![^\W_])")
-_EDGE = ".,;:!?\"'`()[]{}<>*|=«»“”„‘’…。，、"
+_EDGE = ".,;:!?\"'`()[]{}<>*|=#$%&~^«»“”„‘’…。，、"
 _QUOTES = "\"'`“”„«»"
 _DIGITS = re.compile(r"[^0-9]")
 _BEFORE, _AFTER = re.compile(r"(?:(\S+)\s+)?(\S+)\s*$"), re.compile(r"\s*(\S+)")
@@ -91,9 +93,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def secret_spans(text: str) -> list[tuple[str, int, int]]:
-    """Values of declared names, without sentence marks at their end; none that is an email."""
-    return [("secret", m.start(1), m.start(1) + len(m[1].rstrip(".-="))) for m in _SECRET.finditer(text) if len(m[1].rstrip(".-=")) >= 16]
+def random_looking(found: str) -> bool:
+    """Whether a string looks drawn at random: long, of letters and digits, and its characters spread widely."""
+    n = len(found)
+    if n < RANDOM_CHARS or not (any(map(str.isalpha, found)) and any(map(str.isdigit, found))):
+        return False
+    return -sum(c / n * log2(c / n) for c in Counter(found).values()) >= RANDOM_BITS
 
 
 def _hash(*parts: str) -> int:
@@ -146,8 +151,8 @@ def _instance(kind: str | None, found: str) -> int:
     return _hash(_DIGITS.sub("", found) or found)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str | None, str | None, list[int]]]:
-    """(start, end, instance, kind or None, kind of the shape or None, patterns) of base spans, secrets and loose ones.
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, str | None, str | None, str | None, list[int]]]:
+    """(start, end, instance, kind or None, kind of the shape or None, kind that it supports or None, patterns) of base and loose spans.
 
     Loose spans lie apart from base spans, or hold more than base spans of their own kind.
     """
@@ -170,7 +175,8 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
         if b and c:
             patterns.append(_hash("L1R1", b, c))
         if patterns or kind:
-            out.append((s, e, _instance(shape, text[s:e]), kind, shape, patterns))
+            hint = "secret" if not shape and random_looking(text[s:e]) else kind
+            out.append((s, e, _instance(shape, text[s:e]), kind, shape, hint, patterns))
     return out
 
 
@@ -179,19 +185,17 @@ _SPAN = "array<struct<kind:string,start:int,stop:int>>"
 
 def _grow(seen: DataFrame) -> DataFrame:
     """doc_id, tag and the spans found through confident patterns."""
-    each = seen.select("doc_id", "tag", F.explode("contexts").alias("c")).select("doc_id", "tag", "c.start", "c.stop", "c.instance", "c.kind", "c.shape", F.explode("c.patterns").alias("pattern"))
-    graph = written(each.groupBy("pattern", "instance", "kind", "shape").agg(F.count("*").cast("double").alias("n")), "graph")
+    each = seen.select("doc_id", "tag", F.explode("contexts").alias("c")).select("doc_id", "tag", "c.start", "c.stop", "c.instance", "c.kind", "c.shape", "c.hint", F.explode("c.patterns").alias("pattern"))
+    graph = written(each.groupBy("pattern", "instance", "kind", "shape", "hint").agg(F.count("*").cast("double").alias("n")), "graph")
     # patterns of too few instances, or that never stand beside anything but seeds, lead nowhere
     able = graph.groupBy("pattern").agg(F.sum("n").alias("all"), F.count("kind").alias("seeds"), F.count("*").alias("edges")).where((F.col("edges") >= MIN_SEEDS) & (F.col("edges") > F.col("seeds")))
     able = written(able.select("pattern", "all"), "able")
-    seeds = written(graph.where("kind is not null").join(able, "pattern").select("pattern", "kind", "instance", F.col("n").alias("hits")), "seeds")
+    seeds = written(graph.where("hint is not null").join(able, "pattern").select("pattern", F.col("hint").alias("kind"), "instance", F.col("n").alias("hits")), "seeds")
     others = written(graph.where("kind is null").join(able, "pattern").select("pattern", "instance", "shape", "n"), "others")
-    # a declared secret is one wherever it stands; what fixed patterns find, they find everywhere
-    known = written(graph.where("kind = 'secret'").select("instance", "kind", F.lit(1.0).alias("belief")).distinct(), "known")
-    good, believed = None, known
+    good, support = None, seeds
     while True:
-        support = seeds.unionByName(others.join(believed, "instance").select("pattern", "kind", "instance", (F.col("n") * F.col("belief")).alias("hits")))
-        support = support.groupBy("pattern", "kind", "instance").agg(F.sum("hits").alias("hits"))
+        # an instance that is believed and supports by itself counts once
+        support = support.groupBy("pattern", "kind", "instance").agg(F.max("hits").alias("hits"))
         scored = support.groupBy("pattern", "kind").agg(F.sum("hits").alias("hits"), F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).join(able, "pattern")
         scored = scored.select("pattern", "kind", (F.col("hits") / F.col("all")).alias("trust")).where("trust >= 0.5")
         if good is None:
@@ -201,12 +205,12 @@ def _grow(seen: DataFrame) -> DataFrame:
             old = good.withColumnRenamed("trust", "before")
             good = scored.join(old, ["pattern", "kind"], "full").select("pattern", "kind", F.when(F.col("turn") >= TURNS, F.col("before")).otherwise(F.greatest("trust", "before")).alias("trust"), F.least(F.coalesce("turn", F.lit(0)) + 1, F.lit(TURNS)).alias("turn"))
         good = written(good, "good")
-        open_ = good.agg(F.count("*").alias("n"), F.count(F.when(F.col("turn") < TURNS, 1)).alias("new")).first()
-        if not open_["new"]:
+        if not good.where(F.col("turn") < TURNS).limit(1).count():
             break
         doubt = F.sum(F.log(1.0 - F.least("trust", F.lit(0.999))))
         believed = others.join(good, "pattern").where("shape is null or shape = kind").groupBy("instance", "kind").agg((1.0 - F.exp(doubt)).alias("belief"))
-        believed = written(believed.unionByName(known).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "believed")
+        believed = written(believed, "believed")
+        support = seeds.unionByName(others.join(believed, "instance").where("shape is null or shape = kind").select("pattern", "kind", "instance", (F.col("n") * F.col("belief")).alias("hits")))
     good = written(good.where(F.col("trust") >= CONFIDENT).select("pattern", "kind", "trust"), "confident")
     hit = each.where("kind is null").drop("kind").join(good, "pattern").where("shape is null or shape = kind")
     return hit.groupBy("doc_id", "tag", "start", "stop").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind")).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).alias("more"))
@@ -215,31 +219,30 @@ def _grow(seen: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, tag (a hash of the text), base and spans (arrays of kind, start, stop).
 
-    Starts and stops count code points, stops are exclusive; spans are base, declared secrets that lie apart from base, and
-    what patterns add, in order of kind (as in KINDS, then secret) and start. Null and empty texts have none. Rows with equal id and text have equal spans. An empty table gives no rows;
-    other columns are ignored.
+    Starts and stops count code points, stops are exclusive; spans are base and what patterns add, in order of kind (as in
+    KINDS, then secret) and start. Null and empty texts have none. Rows with equal id and text have equal spans. An empty
+    table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-        near = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("kind", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.int64()))]))
+        near = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("kind", pa.string()), ("shape", pa.string()), ("hint", pa.string()), ("patterns", pa.list_(pa.int64()))]))
         for batch in batches:
             for part, texts in text_chunks(batch, 2):
                 base = [base_spans(t) if t else [] for t in texts]
-                hidden = [[x for x in secret_spans(t) if not any(x[1] < e and s < x[2] for _, s, e in b)] if t else [] for t, b in zip(texts, base, strict=True)]
-                around = [contexts(t, b + h) if t else [] for t, b, h in zip(texts, base, hidden, strict=True)]
-                spans, secrets = ([[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in y] for y in (base, hidden))
-                rows = [[{"start": s, "stop": e, "instance": i, "kind": k, "shape": f, "patterns": p} for s, e, i, k, f, p in x] for x in around]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, span), pa.array(secrets, span), pa.array(rows, near)], ["doc_id", "tag", "base", "secrets", "contexts"])
+                around = [contexts(t, b) if t else [] for t, b in zip(texts, base, strict=True)]
+                spans = [[{"kind": k, "start": s, "stop": e} for k, s, e in x] for x in base]
+                rows = [[{"start": s, "stop": e, "instance": i, "kind": k, "shape": f, "hint": h, "patterns": p} for s, e, i, k, f, h, p in x] for x in around]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, span), pa.array(rows, near)], ["doc_id", "tag", "base", "contexts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
-    seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, secrets {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,shape:string,patterns:array<bigint>>>"), "contexts")
+    seen = written(rows.mapInArrow(run, f"doc_id {kind}, tag long, base {_SPAN}, contexts array<struct<start:int,stop:int,instance:bigint,kind:string,shape:string,hint:string,patterns:array<bigint>>>"), "contexts")
     more = _grow(seen).withColumnRenamed("doc_id", "id").withColumnRenamed("tag", "tag2")
     # more holds no span of base, since strings that overlap a base span are looked at only if they hold more than it
     order = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
     joined = seen.drop("contexts").join(more, seen["doc_id"].eqNullSafe(more["id"]) & (seen["tag"] == more["tag2"]), "left")
-    whole = F.transform(F.concat("base", "secrets", F.coalesce("more", F.array().cast(_SPAN))), lambda x: F.struct(F.array_position(order, x["kind"]).alias("o"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
+    whole = F.transform(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))), lambda x: F.struct(F.array_position(order, x["kind"]).alias("o"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     return joined.select("doc_id", "tag", "base", F.transform(F.array_sort(whole), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("spans"))
 
 

@@ -436,17 +436,77 @@ def test_pii_beyond_digits(spark):
 
 
 def test_pii_secrets(spark):
-    """Values of declared names are seeds; the same values and their neighbours are found under names that aren't declared."""
+    """Strings that look random support patterns, which find whatever stands in their slot; alone they are no spans."""
     rng = random.Random(6)
-    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
-    rows = [(i, f'code token = "{k}" end{i}') for i, k in enumerate(keys)]
-    rows += [(100 + i, f"the vault holds {k} since{i}") for i, k in enumerate(keys[:8])]  # raises the pattern "vault holds"
-    rows += [(200, f"the vault holds {'9f' * 20} today"), (201, f"commit {'8e' * 20} was merged"), (202, "password: hunter2"), (203, "API_KEY=Zk3yZk3yZk3yZk3y."), (204, "secret: a.b77@example-host-1.org")]
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(14)]
+    rows = [(i, f'code token = "{k}"### end{i}') for i, k in enumerate(keys[:12])]
+    rows += [(100 + i, f"the vault holds {k} since{i}") for i, k in enumerate(keys[:8])]
+    rows += [(200, f"the vault holds {'9f' * 20} today"), (201, f"commit {keys[12]} was merged"), (202, "password: hunter2"), (203, f"API_KEY={keys[13]}."), (204, "secret: a.b77@example-host-1.org"), (205, "code token = 'hunter2x' ends")]
     text = dict(rows)
     got = {r["doc_id"]: [(k, text[r["doc_id"]][s:e]) for k, s, e in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == [("secret", k)] for i, k in enumerate(keys)) and all(got[100 + i] == [("secret", k)] for i, k in enumerate(keys[:8]))
-    assert got[200] == [("secret", "9f" * 20)] and got[201] == [] and got[202] == [] and got[203] == [("secret", "Zk3yZk3yZk3yZk3y")]
-    assert [k for k, _ in got[204]] == ["email"]
+    assert all(got[i] == [("secret", k)] for i, k in enumerate(keys[:12])) and all(got[100 + i] == [("secret", k)] for i, k in enumerate(keys[:8]))
+    assert got[200] == [("secret", "9f" * 20)] and got[205] == [("secret", "hunter2x")]
+    assert got[201] == got[202] == got[203] == [] and [k for k, _ in got[204]] == ["email"]
+
+
+def plain_patterns(texts):
+    """The spans that patterns add to each text: the same graph in dictionaries, scored turn by turn."""
+    seen = [pii.contexts(t, pii.base_spans(t)) if t else [] for t in texts]
+    graph = {}
+    for c in seen:
+        for _, _, i, kind, shape, hint, patterns in c:
+            for p in patterns:
+                graph[p, i, kind, shape, hint] = graph.get((p, i, kind, shape, hint), 0) + 1
+    edges = {}
+    for (p, *x), n in graph.items():
+        edges.setdefault(p, []).append((*x, n))
+    edges = {p: x for p, x in edges.items() if len(x) >= pii.MIN_SEEDS and any(k is None for _, k, *_ in x)}
+    trust, turns, belief = {}, {}, None
+    while belief is None or any(t < pii.TURNS for t in turns.values()):
+        support = {}
+        for p, x in edges.items():
+            for i, kind, shape, hint, n in x:
+                if hint:
+                    support[p, hint, i] = max(support.get((p, hint, i), 0), n)
+                if kind is None:
+                    for k, b in (belief or {}).get(i, {}).items():
+                        if shape in (None, k):
+                            support[p, k, i] = max(support.get((p, k, i), 0), n * b)
+        score = {}
+        for (p, k, _), h in support.items():
+            a, b = score.get((p, k), (0, 0))
+            score[p, k] = (a + h, b + 1)
+        now = {(p, k): h / sum(x[-1] for x in edges[p]) for (p, k), (h, m) in score.items() if m >= pii.MIN_SEEDS}
+        now = {x: t for x, t in now.items() if t >= 0.5}
+        for x in set(now) | set(trust):
+            if turns.get(x, 0) < pii.TURNS:
+                trust[x], turns[x] = max(now.get(x, 0), trust.get(x, 0)), turns.get(x, 0) + 1
+        doubt = {}
+        for (p, k), t in trust.items():
+            for i, kind, shape, _, _ in edges[p]:
+                if kind is None and shape in (None, k):
+                    doubt.setdefault(i, {}).setdefault(k, []).append(1 - min(t, 0.999))
+        belief = {i: {k: 1 - float(np.prod(x)) for k, x in ks.items()} for i, ks in doubt.items()}
+    out = []
+    for c in seen:
+        spans = set()
+        for s, e, _, kind, shape, _, patterns in c:
+            fit = [(trust[p, k], k) for p in patterns for k in (*pii.KINDS, "secret") if kind is None and trust.get((p, k), 0) >= pii.CONFIDENT and shape in (None, k)]
+            if fit:
+                spans.add((max(fit)[1], s, e))
+        out.append(spans)
+    return out
+
+
+def test_pii_patterns_on_a_whole_table(spark):
+    """Every span of the documents of sf0.01, against base patterns and the plain scoring."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = table(df)
+    got = {r["doc_id"]: {tuple(x) for x in r["spans"]} for r in pii.find(df).collect()}
+    want = plain_patterns([t for _, t in rows])
+    assert sum(map(len, want)) > 10
+    for (i, t), more in zip(rows, want, strict=True):
+        assert got[i] == set(pii.base_spans(t)) | more
 
 
 def test_redact_keeps_columns(spark):
