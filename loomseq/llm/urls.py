@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,28 @@ ALLOWED = """
     music guitar piano violin jazz opera studio film cinema photo camera painting pottery
     family children parents teacher student pension insurance bank tax law notary energy water
 """.split()
+#: Hosts as they are, whose names hold words of the other kind or look like it, and the best known of either kind.
+KNOWN_ALLOWED = """
+    wikipedia.org github.com stackoverflow.com nytimes.com theguardian.com bbc.co.uk lemonde.fr spiegel.de elpais.com
+    arxiv.org nature.com who.int nasa.gov mit.edu ox.ac.uk essex.ac.uk sussex.ac.uk middlesex.gov.uk freecodecamp.org
+    freebsd.org freelancer.com credit-suisse.com creditkarma.com betterhealth.vic.gov.au bettercotton.org betterment.com
+    hotmail.com hotels.com hotwire.com windows.com winchester.ac.uk winnipeg.ca wintershall.de darwin.museum godwin.net
+    clickhouse.com tracker.debian.org bugtracker.org tracksmith.com cashmere.org cashel.ie profiteroles.fr pillsbury.com
+    pillow.readthedocs.io slotermeer.nl slotcar.org betanews.com alphabet.com elizabeth.org tibet.net diabetes.org
+    adulteducation.gov adultlearning.org therapists.org expertsexchange.com cocktails.net loanwords.org porntip.go.th
+    richmond.gov.uk ostrich.org debtadvice.org.uk bonusbooks.org giftedchildren.org crackers.net crackle.com pokerface.org
+    camera.org camden.gov.uk webcamgalore.org dealership.net discountstore.org escortforum.ford.com spamassassin.apache.org
+""".split()
+KNOWN_BLOCKED = """
+    pornhub.com xvideos.com xnxx.com xhamster.com redtube.com youporn.com chaturbate.com onlyfans-leaks.com brazzers.com
+    bet365.com betway.com 888casino.com pokerstars.com partypoker.com williamhill.com unibet.com bwin.com 1xbet.com
+    slotomania.com jackpotcity.com leovegas.com 22bet.com stake.com ladbrokes.com pinnacle-bets.net onlinebetting.top
+    doubleclick.net popads.net propellerads.com adsterra.com exoclick.com trafficjunky.com outbrain-ads.net taboola-ads.net
+    canadianpharmacy.win viagraonline.net buycialis.top cheapmeds.xyz pharmacy-rx.club paydayloansnow.com quickcash.win
+    fastcashadvance.com thepiratebay.org 1337x.to torrentz2.eu keygenz.net nulled.to crackstreams.biz replicawatches.cn
+    cheaprolex.top hotsingles.club meetsexy.date adultfriendfinder.com iphonewinner.xyz freegiftcards.top claimprize.win
+    crypto-doubler.io bitcoinprofit.top paypal-verify-account.com appleid-login-update.info secure-bank-unlock.xyz
+""".split()
 #: Beginnings, middles and ends of the syllables of made-up names, which say nothing and are allowed.
 ONSETS, VOWELS, CODAS = "b c d f g h j k l m n p r s t v w th st sh tr gr wh".split(), "a e i o u ea ou io".split(), ["", "", "", "n", "r", "l", "s", "st", "nd", "ng", "ble"]
 #: What URLs of either kind end in, and what only blocked ones may.
@@ -48,11 +71,15 @@ ENDINGS, SPAM_ENDINGS = ["com", "net", "org", "example.com", "example.net", "exa
 PREFIXES = ["", "www.", "m.", "blog.", "shop."]
 
 
-def names(seed: int = 8, each: int = 3) -> list[tuple[str, int]]:
-    """(name, 1 for block): each word alone and beside `each` others of its kind, joined by a hyphen, a number or not at all."""
+def names(seed: int = 8, each: int = 3, without: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
+    """(name, 1 for block): each word alone and beside `each` others of its kind, joined by a hyphen, a number or not at all.
+
+    Words of `without` are held out.
+    """
     rng = np.random.default_rng(seed)
     out = []
-    for words, y in ((BLOCKED, 1), (ALLOWED, 0)):
+    for every, y in ((BLOCKED, 1), (ALLOWED, 0)):
+        words = [w for w in every if w not in without]
         for w in words:
             out.append((w, y))
             for k, i in enumerate(rng.integers(0, len(words), each).tolist()):
@@ -63,12 +90,19 @@ def names(seed: int = 8, each: int = 3) -> list[tuple[str, int]]:
     return out
 
 
-def labelled(seed: int = 8) -> list[tuple[str, str, int]]:
-    """(host, path, 1 for block): every name under a prefix, an ending and a path, which mostly say nothing."""
+def labelled(seed: int = 8, without: frozenset[str] = frozenset()) -> list[tuple[str, str, int]]:
+    """(host, path, 1 for block): every name under a prefix, an ending and a path, which mostly say nothing; known hosts."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
     some = lambda y, xs, spam: pick(spam if y and rng.random() < 0.2 else xs)
-    return [(f"{pick(PREFIXES)}{n}.{some(y, ENDINGS, SPAM_ENDINGS)}", some(y, PATHS, SPAM_PATHS), y) for n, y in names(seed) for _ in range(2)]
+    known = [(pick(("", "www.")) + h, pick(PATHS), y) for hosts, y in ((KNOWN_BLOCKED, 1), (KNOWN_ALLOWED, 0)) for h in hosts for _ in range(2)]
+    return known + [(f"{pick(PREFIXES)}{n}.{some(y, ENDINGS, SPAM_ENDINGS)}", some(y, PATHS, SPAM_PATHS), y) for n, y in names(seed, without=without) for _ in range(2)]
+
+
+@cache
+def weights() -> np.ndarray:
+    """The weights of the whole labelled table, trained once in a process."""
+    return train(labelled())
 
 
 def grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,4 +191,4 @@ def filter_urls(pages: DataFrame, weights: np.ndarray, rules: list[tuple[str, st
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(labelled())).drop("score")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), weights()).drop("score")

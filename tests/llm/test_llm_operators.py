@@ -532,6 +532,26 @@ def test_urls(spark):
     assert len(got) == len(rows)
 
 
+def test_urls_of_words_held_out():
+    """Hosts made of words that no labelled URL has: what the n-grams say of new names, which README gives as it is."""
+    right = {0: [], 1: []}
+    for fold in range(5):
+        out = frozenset(w for words in (urls.BLOCKED, urls.ALLOWED) for i, w in enumerate(words) if i % 5 == fold)
+        w = urls.train(urls.labelled(without=out))
+        for y, words in ((1, urls.BLOCKED), (0, urls.ALLOWED)):
+            new = [x for x in words if x in out]
+            hosts = [f"{a}{mark}{b}.com" for a in new for b in new if a != b for mark in ("", "-")]
+            right[y].append(((urls.scores(w, hosts, ["/"] * len(hosts)) >= 0.6) == y).mean())
+    assert (np.mean(right[0]) + np.mean(right[1])) / 2 > 0.65
+
+
+def test_urls_that_look_alike():
+    names = {"pornhub-videos.com": 1, "onlinebetz.com": 1, "slotmania.net": 1, "fastcashnow.com": 1, "freecodecamp.org": 0, "creditsuisse.com": 0, "betterhomes.com": 0, "essex.ac.uk": 0, "alphabetical.org": 0}
+    assert urls.weights() is urls.weights()
+    got = urls.scores(urls.weights(), list(names), ["/"] * len(names)) >= 0.6
+    assert got.tolist() == [bool(y) for y in names.values()]
+
+
 def test_url_accuracy():
     """On names that training never saw, each from words that it saw in other names."""
     made = urls.names()
