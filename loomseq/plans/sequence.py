@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, index, ranges, thinning
+from ..operators import fragments, graph, index, ranges, thinning
 from ..session import spool
 from .views import INTERVALS_SQL, POINTS_SQL, SEQUENCES_SQL, TURNS_SQL, VARIANTS_SQL, intervals, points, sequences, table, turns, variants
 
@@ -437,6 +437,29 @@ def fragment_audit(spark, d):
     return lengths.select("chrom").join(bad, "chrom", "left").groupBy("chrom").agg(F.count("cut").alias("bad"))
 
 
+#: Bases of a fragment of a turn, and how far cuts keep from variants.
+PIECE, CLEAR = 120, 8
+
+
+@query(f"""WITH {FIXPOINT_SQL}, v AS (SELECT key, id, label, CASE WHEN label IN ('Y', 'Z') THEN NULL WHEN id <= n THEN id - 1 ELSE {APART} * (id - n - 2) + 3 END AS value FROM nodes JOIN (SELECT key AS k, length(q) AS n FROM t) x ON x.k = nodes.key)
+  SELECT e.key, a.label AS src_label, CAST(a.value AS BIGINT) AS src_value, b.label AS dst_label, CAST(b.value AS BIGINT) AS dst_value, count(*) AS edges FROM edges e JOIN v a ON a.key = e.key AND a.id = e.src JOIN v b ON b.key = e.key AND b.id = e.dst GROUP BY 1, 2, 3, 4, 5""")
+def fragment_stitch(spark, d):
+    """The graphs of `_sure` from fragments of about PIECE bases that are determinised apart: edges by label and value."""
+    s = spool(turns(spark, d).withColumn("seq", F.translate("seq", "N", "A")).where(F.length("seq") >= 12), "turns")
+    at = s.select("key", "seq", F.explode(F.sequence(F.lit(0), F.expr(f"(length(seq) - 12) div {APART}"))).alias("i")).withColumn("p", (APART * F.col("i")).cast("long"))
+    base = lambda k: F.substring(F.col("seq"), APART * F.col("i") + k, F.lit(1))
+    kind = "array<struct<typ:string,pos:bigint,len:bigint,seq:string>>"
+    hap = lambda typ, pos, n, seq: F.array(F.struct(F.lit(typ).alias("typ"), pos.alias("pos"), F.lit(n).cast("long").alias("len"), seq.alias("seq"))).cast(kind).alias("variants")
+    one = at.select("key", F.concat(F.lit("s"), "i").alias("hap"), (F.col("p") + 3).alias("left"), (F.col("p") + 3).alias("right"), hap("single", F.col("p") + 3, 1, F.translate(base(4), "ACGT", "CGTA")))
+    two = at.where(base(6) != base(8)).select("key", F.concat(F.lit("d"), "i").alias("hap"), (F.col("p") + 6).alias("left"), (F.col("p") + 7).alias("right"), hap("deletion", F.col("p") + 6, 2, F.lit(None).cast("string")))
+    haps = spool(one.unionByName(two), "haplotypes")
+    blocked = ranges.blocked_ranges(haps.select("key", F.explode("variants").alias("v")).select("key", "v.typ", "v.pos", "v.len"), "key", CLEAR)
+    cuts = ranges.fragment_cuts(s.select("key", F.length("seq").cast("long").alias("length")), blocked, "key", PIECE)
+    nodes, edges = (spool(x, "stitched") for x in fragments.build(s, haps, spool(cuts, "cuts"), "key", "seq", PIECE))
+    end = lambda c: nodes.select("key", F.col("id").alias(c), F.col("label").alias(f"{c}_label"), F.col("value").alias(f"{c}_value"))
+    return edges.join(end("src"), ["key", "src"]).join(end("dst"), ["key", "dst"]).groupBy("key", "src_label", "src_value", "dst_label", "dst_value").agg(F.count("*").alias("edges"))
+
+
 @query()
 def window_thinning(spark, d):
     """The variants that stay where those of a window may change 30 bases at most."""
