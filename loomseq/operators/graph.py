@@ -252,12 +252,7 @@ def ranked(joined: DataFrame, key: str, generation: int, ends: DataFrame | None)
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("to")[0].as_py()
-        if not pa.types.is_integer(table.column(key).type):
-            names = table.column(key).combine_chunks().dictionary_encode()
-            order = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), object), kind="stable"), kind="stable")
-            code = order[names.indices.to_numpy()]
-        else:
-            code = table.column(key).to_numpy()
+        code = ranks.codes_of(table.column(key))
         src, dst, done, k0, k1 = (table.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "done", "k0", "k1"))
         own = table.column("part").to_numpy() == part
         order = np.lexsort((done.astype(bool), dst, src, k1, k0, code))
@@ -525,8 +520,8 @@ def selected(rows: DataFrame, key: str, flag: str) -> DataFrame:
 BLOCK, LETTERS = 64, "ACGT"
 
 
-def tallied(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """What backward steps look up, written once: blocks of rows, and the row of each node's first edge.
+def tallied(rows: DataFrame, key: str, letters: str = LETTERS) -> tuple[DataFrame, DataFrame, str]:
+    """What backward steps look up, written once: blocks of rows, the row of each node's first edge, and the letters.
 
     Blocks: key, block, labels and marks (a letter a row), before (how often each letter stands in earlier blocks), marked
     (marks in earlier blocks), first (rows with a smaller letter) and size (rows of the key). Nodes: key, k (from 1), row.
@@ -535,29 +530,29 @@ def tallied(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     text = lambda c: F.array_join(F.transform("_rows", lambda x: x[c]), "").alias(c)
     blocks = rows.groupBy(key, F.floor(F.col("row") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("row", "label", mark.alias("mark")))).alias("_rows")).select(key, "block", text("label"), text("mark"))
     of = lambda c, x: (F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))).cast("long")
-    counts = {f"_{x}": of("label", x) for x in LETTERS} | {"_m": of("mark", "1")}
+    counts = {f"_{x}": of("label", x) for x in letters} | {"_m": of("mark", "1")}
     blocks = ranks.running_sums(blocks.select("*", *[v.alias(k) for k, v in counts.items()]), [F.col(key), F.col("block")], list(counts))
-    letters = rows.where(F.col("label").isin(list(LETTERS)))
+    own = rows.where(F.col("label").isin(list(letters)))
     sums = rows.select(key).groupBy(key).agg(F.count("*").alias("size"))
-    sums = sums.join(letters.groupBy(key).agg(*[F.count_if(F.col("label") < x).alias(f"_below{x}") for x in LETTERS]), key, "left")
-    sums = spool(sums.select(key, "size", F.array(*[F.coalesce(f"_below{x}", F.lit(0)) for x in LETTERS]).alias("first")), "sums")
+    sums = sums.join(own.groupBy(key).agg(*[F.count_if(F.col("label") < x).alias(f"_below{x}") for x in letters]), key, "left")
+    sums = spool(sums.select(key, "size", F.array(*[F.coalesce(f"_below{x}", F.lit(0)) for x in letters]).alias("first")), "sums")
     # running sums rise through all keys and hold the block itself
     low = blocks.groupBy(key).agg(*[F.min(F.col(f"{c}_upto") - F.col(c)).alias(f"{c}_low") for c in counts])
     blocks = beside(beside(blocks, spool(low, "low"), key), sums, key)
     upto = {c: F.col(f"{c}_upto") - F.col(c) - F.col(f"{c}_low") for c in counts}
-    blocks = blocks.select(key, "block", "label", "mark", F.array(*[upto[f"_{x}"] for x in LETTERS]).alias("before"), upto["_m"].alias("marked"), "first", "size")
-    return spool(blocks, "blocks"), spool(selected(rows, key, "f"), "nodes")
+    blocks = blocks.select(key, "block", "label", "mark", F.array(*[upto[f"_{x}"] for x in letters]).alias("before"), upto["_m"].alias("marked"), "first", "size")
+    return spool(blocks, "blocks"), spool(selected(rows, key, "f"), "nodes"), letters
 
 
-def graph_step(ranges: DataFrame, index: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
+def graph_step(ranges: DataFrame, index: tuple[DataFrame, DataFrame, str], key: str) -> DataFrame:
     """Ranges (key, label, top, bot) of rows a backward step later, by the label; those that become empty drop out.
 
     Rows of the label before either end, after all rows of smaller labels, give a range of nodes by the m flags before
     it; the f flags give the rows of those nodes. Everything is looked up by equal blocks and equal node numbers.
     """
-    blocks, nodes = index
+    blocks, nodes, letters = index
     names = [c for c in ranges.columns if c not in ("top", "bot")]
-    letter = F.instr(F.lit(LETTERS), F.col("label"))
+    letter = F.instr(F.lit(letters), F.col("label"))
 
     def looked(rows: DataFrame, at: Column, side: str) -> DataFrame:
         """`rows` with the block of row `at`, its columns ending in `side`."""
@@ -585,7 +580,7 @@ def graph_step(ranges: DataFrame, index: tuple[DataFrame, DataFrame], key: str)
     return out.where("top < bot")
 
 
-def spelled(words: DataFrame, index: tuple[DataFrame, DataFrame], key: str, word: str = "word") -> DataFrame:
+def spelled(words: DataFrame, index: tuple[DataFrame, DataFrame, str], key: str, word: str = "word") -> DataFrame:
     """`words` with the rows [top, bot) of the nodes from which the graph of their key spells them.
 
     All words take a backward step a round, from their last letter on; those whose range is empty drop out, those that
@@ -604,7 +599,7 @@ def spelled(words: DataFrame, index: tuple[DataFrame, DataFrame], key: str, word
     return open_ if done is None else done
 
 
-def nodes_of(found: DataFrame, index: tuple[DataFrame, DataFrame], nodes: DataFrame, key: str) -> DataFrame:
+def nodes_of(found: DataFrame, index: tuple[DataFrame, DataFrame, str], nodes: DataFrame, key: str) -> DataFrame:
     """`found` with a row for each node of its rows [top, bot): the columns of `nodes` beside it."""
     names = [c for c in found.columns if c not in ("top", "bot")]
     k = index[1].select(key, F.col("row").alias("top"), F.col("k").alias("_k"))

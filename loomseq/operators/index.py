@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spool
+from ..session import forget, spool
+from . import suffix_rows
+from .graph import BLOCK, from_first, graph_step, tallied
+from .ranks import row_numbers
 
 #: Rows that a task hands on together.
 ROWS = 1 << 17
@@ -38,12 +41,22 @@ def suffix_order(letters: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def suffixes(df: DataFrame, key: str, text: str, end: str) -> DataFrame:
+#: Letters up to which a text is ordered within one task.
+LONG = 1 << 22
+
+
+def suffixes(df: DataFrame, key: str, text: str, end: str, long: int = LONG, letters: str | None = None) -> DataFrame:
     """key, row (place in order), pos (0-based, the empty suffix included) and bwt, the letter before it.
 
     `end` is put after the text and compares as a letter: '$' sorts ends first, '~' last. Null texts give no rows.
-    Whole-text suffixes as strings would take quadratic room, so each sequence is ordered by numpy in linear room.
+    Whole-text suffixes as strings would take quadratic room. Texts of up to `long` letters are ordered by numpy in
+    linear room, each in one task; longer ones (below 0: all) with a row for each position, in many (`suffix_rows`). `letters` names the
+    letters of the latter, which are looked up otherwise.
     """
+    n = F.length(text)
+    if df.where(n > long).limit(1).count():
+        far = suffix_rows.ordered(df.where(n > long), key, text, end, letters)
+        return suffixes(df.where(n <= long), key, text, end, long).unionByName(far) if long >= 0 else far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,20 +86,52 @@ def bwt(df: DataFrame, key: str, text: str) -> DataFrame:
     return suffixes(df, key, text, "$")
 
 
-def occ(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` with the number of earlier rows of the same letter."""
-    return rows.withColumn("rank", (F.row_number().over(Window.partitionBy(key, "bwt").orderBy("row")) - 1).cast("long"))
+def lf(rows: DataFrame, key: str) -> DataFrame:
+    """key, row and the row of the suffix one letter longer: the place of the row by its letter, then its place."""
+    return from_first(row_numbers(rows.select(key, "row", "bwt"), [F.col(key), F.col("bwt"), F.col("row")], "to"), key, "to").select(key, "row", "to")
+
 
+def inverse(rows: DataFrame, key: str, end: str = "$") -> DataFrame:
+    """key, row and pos from key, row and bwt alone: how many letters stand before each suffix, by pointer jumping.
 
-def first_rows(rows: DataFrame, key: str) -> DataFrame:
-    """key, bwt and how many rows have a smaller letter."""
-    n = rows.groupBy(key, "bwt").agg(F.count("*").alias("_n"))
-    return n.select(key, "bwt", (F.sum("_n").over(Window.partitionBy(key).orderBy("bwt")) - F.col("_n")).alias("first"))
+    A row's step leads to the suffix one letter longer, at last to the whole text, whose letter is the end. Every round
+    doubles the steps behind a pointer, so the longest text takes as many joins as its length has bits.
+    """
+    steps = rows.join(lf(rows, key), [key, "row"])
+    at = spool(steps.select(key, "row", (F.col("bwt") != end).cast("long").alias("pos"), F.when(F.col("bwt") != end, F.col("to")).alias("to")), "pointers")
+    while at.where("to is not null").limit(1).count():
+        ahead = at.select(key, F.col("row").alias("to"), F.col("pos").alias("_more"), F.col("to").alias("_next"))
+        open_ = at.where("to is not null").join(ahead, [key, "to"]).select(key, "row", (F.col("pos") + F.col("_more")).alias("pos"), F.col("_next").alias("to"))
+        old, at = at, spool(open_.unionByName(at.where("to is null")), "pointers")
+        forget(old)
+    return at.select(key, "row", "pos")
 
 
-def lf(rows: DataFrame, key: str) -> DataFrame:
-    """key, row and the row of the suffix one letter longer."""
-    return occ(rows, key).join(first_rows(rows, key), [key, "bwt"]).select(key, "row", (F.col("first") + F.col("rank")).alias("to"))
+def search(rows: DataFrame, key: str, letters: str) -> tuple[DataFrame, DataFrame, str]:
+    """What `graph.spelled` looks up in a text's rows, which are those of a graph without branches; ends must sort last."""
+    same = rows.select(key, "row", F.col("bwt").alias("label"), F.lit(True).alias("f"), F.lit(True).alias("m"))
+    return tallied(same, key, letters)
+
+
+def located(found: DataFrame, index: tuple[DataFrame, DataFrame, str], sampled: DataFrame, key: str) -> DataFrame:
+    """`found` with a row for each of its rows [top, bot) and its pos.
+
+    `sampled` (key, row, pos) has the rows of every so many positions, 0 among them. Rows that aren't there take backward
+    steps together, a letter of the text a round, until they are.
+    """
+    names = [c for c in found.columns if c not in ("top", "bot")]
+    at = found.select("*", F.explode(F.sequence(F.col("top"), F.col("bot") - 1)).alias("row")).select(*names, "row", F.lit(0).cast("long").alias("_steps"))
+    out, blocks = None, index[0].select(key, "block", F.col("label").alias("_text"))
+    while True:
+        known = spool(at.join(sampled.select(key, "row", "pos"), [key, "row"], "left"), "located")
+        here = known.where("pos is not null").select(*names, (F.col("pos") + F.col("_steps")).alias("pos"))
+        out = here if out is None else out.unionByName(here)
+        open_ = known.where("pos is null").drop("pos").withColumn("block", F.floor(F.col("row") / BLOCK)).join(blocks, [key, "block"])
+        if not open_.limit(1).count():
+            return out
+        letter = F.substring(F.col("_text"), (F.col("row") - F.col("block") * BLOCK + 1).cast("int"), F.lit(1))
+        open_ = open_.select(*names, "_steps", letter.alias("label"), F.col("row").alias("top"), (F.col("row") + 1).alias("bot"))
+        at = graph_step(open_, index, key).select(*names, F.col("top").alias("row"), (F.col("_steps") + 1).alias("_steps"))
 
 
 def kmer_table(df: DataFrame, key: str, text: str, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -13,6 +14,16 @@ from pyspark.sql.types import DoubleType
 from ..session import spool
 
 
+def codes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of a column's values; integers stay themselves."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy()
+    names = column.combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    order = np.argsort(np.argsort(np.array(names.dictionary.to_pylist(), object), kind="stable"), kind="stable")
+    return order[names.indices.to_numpy()]
+
+
 def _offsets(rows: DataFrame, add: Column) -> dict[int, float]:
     """The sum of `add` in all partitions before each, of rows with _id: the driver sees one number a partition."""
     got = sorted((r[0], r[1] or 0) for r in rows.groupBy(F.shiftright("_id", 33).alias("p")).agg(add).collect())

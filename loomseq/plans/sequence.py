@@ -166,7 +166,8 @@ def _order_sql(end):
 
 @query(f"WITH {_order_sql('$')} SELECT doc_id, pos, row FROM rows")
 def suffix_rank(spark, d):
-    return index.suffixes(sequences(spark, d), "doc_id", "seq", "$").select("doc_id", "pos", "row")
+    """All texts by the way of long ones: a row for each position."""
+    return index.suffixes(sequences(spark, d), "doc_id", "seq", "$", -1, "ACGNT").select("doc_id", "pos", "row")
 
 
 @query(f"WITH {_order_sql('~')} SELECT doc_id, pos, row FROM rows")
@@ -212,6 +213,29 @@ def sa_sample(spark, d):
     return index.sample(index.bwt(sequences(spark, d), "doc_id", "seq"), 4).select("doc_id", "row", "pos")
 
 
+@query(f"WITH {TURNS_SQL} SELECT key, seq AS text FROM s WHERE seq <> ''")
+def bwt_inverse(spark, d):
+    """Turns rebuilt from the rows of their BWT, by the positions that it gives."""
+    rows = spool(index.bwt(turns(spark, d), "key", "seq").select("key", "row", "bwt"), "bwt")
+    letters = index.inverse(rows, "key").join(rows, ["key", "row"]).where("pos > 0").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "bwt"))).alias("x"))
+    return letters.select("key", F.array_join(F.transform("x", lambda x: x["bwt"]), "").alias("text"))
+
+
+#: Letters of the words that turns are searched for, and where they begin in the turn.
+WORDS = ((0, 4), (5, 6), (11, 9))
+
+
+@query(f"""WITH {TURNS_SQL}, w AS (SELECT DISTINCT key, substr(seq, a + 1, n) AS word, seq FROM s, (VALUES {", ".join(map(str, WORDS))}) AS x(a, n) WHERE length(seq) >= a + n)
+  SELECT key, word, p AS pos FROM (SELECT key, word, seq, unnest(range(0, length(seq))) AS p FROM w) WHERE substr(seq, p + 1, length(word)) = word""")
+def pattern_positions(spark, d):
+    """All places of words in turns, by backward steps over all words at once and then to sampled rows."""
+    s = spool(turns(spark, d), "turns")
+    words = s.select("key", F.explode(F.array(*[F.when(F.length("seq") >= a + n, F.substring("seq", a + 1, n)) for a, n in WORDS])).alias("word")).dropna().distinct()
+    rows = spool(index.suffixes(s, "key", "seq", "~"), "rows")
+    lookup = index.search(rows, "key", "ACGNT")
+    return index.located(graph.spelled(words, lookup, "key"), lookup, rows.where("pos % 8 = 0"), "key").select("key", "word", "pos")
+
+
 #: Bases from one variant of a sequence to the next.
 APART = 50
 
