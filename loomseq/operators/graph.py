@@ -9,10 +9,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import forget, spool, stage
+from ..session import boundary, exists, forget, spool, stage
 from . import ranks
 from .ranges import last_start
 
@@ -309,10 +309,14 @@ def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root:
         return spool(build(), name) if root is None else stage(spark, root, name, list(inputs), build)
 
     def say(*row: int) -> None:
+        boundary(f"generation{row[0]}:counted")
         curve.append(row)
-        if publish:
+        if publish and row[0] not in told:
             spark.createDataFrame([row], "gen long, temp long, nodes long, ranks long").coalesce(1).write.mode("append").parquet(publish)
+        boundary(f"generation{row[0]}:published")
 
+    # a run that is resumed doesn't publish again what an earlier one did
+    told = {r["gen"] for r in spark.read.schema("gen long").parquet(publish).collect()} if publish and exists(spark, publish) else set()
     curve: list[tuple[int, int, int, int]] = []
     paths = old = step("paths0", lambda: paths0(nodes, edges, key))
     n = paths.count()
@@ -450,6 +454,30 @@ def positional_out_degree(nodes: DataFrame, edges: DataFrame, key: str, order: l
     return nodes.join(firsts, [key, "src", order[0]], "left").withColumn("outdeg", F.coalesce("outdeg", F.lit(0)).cast("long"))
 
 
+def indexed(build: Callable[[], tuple[DataFrame, DataFrame]], key: str, root: str, inputs: tuple[str, ...], publish: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows and nodes of the index of the graphs that `build` makes, every stage resumed from `root` where it ended before.
+
+    The stages are the graph's nodes and edges, the generations of paths, and the index's rows and nodes. `inputs` says
+    what the graph is made of; other inputs, or other code of this library, build anew.
+    """
+    made: list[tuple[DataFrame, DataFrame]] = []
+
+    def once(i: int, of: Callable[[], tuple[DataFrame, DataFrame]]) -> DataFrame:
+        if not made:
+            made.append(of())
+        return made[0][i]
+
+    def pair(names: tuple[str, str], of: Callable[[], tuple[DataFrame, DataFrame]]) -> list[DataFrame]:
+        made.clear()
+        return [stage(spark, root, name, list(inputs), lambda i=i: once(i, of)) for i, name in enumerate(names)]
+
+    spark = SparkSession.active()
+    nodes, edges = pair(("nodes", "edges"), build)
+    paths = doubling(nodes, edges, key, root=root, inputs=inputs, publish=publish)[0]
+    rows, at = pair(("rows", "index_nodes"), lambda: edge_rows(nodes, edges, paths, key))
+    return rows, at
+
+
 def path_edges(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Path nodes (key, rank, src, value) and path edges (key, rank, src, dst, k) of paths at their fixpoint.
 
