@@ -294,14 +294,15 @@ def dense(paths: DataFrame) -> DataFrame:
     return paths.withColumn("k0", F.col("k0").bitwiseAND(F.lit((1 << PART_BITS) - 1)) + before)
 
 
-def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root: str | None = None, inputs: tuple[str, ...] = (), publish: str | None = None, parts: int = 0, until: int = 0) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root: str | None = None, inputs: tuple[str, ...] = (), publish: str | None = None, parts: int = 0, until: int = 0, cap: int = 0, over: list[DataFrame] | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """The paths at the fixpoint (or of generation `until`), and for each generation (generation, joined, kept, ranks).
 
     A generation is one written table: a join of paths, one shuffle into parts, which are folded and ranked on their own.
     So lineage stays short and a lost executor costs one generation; the driver sees a few numbers a part. With `root` a
     run resumes after the last generation that an earlier one with equal `inputs` finished there; with `publish` the
     curve is appended to that table while it grows. Graphs of several keys are doubled together and end when all are
-    done; an error if they aren't after `most` generations.
+    done; an error if they aren't after `most` generations. With `cap` a key drops out once it has so many ranks or more
+    after generation 4; tables of such keys are put into `over`.
     """
     spark = nodes.sparkSession
 
@@ -337,6 +338,12 @@ def doubling(nodes: DataFrame, edges: DataFrame, key: str, most: int = 64, root:
             low = F.col("k0").bitwiseAND(F.lit((1 << PART_BITS) - 1))
             temp, n, places = table.groupBy("part").agg(F.sum(F.when(F.col("src").isNull(), F.col("dst"))).alias("t"), F.count("src").alias("n"), F.coalesce(F.max(low) + 1, F.lit(0)).alias("r")).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in "tnr"]).first()
             new = table.where("src is not null")
+            if cap and g > 4:
+                many = spool(new.groupBy(key).agg(F.countDistinct("k0").alias("n")).where(F.col("n") >= cap).select(key), "over")
+                if many.limit(1).count():
+                    over.append(many)
+                    new = new.join(many, key, "left_anti")
+                    n, places = new.agg(F.count("*"), F.countDistinct("k0")).first()
         if root is None:
             forget(old)
         old, paths = table, new
@@ -478,6 +485,21 @@ def indexed(build: Callable[[], tuple[DataFrame, DataFrame]], key: str, root: st
     return rows, at
 
 
+def exploded(texts: DataFrame, haplotypes: DataFrame, key: str, text: str, cap: int) -> DataFrame:
+    """The keys whose index is too large: `cap` ranks or more after generation 4, or more than `cap` rows.
+
+    All graphs are built and doubled together; those that reach the cap drop out on the way.
+    """
+    nodes, edges = (spool(x, "window") for x in determinize(*with_haplotypes(*backbone(texts, key, text), haplotypes, key), key))
+    over: list[DataFrame] = []
+    paths = doubling(nodes, edges, key, cap=cap, over=over)[0]
+    rows = edges.join(paths.select(key, F.col("src").alias("dst")), [key, "dst"]).groupBy(key).agg(F.count("*").alias("n"))
+    out = rows.where(F.col("n") > cap).select(key)
+    for x in over:
+        out = out.unionByName(x)
+    return out
+
+
 def path_edges(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Path nodes (key, rank, src, value) and path edges (key, rank, src, dst, k) of paths at their fixpoint.
 

@@ -171,6 +171,30 @@ def blocks(df: DataFrame, key: str, text: str, letters: str, size: int = 64) ->
     return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, block long, n long, text string, before array<long>, first array<long>")
 
 
+def kmer_bounds(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGT") -> DataFrame:
+    """key, slot, lo, hi: the bounds of every k-mer of `letters`, in order from 0, and one more slot for the last end.
+
+    Rows are suffixes with the end after all letters. Those of fewer than k letters stand between k-mers: the next k-mer
+    that occurs takes them in, so its bound is a pair, from where the k-mer before ended (lo) to its own first row (hi);
+    the last slot takes what is left. Other bounds have lo = hi, the overflow table is what remains where lo < hi. Slots of
+    k-mers that don't occur stand where the last one ended. Texts must be of `letters`.
+    """
+    begin = F.regexp_extract_all(F.concat(F.col(text), F.lit("~")), F.lit(f"(?=(.{{1,{k}}}))"), F.lit(1))
+    n = df.where(F.col(text).isNotNull()).select(key, F.explode(begin).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key).orderBy("kmer")
+    n = n.withColumn("hi", F.sum("n").over(w) - F.col("n")).withColumn("end", F.col("hi") + F.col("n"))
+    long = ~F.col("kmer").contains("~")
+    before = F.last(F.when(long, F.col("end")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    digits = F.translate("kmer", letters, "".join(map(str, range(len(letters)))))
+    seen = n.withColumn("lo", F.coalesce(before, F.lit(0))).where(long).select(key, F.conv(digits, len(letters), 10).cast("long").alias("slot"), "lo", "hi", "end")
+    total = n.groupBy(key).agg(F.sum("n").alias("_all"))
+    size = len(letters) ** k
+    slots = total.select(key, "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size).cast("long"))).alias("slot")).join(seen, [key, "slot"], "left")
+    last = F.coalesce(F.last("end", ignorenulls=True).over(Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hi = F.when(F.col("slot") == size, F.col("_all")).otherwise(F.coalesce("hi", last))
+    return slots.select(key, "slot", F.coalesce("lo", last).alias("lo"), hi.alias("hi"))
+
+
 def kmer_trie(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGNT", size: int = 64) -> DataFrame:
     """The same table by k backward steps over all ranges at once; ranges without rows drop out at each step.
 

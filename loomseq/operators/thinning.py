@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import forget, spool
 
 
 def evenly(n: int, k: int) -> list[int]:
@@ -37,3 +40,33 @@ def thin(df: DataFrame, key: list[str], order: list[str], cost: Callable[[pd.Dat
         return rows.iloc[evenly(len(rows), k)]
 
     return df.groupBy(*key).applyInPandas(run, df.schema)
+
+
+def search(df: DataFrame, key: str, order: list[str], too_large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of each window that are kept, where what fits is decided for all open windows together, round by round.
+
+    `too_large` gets chosen rows and returns the keys of windows that they are too large for. A window that fits whole is
+    settled at once; the others halve between none, which fits, and all, as `largest_fit` does. Each round is one table of
+    a row a window, and a window of n rows takes as many rounds as n has bits. A window's rows are few, so they are
+    numbered within it.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = spool(df.withColumn("_i", place), "window_rows")
+    state = spool(rows.groupBy(key).agg(F.count("*").alias("_n")).select(key, "_n", F.lit(0).cast("long").alias("_low"), (F.col("_n") + 1).alias("_high"), F.col("_n").alias("_cur")), "state")
+
+    def chosen(at: DataFrame) -> DataFrame:
+        picked = at.where("_cur > 0").select(key, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cur") - 1), lambda i: F.floor(i * F.col("_n") / F.col("_cur")))).alias("_i"))
+        return rows.join(picked, [key, "_i"]).drop("_i")
+
+    while True:
+        # all rows are tried first, which is why high begins beyond them
+        open_ = state.where("_cur > _low and _cur < _high")
+        if not open_.limit(1).count():
+            return chosen(state.withColumn("_cur", F.col("_low")))
+        bad = too_large(chosen(open_)).select(key, F.lit(True).alias("_bad")).distinct()
+        tried = (F.col("_cur") > F.col("_low")) & (F.col("_cur") < F.col("_high"))
+        bad_ = tried & F.coalesce("_bad", F.lit(False))
+        low, high = F.when(tried & ~bad_, F.col("_cur")).otherwise(F.col("_low")), F.when(bad_, F.col("_cur")).otherwise(F.col("_high"))
+        next_ = state.join(bad, key, "left").select(key, "_n", low.alias("_low"), high.alias("_high")).withColumn("_cur", F.floor((F.col("_low") + F.col("_high")) / 2))
+        old, state = state, spool(next_, "state")
+        forget(old)

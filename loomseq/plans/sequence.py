@@ -208,6 +208,16 @@ def kmer_trie(spark, d):
     return index.kmer_trie(sequences(spark, d), "doc_id", "seq", 3).select("doc_id", "kmer", "lo", "hi")
 
 
+@query(f"""WITH {TURNS_SQL}, b AS (SELECT key, substr(replace(seq, 'N', 'A') || '~', CAST(p + 1 AS INTEGER), 3) AS kmer FROM (SELECT key, seq, unnest(range(0, length(seq) + 1)) AS p FROM s WHERE seq IS NOT NULL)),
+  c AS (SELECT key, kmer, count(*) AS n FROM b GROUP BY 1, 2), h AS (SELECT key, kmer, n, sum(n) OVER (PARTITION BY key ORDER BY kmer) AS stop FROM c), a AS (SELECT key, max(stop) AS total FROM h GROUP BY 1),
+  i AS (SELECT x || y || z AS kmer, row_number() OVER (ORDER BY x || y || z) - 1 AS slot FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x), (SELECT unnest(['A', 'C', 'G', 'T']) AS y), (SELECT unnest(['A', 'C', 'G', 'T']) AS z)),
+  k AS MATERIALIZED (SELECT key, slot, stop - n AS start, stop FROM h JOIN i ON i.kmer = h.kmer), j AS (SELECT slot FROM i UNION ALL SELECT 64)
+  SELECT a.key, j.slot, CAST(coalesce(max(k.stop) FILTER (k.slot < j.slot), 0) AS BIGINT) AS lo, CAST(CASE WHEN j.slot = 64 THEN any_value(total) ELSE coalesce(max(k.start) FILTER (k.slot = j.slot), max(k.stop) FILTER (k.slot < j.slot), 0) END AS BIGINT) AS hi FROM a CROSS JOIN j LEFT JOIN k ON k.key = a.key GROUP BY 1, 2""")
+def kmer_overflow(spark, d):
+    """The bounds of all 3-mers of turns, with the short suffixes that each takes in."""
+    return index.kmer_bounds(turns(spark, d).withColumn("seq", F.translate("seq", "N", "A")), "key", "seq", 3)
+
+
 @query(f"WITH {BWT_SQL} SELECT doc_id, row, pos FROM rows WHERE row % 4 = 0")
 def sa_sample(spark, d):
     return index.sample(index.bwt(sequences(spark, d), "doc_id", "seq"), 4).select("doc_id", "row", "pos")
@@ -484,7 +494,16 @@ def fragment_stitch(spark, d):
     return edges.join(end("src"), ["key", "src"]).join(end("dst"), ["key", "dst"]).groupBy("key", "src_label", "src_value", "dst_label", "dst_value").agg(F.count("*").alias("edges"))
 
 
-@query()
+def _thinning_sql(rounds=7):
+    """The same choice from the cost of every number of variants: halving between none and all."""
+    halves = ", ".join(f"h{i + 1} AS (SELECT h.chrom, h.w, h.n, CASE WHEN high > low + 1 AND c.cost <= 30 THEN (low + high) // 2 ELSE low END AS low, CASE WHEN high > low + 1 AND c.cost > 30 THEN (low + high) // 2 ELSE high END AS high FROM h{i} h LEFT JOIN c ON c.chrom = h.chrom AND c.w = h.w AND c.k = (low + high) // 2)" for i in range(rounds))
+    return f"""WITH {VARIANTS_SQL}, x AS MATERIALIZED (SELECT chrom, pos // 50 AS w, ix, len, row_number() OVER (PARTITION BY chrom, pos // 50 ORDER BY pos, ix) - 1 AS i FROM v), s AS MATERIALIZED (SELECT chrom, w, count(*) AS n FROM x GROUP BY 1, 2),
+  p AS MATERIALIZED (SELECT chrom, w, n, k, unnest(range(0, k)) * n // k AS i FROM (SELECT chrom, w, n, unnest(range(1, n + 1)) AS k FROM s)), c AS MATERIALIZED (SELECT p.chrom, p.w, p.k, sum(len) AS cost FROM p JOIN x ON x.chrom = p.chrom AND x.w = p.w AND x.i = p.i GROUP BY 1, 2, 3),
+  h0 AS (SELECT s.chrom, s.w, s.n, 0 AS low, s.n AS high FROM s), {halves}, r AS (SELECT h.chrom, h.w, CASE WHEN c.cost <= 30 THEN h.n ELSE low END AS k FROM h{rounds} h JOIN c ON c.chrom = h.chrom AND c.w = h.w AND c.k = h.n)
+  SELECT x.chrom, x.w, x.ix FROM r JOIN p ON p.chrom = r.chrom AND p.w = r.w AND p.k = r.k JOIN x ON x.chrom = p.chrom AND x.w = p.w AND x.i = p.i"""
+
+
+@query(_thinning_sql())
 def window_thinning(spark, d):
     """The variants that stay where those of a window may change 30 bases at most."""
     v = variants(spark, d).withColumn("w", F.expr("pos div 50"))
