@@ -1,8 +1,8 @@
 """Every query of the library by name, with its oracle."""
 
-from .plans import allele, contrast, matrix, misc, sequence
+from .plans import allele, contrast, matrix, misc, rest, sequence
 
-_ALL = matrix.Q | allele.Q | sequence.Q | misc.Q | contrast.Q
+_ALL = matrix.Q | allele.Q | sequence.Q | misc.Q | contrast.Q | rest.Q
 
 
 def queries():

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = "ACGT"
@@ -59,3 +62,17 @@ def unversioned(gene: Column) -> Column:
 def seconds(clock: Column) -> Column:
     """h:mm:ss or m:ss (with fractions) as seconds."""
     return F.aggregate(F.split(clock, ":"), F.lit(0.0), lambda a, x: a * 60 + x.cast("double"))
+
+
+@F.pandas_udf(StructType([StructField("first", LongType()), StructField("differing", LongType())]))
+def difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Where two texts first differ among the letters that both have (null: nowhere), and in how many of those they do."""
+
+    def of(x: str | None, y: str | None) -> tuple[int | None, int | None]:
+        if x is None or y is None:
+            return None, None
+        n = min(len(x), len(y))
+        at = np.flatnonzero(np.frombuffer(x[:n].encode("utf-32-le"), "<u4") != np.frombuffer(y[:n].encode("utf-32-le"), "<u4"))
+        return (int(at[0]) if len(at) else None), len(at)
+
+    return pd.DataFrame([of(x, y) for x, y in zip(a, b, strict=True)], columns=["first", "differing"]).astype("Int64")

@@ -494,7 +494,12 @@ def fragment_stitch(spark, d):
     return edges.join(end("src"), ["key", "src"]).join(end("dst"), ["key", "dst"]).groupBy("key", "src_label", "src_value", "dst_label", "dst_value").agg(F.count("*").alias("edges"))
 
 
-def _thinning_sql(rounds=7):
+def thinning_windows(spark, d):
+    """Variants (ix, pos, len) in windows (chrom, w) of fifty positions."""
+    return variants(spark, d).select("chrom", F.expr("pos div 50").alias("w"), "ix", "pos", "len")
+
+
+def thinning_sql(rounds=7):
     """The same choice from the cost of every number of variants: halving between none and all."""
     halves = ", ".join(f"h{i + 1} AS (SELECT h.chrom, h.w, h.n, CASE WHEN high > low + 1 AND c.cost <= 30 THEN (low + high) // 2 ELSE low END AS low, CASE WHEN high > low + 1 AND c.cost > 30 THEN (low + high) // 2 ELSE high END AS high FROM h{i} h LEFT JOIN c ON c.chrom = h.chrom AND c.w = h.w AND c.k = (low + high) // 2)" for i in range(rounds))
     return f"""WITH {VARIANTS_SQL}, x AS MATERIALIZED (SELECT chrom, pos // 50 AS w, ix, len, row_number() OVER (PARTITION BY chrom, pos // 50 ORDER BY pos, ix) - 1 AS i FROM v), s AS MATERIALIZED (SELECT chrom, w, count(*) AS n FROM x GROUP BY 1, 2),
@@ -503,11 +508,10 @@ def _thinning_sql(rounds=7):
   SELECT x.chrom, x.w, x.ix FROM r JOIN p ON p.chrom = r.chrom AND p.w = r.w AND p.k = r.k JOIN x ON x.chrom = p.chrom AND x.w = p.w AND x.i = p.i"""
 
 
-@query(_thinning_sql())
+@query(thinning_sql())
 def window_thinning(spark, d):
     """The variants that stay where those of a window may change 30 bases at most."""
-    v = variants(spark, d).withColumn("w", F.expr("pos div 50"))
-    return thinning.thin(v.select("chrom", "w", "ix", "pos", "len"), ["chrom", "w"], ["pos", "ix"], lambda rows: rows["len"].sum(), 30).select("chrom", "w", "ix")
+    return thinning.thin(thinning_windows(spark, d), ["chrom", "w"], ["pos", "ix"], lambda rows: rows["len"].sum(), 30).select("chrom", "w", "ix")
 
 
 @query(f"""WITH {TURNS_SQL}, t AS (SELECT key, length(seq) AS n FROM s WHERE length(seq) >= 60), e AS (SELECT key, unnest(range(0, n + 1)) AS src, n FROM t)

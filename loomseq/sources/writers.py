@@ -26,3 +26,10 @@ def bed(df: DataFrame, path: str) -> None:
 def keyed_json(df: DataFrame, path: str, key: list[str], value: str) -> None:
     """One object a row: the key parts joined by |, and the value."""
     df.select(F.to_json(F.create_map(F.concat_ws("|", *key), F.col(value)))).write.mode("overwrite").text(path)
+
+
+def gtf(df: DataFrame, path: str, source: str = "loomseq") -> None:
+    """Rows as `readers.gtf` gives them: chrom, feature, start (0-based), stop, strand, gene."""
+    attr = F.concat(F.lit('gene_id "'), "gene", F.lit('"; gene_name "'), "gene", F.lit('";'))
+    cols = ["chrom", F.lit(source), "feature", (F.col("start") + 1).cast("string"), F.col("stop").cast("string"), F.lit("."), "strand", F.lit("."), attr]
+    df.select(F.concat_ws("\t", *cols)).write.mode("overwrite").text(path)

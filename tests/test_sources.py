@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from loomseq.operators import graph
+from loomseq.operators import graph, ranges
 from loomseq.sources import readers, writers
 from loomseq.streaming import telemetry
 
@@ -183,3 +183,28 @@ def test_haplotypes_that_repeat_make_one_path(spark):
     other = ("c", "h", 2, 4, [("single", 3, 1, "C")])
     size = lambda haps: tuple(x.count() for x in graph.with_haplotypes(nodes, edges, spark.createDataFrame(haps, kind), "chrom"))
     assert size([one, one]) == size([one]) and size([one, other])[0] == size([one])[0] + 3
+
+
+def test_writers_round_trip(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    df = spark.createDataFrame([("r1", "ACGT", "IIII"), ("r2", "G", "@")], "name string, seq string, qual string")
+    writers.fastq(df.coalesce(1), at("a.fq"))
+    assert rows(readers.fastq(spark, at("a.fq"))) == rows(df)
+    df = spark.createDataFrame([("1", 3, 9), ("X", 0, 1)], "chrom string, start long, stop long")
+    writers.bed(df, at("a.bed"))
+    assert rows(readers.bed(spark, at("a.bed"))) == rows(df)
+    df = spark.createDataFrame([("c", "exon", 0, 5, "+", "g1"), ("c", "gene", 7, 9, "-", "g 2")], "chrom string, feature string, start long, stop long, strand string, gene string")
+    writers.gtf(df, at("a.gtf"))
+    assert rows(readers.gtf(spark, at("a.gtf"))) == rows(df)
+    df = spark.createDataFrame([("a", "x", 1.5), ("b", "y", None)], "k string, l string, v double")
+    for gzip in (False, True):
+        writers.tsv(df, at(f"t{gzip}"), gzip)
+        assert rows(spark.read.option("sep", "\t").option("header", True).schema(df.schema).csv(at(f"t{gzip}"))) == rows(df)
+    writers.keyed_json(df, at("j"), ["k", "l"], "v")
+    assert rows(spark.read.text(at("j"))) == [('{"a|x":1.5}',), ('{"b|y":null}',)]
+
+
+def test_intervals_that_touch_merge(spark):
+    """Closed and half-open intervals alike: an end that equals the next start joins them, one more base doesn't."""
+    df = spark.createDataFrame([("c", 1, 5), ("c", 5, 7), ("c", 8, 9), ("c", 2, 3), ("d", 5, 6)], "key string, start long, stop long")
+    assert rows(ranges.merge_intervals(df, ["key"])) == [("c", 1, 7), ("c", 8, 9), ("d", 5, 6)]
