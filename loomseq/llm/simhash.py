@@ -108,16 +108,21 @@ def _close(fp: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return near
 
 
-def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 20, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _linked(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 20, hold: int = 1 << 20, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of equal groups (rows in order of group): each with the least place of its forest.
 
     Pairs that are connected already aren't tested; links are looked through for that when there are more than `hold`.
+    The rows of a group that are `joined` are connected from the start.
     """
     n = len(group)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
     end = np.repeat(starts + sizes, sizes)
     at, root, shift, found, held = np.arange(n), np.arange(n), 0, [], 0
+    if joined is not None:
+        those = np.flatnonzero(joined)
+        _, first, of = np.unique(group[those], return_index=True, return_inverse=True)
+        root[those] = those[first[of]]
     while True:
         shift += 1
         at = at[at + shift < end[at]]
@@ -162,16 +167,18 @@ def _alike(sketches: list[bytes], sets: list[bytes], likeness: float) -> Callabl
     return near
 
 
-def _links(batches: Iterator[pa.RecordBatch], near: Callable | None = None, hold: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], near: Callable | None = None, hold: int = 1 << 20, some_joined: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (key, block, node and, with `near`, columns of bytes that it tests) in that order, a group within one task.
 
-    A group ends where key or block changes. Without `near` the node is the fingerprint itself.
+    A group ends where key or block changes. Without `near` the node is the fingerprint itself. With `some_joined` a last
+    column says which rows of a group are connected already.
     """
 
     def out(key: np.ndarray, block: np.ndarray, node: np.ndarray, *data: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
         if near:
-            u, v = _linked(group, near(*(x.tolist() for x in data)), 1 << 16, hold)
+            joined = data[-1].astype(bool) if some_joined else None
+            u, v = _linked(group, near(*(x.tolist() for x in (data[:-1] if some_joined else data))), 1 << 16, hold, joined)
         else:
             u, v = _linked(group, _close(node.view(np.uint64)))
         return pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], ["u", "v"])
@@ -207,6 +214,42 @@ def _blocks(node: str, hot: int) -> Column:
     return F.when(F.col("n") <= hot, F.array(F.lit(0))).otherwise(pairs)
 
 
+def large_links(rows: DataFrame, data: list[str], near: Callable, hot: int, hold: int = 1 << 20) -> DataFrame:
+    """Links (u, v) within groups (key, node, hub and columns `data` that `near` tests) of more than `hot` rows.
+
+    Every row is tested against the group's hub first, its least node. Rows that are linked to it are connected, so pairs
+    of them need no test: what is left, which copies of one template leave none of, is dealt into blocks of its own that
+    meet each other and the blocks of linked rows. So a group of n rows of which r aren't linked to the hub costs r * n
+    tests in parts of `hot` by `hot`, not n * n.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "node", "hub", *data)}
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, own = len(batch), [batch.column(3 + i).to_pylist() for i in range(len(data))]
+            other = [batch.column(3 + len(data) + i).to_pylist() for i in range(len(data))]
+            test = near(*(a + b for a, b in zip(own, other, strict=True)))
+            joined = np.zeros(n, bool)
+            for a in range(0, n, 1 << 12):
+                at = np.arange(a, min(n, a + (1 << 12)))
+                joined[at] = test(at, at + n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 3 + len(data)], pa.array(joined)], ["key", "node", "hub", *data, "joined"])
+
+    hubs = rows.where("node = hub").select(F.col("key").alias("of"), *[F.col(c).alias(f"hub_{c}") for c in data])
+    met = rows.join(hubs, F.col("key") == F.col("of")).select("key", "node", "hub", *data, *[f"hub_{c}" for c in data])
+    tested = written(met.mapInArrow(star, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", joined boolean"), "star")
+    left = tested.groupBy("key").agg(F.count_if("joined").alias("l"), F.count_if(~F.col("joined")).alias("r")).where("r > 0")
+    left = written(left.select("key", F.ceil(F.col("l") / hot).cast("int").alias("l"), F.ceil(F.col("r") / hot).cast("int").alias("r")), "left")
+    blocks = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("l")).otherwise(F.col("r"))).cast("long")
+    rest = F.concat(F.transform(blocks("r"), lambda i: F.least(own, i) * F.col("r") + F.greatest(own, i)), F.transform(blocks("l"), lambda i: F.col("r") * F.col("r") + own * F.col("l") + i))
+    known = F.transform(blocks("r"), lambda i: F.col("r") * F.col("r") + i * F.col("l") + own)
+    pairs = tested.join(left, "key").select("key", F.explode(F.when(F.col("joined"), known).otherwise(rest)).alias("block"), "node", *data, "joined")
+    pairs = pairs.repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    found = pairs.mapInArrow(lambda x: _links(x, near, hold, True), "u long, v long")
+    return found.unionByName(tested.where("joined and node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+
+
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp), enough to connect all that differ in at most BITS bits."""
 
@@ -322,19 +365,28 @@ def similar(docs: DataFrame, words: int = 5, likeness: float = ALIKE, hot: int =
     ids = written(seen.select("doc_id", "tag", "node"), "ids")
     forget(seen)
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    lists = keyed.join(sizes, "key").select("key", F.explode(_blocks("node", hot)).alias("block"), "node")
-    near = lists.join(nodes.select("node", "sketch"), "node").select("key", "block", "node", "sketch")
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "sizes")
+    lists = keyed.join(sizes, "key")
+    near = lists.where(F.col("n") <= hot).select("key", "node").join(nodes.select("node", "sketch"), "node").select("key", F.lit(0).alias("block"), "node", "sketch")
     near = near.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda x: _links(x, _agree), "u long, v long")
+    if sizes.where(F.col("n") > hot).limit(1).count():
+        large = lists.where(F.col("n") > hot).select("key", "node", "hub").join(nodes.select("node", "sketch"), "node")
+        near = near.unionByName(large_links(written(large, "large"), ["sketch"], _agree, hot))
     group = written(components(near).join(nodes.drop("keys"), "node"), "candidates")
     bare = written(nodes.select("node", "doc_id", "tag"), "bare")
     forget(sizes, nodes)
     texts = rows.join(group, ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "root", "sketch", "text")
     found = written(texts.mapInArrow(sets, "node long, root long, sketch binary, found binary"), "sets")
     sizes = written(found.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    pairs = found.join(sizes, "root").select(F.col("root").alias("key"), F.explode(_blocks("node", most)).alias("block"), "node", "sketch", "found")
+    near = lambda s, f: _alike(s, f, likeness)
+    grouped = found.join(sizes, "root").select(F.col("root").alias("key"), "n", "node", "sketch", "found")
+    pairs = grouped.where(F.col("n") <= most).select("key", F.lit(0).alias("block"), "node", "sketch", "found")
     pairs = pairs.repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    root = components(pairs.mapInArrow(lambda x: _links(x, lambda s, f: _alike(s, f, likeness), 0), "u long, v long"))
+    alike = pairs.mapInArrow(lambda x: _links(x, near, 0), "u long, v long")
+    if sizes.where(F.col("n") > most).limit(1).count():
+        large = grouped.where(F.col("n") > most).select("key", "node", F.col("key").alias("hub"), "sketch", "found")
+        alike = alike.unionByName(large_links(large, ["sketch", "found"], near, most, 0))
+    root = components(alike)
     forget(group, found, sizes)
     of = written(bare.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), "tag"), "roots")
     first = of.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("x"))

@@ -275,6 +275,40 @@ def test_similar_exact(spark):
         assert [got[i] for i in range(len(texts))] == part
 
 
+def test_similar_template(spark):
+    """A template of thousands of copies that differ in a few words, with some rows that are less alike to its first."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join([*base[:116], f"id{i}", *base[117:]])) for i in range(6000)]
+    far = [*base[:60], *[f"x{rng.randrange(5000)}" for _ in range(60)]]
+    rows += [(6000 + i, " ".join([*far[:118], f"y{i}"])) for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), hot=500, most=500).collect()}
+    assert all(got[i] == 0 for i in range(6000)) and all(got[6000 + i] == 6000 for i in range(5))
+
+
+def test_similar_on_given_documents(spark):
+    """All pairs of 0.8 or more among the documents of sf0.01, by brute force over shared shingles, chained."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(table(df))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for _, t in rows)]
+    holders = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    part, shared = list(range(len(rows))), {}
+    for found in holders.values():
+        for k, b in enumerate(found):
+            for a in found[:k]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    alike = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in alike:
+        old, new = max(part[a], part[b]), min(part[a], part[b])
+        if old != new:
+            part = [new if p == old else p for p in part]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert len(alike) > 20 and [got[i] for i, _ in rows] == [rows[p][0] for p in part]
+
+
 def test_clashing_ids(spark):
     """Rows with one id but other texts are documents of their own; only copies and near copies go."""
     import corpus_pipeline
