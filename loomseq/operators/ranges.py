@@ -3,15 +3,42 @@
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def maximal_runs(df: DataFrame, key: list[str], pos: str, inside: Column) -> DataFrame:
+
+#: Rows of a key from which it is dealt into ranges; smaller keys are one sorted pass each.
+HOT_KEY = 1 << 22
+
+
+def has_large(df: DataFrame, key: list[str], hot: int) -> bool:
+    """Whether any key has more than `hot` rows: counts are combined before they meet, and one number comes back."""
+    return (df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) > hot
+
+
+def running(df: DataFrame, key: list[str], order: list[str | Column], value: Column, name: str, how: str, before: bool, hot: int) -> DataFrame:
+    """`df` with the last or greatest value up to each row of its key (`ranks.carried`), by one window where keys are small."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if has_large(df, key, hot):
+        return ranks.carried(df, key, order, value, name, how, before)
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return df.withColumn("_v", value).withColumn(name, F.max("_v").over(w) if how == "max" else F.last("_v", ignorenulls=True).over(w)).drop("_v")
+
+
+def maximal_runs(df: DataFrame, key: list[str], pos: str, inside: Column, hot: int = HOT_KEY) -> DataFrame:
     """Stretches of consecutive positions at which `inside` holds: key, start, stop."""
     rows = df.where(inside).select(*key, F.col(pos).cast("long").alias("p"))
+    if has_large(rows, key, hot):
+        rows, w = ranks.after_others(rows, [*[F.col(k) for k in key], F.col("p")], 1)
+        same = reduce(lambda a, b: a & b, [F.lag(k).over(w).eqNullSafe(F.col(k)) for k in key])
+        rows = rows.withColumn("_new", ~F.coalesce(same & (F.lag("p").over(w) == F.col("p") - 1), F.lit(False)))
+        rows = ranks.numbered(rows, w, F.col("_new"), "g")
+        return rows.groupBy(*key, "g").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("stop")).drop("g")
     island = F.col("p") - F.row_number().over(Window.partitionBy(*key).orderBy("p"))
     return rows.withColumn("g", island).groupBy(*key, "g").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("stop")).drop("g")
 
@@ -35,8 +62,13 @@ def text_runs(df: DataFrame, text: str, letters: str = "ACGT") -> DataFrame:
     return out.where("_run").drop("_run")
 
 
-def merge_intervals(df: DataFrame, key: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
+def merge_intervals(df: DataFrame, key: list[str], start: str = "start", stop: str = "stop", hot: int = HOT_KEY) -> DataFrame:
     """Intervals that overlap or touch, merged within each key."""
+    if has_large(df, key, hot):
+        rows = ranks.carried(df, key, [F.col(start), F.col(stop)], F.col(stop), "_top", "max", True)
+        rows = rows.withColumn("_new", F.when(F.col(start) <= F.col("_top"), 0).otherwise(1))
+        rows = ranks.running_sum(rows, [*[F.col(k) for k in key], F.col(start), F.col(stop), F.col("_new").desc()], "_new", "_g")
+        return rows.groupBy(*key, "_g").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_g")
     w = Window.partitionBy(*key).orderBy(start, stop)
     before = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
@@ -59,7 +91,7 @@ def tiles(df: DataFrame, length: str, size: int, stride: int) -> DataFrame:
     return rows.withColumn("start", F.col("w") * stride).withColumn("stop", F.least(F.col("w") * stride + size, F.col(length).cast("long")))
 
 
-def last_start(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, carry: list[str], start: str = "start", stop: str = "stop", closed: bool = False) -> DataFrame:
+def last_start(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, carry: list[str], start: str = "start", stop: str = "stop", closed: bool = False, hot: int = HOT_KEY) -> DataFrame:
     """As-of containment: for each point the interval with the greatest start up to it, if that reaches beyond the point.
 
     One sort-merge pass over points and intervals together; right for intervals that don't nest. Columns of `carry`
@@ -68,8 +100,8 @@ def last_start(points: DataFrame, intervals: DataFrame, key: list[str], pos: str
     names = [c for c in points.columns if c not in key]
     a = intervals.select(*key, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(start).alias("_s"), F.col(stop).alias("_e"), *carry).alias("_iv"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in names])
     b = points.select(*key, F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(a.schema["_iv"].dataType).alias("_iv"), *names)
-    w = Window.partitionBy(*key).orderBy("_at", "_kind", F.col("_iv").asc_nulls_last())
-    rows = a.unionByName(b).withColumn("_iv", F.last("_iv", ignorenulls=True).over(w)).where("_kind = 1")
+    order = ["_at", "_kind", F.col("_iv").asc_nulls_last()]
+    rows = running(a.unionByName(b), key, order, F.col("_iv"), "_held", "last", False, hot).drop("_iv").withColumnRenamed("_held", "_iv").where("_kind = 1")
     inside = (F.col("_at") <= F.col("_iv._e")) if closed else (F.col("_at") < F.col("_iv._e"))
     return rows.select(*key, *names, *[F.when(inside, F.col(f"_iv.{c}")).alias(c) for c in carry])
 
@@ -110,20 +142,17 @@ def containment_join(a: DataFrame, b: DataFrame, key: list[str], width: int) ->
     return left.join(right, [*key, "_bin"]).where("b_start <= a_start and a_stop <= b_stop").drop("_bin")
 
 
-def first_match(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, name: str) -> DataFrame:
+def first_match(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, name: str, hot: int = HOT_KEY) -> DataFrame:
     """For each point the first interval [b_start, b_stop] (closed) in order of start, stop and name that holds it, else null.
 
     The first interval that ends at or after a point is the one, if it starts by then: whatever holds the point starts
     no earlier. So only intervals that end after all those before them count, and points look up the next of their ends
     in one sorted pass, without a row for each pair.
     """
-    order = Window.partitionBy(*key).orderBy("b_start", "b_stop", name)
-    top = F.max("b_stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    firsts = intervals.dropna(subset=key).withColumn("_top", top).where("_top is null or b_stop > _top")
+    firsts = running(intervals.dropna(subset=key), key, ["b_start", "b_stop", name], F.col("b_stop"), "_top", "max", True, hot).where("_top is null or b_stop > _top")
     a = firsts.select(*key, F.col("b_stop").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("b_start").alias("s"), F.col(name).alias("name")).alias("_iv"), F.lit(None).cast(points.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_row"))
     b = points.select(*key, F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(a.schema["_iv"].dataType).alias("_iv"), F.struct(*points.columns).alias("_row"))
-    w = Window.partitionBy(*key).orderBy(F.desc("_at"), "_kind")
-    rows = a.unionByName(b).withColumn("_iv", F.last("_iv", ignorenulls=True).over(w)).where("_kind = 1")
+    rows = running(a.unionByName(b), key, [F.desc("_at"), "_kind"], F.col("_iv"), "_held", "last", False, hot).drop("_iv").withColumnRenamed("_held", "_iv").where("_kind = 1")
     return rows.select("_row.*", F.when(F.col("_iv.s") <= F.col("_at"), F.col("_iv.name")).alias(name))
 
 

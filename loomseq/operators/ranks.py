@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..session import spool
 
@@ -96,6 +97,38 @@ def running_sums(df: DataFrame, order: list[Column], add: list[str]) -> DataFram
     return rows.select("*", *[(F.sum(c).over(w) + _look_up(_offsets(rows, F.sum(c)), "long")).alias(f"{c}_upto") for c in add]).drop("_id")
 
 
+def carried(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str, how: str = "last", before: bool = False) -> DataFrame:
+    """`df` with the last value that isn't null (or with how="max" the greatest) of this and all earlier rows of its key.
+
+    With `before` the row itself doesn't count. Rows are dealt into ranges of key and order, so a large key is many tasks:
+    what a range knows of its last key is handed to the ranges after it, of which the driver sees a row each.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in key], *order]
+    rows = df.withColumn("_v", value).repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33).cast("int"))
+    of = F.max if how == "max" else lambda c: F.last(c, ignorenulls=True)
+    w = Window.partitionBy("_part", *key).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", of("_v").over(w))
+    if before:
+        rows = rows.withColumn("_before", of("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = spool(rows, "carried")
+    ends = rows.groupBy("_part").agg(F.min_by(F.struct(*key), "_id").alias("first"), F.max_by(F.struct(F.struct(*key).alias("key"), F.col("_upto").alias("v")), "_id").alias("last"))
+    more, carry = [], None
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        last, v = r["last"]["key"], r["last"]["v"]
+        if carry is not None and carry[0] == r["first"] and carry[1] is not None:
+            more.append((r["_part"], *carry[0], carry[1]))
+            if last == r["first"]:
+                v = carry[1] if v is None else max(v, carry[1]) if how == "max" else v
+        carry = (last, v)
+    schema = StructType([StructField("_p", IntegerType()), *[StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(key)], StructField("_c", rows.schema["_v"].dataType)])
+    handed = F.broadcast(df.sparkSession.createDataFrame(more, schema))
+    on = (F.col("_part") == F.col("_p")) & reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    own = F.col("_before" if before else "_upto")
+    run = F.greatest(own, "_c") if how == "max" else F.coalesce(own, "_c")
+    return rows.join(handed, on, "left").select(*df.columns, run.alias(name))
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """1-based ranks in which ties share their mean: counts of equal values are summed, and only they are ordered."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
