@@ -71,6 +71,10 @@ def _read(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return inputs(np.frombuffer(b"".join(batch.column(column).to_pylist()), np.float32).reshape(-1, BASE).astype(float))
 
 
+#: Tasks whose sums the driver adds up itself; those of more are added in about as many tasks as their root first.
+TASKS = 256
+
+
 def _sums(table: DataFrame, width: int, of) -> np.ndarray:
     """The sum over the table of what `of` makes of each batch: as many numbers as `width` from every task."""
 
@@ -82,8 +86,19 @@ def _sums(table: DataFrame, width: int, of) -> np.ndarray:
                 total += of(_read(part, 0), part.column(1).to_numpy(zero_copy_only=False).astype(bool))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = table.select("base", "positive").mapInArrow(run, "sums binary")
+    tasks = parts.rdd.getNumPartitions()
+    if tasks > TASKS:
+        parts = parts.repartition(int(tasks**0.5)).mapInArrow(add, "sums binary")
     total = np.zeros(width)
-    for r in table.select("base", "positive").mapInArrow(run, "sums binary").toLocalIterator():
+    for r in parts.toLocalIterator():
         total += np.frombuffer(r["sums"])
     return total
 

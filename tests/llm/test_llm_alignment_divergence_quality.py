@@ -232,6 +232,17 @@ def test_odd_rows_are_scored(spark, odd, none):
     assert pulearn.classify(none, some).count() == 0
 
 
+def test_sums_of_many_tasks(spark, monkeypatch):
+    """Sums that are added in tasks first are those that the driver adds."""
+    rng = np.random.default_rng(5)
+    rows = [(rng.random(pulearn.BASE).astype(np.float32).tobytes(), bool(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "base binary, positive boolean").repartition(9)
+    of = lambda x, positive: np.concatenate([x.sum(0), x[positive].sum(0)])
+    once = pulearn._sums(df, 2 * pulearn.WIDTH, of)
+    monkeypatch.setattr(pulearn, "TASKS", 4)
+    assert np.allclose(pulearn._sums(df, 2 * pulearn.WIDTH, of), once)
+
+
 def test_descriptions():
     got = pulearn.describe("Ab ab ab\nAb ab ab\nX1 |!")
     n = pulearn.CLASSES * pulearn.CLASSES
