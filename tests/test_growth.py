@@ -21,3 +21,16 @@ def test_sums_within(spark):
     got = df.select("key", "name", "start", "stop", "n", "v").collect()
     # a key without points has nothing to sum
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def places(spark, of):
+    texts = {1: "NACGNNTTN", 2: "ACGT" * 700 + "N" * 300 + "TTTT", 3: "", 4: None, 5: "NNNN", 6: "N" * 60 + "A"}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    got = of(df)
+    assert shuffles(got) == 0
+    return texts, sorted(tuple(r) for r in got.collect())
+
+
+def test_places_without_shuffle(spark):
+    texts, got = places(spark, lambda df: ranges.text_places(df, "t", 3).select("k", "pos", F.col("joined") + F.col("pos") - F.col("start")))
+    assert got == sorted((k, p, sum(c != "N" for c in t[:p]) if t[p] != "N" else None) for k, t in texts.items() if t for p in range(0, len(t), 3))
