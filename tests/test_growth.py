@@ -45,3 +45,17 @@ def test_windows_without_shuffle(spark):
     texts, got = places(spark, lambda df: ranges.text_windows(df, "t", 50, 40))
     inside = lambda t: sum(c != "N" for c in t)
     assert got == [(k, w, inside((t or "")[: 40 * w]), inside((t or "")[40 * w : 40 * w + 50])) for k, t in texts.items() for w in range(max(1, -(-len(t or "") // 40)))]
+
+
+def test_packed_in_bulk(spark):
+    from loomseq.functions import sequence
+
+    r = random.Random(7)
+    texts = ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 1, 30, 31, 32, 62, 100)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "A" * 31 + "N", "acgt"]], "t string").withColumn("p", sequence.pack_text(F.col("t")))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = df.select("t", "p", sequence.unpack_text(F.col("p"), F.length("t")).alias("back")).collect()
+    digits = lambda x: sum("ACGT".index(c) * 4 ** (len(x) - 1 - j) for j, c in enumerate(x))
+    for row in rows[: len(texts)]:
+        assert row["back"] == row["t"] and row["p"] == [digits(row["t"][j : j + 31]) for j in range(0, len(row["t"]), 31)]
+    assert [x["p"] for x in rows[-3:]] == [None, [0, None], [27]] and [x["back"] for x in rows[-3:]] == [None, None, "ACGT"]
