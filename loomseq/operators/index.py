@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,22 @@ def suffix_order(letters: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(step):
         key = key << bits | padded[i : i + n]
+    order = np.argsort(key)
+    key = key[order]
+    # a rank is the place at which its group begins, so it changes within its group only
+    at = np.arange(n)
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.r_[True, key[order[1:]] != key[order[:-1]]])
-        if new[-1] == n:
+        head = np.r_[True, key[1:] != key[:-1]]
+        rank[order[at]] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))] + 1
+        at = at[~(head & np.r_[head[1:], True])]
+        if not len(at):
             return order
-        rank[order] = new
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:]
+        # only places that share a rank are ordered again
+        pos = order[at]
+        ahead = pos + step
+        key = rank[pos] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)], 0)
+        by = np.argsort(key)
+        order[at], key = pos[by], key[by]
         step *= 2
 
 
@@ -45,6 +53,37 @@ def suffix_order(letters: np.ndarray) -> np.ndarray:
 LONG = 1 << 22
 
 
+def of_order(df: DataFrame, key: str, text: str, end: str, of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], more: str) -> DataFrame:
+    """The rows that `of` makes of each text's letters (`end` after them) and their suffix order; strings are given as code points."""
+    fields = [f.split() for f in more.split(", ")]
+
+    def column(parts: list[np.ndarray], kind: str) -> pa.Array:
+        whole = np.concatenate(parts)
+        if kind != "string":
+            return pa.array(whole, pa.int64())
+        codes, at = np.unique(whole, return_inverse=True)
+        return pa.array([chr(c) for c in codes], pa.string()).take(pa.array(at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, of_row, size = [], [], 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                letters = np.frombuffer((t + end).encode("utf-32-le"), "<u4")
+                got = of(letters, suffix_order(letters))
+                held.append(got)
+                of_row.append(np.full(len(got[0]), i))
+                size += len(got[0])
+                if size >= ROWS or i == len(batch) - 1:
+                    cols = [batch.column(0).take(pa.array(np.concatenate(of_row))), *(column(x, k) for x, (_, k) in zip(zip(*held, strict=True), fields, strict=True))]
+                    whole = pa.RecordBatch.from_arrays(cols, [key, *(n for n, _ in fields)])
+                    for a in range(0, len(whole), ROWS):
+                        yield whole.slice(a, ROWS)
+                    held, of_row, size = [], [], 0
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, {more}")
+
+
 def suffixes(df: DataFrame, key: str, text: str, end: str, long: int = LONG, letters: str | None = None) -> DataFrame:
     """key, row (place in order), pos (0-based, the empty suffix included) and bwt, the letter before it.
 
@@ -57,28 +96,37 @@ def suffixes(df: DataFrame, key: str, text: str, end: str, long: int = LONG, let
     if df.where(n > long).limit(1).count():
         far = suffix_rows.ordered(df.where(n > long), key, text, end, letters)
         return suffixes(df.where(n <= long), key, text, end, long).unionByName(far) if long >= 0 else far
+    return of_order(df, key, text, end, lambda letters, order: [np.arange(len(order)), order, letters[order - 1]], "row long, pos long, bwt string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size = [], 0
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                letters = np.frombuffer((t + end).encode("utf-32-le"), "<u4")
-                order = suffix_order(letters)
-                held.append((i, order, letters[order - 1]))
-                size += len(order)
-                if size >= ROWS or i == len(batch) - 1:
-                    of = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
-                    codes, at = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-                    row = np.concatenate([np.arange(len(h[1])) for h in held])
-                    pos = np.concatenate([h[1] for h in held])
-                    cols = [batch.column(0).take(pa.array(of)), pa.array(row), pa.array(pos), pa.array([chr(c) for c in codes]).take(pa.array(at))]
-                    whole = pa.RecordBatch.from_arrays(cols, [key, "row", "pos", "bwt"])
-                    for a in range(0, len(whole), ROWS):
-                        yield whole.slice(a, ROWS)
-                    held, size = [], 0
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, row long, pos long, bwt string")
+def text_lf(df: DataFrame, key: str, text: str, long: int = LONG) -> DataFrame:
+    """`lf` of the rows of `bwt`: texts of up to `long` letters are stepped where they are ordered, without a shuffle."""
+    n = F.length(text)
+    if df.where(n > long).limit(1).count():
+        return text_lf(df.where(n <= long), key, text, long).unionByName(lf(suffix_rows.ordered(df.where(n > long), key, text, "$"), key))
+
+    def of(letters: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        to = np.empty(len(order), np.int64)
+        to[np.argsort(letters[order - 1], kind="stable")] = np.arange(len(order))
+        return [np.arange(len(order)), to]
+
+    return of_order(df, key, text, "$", of, "row long, to long")
+
+
+def block_counts(df: DataFrame, key: str, text: str, size: int = 64, long: int = LONG) -> DataFrame:
+    """key, block, bwt, n: how often each letter of the BWT stands in each block of `size` rows, tallied where texts are ordered."""
+    n = F.length(text)
+    if df.where(n > long).limit(1).count():
+        far = suffix_rows.ordered(df.where(n > long), key, text, "$").groupBy(key, F.floor(F.col("row") / size).alias("block"), "bwt").agg(F.count("*").alias("n"))
+        return block_counts(df.where(n <= long), key, text, size, long).unionByName(far)
+
+    def of(letters: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        codes, at = np.unique(letters[order - 1], return_inverse=True)
+        count = np.bincount(np.arange(len(order)) // size * len(codes) + at)
+        some = np.flatnonzero(count)
+        return [some // len(codes), codes[some % len(codes)], count[some]]
+
+    return of_order(df, key, text, "$", of, "block long, bwt string, n long")
 
 
 def bwt(df: DataFrame, key: str, text: str) -> DataFrame:

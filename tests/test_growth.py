@@ -59,3 +59,12 @@ def test_packed_in_bulk(spark):
     for row in rows[: len(texts)]:
         assert row["back"] == row["t"] and row["p"] == [digits(row["t"][j : j + 31]) for j in range(0, len(row["t"]), 31)]
     assert [x["p"] for x in rows[-3:]] == [None, [0, None], [27]] and [x["back"] for x in rows[-3:]] == [None, None, "ACGT"]
+
+
+def test_lf_without_shuffle(spark):
+    from loomseq.operators import index
+
+    df = spark.createDataFrame([(1, "ACGTNNACGTA"), (2, ""), (3, None), (4, "A" * 300)], "k long, t string")
+    got = index.text_lf(df, "k", "t")
+    assert shuffles(got) == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, index.lf(index.bwt(df, "k", "t"), "k").collect())) == sorted(map(tuple, index.text_lf(df, "k", "t", 20).collect()))
