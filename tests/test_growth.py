@@ -68,3 +68,13 @@ def test_lf_without_shuffle(spark):
     got = index.text_lf(df, "k", "t")
     assert shuffles(got) == 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, index.lf(index.bwt(df, "k", "t"), "k").collect())) == sorted(map(tuple, index.text_lf(df, "k", "t", 20).collect()))
+
+
+def test_block_counts_without_shuffle(spark):
+    from loomseq.operators import index
+
+    df = spark.createDataFrame([(1, "ACGTNNACGTA" * 9), (2, ""), (3, None), (4, "A" * 300)], "k long, t string")
+    got = index.block_counts(df, "k", "t")
+    assert shuffles(got) == 0
+    want = index.bwt(df, "k", "t").groupBy("k", F.expr("row div 64"), "bwt").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, index.block_counts(df, "k", "t", long=200).collect()))
