@@ -78,3 +78,16 @@ def test_block_counts_without_shuffle(spark):
     assert shuffles(got) == 0
     want = index.bwt(df, "k", "t").groupBy("k", F.expr("row div 64"), "bwt").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, index.block_counts(df, "k", "t", long=200).collect()))
+
+
+def test_flanks_counted_in_tasks(spark):
+    r = random.Random(5)
+    texts = {i: "".join(r.choice("ACGTN") for _ in range(r.choice([0, 7, 8, 9, 60]))) for i in range(40)} | {99: None}
+    df = spark.createDataFrame(list(texts.items()), "k0 long, t string")
+    pairs = [(i, p, t[p : p + 2], t[p + 5 : p + 7]) for i, t in texts.items() if t for p in range(len(t) - 6)]
+    sites, counts = ranges.flank_sites(df, "t", 2, 3, "ACGNT", 3), ranges.flank_counts(df, "t", 2, 3, "ACGNT")
+    number = lambda x: sum("ACGNT".index(c) * 5 ** (len(x) - 1 - j) for j, c in enumerate(x))
+    assert shuffles(sites) == 0
+    assert sorted(map(tuple, sites.collect())) == [(i, p, number(a + b)) for i, p, a, b in pairs if p % 3 == 0]
+    whole = [number(a + b) for _, _, a, b in pairs]
+    assert sorted(map(tuple, counts.collect())) == sorted((k, whole.count(k)) for k in set(whole))
