@@ -110,7 +110,10 @@ def marker_jaccard(spark, d):
     li = table(spark, d, "lineitem").select("l_linestatus", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("g")).distinct()
     a, b = (li.where(F.col("l_linestatus") == x).select(F.col("s").alias(f"s{y}"), "g") for x, y in (("F", "a"), ("O", "b")))
     na, nb = a.groupBy("sa").agg(F.count("*").alias("na")), b.groupBy("sb").agg(F.count("*").alias("nb"))
-    x = a.join(b, "g").groupBy("sa", "sb").agg(F.count("*").alias("k")).join(na, "sa").join(nb, "sb")
+    # a gene's second side goes along as one list, and pairs are made where their first side is counted
+    lists = b.join(nb, "sb").groupBy("g").agg(F.collect_list(F.struct("sb", "nb")).alias("of"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = a.join(lists, "g").repartition(n, "sa").select("sa", F.explode("of").alias("o")).groupBy("sa", "o.sb", "o.nb").agg(F.count("*").alias("k")).join(na, "sa")
     x = x.withColumn("jac", F.col("k") / (F.col("na") + F.col("nb") - F.col("k")))
     best = x.groupBy("sa").agg(F.max_by("sb", F.struct("jac", -F.col("sb"))).alias("sb"), F.max("jac").alias("jac"))
     return best.select("sa", "sb", F.round("jac", 6).alias("jaccard"))

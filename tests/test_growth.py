@@ -101,3 +101,12 @@ def test_flank_pairs_as_numbers(spark):
     assert shuffles(got) == 0
     number = lambda x: sum("ACGNT".index(c) * 5 ** (15 - j) for j, c in enumerate(x))
     assert sorted(map(tuple, got.collect())) == [(i, p, number(t[p : p + 16]), number(t[p + 24 : p + 40])) for i, t in texts.items() if t for p in range(len(t) - 39)]
+
+
+def test_marker_pairs_are_made_where_counted(spark):
+    from loomseq import catalog
+
+    df = catalog.queries()["marker_jaccard"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # from the top: the pairs' count, then their making, then the deal by first side
+    assert 0 < plan.index("Generate explode") < plan.index("RepartitionByExpression [sa")
