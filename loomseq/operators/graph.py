@@ -97,7 +97,7 @@ def with_splice_sites(edges: DataFrame, sites: DataFrame, key: str) -> DataFrame
 def _subsets(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
     """Backward subset construction from Z over one fragment, then numbers in topological order from Y."""
     label = dict(zip(nodes["id"], nodes["label"], strict=True))
-    value = {i: None if pd.isna(v) else int(v) for i, v in zip(nodes["id"], nodes["value"], strict=True)}
+    value = {i: None if v is None or pd.isna(v) else int(v) for i, v in zip(nodes["id"], nodes["value"], strict=True)}
     before: dict[int, set[int]] = {}
     for a, b in zip(edges["src"], edges["dst"], strict=True):
         before.setdefault(b, set()).add(a)
@@ -105,6 +105,16 @@ def _subsets(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[tuple], lis
     known, todo, after = {end: 0}, [end], {}
     while todo:
         state = todo.pop()
+        if len(state) == 1:
+            # most states are one node with one predecessor
+            (m,) = state
+            if len(only := before.get(m, ())) == 1:
+                new = frozenset(only)
+                if new not in known:
+                    known[new] = len(known)
+                    todo.append(new)
+                after.setdefault(known[new], set()).add(known[state])
+                continue
         by: dict[str, set[int]] = {}
         for a in set().union(*(before.get(m, ()) for m in state)):
             by.setdefault(label[a], set()).add(a)
