@@ -18,10 +18,18 @@ from .ranks import row_numbers
 ROWS = 1 << 17
 
 
+def coded(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct letters in order, and the place of each among them: what np.unique sorts for, by counts where codes are small."""
+    if len(letters) and letters.max() > max(len(letters), 256):
+        return np.unique(letters, return_inverse=True)
+    there = np.bincount(letters) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[letters]
+
+
 def suffix_order(letters: np.ndarray) -> np.ndarray:
     """Places in order of their suffixes, by prefix doubling; where one suffix begins another, the shorter comes first."""
     n = len(letters)
-    _, rank = np.unique(letters, return_inverse=True)
+    _, rank = coded(letters)
     rank = rank.astype(np.int64) + 1
     # as many letters as fit make up the first key; 0 stands past the end
     bits = int(rank.max()).bit_length()
@@ -61,7 +69,7 @@ def of_order(df: DataFrame, key: str, text: str, end: str, of: Callable[[np.ndar
         whole = np.concatenate(parts)
         if kind != "string":
             return pa.array(whole, pa.int64())
-        codes, at = np.unique(whole, return_inverse=True)
+        codes, at = coded(whole)
         return pa.array([chr(c) for c in codes], pa.string()).take(pa.array(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +129,7 @@ def block_counts(df: DataFrame, key: str, text: str, size: int = 64, long: int =
         return block_counts(df.where(n <= long), key, text, size, long).unionByName(far)
 
     def of(letters: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
-        codes, at = np.unique(letters[order - 1], return_inverse=True)
+        codes, at = coded(letters[order - 1])
         count = np.bincount(np.arange(len(order)) // size * len(codes) + at)
         some = np.flatnonzero(count)
         return [some // len(codes), codes[some % len(codes)], count[some]]
@@ -155,6 +163,43 @@ def inverse(rows: DataFrame, key: str, end: str = "$") -> DataFrame:
     return at.select(key, "row", "pos")
 
 
+def bwt_text(text: Column, end: str = "$") -> Column:
+    """The letters of a text's BWT in order of its rows; null stays null."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            letters = np.frombuffer(((t or "") + end).encode("utf-32-le"), "<u4")
+            out.append(None if t is None else letters[suffix_order(letters) - 1].tobytes().decode("utf-32-le"))
+        return pa.array(out, pa.string())
+
+    return run(text)
+
+
+def inverse_text(bwt: Column, end: str = "$") -> Column:
+    """The text of a BWT's letters, by the pointer jumping of `inverse` within the text; null stays null."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            letters = np.frombuffer((t or end).encode("utf-32-le"), "<u4")
+            to = np.empty(len(letters), np.int64)
+            to[np.argsort(letters, kind="stable")] = np.arange(len(letters))
+            pos, last = (letters != ord(end)).astype(np.int64), int(np.flatnonzero(letters == ord(end))[0])
+            # the whole text's row leads to itself, and nothing is added there
+            to[last] = last
+            for _ in range(len(letters).bit_length()):
+                pos, to = pos + pos[to], to[to]
+            back = np.empty(len(letters), letters.dtype)
+            back[pos] = letters
+            out.append(None if t is None else back[1:].tobytes().decode("utf-32-le"))
+        return pa.array(out, pa.string())
+
+    return run(bwt)
+
+
 def search(rows: DataFrame, key: str, letters: str) -> tuple[DataFrame, DataFrame, str]:
     """What `graph.spelled` looks up in a text's rows, which are those of a graph without branches; ends must sort last."""
     same = rows.select(key, "row", F.col("bwt").alias("label"), F.lit(True).alias("f"), F.lit(True).alias("m"))
@@ -182,6 +227,82 @@ def located(found: DataFrame, index: tuple[DataFrame, DataFrame, str], sampled:
         at = graph_step(open_, index, key).select(*names, F.col("top").alias("row"), (F.col("_steps") + 1).alias("_steps"))
 
 
+def found(df: DataFrame, key: str, text: str, words: str, letters: str, every: int = 8) -> DataFrame:
+    """key, word, pos: all places of each text's own `words` (an array) in it, `search` and `located` within the text.
+
+    Words take backward steps over the rows of the text's suffixes; rows that aren't sampled (each `every`-th position is)
+    take steps until they are. Words with other letters than `letters` have no places.
+    """
+
+    def places(t: str, of: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        full = np.frombuffer((t + "~").encode("utf-32-le"), "<u4")
+        order = suffix_order(full)
+        last = full[order - 1]
+        upto = {c: np.r_[0, np.cumsum(last == ord(c))] for c in letters}
+        first = {c: int((full < ord(c)).sum()) for c in letters}
+        lf = np.zeros(len(full), np.int64)
+        for c in letters:
+            lf[last == ord(c)] = first[c] + np.arange(upto[c][-1])
+        known = np.where(order % every == 0, order, -1)
+        which, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, w in enumerate(of):
+            lo, hi = (0, len(full)) if w and set(w) <= set(letters) else (0, 0)
+            for c in reversed(w):
+                if lo < hi:
+                    lo, hi = first[c] + int(upto[c][lo]), first[c] + int(upto[c][hi])
+            rows.append(np.arange(lo, max(lo, hi)))
+            which.append(np.full(len(rows[-1]), i))
+        at, row = np.concatenate(which), np.concatenate(rows)
+        pos, steps = known[row], np.zeros(len(row), np.int64)
+        while (open_ := np.flatnonzero(pos < 0)).size:
+            row[open_] = lf[row[open_]]
+            steps[open_] += 1
+            pos[open_] = known[row[open_]]
+        return at, pos + steps
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (t, of) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if of:
+                    at, pos = places(t, of)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), i))), pa.array(of, pa.string()).take(pa.array(at)), pa.array(pos)], [key, "word", "pos"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(text).isNotNull()).select(key, text, words).mapInArrow(run, f"{key} {kind}, word string, pos long")
+
+
+def text_trie(df: DataFrame, key: str, text: str, k: int, letters: str = "ACGNT", long: int = LONG) -> DataFrame:
+    """`kmer_trie` (key, kmer, lo, hi) with the steps taken where texts of up to `long` letters are ordered, without a shuffle.
+
+    Letters before a row are counted by its place among the rows of that letter.
+    """
+    n = F.length(text)
+    if df.where(n > long).limit(1).count():
+        far = kmer_trie(df.where(n > long), key, text, k, letters).select(key, "kmer", "lo", "hi")
+        return text_trie(df.where(n <= long), key, text, k, letters, long).unionByName(far)
+
+    def of(full: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        last = full[order - 1]
+        at = [np.flatnonzero(last == ord(c)) for c in letters]
+        first = np.array([np.count_nonzero(full < ord(c)) for c in letters])
+        names, lo, hi = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(full)])
+
+        def occurrences(row: np.ndarray) -> np.ndarray:
+            return np.stack([np.searchsorted(x, row) for x in at], axis=1)
+
+        for i in range(k):
+            a, b = first + occurrences(lo), first + occurrences(hi)
+            names = (np.arange(len(letters)) * len(letters) ** i + names[:, None]).ravel()
+            some = (a < b).ravel()
+            names, lo, hi = names[some], a.ravel()[some], b.ravel()[some]
+        return [names, lo, hi]
+
+    rows = of_order(df, key, text, "$", of, "name long, lo long, hi long")
+    # a name's digits are its letters
+    word = F.concat(*[F.substring(F.lit(letters), (F.floor(F.col("name") / len(letters) ** i) % len(letters) + 1).cast("int"), F.lit(1)) for i in reversed(range(k))])
+    return rows.select(key, word.alias("kmer"), "lo", "hi")
+
+
 def kmer_table(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key, kmer, lo, hi: the rows [lo, hi) whose suffixes begin with each k-mer that occurs (suffixes of k letters and more).
 
