@@ -18,7 +18,7 @@ def pieces(df: DataFrame, cuts: DataFrame, key: str, text: str) -> DataFrame:
     lists = cuts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
     raw = F.col(text).cast("binary")
     cut = F.transform("_cuts", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.substr(raw, (c["start"] + 1).cast("int"), (c["stop"] - c["start"]).cast("int")).cast("string").alias("piece")))
-    rows = df.select(key, text).join(lists, key).select(key, F.size("_cuts").alias("_n"), F.posexplode(cut).alias("frag", "_c"))
+    rows = df.select(key, text).join(lists.hint("merge"), key).select(key, F.size("_cuts").alias("_n"), F.posexplode(cut).alias("frag", "_c"))
     return rows.select(key, "frag", "_c.start", "_c.stop", (F.col("frag") == F.col("_n") - 1).alias("final"), "_c.piece", F.concat_ws(":", F.col(key).cast("string"), F.col("frag").cast("string")).alias("part"))
 
 
@@ -29,7 +29,7 @@ def placed_haplotypes(haplotypes: DataFrame, parts: DataFrame, key: str, chunk:
     """
     a = haplotypes.withColumn("a_start", F.col("left")).withColumn("a_stop", F.col("right") + 1)
     b = parts.select(key, "part", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
-    rows = containment_join(a, b, [key], chunk)
+    rows = containment_join(a, b.hint("merge"), [key], chunk)
     own = F.transform("variants", lambda v: v.withField("pos", v["pos"] - F.col("b_start")))
     return rows.select("part", "hap", (F.col("left") - F.col("b_start")).alias("left"), (F.col("right") - F.col("b_start")).alias("right"), own.alias("variants"))
 
@@ -42,7 +42,8 @@ def stitched(nodes: DataFrame, edges: DataFrame, parts: DataFrame, key: str) ->
     led to, the node of the base at which the next one starts; the edge that both have is there once.
     """
     parts = spool(parts.select(key, "frag", "start", "final", "part"), "parts")
-    rows = graph.beside(nodes, parts, "part")
+    # there are as many parts as text, so nothing of a row a part may be broadcast through the driver
+    rows = nodes.join(parts.hint("merge"), "part")
     lead, trail = (F.col("label") == "Y") & (F.col("frag") > 0), (F.col("label") == "Z") & ~F.col("final")
     # a fragment is of bounded size, and ids follow its own
     place = F.row_number().over(Window.partitionBy("part", "_out").orderBy("id")) - 1
@@ -51,16 +52,16 @@ def stitched(nodes: DataFrame, edges: DataFrame, parts: DataFrame, key: str) ->
     size = rows.where("not _out").groupBy(key, "frag", "part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("frag")) - F.col("_n")
     offsets = spool(size.select("part", before.alias("_before")), "offsets")
-    rows = graph.beside(rows, offsets, "part").withColumn("new", F.col("_before") + F.col("_place"))
+    rows = rows.join(offsets.hint("merge"), "part").withColumn("new", F.col("_before") + F.col("_place"))
     value = F.col("value") + F.col("start")
     kept = rows.where("not _out").select(key, F.col("new").alias("id"), "label", value.alias("value"))
     end = lambda c, *more: rows.select("part", F.col("id").alias(c), F.col("new").alias(f"_{c}"), F.col("_lead").alias(f"_{c}_lead"), F.col("_trail").alias(f"_{c}_trail"), *more)
-    both = edges.join(end("src", key, "frag", "start"), ["part", "src"]).join(end("dst", value.alias("_value")), ["part", "dst"])
+    both = edges.join(end("src", key, "frag", "start").hint("merge"), ["part", "src"]).join(end("dst", value.alias("_value")).hint("merge"), ["part", "dst"])
     both = spool(both.drop("part"), "ends")
     inside = both.where("not _src_lead and not _dst_trail").select(key, F.col("_src").alias("src"), F.col("_dst").alias("dst"))
     out = both.where("_dst_trail and not _src_lead").select(key, (F.col("frag") + 1).alias("frag"), F.col("_src").alias("src"))
     into = both.where("_src_lead and not _dst_trail and _value = start").select(key, "frag", F.col("_dst").alias("dst"))
-    return kept, inside.unionByName(out.join(into, [key, "frag"]).select(key, "src", "dst").distinct())
+    return kept, inside.unionByName(out.join(into.hint("merge"), [key, "frag"]).select(key, "src", "dst").distinct())
 
 
 def build(df: DataFrame, haplotypes: DataFrame, cuts: DataFrame, key: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:

@@ -65,7 +65,7 @@ def with_haplotypes(nodes: DataFrame, edges: DataFrame, haplotypes: DataFrame, k
     own = F.concat_ws("/", "hap", F.sha2(F.to_json(F.struct("left", "right", "variants")), 256))
     haplotypes = haplotypes.where(in_order(F.col("variants"))).withColumn("hap", own).dropDuplicates([key, "hap"])
     spine = nodes.where("value is not null").groupBy(key, F.col("value").alias("pos")).agg(F.min_by("label", "id").alias("base"))
-    at = haplotypes.select(key, "hap", "left", "right", "variants", F.explode(F.sequence("left", "right")).alias("pos")).join(spine, [key, "pos"])
+    at = haplotypes.select(key, "hap", "left", "right", "variants", F.explode(F.sequence("left", "right")).alias("pos")).join(spine.hint("merge"), [key, "pos"])
     here = lambda typ: F.filter("variants", lambda v: (v["typ"] == typ) & (v["pos"] == F.col("pos")))
     gone = F.exists("variants", lambda v: (v["typ"] == "deletion") & (v["pos"] <= F.col("pos")) & (F.col("pos") < v["pos"] + v["len"]))
     ends = (F.col("pos") == F.col("right")) & (F.size(here("insertion")) > 0)
@@ -76,11 +76,11 @@ def with_haplotypes(nodes: DataFrame, edges: DataFrame, haplotypes: DataFrame, k
     path = at.select(key, "hap", "left", "right", "pos", ends.alias("ends"), F.posexplode(piece).alias("i", "n"))
     last = nodes.groupBy(key).agg(F.max("id").alias("last"))
     one = Window.partitionBy(key, "hap").orderBy("pos", "i")
-    path = path.join(last, key).withColumn("id", F.col("last") + F.row_number().over(Window.partitionBy(key).orderBy("hap", "pos", "i")))
+    path = path.join(last.hint("merge"), key).withColumn("id", F.col("last") + F.row_number().over(Window.partitionBy(key).orderBy("hap", "pos", "i")))
     links = path.select(key, "hap", "left", "right", "ends", "id", F.lag("id").over(one).alias("before"), F.lead("id").over(one).alias("after"))
     into = links.select(key, F.coalesce("before", "left").alias("src"), F.col("id").alias("dst"))
     out = links.where("after is null").select(key, F.col("id").alias("src"), (F.col("right") + F.when(F.col("ends"), 1).otherwise(2)).alias("dst"))
-    empty = haplotypes.join(path.select(key, "hap").distinct(), [key, "hap"], "left_anti").select(key, F.col("left").alias("src"), (F.col("right") + 2).alias("dst"))
+    empty = haplotypes.join(path.select(key, "hap").distinct().hint("merge"), [key, "hap"], "left_anti").select(key, F.col("left").alias("src"), (F.col("right") + 2).alias("dst"))
     new = path.select(key, "id", "n.label", "n.value")
     return nodes.unionByName(new), edges.unionByName(into).unionByName(out).unionByName(empty).distinct()
 
