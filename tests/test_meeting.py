@@ -29,7 +29,14 @@ def test_overlap_pairs(spark, block):
     assert got == pairs(rows, lambda x, y: x[2] < y[3] and y[2] < x[3] and x[1] < y[1])
 
 
-@pytest.mark.parametrize("name", ["overlap_join"])
+@pytest.mark.parametrize("block", [7, 1 << 15])
+def test_containment_pairs(spark, block):
+    rows, df = made(spark)
+    got = sorted(map(tuple, ranges.containment_pairs(df, ["k"], "name", 8, block).select("k", "a", "b").collect()))
+    assert got == pairs(rows, lambda x, y: y[2] <= x[2] and x[3] <= y[3] and x[1] != y[1])
+
+
+@pytest.mark.parametrize("name", ["overlap_join", "containment_join"])
 def test_rows_are_dealt_out_however_few(spark, name):
     df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
