@@ -101,6 +101,11 @@ def _subsets(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[tuple], lis
     before: dict[int, set[int]] = {}
     for a, b in zip(edges["src"], edges["dst"], strict=True):
         before.setdefault(b, set()).add(a)
+    return states(label, value, before)
+
+
+def states(label: dict[int, str], value: dict[int, int | None], before: dict[int, set[int]]) -> tuple[list[tuple], list[tuple]]:
+    """The same of nodes by id and the predecessors of each: rows (number, label, value) in order, and links."""
     end = frozenset(i for i, x in label.items() if x == "Z")
     known, todo, after = {end: 0}, [end], {}
     while todo:
