@@ -79,3 +79,12 @@ def test_cuts_of_many_keys_a_call(spark):
             a = b
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
     assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cuts_of_one_table(spark):
+    v = spark.createDataFrame([("c", "single", 40, 1), ("d", "single", 33, 1)], "chrom string, typ string, pos long, len long")
+    blocked = ranges.blocked_ranges(v, "chrom", 3)
+    cuts = ranges.fragment_cuts(v.groupBy("chrom").agg((F.max("pos") + 20).alias("length")), blocked, "chrom", 38)
+    assert sorted(map(tuple, cuts.collect())) == [("c", 0, 45), ("c", 45, 60), ("d", 0, 38), ("d", 38, 53)]
+    # the plan of both sides stands in it twice
+    assert ranges.bad_cuts(cuts, blocked, "chrom", 16).count() == 0
